@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import mixing, near_join, quality_rules
+from tenderlens.llm import mixing, near_join, quality_rules, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return near_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_windows_removed(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.training_order(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,5 +29,9 @@ def op5_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mask")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mixing, op5_quality_rules)}
-ORACLES = {"op4_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_bytes_removed(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op4_mixing, op5_quality_rules, op8_suffix_dedup)}
+ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
