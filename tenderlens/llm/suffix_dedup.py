@@ -119,7 +119,7 @@ def _first_ranks(length: int, filt):
                     t = x.text[i]
                     k1, k2 = (signed(h.of(x.start, x.end)) for h in x.h)
                     yield pa.RecordBatch.from_pydict(
-                        {"k1": pa.array(k1[t]), "k2": pa.array(k2[t]), "i": pa.array(x.ordinal[i].astype(np.int32)), "span": pa.array((b - a).astype(np.int32)), "r1": pa.array(signed(r1)), "r2": pa.array(signed(x.h[1].of(a, b)))}
+                        {"k1": pa.array(k1[t]), "k2": pa.array(k2[t]), "i": pa.array(x.ordinal[i].astype(np.int32)), "span": pa.array((b - a - x.k).astype(np.int32)), "r1": pa.array(signed(r1)), "r2": pa.array(signed(x.h[1].of(a, b)))}
                     )
 
     return run
