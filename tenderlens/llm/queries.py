@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import mixing, near_join, quality_rules, substring_dedup, suffix_dedup
+from tenderlens.llm import line_dedup, mixing, near_join, quality_rules, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +33,9 @@ def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeated_bytes_removed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op4_mixing, op5_quality_rules, op8_suffix_dedup)}
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op4_mixing, op5_quality_rules, op8_suffix_dedup, op10_line_dedup)}
 ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE}

@@ -49,7 +49,12 @@ def without_copies(docs: DataFrame, rows: DataFrame, key: list[str]) -> tuple[Da
     reps = rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     marked = materialize(rows.join(reps, key), "copies")
     gone = marked.groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("rep")).alias("all")).filter("all").select("doc_id")
-    return docs.join(small(gone), "doc_id", "left_anti"), marked
+    texts = docs.join(small(gone), "doc_id", "left_anti")
+    again = materialize(marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if again.limit(1).count():  # repeated ids: each of their texts once
+        twice = texts.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        texts = texts.join(small(again), "doc_id", "left_anti").unionByName(twice)
+    return texts, marked
 
 
 def _window_rows(window: int, filt):
