@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import line_dedup, mixing, near_join, quality_rules, substring_dedup, suffix_dedup
+from tenderlens.llm import decontaminate, line_dedup, mixing, near_join, quality_model, quality_rules, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_windows_removed(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    return quality_model.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.training_order(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,9 +37,13 @@ def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeated_bytes_removed(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op4_mixing, op5_quality_rules, op8_suffix_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_quality_classifier, op4_mixing, op5_quality_rules, op8_suffix_dedup, op9_decontamination, op10_line_dedup)}
 ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
