@@ -1,6 +1,62 @@
-STAGES = []
+"""A training corpus in five stages, each of them one of the corpus operators over what the last one kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``.  Stages work on all rows and whole texts; null texts and repeated rows are handled as the
+operators say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tenderlens.llm import decontaminate, line_dedup, mixing, near_join, quality_rules
+from tenderlens.plans.staging import materialize, small
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule of the policy rejects go."""
+    return quality_rules.passing(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that nearly equal an earlier line go, and documents that had no other."""
+    out = line_dedup.without_repeated_lines(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.filter(F.col("n_removed") == 0).unionByName(out.filter((F.col("n_removed") > 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"))).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of similarity 0.8 or more connect, the one with the least id stays."""
+    classes = materialize(near_join.near_duplicates(docs).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")), "stay")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    stay = docs.join(small(classes), key == F.col("__id")).drop("__id")
+    if classes.filter("n > 1").limit(1).count():  # repeated ids: one row each
+        again = stay.filter("n > 1").dropDuplicates(["doc_id"])
+        stay = stay.filter("n = 1").unionByName(again)
+    return stay.select(docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the curriculum takes of each document, range-sorted by training position."""
+    return mixing.training_order(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_copies), ("decontamination", leaks), ("mixing", mix)]
+
+#: Edit distances, latent cosines and Jaccard links over all pairs are out of SQL's reach; tests compare
+#: the run with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
+    return docs

@@ -82,6 +82,15 @@ def _measures(batches):
             yield pa.RecordBatch.from_pydict(cols)
 
 
+def mask_column() -> Column:
+    """The failed rules' bits, from the measurements."""
+    bits = [F.when(F.expr(rule), F.lit(bit)).otherwise(0) for bit, rule in RULES.values()]
+    mask: Column = bits[0]
+    for b in bits[1:]:
+        mask = mask.bitwiseOR(b)
+    return mask.cast("int")
+
+
 def rule_ledger(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, the measurements, and ``mask`` (int).
 
@@ -90,11 +99,7 @@ def rule_ledger(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_measures, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(F.expr(rule), F.lit(bit)).otherwise(0) for bit, rule in RULES.values()]
-    mask: Column = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    return rows.withColumn("mask", mask.cast("int"))
+    return rows.withColumn("mask", mask_column())
 
 
 def judged(ledger: DataFrame, policy: str = "v2") -> DataFrame:
@@ -103,6 +108,16 @@ def judged(ledger: DataFrame, policy: str = "v2") -> DataFrame:
     return ledger.withColumn("base_failed", F.col("mask").bitwiseAND(BASE_BITS) != 0).withColumn("kept", F.col("mask").bitwiseAND(rejects) == 0)
 
 
+def passing(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with all their columns; no shuffle."""
+    rows = docs.select(F.struct("*").alias("row"), "text").mapInArrow(_measures, f"row {_quoted(docs)}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return judged(rows.withColumn("mask", mask_column()), policy).filter("kept").select("row.*")
+
+
+def _quoted(docs: DataFrame) -> str:
+    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema) + ">"
+
+
 def ablation(ledger: DataFrame, policy: str = "v2") -> DataFrame:
     """For each rule of a policy: (rule, bit, failed, only) - documents that fail it, and those that would
     be kept without it.  One pass with partial sums; a mask is folded before the shuffle."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import decontaminate, line_dedup, mixing, near_join, quality_model, quality_rules, substring_dedup, suffix_dedup
+from tenderlens.llm import decontaminate, line_dedup, mixing, near_join, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc_audit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op5_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mask")
 
 
+def op6_pii(spark, sf_dir):
+    rows = pii.sanitised(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.col("base").alias("base_sha256"), "spans")
+
+
+def op7_merkle_fixity(spark, sf_dir):
+    """Audits the pages against a replica that Spark derives from them with known damage."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc_audit.audit(pages, warc_audit.damaged(pages))
+
+
 def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeated_bytes_removed(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +56,5 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_quality_classifier, op4_mixing, op5_quality_rules, op8_suffix_dedup, op9_decontamination, op10_line_dedup)}
-ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_pii, op7_merkle_fixity, op8_suffix_dedup, op9_decontamination, op10_line_dedup)}
+ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_merkle_fixity": warc_audit.ORACLE}
