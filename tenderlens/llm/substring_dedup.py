@@ -1,8 +1,10 @@
 """Operator 2: repeated word windows, found with a count-min prefilter.
 
-A first pass sketches the hashes of all windows; partition sketches are merged (``sketch.py``).  Estimates
-never fall below the true counts, so the second pass hands on every window that occurs twice and only few
-others.  Those are grouped exactly, by 128 bits of their word sequence.
+A first pass sketches the hashes of all runs of :data:`SUB` words; partition sketches are merged
+(``sketch.py``).  A window occurs at most as often as each of the shorter runs in it, so the least of their
+estimates never falls below its count, and it is far sharper than one estimate of the window.  The second
+pass hands on every window that may occur twice and only few others; those are grouped exactly, by 96
+bits of their word sequence.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from tenderlens.llm.textvec import Words, blocks, column, lists, signed
 from tenderlens.plans.staging import materialize, small
 
 WINDOW = 13
+SUB = 11
 _LAST = 2**63 - 1
 
 
@@ -66,7 +69,12 @@ def _window_rows(window: int, filt):
             for at, texts in blocks(column(batch, "text")):
                 w = Words(texts)
                 pos, h1 = w.windows(window, 0)
-                keep = sketch.repeated(filt, h1)
+                at_sub, sub = w.windows(min(SUB, window), 0)
+                maybe = np.zeros(len(w.start) + 1, dtype=bool)
+                maybe[at_sub] = sketch.repeated(filt, sub)
+                keep = maybe[pos]
+                for k in range(1, window - min(SUB, window) + 1):
+                    keep &= maybe[pos + k]
                 pos, h1 = pos[keep], h1[keep]
                 if not len(pos):
                     continue
@@ -77,7 +85,7 @@ def _window_rows(window: int, filt):
                 a, b = order[1:], order[:-1]
                 new[1:] = (h1[a] != h1[b]) | (text[a] != text[b])
                 one = order[new]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at + text[one]]), "w1": pa.array(signed(w.whole(0)[text[one]])), "h1": pa.array(signed(h1[one])), "h2": pa.array(signed(h2[one]))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at + text[one]]), "h1": pa.array(signed(h1[one])), "h2": pa.array((h2[one] >> np.uint64(32)).astype(np.uint32).view(np.int32))})
 
     return run
 
@@ -88,16 +96,13 @@ def _removals(window: int):
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            w1 = batch.column(batch.schema.get_field_index("w1")).to_numpy(zero_copy_only=False)
             gone = batch.column(batch.schema.get_field_index("gone"))
             for at, texts in blocks(column(batch, "text")):
                 w = Words(texts)
                 pos, h1 = w.windows(window, 0)
-                whole, first = signed(w.whole(0)), np.searchsorted(w.text[pos], np.arange(len(texts) + 1))
-                sel, n_removed, sha = [], [], []
+                first = np.searchsorted(w.text[pos], np.arange(len(texts) + 1))
+                n_removed, sha = [], []
                 for i, t in enumerate(texts):
-                    if whole[i] != w1[at + i]:
-                        continue
                     own = slice(first[i], first[i + 1])
                     hit = np.isin(signed(h1[own]), np.asarray(gone[at + i].values))
                     delta = np.zeros(w.count[i] + 1, dtype=np.int64)
@@ -105,10 +110,9 @@ def _removals(window: int):
                     np.add.at(delta, start, 1)
                     np.add.at(delta, start + window, -1)
                     covered = np.cumsum(delta)[:-1] > 0
-                    sel.append(at + i)
                     n_removed.append(int(covered.sum()))
                     sha.append(_kept_hash(t, ~covered))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(sel, pa.int64())), "w1": pa.array(w1[sel], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(sha, pa.string())})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(at, len(texts)), "w1": pa.array(signed(w.whole(0))), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(sha, pa.string())})
 
     return run
 
@@ -128,12 +132,13 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame
 
     def keys(batch):
         for _, part in blocks(column(batch, "text")):
-            yield Words(part).windows(window, 0)[1]
+            yield Words(part).windows(min(SUB, window), 0)[1]
 
-    filt = sketch.build(texts.select("text"), keys, sketch.bits_for(n))
-    found = materialize(texts.mapInArrow(_window_rows(window, filt), "doc_id long, w1 long, h1 long, h2 long"), "op2win")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("h1", "h2", "least")
-    gone = found.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id", "w1").agg(F.collect_list("h1").alias("gone"))
+    filt = sketch.build(texts.select("text"), keys, sketch.bits_for(n // 2))
+    found = materialize(texts.mapInArrow(_window_rows(window, filt), "doc_id long, h1 long, h2 int"), "op2win")
+    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    # whether a window goes depends on the id and the window alone, so texts that share an id share the list
+    gone = found.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
     gone = materialize(gone, "op2gone")
     affected = docs.join(small(gone.select("doc_id").distinct()), "doc_id", "left_semi").join(gone, "doc_id")
     removed = affected.mapInArrow(_removals(window), "doc_id long, w1 long, n_removed long, kept string").dropDuplicates(["doc_id", "w1"])
