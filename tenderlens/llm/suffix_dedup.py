@@ -6,12 +6,13 @@ Equal strings of the threshold length hold the same anchors at the same offsets
 their first full run and that of their last, because a run that reaches over the edge can select nothing
 between them.  So:
 
-* level 0 ranks the string from an anchor to the next; single ones leave at once (a sketch drops nearly
-  all of them before the first shuffle, never one that repeats);
+* the first level ranks the string over as many anchors as any window must hold; single ones leave at
+  once (a sketch drops nearly all of them before the first shuffle, never one that repeats);
 * level j + 1 sorts pairs (rank at i, rank at i + 2**j), reranks, and drops the single ones, until a
   string is unique or longer than the threshold needs;
-* what is left bounds the candidates.  A start inside a repeated anchor string that covers its whole
-  window is settled; the windows around the ends of such strings are grouped exactly by 128 bits.
+* what is left bounds the candidates.  Starts whose windows lie in a repeated anchor string are settled.
+  The windows around the ends of such strings, and those that share their anchor string, are grouped
+  exactly by 128 bits.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tenderlens.llm import sketch
 from tenderlens.llm.substring_dedup import without_copies
 from tenderlens.llm.textvec import Prefix, blocks, column, signed
-from tenderlens.plans.staging import materialize, small
+from tenderlens.plans.staging import discard, materialize, small
 
 LENGTH = 400
 
@@ -36,6 +37,8 @@ class Anchors:
     def __init__(self, texts: list[bytes], length: int):
         self.length, self.k = length, max(2, min(16, length // 8))
         self.w = max(2, min(64, (length - self.k) // 4))
+        # a window holds at least so many anchor strings between the anchors that equal windows share
+        self.base = int(np.log2(max(1, -(-(length - self.k - 2 * self.w + 2) // self.w))))
         self.buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         self.end = np.cumsum(size)
@@ -63,10 +66,11 @@ class Anchors:
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
         self.ordinal = np.arange(len(self.at)) - self.first[self.text]
 
-    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors with a next one in their text, and the bounds of the string up to its end."""
-        i = np.flatnonzero(self.text[1:] == self.text[:-1])
-        return i, self.at[i], self.at[i + 1] + self.k
+    def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors that begin a string of ``2**base`` steps in their text, and its bounds."""
+        n = 1 << self.base
+        i = np.flatnonzero(self.text[n:] == self.text[:-n])
+        return i, self.at[i], self.at[i + n] + self.k
 
     def starts(self) -> np.ndarray:
         p = np.arange(max(0, len(self.buf) - self.length + 1))
@@ -76,14 +80,21 @@ class Anchors:
         """First and last anchor that any equal window holds too."""
         return np.searchsorted(self.at, self.least[p]), np.searchsorted(self.at, self.least[p + self.length - self.k - self.w + 1])
 
-    def outer(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchors around the window, and whether both exist in its text."""
-        f = np.searchsorted(self.at, p, side="right") - 1
-        g = np.searchsorted(self.at, p + self.length - self.k, side="left")
-        ok = (f >= 0) & (g < len(self.at))
-        f, g = np.maximum(f, 0), np.minimum(g, max(0, len(self.at) - 1))
-        ok &= (self.text[f] == self.owner[p]) & (self.text[g] == self.owner[p])
-        return f, g, ok
+    def covering(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors f with a later one in their text, g, so that [f, g + k) holds all windows from f up to the
+        next anchor."""
+        f = np.flatnonzero(self.text[1:] == self.text[:-1])
+        g = np.searchsorted(self.at, self.at[f + 1] - 1 + self.length - self.k, side="left")
+        ok = g < len(self.at)
+        f, g = f[ok], g[ok]
+        ok = self.text[f] == self.text[g]
+        return f[ok], g[ok]
+
+    def levels(self, text: np.ndarray, i: np.ndarray, lev: np.ndarray) -> np.ndarray:
+        """Highest repeated level of each anchor, -1 for none, from lists by text."""
+        out = np.full(len(self.at), -1, dtype=np.int64)
+        out[self.first[text] + i] = lev
+        return out
 
 
 def _facts(batches):
@@ -104,162 +115,141 @@ def _long(texts: list[bytes], length: int) -> list[bytes]:
     return [t if len(t) >= length else b"" for t in texts]
 
 
+def _r2(x: np.ndarray) -> np.ndarray:
+    """A second rank of 32 bits; with the first, 96 bits tell strings apart."""
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _first_ranks(length: int, filt):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for _, texts in blocks(column(batch, "text")):
+            key = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
+            for at, texts in blocks(column(batch, "text")):
                 x = Anchors(_long(texts, length), length)
-                i, a, b = x.chunks()
+                i, a, b = x.strings()
                 r1 = x.h[0].of(a, b)
                 keep = sketch.repeated(filt, r1)
                 i, a, b, r1 = i[keep], a[keep], b[keep], r1[keep]
                 if len(i):
-                    t = x.text[i]
-                    k1, k2 = (signed(h.of(x.start, x.end)) for h in x.h)
                     yield pa.RecordBatch.from_pydict(
-                        {"k1": pa.array(k1[t]), "k2": pa.array(k2[t]), "i": pa.array(x.ordinal[i].astype(np.int32)), "span": pa.array((b - a - x.k).astype(np.int32)), "r1": pa.array(signed(r1)), "r2": pa.array(signed(x.h[1].of(a, b)))}
+                        {"key": pa.array(key[at + x.text[i]]), "i": pa.array(x.ordinal[i].astype(np.int32)), "span": pa.array((b - a - x.k).astype(np.int32)), "r1": pa.array(signed(r1)), "r2": pa.array(_r2(x.h[1].of(a, b)))}
                     )
 
     return run
 
 
 def _only_repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose rank another position has too."""
+    """Rows whose rank another position has too.  ``rows`` is a table, as it is read twice."""
     twice = rows.groupBy("r1", "r2").agg(F.count("*").alias("n")).filter("n > 1").select("r1", "r2")
     return rows.join(twice, ["r1", "r2"], "left_semi")
 
 
-def doubled(ranks: DataFrame, enough: int) -> DataFrame:
-    """(k1, k2, i, lev): the highest level at which the string of 2**lev chunks from chunk i repeats."""
-    now = materialize(_only_repeated(ranks).withColumn("lev", F.lit(0)), "op8rank")
-    levels, j = now.select("k1", "k2", "i", "lev"), 0
+def doubled(ranks: DataFrame, base: int, enough: int) -> DataFrame:
+    """(key, i, lev): the highest level at which the string of 2**lev steps from anchor i repeats."""
+    raw = materialize(ranks, "op8raw")
+    now = materialize(_only_repeated(raw), "op8rank")
+    discard(raw)
+    levels, j = now.select("key", "i", F.lit(base).alias("lev")), base
     while j < 30 and now.limit(1).count():
         a = now.filter(F.col("span") < enough)
-        b = now.select("k1", "k2", (F.col("i") - (1 << j)).alias("i"), F.col("span").alias("span_b"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
-        pair = a.join(b, ["k1", "k2", "i"]).select(
-            "k1", "k2", "i", (F.col("span") + F.col("span_b")).alias("span"), F.xxhash64("r1", "r2", "s1", "s2", F.lit(1)).alias("r1"), F.xxhash64("s2", "r1", "r2", "s1", F.lit(2)).alias("r2")
+        b = now.select("key", (F.col("i") - (1 << j)).alias("i"), F.col("span").alias("span_b"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
+        pair = a.join(b, ["key", "i"]).select(
+            "key", "i", (F.col("span") + F.col("span_b")).alias("span"), F.xxhash64("r1", "r2", "s1", "s2", F.lit(1)).alias("r1"), F.hash("s2", "r1", "r2", "s1", F.lit(2)).alias("r2")
         )
         j += 1
-        now = materialize(_only_repeated(pair).withColumn("lev", F.lit(j)), "op8rank")
-        levels = levels.unionByName(now.select("k1", "k2", "i", "lev"))
-    return levels.groupBy("k1", "k2", "i").agg(F.max("lev").alias("lev"))
+        raw = materialize(pair, "op8raw")
+        now = materialize(_only_repeated(raw), "op8rank")
+        discard(raw)
+        levels = levels.unionByName(now.select("key", "i", F.lit(j).alias("lev")))
+    return levels.groupBy("key", "i").agg(F.max("lev").alias("lev"))
 
 
 def _open_texts(batch, length: int):
-    """Blocks of texts whose key is the one that their lists were made for, with the lists' columns."""
-    import pyarrow as pa
-
-    texts = column(batch, "text")
-    for at, part in blocks(texts):
-        x = Anchors(_long(part, length), length)
-        k1, k2 = (signed(h.of(x.start, x.end)) for h in x.h)
+    """(anchors, texts, other columns, keys) of the blocks of a batch."""
+    for at, part in blocks(column(batch, "text")):
         rest = {f.name: batch.column(n).slice(at, len(part)) for n, f in enumerate(batch.schema) if f.name != "text"}
-        match = (rest["k1"].to_numpy(zero_copy_only=False) == k1) & (rest["k2"].to_numpy(zero_copy_only=False) == k2)
-        yield x, k1, k2, rest, match, part
-    del pa
-
+        yield Anchors(_long(part, length), length), part, rest, rest["key"].to_numpy(zero_copy_only=False)
 
-def _flat(col, match) -> tuple[np.ndarray, np.ndarray]:
-    """(text, value) of a list column, for the texts that match."""
-    import pyarrow as pa
 
-    n = np.array([len(v) if m and v is not None and v.values is not None else 0 for v, m in zip(col, match)], dtype=np.int64)
-    vals = [np.asarray(v.values) for v, c in zip(col, n) if c]
-    del pa
-    return np.repeat(np.arange(len(n)), n), np.concatenate(vals) if vals else np.zeros(0, dtype=np.int64)
+def _flat(col) -> tuple[np.ndarray, np.ndarray]:
+    """(text, value) of a list column; a null list is empty."""
+    n = np.array([len(v.values) if v.values is not None else 0 for v in col], dtype=np.int64)
+    return np.repeat(np.arange(len(n)), n), np.asarray(col.flatten(), dtype=np.int64)
 
 
-def _chains(length: int):
-    """Anchor strings that may repeat: kind 1 covers all windows of [lo, hi] whole, kind 2 is what an equal
-    window must share."""
+def _covered(length: int):
+    """Repeated strings that hold all windows from an anchor to the next."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for x, k1, k2, rest, match, _ in _open_texts(batch, length):
-                p = x.starts()
-                p = p[match[x.owner[p]]] if len(p) else p
-                if not len(p) or not len(x.at):
+            for x, _, rest, key in _open_texts(batch, length):
+                f, g = x.covering()
+                if not len(f):
                     continue
-                text, i = _flat(rest["idx"], match)
-                lev = np.full(len(x.at), -1, dtype=np.int64)
-                lev[x.first[text] + i] = _flat(rest["lev"], match)[1]
-                for kind in (1, 2):
-                    f, g, ok = x.outer(p) if kind == 1 else (*x.inner(p), np.ones(len(p), dtype=bool))
-                    m = g - f
-                    ok &= m > 0
-                    q, f, g, m = p[ok], f[ok], g[ok], m[ok]
-                    if not len(q):
-                        continue
-                    j = np.floor(np.log2(m)).astype(np.int64)
-                    ok = (lev[f] >= j) & (lev[g - (1 << j)] >= j)
-                    q, f, g = q[ok], f[ok], g[ok]
-                    if not len(q):
-                        continue
-                    new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (q[1:] != q[:-1] + 1)]))
-                    lo, hi = q[new], q[np.concatenate([new[1:], [len(q)]]) - 1]
-                    t, a, b = x.owner[lo], x.at[f[new]], x.at[g[new]] + x.k
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "kind": pa.array(np.full(len(lo), kind, np.int32)), "k1": pa.array(k1[t]), "k2": pa.array(k2[t]),
-                            "lo": pa.array(lo - x.start[t]), "hi": pa.array(hi - x.start[t]),
-                            "r1": pa.array(signed(x.h[0].of(a, b))), "r2": pa.array(signed(x.h[1].of(a, b))),
-                        }
-                    )
+                lev = x.levels(*_flat(rest["idx"]), _flat(rest["lev"])[1])
+                j = np.floor(np.log2(g - f)).astype(np.int64)
+                ok = (lev[f] >= j) & (lev[g - (1 << j)] >= j)
+                f, g = f[ok], g[ok]
+                t, a, b = x.text[f], x.at[f], x.at[g] + x.k
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "lo": pa.array(a - x.start[t]), "hi": pa.array(x.at[f + 1] - 1 - x.start[t]), "r1": pa.array(signed(x.h[0].of(a, b))), "r2": pa.array(_r2(x.h[1].of(a, b)))})
 
     return run
 
 
-def _unsettled(batches):
-    """Whether a text's shared strings (kind 2) hold starts outside its settled intervals (kind 1)."""
-    import pyarrow as pa
-
-    for batch in batches:
-        get = lambda n: batch.column(batch.schema.get_field_index(n))
-        for n in range(batch.num_rows):
-            cand = get("cand")[n].values
-            lo, hi = (np.asarray(cand.field(k)) for k in ("lo", "hi"))
-            sure = get("sure")[n]
-            if sure.values is None or not len(sure.values):
-                open_ = np.ones(len(lo), dtype=bool)
-            else:
-                a, b = (np.asarray(sure.values.field(k)) for k in ("lo", "hi"))
-                order = np.argsort(a)
-                a, b = a[order], np.maximum.accumulate(b[order])
-                cut = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1] + 1]))
-                a, b = a[cut], np.concatenate([b[cut[1:] - 1], b[-1:]])
-                at = np.searchsorted(a, lo, side="right") - 1
-                open_ = (at < 0) | (b[np.maximum(at, 0)] < hi)
-            yield pa.RecordBatch.from_pydict(
-                {"k1": pa.array(np.full(len(lo), get("k1")[n].as_py())), "k2": pa.array(np.full(len(lo), get("k2")[n].as_py())), "lo": pa.array(lo), "hi": pa.array(hi), "r1": cand.field("r1"), "r2": cand.field("r2"), "open": pa.array(open_)}
-            )
-
-
-def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(interval, value) for every value of every interval."""
+def _shared_runs(x: Anchors, rest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, anchor string hash, whether a start in it is unsettled) of runs of starts
+    that may repeat, by the levels of the anchor string that an equal window must share."""
+    p = x.starts()
+    none = np.zeros(0, dtype=np.int64)
+    if not len(p) or not len(x.at):
+        return none, none, none.astype(np.uint64), none.astype(bool)
+    lev = x.levels(*_flat(rest["idx"]), _flat(rest["lev"])[1])
+    f, g = x.inner(p)
+    j = np.floor(np.log2(np.maximum(1, g - f))).astype(np.int64)
+    ok = (lev[f] >= j) & (lev[g - (1 << j)] >= j)
+    p, f, g = p[ok], f[ok], g[ok]
+    if not len(p):
+        return none, none, none.astype(np.uint64), none.astype(bool)
+    new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (p[1:] != p[:-1] + 1)]))
+    lo, hi = p[new], p[np.concatenate([new[1:], [len(p)]]) - 1]
+    settled = np.zeros(len(x.buf) + 1, dtype=np.int32)
+    text, a = _flat(rest["los"])
+    np.add.at(settled, x.start[text] + a, 1)
+    np.add.at(settled, x.start[text] + _flat(rest["his"])[1] + 1, -1)
+    free = np.concatenate([[0], np.cumsum(np.cumsum(settled)[:-1] <= 0)])
+    return lo, hi, x.h[0].of(x.at[f[new]], x.at[g[new]] + x.k), free[hi + 1] > free[lo]
+
+
+_OPEN = np.uint64(0x5851F42D4C957F2D)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Every value of every interval."""
     n = hi - lo + 1
     row = np.repeat(np.arange(len(lo)), n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+    return np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+
 
+def _windows(length: int, filt):
+    """Starts whose anchor string repeats and is that of an unsettled start somewhere."""
 
-def _windows(length: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for x, k1, k2, rest, match, _ in _open_texts(batch, length):
-                text, lo = _flat(rest["los"], match)
-                row, p = _spread(lo, _flat(rest["his"], match)[1])
-                if not len(p):
-                    continue
-                pos = np.unique(x.start[text[row]] + p)
+            for x, _, rest, key in _open_texts(batch, length):
+                lo, hi, h, _ = _shared_runs(x, rest)
+                ok = sketch.repeated(filt, h)
+                ok[ok] = sketch.repeated(filt, h[ok] ^ _OPEN)
+                pos = _spread(lo[ok], hi[ok]) if ok.any() else lo[:0]
                 for s in range(0, len(pos), 200_000):
                     q = pos[s : s + 200_000]
                     t = x.owner[q]
-                    yield pa.RecordBatch.from_pydict({"k1": pa.array(k1[t]), "k2": pa.array(k2[t]), "p": pa.array((q - x.start[t]).astype(np.int64)), "r1": pa.array(signed(x.h[0].of(q, q + length))), "r2": pa.array(signed(x.h[1].of(q, q + length)))})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "p": pa.array((q - x.start[t]).astype(np.int32)), "r1": pa.array(signed(x.h[0].of(q, q + length))), "r2": pa.array(signed(x.h[1].of(q, q + length)))})
 
     return run
 
@@ -269,19 +259,19 @@ def _cut(length: int):
         import pyarrow as pa
 
         for batch in batches:
-            for x, k1, k2, rest, match, part in _open_texts(batch, length):
-                out = {"k1": [], "k2": [], "n_removed": [], "n_spans": [], "kept": []}
-                for n in np.flatnonzero(match):
-                    lo, hi = (np.asarray(rest[c][int(n)].values) for c in ("los", "his"))
-                    delta = np.zeros(len(part[n]) + 1, dtype=np.int32)
-                    np.add.at(delta, lo, 1)
-                    np.add.at(delta, hi + length, -1)
+            for x, part, rest, _ in _open_texts(batch, length):
+                k1, k2 = (signed(Prefix(np.frombuffer(b"".join(part), np.uint8), n).of(np.cumsum([0, *map(len, part[:-1])]), np.cumsum([len(t) for t in part]))) for n in (0, 1))
+                out = {"k1": k1.tolist(), "k2": k2.tolist(), "n_removed": [], "n_spans": [], "kept": []}
+                for n, t in enumerate(part):
+                    delta = np.zeros(len(t) + 1, dtype=np.int32)
+                    for a, b in (("los", "his"), ("one", "one")):
+                        if rest[a][n].values is not None:
+                            np.add.at(delta, np.asarray(rest[a][n].values), 1)
+                            np.add.at(delta, np.asarray(rest[b][n].values) + length, -1)
                     gone = np.cumsum(delta)[:-1] > 0
-                    out["k1"].append(int(k1[n]))
-                    out["k2"].append(int(k2[n]))
                     out["n_removed"].append(int(gone.sum()))
-                    out["n_spans"].append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    out["kept"].append(hashlib.sha256(np.frombuffer(part[n], np.uint8)[~gone].tobytes()).hexdigest())
+                    out["n_spans"].append(int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()))
+                    out["kept"].append(hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "kept" else pa.int64()) for k, v in out.items()})
 
     return run
@@ -296,37 +286,42 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     least ``length`` bytes that occurs twice (repeated rows too) goes whole.  Null ids take part as -1 and
     come back as null.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
     rows = materialize(docs.mapInArrow(_facts, "doc_id long, k1 long, k2 long, n_bytes long, sha string"), "op8all")
-    texts, marked = without_copies(docs.select("doc_id", "text"), rows, ["k1", "k2", "n_bytes"])
+    texts, marked = without_copies(docs, rows, ["k1", "k2", "n_bytes"])
+    single = not marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    texts = texts.filter(F.octet_length("text") >= length).select((F.col("doc_id") if single else F.xxhash64("doc_id", "text")).alias("key"), "text")
     shape = Anchors([], length)
 
     def keys(batch):
         for _, part in blocks(column(batch, "text")):
             x = Anchors(_long(part, length), length)
-            yield x.h[0].of(*x.chunks()[1:])
+            yield x.h[0].of(*x.strings()[1:])
 
     n = rows.agg(F.sum("n_bytes")).first()[0] or 0
     filt = sketch.build(texts.select("text"), keys, sketch.bits_for(2 * n // shape.w))
-    ranks = texts.select("text").mapInArrow(_first_ranks(length, filt), "k1 long, k2 long, i int, span int, r1 long, r2 long")
-    levels = doubled(ranks, length + 2 * shape.w + shape.k)
-    held = levels.groupBy("k1", "k2").agg(F.collect_list(F.struct("i", "lev")).alias("l")).select("k1", "k2", F.col("l.i").alias("idx"), F.col("l.lev").alias("lev"))
-    owners = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    held = materialize(held.join(owners, ["k1", "k2"]), "op8held")
-    some = docs.select("doc_id", "text").join(small(held.select("doc_id").distinct()), "doc_id", "left_semi")
-    affected = materialize(some.join(held, "doc_id").drop("doc_id"), "op8text")
-    chains = materialize(_only_repeated(affected.mapInArrow(_chains(length), "kind int, k1 long, k2 long, lo long, hi long, r1 long, r2 long").dropDuplicates(["kind", "k1", "k2", "lo"]).withColumn("r1", F.xxhash64("kind", "r1"))), "op8chn")
-    sure = chains.filter("kind = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("sure"))
-    cand = chains.filter("kind = 2").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "r1", "r2")).alias("cand"))
-    flagged = materialize(cand.join(sure, ["k1", "k2"], "left").mapInArrow(_unsettled, "k1 long, k2 long, lo long, hi long, r1 long, r2 long, open boolean"), "op8flag")
-    open_ = flagged.groupBy("r1", "r2").agg(F.max("open").alias("o")).filter("o").select("r1", "r2")
-    look = flagged.join(open_, ["r1", "r2"], "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("l")).select("k1", "k2", F.col("l.lo").alias("los"), F.col("l.hi").alias("his"))
-    texts2 = affected.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
-    wins = materialize(texts2.join(look, ["k1", "k2"]).mapInArrow(_windows(length), "k1 long, k2 long, p long, r1 long, r2 long"), "op8win")
-    starts = _only_repeated(wins).select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    starts = starts.unionByName(chains.filter("kind = 1").select("k1", "k2", "lo", "hi"))
-    hits = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("l")).select("k1", "k2", F.col("l.lo").alias("los"), F.col("l.hi").alias("his"))
-    cut = texts2.join(hits, ["k1", "k2"]).mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, n_spans long, kept string")
+    ranks = texts.mapInArrow(_first_ranks(length, filt), "key long, i int, span int, r1 long, r2 int")
+    levels = doubled(ranks, shape.base, length + 2 * shape.w + shape.k)
+    held = levels.groupBy("key").agg(F.collect_list(F.struct("i", "lev")).alias("l")).select("key", F.col("l.i").alias("idx"), F.col("l.lev").alias("lev"))
+    held = materialize(held, "op8held")
+    some = texts.join(small(held.select("key")), "key", "left_semi").join(held, "key")
+    affected = materialize(some, "op8text")
+    covered = materialize(affected.mapInArrow(_covered(length), "key long, lo long, hi long, r1 long, r2 int"), "op8cov")
+    sure = _only_repeated(covered).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("l")).select("key", F.col("l.lo").alias("los"), F.col("l.hi").alias("his"))
+    ready = materialize(affected.join(sure, "key", "left"), "op8ready")
+    discard(affected)
+
+    def shared(batch):
+        for x, _, rest, _ in _open_texts(batch, length):
+            _, _, h, open_ = _shared_runs(x, rest)
+            yield h
+            yield np.repeat(h[open_] ^ _OPEN, 2)
+
+    filt2 = sketch.build(ready, shared, sketch.bits_for(4 * covered.count()))
+    wins = materialize(ready.mapInArrow(_windows(length, filt2), "key long, p int, r1 long, r2 long"), "op8win")
+    ones = _only_repeated(wins).groupBy("key").agg(F.collect_list(F.col("p").cast("long")).alias("one"))
+    cut = ready.join(ones, "key", "left").filter("los is not null or one is not null").select("key", "text", "los", "his", "one")
+    cut = cut.mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, n_spans long, kept string").dropDuplicates(["k1", "k2"])
     out = marked.join(cut, ["k1", "k2"], "left")
     whole = (F.col("n_copies") > 1) & (F.col("n_bytes") >= length)
     return out.select(
