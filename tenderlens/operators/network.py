@@ -151,7 +151,7 @@ def _cliques_of(least: int, most: int):
                 done = done | {v}
 
         grow([seed], {v for v in near if v > seed}, {v for v in near if v < seed})
-        return pd.DataFrame({"members": found})
+        return pd.DataFrame({"members": ["\x1f".join(c) for c in found]}, dtype=str)
 
     return run
 
@@ -160,10 +160,12 @@ def maximal_cliques(edges: DataFrame, least: int = 3, most: int = 8) -> DataFram
     """(members array): maximal cliques of between ``least`` and ``most`` nodes; larger ones are not cut up.
     Each node gets the edges among its neighbours and reports the cliques in which it is the least, so a
     group is one neighbourhood, which the peeling before keeps small."""
+    edges = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "weight")
     e = both_ways(edges).select("u", "v").distinct()
     triangles = e.withColumnRenamed("v", "x").join(e.withColumnRenamed("v", "y"), "u").filter("x < y").join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), ["x", "y"]).select("u", "x", "y")
     alone = e.select("u", F.col("v").alias("x"), F.lit(None).cast(e.schema["v"].dataType).alias("y"))
-    return triangles.unionByName(alone).groupBy("u").applyInPandas(_cliques_of(least, most), f"members array<{e.schema['u'].dataType.simpleString()}>")
+    found = triangles.unionByName(alone).groupBy("u").applyInPandas(_cliques_of(least, most), "members string")
+    return found.select(F.split("members", "\x1f").alias("members"))
 
 
 def select_disjoint(groups: DataFrame, priority: list[str]) -> DataFrame:

@@ -71,7 +71,7 @@ def link_fx(facts: DataFrame, fx_rate: DataFrame, amount: str = "total_amount")
     cal = filled_calendar(fx_rate, ["currency"], "observed_date", "rate", "1 day")
     out = as_of(facts, cal, {"currency": foreign}, F.col("observed"), {"value": "rate", "seen": "rate_date"})
     strategy = F.when(F.col("rate_date") == F.col("observed"), "exact_day").when(F.col("rate_date").isNotNull(), "previous_business_day")
-    return out.withColumn("fx_ars", F.round(F.col(amount) * F.col("rate"), 2)).withColumn("fx_strategy", strategy)
+    return out.withColumn("fx_ars", F.round(F.col(amount).cast("decimal(18,4)") * F.col("rate").cast("decimal(18,6)"), 2).cast("double")).withColumn("fx_strategy", strategy)
 
 
 def real_value(df: DataFrame, price_index: DataFrame, amount: str = "total_amount", out: str = "real_ars") -> DataFrame:

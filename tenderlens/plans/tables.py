@@ -57,7 +57,7 @@ def top_n(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
 
 def money(x: Column) -> Column:
     """Sums of money run in decimals, so that they do not depend on the order of rows."""
-    return x.cast("decimal(38,4)")
+    return x.cast("decimal(38,8)")
 
 
 def cents(total: Column) -> Column:
