@@ -1,12 +1,12 @@
 """Operator 9: benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of :data:`PASSAGE` words at half steps, as TF-IDF vectors over hashed terms.  A
-randomised SVD finds a latent space: each task adds up ``A^T (A R)`` for its rows of the passage matrix A
-and a random R, matrices of fixed size that Spark sums; the benchmark's own passages are stacked under A with
-as much weight as the corpus, so that the space holds what is searched for.  Every passage of every text
-is projected and compared by cosine with every benchmark passage, in one product per block.  Candidates
-are then aligned word by word: longest common subsequence with the item, share of its rare words, and its
-answer (the words it ends with).
+Passages are windows of :data:`PASSAGE` words at half steps, as TF-IDF vectors over the (hashed) terms of
+the benchmark: no other term can bring a passage nearer to an item.  A randomised SVD finds a latent
+space: each task adds up ``A^T (A R)`` for its rows of the passage matrix A and a random R, matrices of fixed
+size that Spark sums; the benchmark's own passages are stacked under A with as much weight as the corpus, so
+that the space holds what is searched for.  Every passage of every text is projected and compared by
+cosine with every benchmark passage, in one product per block.  Candidates are then aligned word by word:
+longest common subsequence with the item, share of its rare words, and its answer (the words it ends with).
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ from tenderlens.plans.staging import materialize
 
 PASSAGE = 32
 HALF = PASSAGE // 2
-TERM_BITS, RANK, OVER = 15, 96, 16
-TERMS = 1 << TERM_BITS
+RANK, OVER = 96, 16
+#: Slots of the term table; words of the corpus that meet a term's slot count as the term.
+SLOT_BITS = 20
+#: Terms in a greater share of half passages than this weigh nothing, but for items of few other terms.
+COMMON, LEAST_TERMS = 0.05, 4
 COSINE = 0.5
 #: An item counts as leaked if this share of its words is found in order, ...
 LCS_SHARE = 0.7
@@ -39,21 +42,38 @@ _PUNCT[list(b".,;:!?")] = True
 
 
 class Terms:
-    """Hashed terms of a block: words in ASCII lower case without one closing punctuation mark."""
+    """The words of a block as hashes, in ASCII lower case without one closing punctuation mark, and those
+    of them that are terms (``term``, an id below the size of the vocabulary), by half passage."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], table: np.ndarray | None = None):
         self.words = w = Words(texts)
         low = _LOWER[w.buf]
         end = w.end - (_PUNCT[low[w.end - 1]] & (w.end - w.start > 1)) if len(w.end) else w.end
         self.full = Prefix(low).of(w.start, end)
-        self.term = (self.full >> np.uint64(64 - TERM_BITS)).astype(np.int64)
-        local = np.arange(len(w.start)) - w.first[w.text]
+        if table is None:
+            return
         halves = np.maximum(1, -(-w.count // HALF)) * (w.count > 0)
-        self.half_first = np.concatenate([[0], np.cumsum(halves)])
-        self.half = self.half_first[w.text] + local // HALF
-        self.n_halves = int(self.half_first[-1])
+        first = np.concatenate([[0], np.cumsum(halves)])
+        self.n_halves = int(first[-1])
         self.half_text = np.repeat(np.arange(len(texts)), halves)
-        self.half_local = np.arange(self.n_halves) - self.half_first[self.half_text]
+        self.half_local = np.arange(self.n_halves) - first[self.half_text]
+        term = table[(self.full >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        at = np.flatnonzero(term >= 0)
+        text = w.text[at]
+        self.term, self.half = term[at].astype(np.int64), first[text] + (at - w.first[text]) // HALF
+
+    def pairs(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(half passage, term, times), sorted."""
+        key, n = np.unique(self.half * size + self.term, return_counts=True)
+        return key // size, key % size, n
+
+
+def term_table(terms: np.ndarray) -> np.ndarray:
+    """Slot of a hash to the id of its term, -1 for none; the ids follow the slots."""
+    table = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+    slots = np.unique((terms >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+    table[slots] = np.arange(len(slots))
+    return table
 
 
 def _sum_arrays(df: DataFrame, partial, shape: tuple[int, ...], kind) -> np.ndarray:
@@ -91,50 +111,43 @@ def _sum_arrays(df: DataFrame, partial, shape: tuple[int, ...], kind) -> np.ndar
     return out.reshape(shape)
 
 
-def _document_frequency(batch, acc) -> None:
-    for _, texts in blocks(column(batch, "text")):
-        t = Terms(texts)
-        pairs = np.unique(t.half * TERMS + t.term)
-        acc[:TERMS] += np.bincount(pairs % TERMS, minlength=TERMS)
-        acc[TERMS] += t.n_halves
+def _document_frequency(table: np.ndarray, size: int):
+    def run(batch, acc):
+        for _, texts in blocks(column(batch, "text")):
+            t = Terms(texts, table)
+            acc[:size] += np.bincount(t.pairs(size)[1], minlength=size)
+            acc[size] += t.n_halves
+
+    return run
 
 
-def _project(t: Terms, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Sum of the weighted term rows of each half passage, added to its right neighbour in the text."""
-    out = np.zeros((t.n_halves, basis.shape[1]), dtype=np.float32)
-    starts = np.searchsorted(t.half, np.arange(t.n_halves))
-    scaled = basis * idf[:, None]
-    for s in range(0, t.n_halves, 512):
-        e = min(t.n_halves, s + 512)
-        a, b = starts[s], starts[e] if e < t.n_halves else len(t.term)
-        out[s:e] = np.add.reduceat(scaled[t.term[a:b]], starts[s:e] - a, axis=0)
-    joined = out.copy()
-    same = np.flatnonzero(t.half_text[1:] == t.half_text[:-1])
-    joined[same] += out[same + 1]
-    return joined
+def _summed(rows: np.ndarray, n: int, terms: np.ndarray, x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """For each of n rows the sum of its terms' matrix rows, times x; ``rows`` is sorted."""
+    out = np.zeros((n, matrix.shape[1]), dtype=np.float32)
+    for s in range(0, len(rows), 8192):
+        e = min(len(rows), s + 8192)
+        part = slice(s, e)
+        first = np.flatnonzero(np.concatenate([[True], rows[part][1:] != rows[part][:-1]]))
+        out[rows[part][first]] += np.add.reduceat(matrix[terms[part]] * x[part, None], first, axis=0)
+    return out
 
 
-def _range_sum(idf: np.ndarray, rand: np.ndarray):
-    """Adds ``a_i^T (a_i R)`` of the block's passages; ``a_i`` has unit length."""
+def _range_sum(table: np.ndarray, idf: np.ndarray, rand: np.ndarray):
+    """Adds ``a_i^T (a_i R)`` of the block's half passages; ``a_i`` has unit length."""
 
     def run(batch, acc):
         for _, texts in blocks(column(batch, "text")):
-            t = Terms(texts)
-            if not t.n_halves:
+            t = Terms(texts, table)
+            h, term, n = t.pairs(len(idf))
+            keep = idf[term] > 0
+            h, term, x = h[keep], term[keep], n[keep] * idf[term[keep]]
+            if not len(h):
                 continue
-            pairs, n = np.unique(t.half * TERMS + t.term, return_counts=True)
-            h, term = pairs // TERMS, pairs % TERMS
-            x = n * idf[term]
-            norm = np.sqrt(np.bincount(h, x * x, t.n_halves)) + 1e-9
+            norm = np.sqrt(np.bincount(h, x * x, t.n_halves))
             x = (x / norm[h]).astype(np.float32)
-            y = np.add.reduceat(rand[term] * x[:, None], np.searchsorted(h, np.arange(t.n_halves)), axis=0)
+            y = _summed(h, t.n_halves, term, x, rand)
             order = np.argsort(term, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) > 0]))
-            for s in range(0, len(cut), 4096):
-                e = min(len(cut), s + 4096)
-                lo, hi = cut[s], cut[e] if e < len(cut) else len(order)
-                rows = order[lo:hi]
-                acc[term[order[cut[s:e]]]] += np.add.reduceat(y[h[rows]] * x[rows, None], cut[s:e] - lo, axis=0)
+            acc += _summed(term[order], len(idf), h[order], x[order], y)
 
     return run
 
@@ -142,24 +155,36 @@ def _range_sum(idf: np.ndarray, rand: np.ndarray):
 class Items:
     """The benchmark items of one pass: their terms, and the passages that are searched for."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], idf: np.ndarray):
-        t = Terms(texts)
-        w = t.words
-        self.ids, self.words, self.rare = ids, [], []
-        item, offset, lo, hi = [], [], [], []
+    def __init__(self, ids: list[int], texts: list[bytes]):
+        first = Terms(texts)
+        w = first.words
+        self.table = term_table(first.full)
+        self.size = int(self.table.max()) + 1
+        slot = (first.full >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.ids, self.words, self.terms = ids, [], []
+        item, offset, self.bags = [], [], []
         for n in range(len(texts)):
             a, b = w.first[n], w.first[n + 1]
-            self.words.append(t.full[a:b].tolist())
-            self.rare.append(idf[t.term[a:b]])
-            size = int(b - a)
-            for s in range(0, max(1, size - HALF), HALF):
-                if size:
+            self.words.append(first.full[a:b].tolist())
+            self.terms.append(self.table[slot[a:b]].astype(np.int64))
+            for s in range(0, max(1, int(b - a) - HALF), HALF):
+                if b > a:
                     item.append(n)
                     offset.append(s)
-                    lo.append(a + s)
-                    hi.append(min(b, a + s + PASSAGE))
+                    self.bags.append(self.terms[n][s : s + PASSAGE])
         self.item, self.offset = np.array(item, dtype=np.int64), np.array(offset, dtype=np.int64)
-        self.bags = [t.term[a:b] for a, b in zip(lo, hi)]
+
+    def weights(self, count: np.ndarray) -> np.ndarray:
+        """Inverse frequencies from (half passages with each term, all of them)."""
+        idf = np.log((count[-1] + 1) / (count[:-1] + 1)) + 1e-3
+        self.rare = [idf[t] for t in self.terms]
+        out = np.where(count[:-1] > COMMON * count[-1], 0.0, idf)
+        for terms in self.terms:  # an item of common words only is searched by the rarest of them
+            own = np.unique(terms)
+            if (out[own] > 0).sum() < LEAST_TERMS:
+                pick = own[np.argsort(-idf[own], kind="stable")[:LEAST_TERMS]]
+                out[pick] = idf[pick]
+        return out.astype(np.float32)
 
     def matrix(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, terms and values of the unit TF-IDF vectors."""
@@ -167,6 +192,7 @@ class Items:
         for n, bag in enumerate(self.bags):
             term, c = np.unique(bag, return_counts=True)
             x = c * idf[term]
+            term, x = term[x > 0], x[x > 0]
             rows.append(np.full(len(term), n))
             terms.append(term)
             vals.append(x / (np.linalg.norm(x) + 1e-9))
@@ -191,15 +217,13 @@ def lcs(a: list[int], b: list[int]) -> int:
 def judge(item: list[int], rare: np.ndarray, region: list[int]) -> tuple[float, bool]:
     """(share of the item found in order, whether it counts as leaked)."""
     n = len(item)
-    share = lcs(item, region) / n
-    if share < LCS_SHARE:
-        return share, False
     there = set(region)
     weight = rare / max(1e-9, float(rare.sum()))
     if sum(float(x) for w, x in zip(item, weight) if w in there) < RARE_SHARE:
-        return share, False
+        return 0.0, False
+    share = lcs(item, region) / n
     answer = item[-ANSWER_WORDS:]
-    return share, lcs(answer, region) >= ANSWER_SHARE * len(answer)
+    return share, share >= LCS_SHARE and lcs(answer, region) >= ANSWER_SHARE * len(answer)
 
 
 def _search(shared):
@@ -207,14 +231,20 @@ def _search(shared):
         import pyarrow as pa
 
         items, idf, basis, queries = shared.value
+        scaled = basis * idf[:, None]
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             found: dict[tuple, tuple[float, float]] = {}
             for at, texts in blocks(column(batch, "text"), 1 << 19):
-                t = Terms(texts)
-                if not t.n_halves:
+                t = Terms(texts, items.table)
+                some = idf[t.term] > 0
+                half, term = t.half[some], t.term[some]
+                if not len(half):
                     continue
-                y = _project(t, idf, basis)
+                y = _summed(half, t.n_halves, term, np.ones(len(term), dtype=np.float32), scaled)
+                own = y.copy()
+                same = np.flatnonzero(t.half_text[1:] == t.half_text[:-1])
+                y[same] += own[same + 1]
                 y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-9
                 w = t.words
                 for s in range(0, len(y), 2048):
@@ -244,18 +274,17 @@ def _search(shared):
     return run
 
 
-def latent_space(docs: DataFrame, items: Items | None, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """TERMS x rank orthonormal basis of the leading right singular space of the stacked passages."""
+def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
+    """terms x rank orthonormal basis of the leading right singular space of the stacked passages."""
     wide = rank + OVER
-    rand = np.random.default_rng(seed).standard_normal((TERMS, wide)).astype(np.float32)
-    z = _sum_arrays(docs, _range_sum(idf.astype(np.float32), rand), (TERMS, wide), np.float32)
-    if items is not None and len(items.bags):
-        rows, terms, vals = items.matrix(idf)
-        y = np.zeros((len(items.bags), wide))
-        np.add.at(y, rows, rand[terms] * vals[:, None])
-        own = np.zeros_like(z)
-        np.add.at(own, terms, y[rows] * vals[:, None])
-        z += own * (4 * np.linalg.norm(z) / (np.linalg.norm(own) + 1e-9))
+    rand = np.random.default_rng(seed).standard_normal((items.size, wide)).astype(np.float32)
+    z = _sum_arrays(docs, _range_sum(items.table, idf, rand), (items.size, wide), np.float32)
+    rows, terms, vals = items.matrix(idf)
+    y = np.zeros((len(items.bags), wide))
+    np.add.at(y, rows, rand[terms] * vals[:, None])
+    own = np.zeros_like(z)
+    np.add.at(own, terms, y[rows] * vals[:, None])
+    z += own * (max(1.0, 4 * np.linalg.norm(z)) / (np.linalg.norm(own) + 1e-9))
     q, r = np.linalg.qr(z)
     u, _, _ = np.linalg.svd(r)
     return (q @ u[:, :rank]).astype(np.float32)
@@ -270,26 +299,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passes of :data:`ITEMS_AT_ONCE` items, sorted by id and text, whose size bounds what is broadcast.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    count = _sum_arrays(docs.select("text"), _document_frequency, (TERMS + 1,), np.float64)
-    idf = np.log((count[TERMS] + 1) / (count[:TERMS] + 1)) + 1e-3
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).orderBy("item_id", "text")
     out, at, step = None, 0, ITEMS_AT_ONCE
     while True:
         rows = bench.offset(at).limit(step).collect()
-        if not rows and at:
-            return out
-        items = Items([r["item_id"] for r in rows], [r["text"].encode() for r in rows], idf)
-        basis = latent_space(docs.select("text"), items, idf)
-        queries = np.zeros((len(items.bags), basis.shape[1]), dtype=np.float32)
-        r, t, v = items.matrix(idf)
-        np.add.at(queries, r, basis[t] * v[:, None].astype(np.float32))
-        queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
-        shared = docs.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), basis, queries))
-        part = docs.mapInArrow(_search(shared), "doc_id long, item_id long, cosine double, lcs double")
-        out = part if out is None else out.unionByName(part)
+        if rows:
+            items = Items([r["item_id"] for r in rows], [r["text"].encode() for r in rows])
+            count = _sum_arrays(docs.select("text"), _document_frequency(items.table, items.size), (items.size + 1,), np.float64)
+            idf = items.weights(count)
+            basis = latent_space(docs.select("text"), items, idf)
+            queries = np.zeros((len(items.bags), basis.shape[1]), dtype=np.float32)
+            r, t, v = items.matrix(idf)
+            np.add.at(queries, r, basis[t] * v[:, None].astype(np.float32))
+            queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
+            shared = docs.sparkSession.sparkContext.broadcast((items, idf, basis, queries))
+            part = docs.mapInArrow(_search(shared), "doc_id long, item_id long, cosine double, lcs double")
+            out = part if out is None else out.unionByName(part)
         at += step
         if len(rows) < step:
-            return out
+            return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
