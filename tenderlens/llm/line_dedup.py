@@ -155,20 +155,23 @@ def _key_rows(edits: int, filt):
     return run
 
 
-def _contents(batches):
-    import pyarrow as pa
+def _contents(filt):
+    """Lines that may be wanted, with their code points: those whose class the sketch of the wanted knows."""
 
-    for batch in batches:
-        lines = batch.column(batch.schema.get_field_index("lines"))
-        cls = batch.column(batch.schema.get_field_index("classes"))
-        for n, t in enumerate(column(batch, "text")):
-            x = Lines([t])
-            want = np.asarray(cls[n].values)
-            at = {int(v): i for i, v in enumerate(x.number)}
-            rows = [(int(c), at[int(v)]) for c, v in zip(want, np.asarray(lines[n].values)) if int(v) in at]
-            h = signed(x.hashes[0].of(x.start, x.end))
-            rows = [(c, i) for c, i in rows if h[i] == c]
-            yield pa.RecordBatch.from_pydict({"cls": pa.array([c for c, _ in rows], pa.int64()), "codes": pa.array([x.codes[x.start[i] : x.end[i]].tobytes() for _, i in rows], pa.binary())})
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            for at, texts in blocks(column(batch, "text"), 1 << 19):
+                x = Lines(texts)
+                h = x.hashes[0].of(x.start, x.end)
+                keep = np.flatnonzero(sketch.repeated(filt, h))
+                yield pa.RecordBatch.from_pydict(
+                    {"cls": pa.array(signed(h[keep])), "d": pa.array(ids[at + x.text[keep]]), "l": pa.array(x.number[keep]), "codes": pa.array([x.codes[x.start[i] : x.end[i]].astype(np.uint32).tobytes() for i in keep], pa.binary())}
+                )
+
+    return run
 
 
 def _compared(edits: int):
@@ -238,7 +241,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
         for s in range(0, len(k), 200_000):
             yield k[s : s + 200_000]
 
-    filt = sketch.build(long_.select("keys"), flat, sketch.bits_for(n_keys))
+    filt = sketch.build(long_.select("keys"), flat, sketch.bits_for(2 * n_keys))
     keyed = materialize(long_.mapInArrow(_key_rows(edits, filt), "cls long, key long, own boolean"), "op10key")
     hubs = keyed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("cls"))).alias("hub"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("hub is not null and a < b").select("key", "hub")
     shared = materialize(keyed.select("key", "cls").join(hubs, "key").distinct(), "op10shr")
@@ -250,11 +253,15 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     units = materialize(units.unionByName(buckets), "op10unit")
     n_units = units.count()
     wanted = lines.join(small(units.select("cls").distinct(), n_units), "cls", "left_semi").select("cls", "d", "l")
-    by_doc = wanted.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("l", "cls")).alias("w")).select("doc_id", F.col("w.l").alias("lines"), F.col("w.cls").alias("classes"))
-    by_doc = materialize(by_doc, "op10doc")
-    texts = docs.join(small(by_doc.select("doc_id"), n_units), "doc_id", "left_semi").join(by_doc, "doc_id")
-    codes = texts.mapInArrow(_contents, "cls long, codes binary").dropDuplicates(["cls"])
-    codes = materialize(codes.join(wanted, "cls"), "op10txt")
+    wanted = materialize(wanted, "op10want")
+
+    def twice(batch):
+        yield np.repeat(np.asarray(batch.column(0)).view(np.uint64), 2)
+
+    known = sketch.build(wanted.select("cls"), twice, sketch.bits_for(2 * n_units))
+    # only lines that are compared travel, not the texts that hold them
+    codes = docs.mapInArrow(_contents(known), "cls long, d long, l long, codes binary").join(small(wanted, n_units), ["cls", "d", "l"]).dropDuplicates(["cls"])
+    codes = materialize(codes, "op10txt")
     split = units.withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("blk", F.expr("cast(pmod(xxhash64(cls, 7), nb) as int)"))
     split = split.withColumn("other", F.explode(F.expr("sequence(0, cast(nb as int) - 1)"))).select("cls", "unit", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "nb")
     split = split.withColumn("task", F.expr(f"case when nb = 1 then pmod(xxhash64(unit), {max(1, n_units // 256)}) else xxhash64(unit, bi, bj) end"))
