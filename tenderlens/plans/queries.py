@@ -613,3 +613,192 @@ def _e6(t):
 @query("e7_top_n", "SELECT process_number, provider_cuit, total_amount FROM bid ORDER BY total_amount DESC, process_number, provider_cuit LIMIT 500", "bid")
 def _e7(t):
     return top_n(t.bid.select("process_number", "provider_cuit", "total_amount"), [F.desc("total_amount"), F.asc("process_number"), F.asc("provider_cuit")], 500)
+
+
+# ---- scoring and profiles ------------------------------------------------------------------------------
+
+#: The checks that the scored queries run: those whose findings SQL can say too.
+SCORED = ("cdi_abuse", "contract_cost_overrun", "cover_bidding", "fake_competition", "cross_agency_proxy", "round_price_bids")
+
+
+def _findings(t: Tables) -> dict[str, DataFrame]:
+    return {k: checks.REGISTRY[k].run(t, TUNED) for k in SCORED}
+
+
+def _parts(name: str) -> str:
+    """The SQL of a check as nested text."""
+    return "(" + ORACLES[name] + ")"
+
+
+def _scored_sql() -> str:
+    weights = scoring.weights(TUNED)
+    rows = []
+    for name, key, cols in (
+        ("c11_cdi_abuse", "cdi_abuse", [("unit", "unit_code", "unit_name")]),
+        ("c6_contract_cost_overrun", "contract_cost_overrun", [("provider", "provider_cuit", "provider_name"), ("unit", "unit_code", "unit_name")]),
+        ("c7_cover_bidding", "cover_bidding", [("provider", "provider_cuit", "provider_name"), ("provider", "runner_up_cuit", "runner_up_name")]),
+        ("c8_fake_competition", "fake_competition", [("provider", "provider1_cuit", "provider1_name"), ("provider", "provider2_cuit", "provider2_name")]),
+        ("c9_cross_agency_proxy", "cross_agency_proxy", [("provider", "provider_cuit", "provider_name"), ("unit", "unit_code", "unit_name")]),
+        ("c12_round_price_bids", "round_price_bids", [("provider", "provider_cuit", "provider_name")]),
+    ):
+        for kind, col, label in cols:
+            rows.append(f"SELECT '{kind}' AS entity_type, {col} AS id, {label} AS name, '{key}' AS chk, {weights[key]} AS weight FROM {_parts(name)}")
+    return " UNION ALL ".join(rows)
+
+
+_ATTR = f"att AS ({_scored_sql()}), pc AS (SELECT entity_type, id, chk, weight, count(*) AS n, min(name) AS name FROM att GROUP BY ALL)"
+_SCORE = f"""{_ATTR}, sb AS (SELECT entity_type, id, min(name) AS name, sum(weight * least(1.0::DOUBLE, log2(n + 1) / log2(11)) ORDER BY weight * least(1.0::DOUBLE, log2(n + 1) / log2(11))) AS base, count(*) AS confidence, string_agg(chk, ';' ORDER BY chk) AS flags FROM pc GROUP BY ALL),
+sc AS (SELECT entity_type, id, name, least(round_even(base, 0), 100)::INT AS score, least(round_even(base, 0), 100)::INT AS base_score, confidence::INT AS confidence, flags FROM sb)"""
+
+
+@query("e1_attribute", f"WITH {_ATTR} SELECT entity_type, id, name, chk AS \"check\" FROM att")
+def _e1(t):
+    return scoring.attributed(_findings(t)).select("entity_type", "id", "name", "check")
+
+
+@query("e2_intensity", "SELECT provider_cuit, count(*) AS n, round(least(1.0::DOUBLE, log2(count(*) + 1) / log2(11)), 6) AS intensity FROM contract GROUP BY 1", "contract")
+def _e2(t):
+    return t.contract.groupBy("provider_cuit").agg(F.count("*").alias("n")).withColumn("intensity", F.round(scoring.intensity(F.col("n")), 6))
+
+
+@query("e3_syndromes", "SELECT cuit, CASE WHEN c % 2 = 0 AND c % 3 = 0 THEN 1.6 WHEN c % 5 = 0 AND c % 3 = 0 THEN 1.45 WHEN c % 7 = 0 AND c % 11 = 0 THEN 1.4 ELSE 1.0 END::DOUBLE AS multiplier FROM (SELECT cuit, CAST(cuit AS BIGINT) AS c FROM provider)", "provider")
+def _e3(t):
+    n = F.col("cuit").cast("long")
+    marks = ((2, "bid_rotation_ring"), (3, "shared_contact_cluster"), (5, "fake_competition"), (7, "serial_winner"), (11, "cover_bidding"))
+    flags = F.array_compact(F.array(*(F.when(n % k == 0, flag) for k, flag in marks)))
+    return t.provider.select("cuit", scoring.syndrome_multiplier(flags).alias("multiplier"))
+
+
+@query("e4_entity_scores", f"WITH {_SCORE} SELECT * FROM sc")
+def _e4(t):
+    return scoring.all_scores(_findings(t), TUNED).select("entity_type", "id", "name", "score", "base_score", "confidence", F.array_join("flags", ";").alias("flags"))
+
+
+@query("e5_all_scores")
+def _e5(t):
+    return scoring.all_scores(_findings(t), TUNED, network.cobid_centrality(t, _W, 400))
+
+
+@query("e12_company_profiles", f"WITH {_SCORE} SELECT id, score, n::INT AS n_checks FROM sc JOIN (SELECT id, count(DISTINCT chk) AS n FROM att WHERE entity_type = 'provider' GROUP BY 1) USING (id) WHERE entity_type = 'provider'")
+def _e12(t):
+    f = _findings(t)
+    out = profiles.company_profiles(scoring.attributed(f), scoring.all_scores(f, TUNED))
+    return out.select("id", "score", F.size(F.array_distinct(F.transform("findings", lambda x: x["check"]))).alias("n_checks"))
+
+
+@query("e13_entity_profiles", f"WITH {_ATTR}, tt AS (SELECT unit_code AS id, max(total_tenders) AS total_tenders FROM {_parts('c11_cdi_abuse')} GROUP BY 1) SELECT id, name, coalesce(total_tenders, 0) AS total_tenders, n_findings FROM (SELECT id, min(name) AS name, count(*) AS n_findings FROM att WHERE entity_type = 'unit' GROUP BY 1) LEFT JOIN tt USING (id)")
+def _e13(t):
+    return profiles.entity_profiles(scoring.attributed(_findings(t)), "unit").select("id", "name", "total_tenders", "n_findings")
+
+
+@query("e14_rank_entities", f"WITH {_SCORE} SELECT id, score AS risk_score, confidence, false AS has_synergy, c AS check_counts FROM sc JOIN (SELECT entity_type, id, string_agg(chk || ':' || n, ';' ORDER BY chk) AS c FROM pc GROUP BY ALL) USING (entity_type, id) WHERE entity_type = 'unit'")
+def _e14(t):
+    f = _findings(t)
+    out = profiles.rank_entities(scoring.attributed(f), scoring.all_scores(f, TUNED), TUNED, "unit")
+    entries = F.transform(F.map_entries("check_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return out.withColumn("check_counts", F.array_join(F.array_sort(entries), ";"))
+
+
+@query("e15_risk_breakdown", f"WITH {_SCORE} SELECT entity_type, id, score, '' AS syndromes FROM sc WHERE entity_type = 'provider' AND CAST(id AS BIGINT) % 3 = 0")
+def _e15(t):
+    out = profiles.risk_breakdown(scoring.all_scores(_findings(t), TUNED).filter("entity_type = 'provider'"), t.provider.filter("cast(cuit as bigint) % 3 = 0").select(F.col("cuit").alias("id")))
+    return out.select("entity_type", "id", "score", F.array_join("syndromes", ";").alias("syndromes"))
+
+
+@query(
+    "e16_dashboard_stats",
+    f"""WITH {_SCORE}, p AS (SELECT * FROM sc WHERE entity_type = 'provider') SELECT 'bucket' AS section, CASE WHEN score >= 80 THEN '81-100' WHEN score >= 60 THEN '61-80' WHEN score >= 40 THEN '41-60' WHEN score >= 20 THEN '21-40' ELSE '0-20' END AS label, count(*) AS value FROM p GROUP BY ALL
+UNION ALL SELECT 'top', id, score FROM (SELECT id, score FROM p ORDER BY score DESC, id LIMIT 10)
+UNION ALL SELECT 'check', chk, sum(n)::BIGINT FROM (SELECT 'cdi_abuse' AS chk, count(*) AS n FROM {_parts('c11_cdi_abuse')} UNION ALL SELECT 'contract_cost_overrun', count(*) FROM {_parts('c6_contract_cost_overrun')} UNION ALL SELECT 'cover_bidding', count(*) FROM {_parts('c7_cover_bidding')} UNION ALL SELECT 'fake_competition', count(*) FROM {_parts('c8_fake_competition')} UNION ALL SELECT 'cross_agency_proxy', count(*) FROM {_parts('c9_cross_agency_proxy')} UNION ALL SELECT 'round_price_bids', count(*) FROM {_parts('c12_round_price_bids')}) GROUP BY chk
+UNION ALL SELECT 'flag', flag, count(*) FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM p) GROUP BY flag
+UNION ALL SELECT 'total', 'entities', count(*) FROM p UNION ALL SELECT 'total', 'units', count(DISTINCT id) FROM att WHERE entity_type = 'unit'""",
+)
+def _e16(t):
+    f = _findings(t)
+    return profiles.dashboard_stats(scoring.attributed(f), scoring.all_scores(f, TUNED), f)
+
+
+@query("e17_search_scores", f"WITH {_SCORE} SELECT entity_type, id, score FROM sc WHERE score >= 10 AND score <= 90 AND contains(flags, 'fake_competition') ORDER BY score DESC, entity_type, id LIMIT 20 OFFSET 20")
+def _e17(t):
+    return profiles.search_scores(scoring.all_scores(_findings(t), TUNED), None, 10, 90, "fake_competition", 2, 20).select("entity_type", "id", "score")
+
+
+@query("e17_distinct_flags", f"WITH {_SCORE} SELECT DISTINCT unnest(string_split(flags, ';')) AS flag FROM sc")
+def _e17b(t):
+    return profiles.distinct_flags(scoring.all_scores(_findings(t), TUNED))
+
+
+@query("e18_search_findings", f"SELECT process, document_number, overrun_pct FROM {_parts('c6_contract_cost_overrun')} WHERE lower(concat_ws(' ', provider_cuit, provider_name, unit_code, unit_name)) LIKE '%0000001%' OR process LIKE '%0000001%'")
+def _e18(t):
+    return profiles.search_findings(checks.contract_cost_overrun(t, TUNED), "0000001").select("process", "document_number", "overrun_pct")
+
+
+@query("e19_trim_findings", f"WITH {_ATTR} SELECT entity_type, id, chk AS \"check\", n AS total, least(n, 3) AS shown FROM pc")
+def _e19(t):
+    return profiles.trim_findings(scoring.attributed(_findings(t)), 3).groupBy("entity_type", "id", "check", "total").agg(F.count("*").alias("shown"))
+
+
+@query("e20_search_processes", "WITH p AS (SELECT process_number, opening_date AS opening, unit_code FROM process WHERE unit_code LIKE '1-%' ORDER BY opening_date DESC NULLS LAST, process_number LIMIT 200) SELECT process_number, strftime(opening, '%Y-%m-%d') AS opening, unit_code, (SELECT string_agg(DISTINCT provider_cuit, ';' ORDER BY provider_cuit) FROM contract c WHERE c.process_number = p.process_number) AS winners, (SELECT count(*) FROM bid b WHERE b.process_number = p.process_number) AS n_bids FROM p", "process contract bid")
+def _e20(t):
+    out = profiles.search_processes(t, Config(), units=t.unit.filter("code like '1-%'"), limit=200)
+    return out.withColumn("winners", F.array_join("winners", ";")).withColumn("opening", F.col("opening").cast("string"))
+
+
+@query(
+    "e21_process_detail",
+    "WITH n AS (SELECT process_number FROM process WHERE unit_code LIKE '2-%'), b AS (SELECT process_number, string_agg(provider_cuit || ':' || CAST(CAST(total_amount AS DECIMAL(38,2)) AS VARCHAR), ';' ORDER BY total_amount, provider_cuit) AS bids FROM bid GROUP BY 1), c AS (SELECT process_number, string_agg(document_number || ':' || authorizer, ';' ORDER BY document_number) AS contracts FROM contract JOIN authorized_by USING (document_number, source) GROUP BY 1), l AS (SELECT process_number, count(*) AS n_lines FROM bid_line GROUP BY 1) SELECT process_number, bids, contracts, coalesce(n_lines, 0) AS n_lines FROM n LEFT JOIN b USING (process_number) LEFT JOIN c USING (process_number) LEFT JOIN l USING (process_number)",
+    "process bid contract authorized_by bid_line",
+)
+def _e21(t):
+    out = profiles.process_detail(t, t.process.filter("unit_code like '2-%'"))
+    return out.select("process_number", joined("bids", lambda b: F.concat(b["provider_cuit"], F.lit(":"), dec2(b["amount"]))).alias("bids"), joined("contracts", lambda c: F.concat(c["document_number"], F.lit(":"), F.array_join(c["authorizers"], "+"))).alias("contracts"), "n_lines")
+
+
+@query("e22_findings_for_process", f"WITH r AS (SELECT process AS process_number, 'contract_cost_overrun' AS \"check\" FROM {_parts('c6_contract_cost_overrun')} UNION ALL SELECT process_number, 'cover_bidding' FROM {_parts('c7_cover_bidding')} UNION ALL SELECT process_number, 'fake_competition' FROM {_parts('c8_fake_competition')} UNION ALL SELECT unnest(string_split(processes, ';')), 'contract_splitting' FROM {_parts('c5_contract_splitting')}) SELECT process_number, \"check\", count(*) AS n FROM r GROUP BY ALL")
+def _e22(t):
+    found = _findings(t) | {"contract_splitting": checks.contract_splitting(t, TUNED)}
+    return profiles.findings_for_process(found, t.process.select("process_number")).groupBy("process_number", "check").agg(F.count("*").alias("n"))
+
+
+@query("e23_detection_status", f"WITH {_SCORE} SELECT 'scored' AS kind, entity_type AS name, count(*) AS n FROM sc GROUP BY ALL UNION ALL SELECT 'check', chk, n FROM (SELECT 'cdi_abuse' AS chk, count(*) AS n FROM {_parts('c11_cdi_abuse')} UNION ALL SELECT 'contract_cost_overrun', count(*) FROM {_parts('c6_contract_cost_overrun')} UNION ALL SELECT 'cover_bidding', count(*) FROM {_parts('c7_cover_bidding')} UNION ALL SELECT 'fake_competition', count(*) FROM {_parts('c8_fake_competition')} UNION ALL SELECT 'cross_agency_proxy', count(*) FROM {_parts('c9_cross_agency_proxy')} UNION ALL SELECT 'round_price_bids', count(*) FROM {_parts('c12_round_price_bids')})")
+def _e23(t):
+    f = _findings(t)
+    return profiles.detection_status(f, scoring.all_scores(f, TUNED))
+
+
+@query("e23_graph_counts", "SELECT 'node' AS kind, 'Process' AS name, count(*) AS n FROM process UNION ALL SELECT 'node', 'ContractingUnit', count(*) FROM unit UNION ALL SELECT 'node', 'Provider', count(*) FROM provider UNION ALL SELECT 'node', 'Bid', count(*) FROM bid UNION ALL SELECT 'node', 'BidLine', count(*) FROM bid_line UNION ALL SELECT 'node', 'ContractualDocument', count(*) FROM contract UNION ALL SELECT 'edge', 'HAS_BID', count(*) FROM bid UNION ALL SELECT 'edge', 'AWARDED_TO', count(*) FROM contract UNION ALL SELECT 'edge', 'AUTHORIZED_BY', count(*) FROM authorized_by UNION ALL SELECT 'edge', 'MANAGED_BY', count(*) FROM process WHERE unit_code IS NOT NULL", "process unit provider bid bid_line contract authorized_by")
+def _e23b(t):
+    return profiles.graph_counts(t)
+
+
+@query("e24_top_awardees", f"SELECT provider_cuit, count(*) AS contracts, {_CENT} AS amount FROM contract GROUP BY 1 ORDER BY amount DESC, provider_cuit LIMIT 20", "contract")
+def _e24(t):
+    return profiles.top_awardees(t)
+
+
+@query("e24_processes_without_bids", "SELECT process_number, source, unit_code FROM process WHERE process_number NOT IN (SELECT process_number FROM bid)", "process bid")
+def _e24b(t):
+    return profiles.processes_without_bids(t)
+
+
+@query("e24_buyer_chain", "SELECT unit_code, c.provider_cuit, count(DISTINCT c.process_number) AS processes, count(*) AS contracts FROM contract c JOIN process p ON p.process_number = c.process_number GROUP BY ALL", "contract process")
+def _e24c(t):
+    return profiles.buyer_chain(t)
+
+
+# ---- group findings around providers --------------------------------------------------------------------
+
+
+@query("d19_network_neighborhood")
+def _d19(t):
+    found = {"shared_contact_cluster": groups.shared_contact_cluster(t, TUNED), "authorizer_provider_ring": checks.authorizer_provider_ring(t, TUNED)}
+    return groups.network_neighborhood(found, t.provider, network.cobid_centrality(t, _W, 400))
+
+
+@query(
+    "d20_related_providers",
+    f"WITH {_SHARED}, {_CC} SELECT x.node AS cuit, y.node AS related, 1::BIGINT AS links, row_number() OVER (PARTITION BY x.node ORDER BY y.node)::INT AS rank FROM cc x JOIN cc y USING (component) WHERE x.node <> y.node",
+    "contact",
+)
+def _d20(t):
+    return groups.related_providers({"shared_contact_cluster": groups.shared_contact_cluster(t, TUNED)}, t.provider)
