@@ -12,7 +12,7 @@ between them.  So:
   string is unique or longer than the threshold needs;
 * what is left bounds the candidates.  Starts whose windows lie in a repeated anchor string are settled.
   The windows around the ends of such strings, and those that share their anchor string, are grouped
-  exactly by 128 bits.
+  exactly by 96 bits.
 """
 
 from __future__ import annotations
@@ -80,15 +80,17 @@ class Anchors:
         """First and last anchor that any equal window holds too."""
         return np.searchsorted(self.at, self.least[p]), np.searchsorted(self.at, self.least[p + self.length - self.k - self.w + 1])
 
-    def covering(self) -> tuple[np.ndarray, np.ndarray]:
-        """Anchors f with a later one in their text, g, so that [f, g + k) holds all windows from f up to the
-        next anchor."""
-        f = np.flatnonzero(self.text[1:] == self.text[:-1])
-        g = np.searchsorted(self.at, self.at[f + 1] - 1 + self.length - self.k, side="left")
-        ok = g < len(self.at)
-        f, g = f[ok], g[ok]
-        ok = self.text[f] == self.text[g]
-        return f[ok], g[ok]
+    def covering(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of starts (lo, hi) to settle at once, and the first and last anchor inside the string
+        [lo, hi + length) that holds their windows: from each anchor to the next, and the starts whose
+        windows end from one anchor's end to the next."""
+        i = np.flatnonzero(self.text[1:] == self.text[:-1])
+        a, b, t = self.at[i], self.at[i + 1], self.text[i]
+        lo, hi = np.concatenate([a, a + self.k + 1 - self.length]), np.concatenate([b - 1, b + self.k - self.length])
+        t = np.concatenate([t, t])
+        ok = (lo >= self.start[t]) & (hi + self.length <= self.end[t])
+        lo, hi = lo[ok], hi[ok]
+        return lo, hi, np.searchsorted(self.at, lo, side="left"), np.searchsorted(self.at, hi + self.length - self.k, side="right") - 1
 
     def levels(self, text: np.ndarray, i: np.ndarray, lev: np.ndarray) -> np.ndarray:
         """Highest repeated level of each anchor, -1 for none, from lists by text."""
@@ -153,9 +155,10 @@ def doubled(ranks: DataFrame, base: int, enough: int) -> DataFrame:
     discard(raw)
     levels, j = now.select("key", "i", F.lit(base).alias("lev")), base
     while j < 30 and now.limit(1).count():
-        a = now.filter(F.col("span") < enough)
+        a = now
         b = now.select("key", (F.col("i") - (1 << j)).alias("i"), F.col("span").alias("span_b"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
-        pair = a.join(b, ["key", "i"]).select(
+        # what is longer than any string that is looked up is past the threshold
+        pair = a.join(b, ["key", "i"]).filter(F.col("span") + F.col("span_b") <= enough).select(
             "key", "i", (F.col("span") + F.col("span_b")).alias("span"), F.xxhash64("r1", "r2", "s1", "s2", F.lit(1)).alias("r1"), F.hash("s2", "r1", "r2", "s1", F.lit(2)).alias("r2")
         )
         j += 1
@@ -187,15 +190,15 @@ def _covered(length: int):
 
         for batch in batches:
             for x, _, rest, key in _open_texts(batch, length):
-                f, g = x.covering()
+                lo, hi, f, g = x.covering()
                 if not len(f):
                     continue
                 lev = x.levels(*_flat(rest["idx"]), _flat(rest["lev"])[1])
-                j = np.floor(np.log2(g - f)).astype(np.int64)
+                j = np.floor(np.log2(np.maximum(1, g - f))).astype(np.int64)
                 ok = (lev[f] >= j) & (lev[g - (1 << j)] >= j)
-                f, g = f[ok], g[ok]
-                t, a, b = x.text[f], x.at[f], x.at[g] + x.k
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "lo": pa.array(a - x.start[t]), "hi": pa.array(x.at[f + 1] - 1 - x.start[t]), "r1": pa.array(signed(x.h[0].of(a, b))), "r2": pa.array(_r2(x.h[1].of(a, b)))})
+                lo, hi = lo[ok], hi[ok]
+                t, a, b = x.owner[lo], lo, hi + length
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "lo": pa.array((lo - x.start[t]).astype(np.int32)), "hi": pa.array((hi - x.start[t]).astype(np.int32)), "r1": pa.array(signed(x.h[0].of(a, b))), "r2": pa.array(_r2(x.h[1].of(a, b)))})
 
     return run
 
@@ -249,7 +252,7 @@ def _windows(length: int, filt):
                 for s in range(0, len(pos), 200_000):
                     q = pos[s : s + 200_000]
                     t = x.owner[q]
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "p": pa.array((q - x.start[t]).astype(np.int32)), "r1": pa.array(signed(x.h[0].of(q, q + length))), "r2": pa.array(signed(x.h[1].of(q, q + length)))})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "p": pa.array((q - x.start[t]).astype(np.int32)), "r1": pa.array(signed(x.h[0].of(q, q + length))), "r2": pa.array(_r2(x.h[1].of(q, q + length)))})
 
     return run
 
@@ -299,14 +302,14 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield x.h[0].of(*x.strings()[1:])
 
     n = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    filt = sketch.build(texts.select("text"), keys, sketch.bits_for(2 * n // shape.w))
+    filt = sketch.build(texts.select("text"), keys, sketch.bits_for(4 * n // shape.w))
     ranks = texts.mapInArrow(_first_ranks(length, filt), "key long, i int, span int, r1 long, r2 int")
-    levels = doubled(ranks, shape.base, length + 2 * shape.w + shape.k)
+    levels = doubled(ranks, shape.base, length + shape.w + shape.k)
     held = levels.groupBy("key").agg(F.collect_list(F.struct("i", "lev")).alias("l")).select("key", F.col("l.i").alias("idx"), F.col("l.lev").alias("lev"))
     held = materialize(held, "op8held")
     some = texts.join(small(held.select("key")), "key", "left_semi").join(held, "key")
     affected = materialize(some, "op8text")
-    covered = materialize(affected.mapInArrow(_covered(length), "key long, lo long, hi long, r1 long, r2 int"), "op8cov")
+    covered = materialize(affected.mapInArrow(_covered(length), "key long, lo int, hi int, r1 long, r2 int"), "op8cov")
     sure = _only_repeated(covered).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("l")).select("key", F.col("l.lo").alias("los"), F.col("l.hi").alias("his"))
     ready = materialize(affected.join(sure, "key", "left"), "op8ready")
     discard(affected)
@@ -318,8 +321,8 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield np.repeat(h[open_] ^ _OPEN, 2)
 
     filt2 = sketch.build(ready, shared, sketch.bits_for(4 * covered.count()))
-    wins = materialize(ready.mapInArrow(_windows(length, filt2), "key long, p int, r1 long, r2 long"), "op8win")
-    ones = _only_repeated(wins).groupBy("key").agg(F.collect_list(F.col("p").cast("long")).alias("one"))
+    wins = materialize(ready.mapInArrow(_windows(length, filt2), "key long, p int, r1 long, r2 int"), "op8win")
+    ones = _only_repeated(wins).groupBy("key").agg(F.collect_list("p").alias("one"))
     cut = ready.join(ones, "key", "left").filter("los is not null or one is not null").select("key", "text", "los", "his", "one")
     cut = cut.mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, n_spans long, kept string").dropDuplicates(["k1", "k2"])
     out = marked.join(cut, ["k1", "k2"], "left")
