@@ -178,6 +178,11 @@ class Items:
         """Inverse frequencies from (half passages with each term, all of them)."""
         idf = np.log((count[-1] + 1) / (count[:-1] + 1)) + 1e-3
         self.rare = [idf[t] for t in self.terms]
+        # words by weight, the heaviest first: most passages are told apart by the first few
+        self.heavy = []
+        for words, rare in zip(self.words, self.rare):
+            share = rare / max(1e-9, float(rare.sum()))
+            self.heavy.append([(words[i], float(share[i])) for i in np.argsort(-share, kind="stable")])
         out = np.where(count[:-1] > COMMON * count[-1], 0.0, idf)
         for terms in self.terms:  # an item of common words only is searched by the rarest of them
             own = np.unique(terms)
@@ -214,6 +219,17 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def may_hold(heavy: list[tuple[int, float]], near: list[set[int]]) -> bool:
+    """Whether the rare words in some sets can reach their share; stops as soon as they cannot."""
+    missing = 0.0
+    for w, x in heavy:
+        if not any(w in s for s in near):
+            missing += x
+            if missing > 1 - RARE_SHARE + 1e-9:
+                return False
+    return True
+
+
 def judge(item: list[int], rare: np.ndarray, region: list[int]) -> tuple[float, bool]:
     """(share of the item found in order, whether it counts as leaked)."""
     n = len(item)
@@ -247,6 +263,7 @@ def _search(shared):
                 y[same] += own[same + 1]
                 y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-9
                 w = t.words
+                sets: dict[int, set[int]] = {}
                 for s in range(0, len(y), 2048):
                     cos = y[s : s + 2048] @ queries.T
                     for h, q in zip(*np.nonzero(cos >= COSINE)):
@@ -256,6 +273,17 @@ def _search(shared):
                         if key in found and found[key][1] >= 1.0:
                             continue
                         size = len(items.words[n])
+                        back = int(items.offset[q]) // HALF + 1
+                        near = []
+                        for k in range(max(half - back, half - int(t.half_local[half])), half - back + (size + PASSAGE) // HALF + 3):
+                            if k >= t.n_halves or t.half_text[k] != text:
+                                break
+                            if k not in sets:
+                                a = int(w.first[text]) + int(t.half_local[k]) * HALF
+                                sets[k] = set(t.full[a : min(a + HALF, int(w.first[text + 1]))].tolist())
+                            near.append(sets[k])
+                        if not may_hold(items.heavy[n], near):
+                            continue
                         start = int(t.half_local[half]) * HALF - int(items.offset[q])
                         a = w.first[text] + max(0, start - HALF)
                         b = min(int(w.first[text + 1]), int(w.first[text]) + start + size + PASSAGE)
