@@ -22,6 +22,8 @@ EDITS = 2
 #: Shorter lines (code points) are compared for equality only: two edits would be too much of them.
 LEAST = 40
 BLOCK, WHOLE = 192, 2048
+#: The list of removed lines is broadcast up to this size (about 30 MB), and joined by a shuffle beyond.
+LISTED_TEXTS, LISTED_LINES = 500_000, 2_000_000
 _LAST = 2**63 - 1
 _SPACES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], dtype=np.uint32)
 
@@ -280,12 +282,14 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEA
     gone = removed_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
     gone = materialize(gone.withColumnRenamed("doc_id", "__id"), "op10gone")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    schema = docs.schema.simpleString()[7:-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    del schema
-    ids = small(gone.select("__id"))
-    dirty = docs.join(ids, key == F.col("__id"), "left_semi").filter("text is not null")
-    dirty = dirty.join(gone, key == F.col("__id")).drop("__id").mapInArrow(_rebuilt, f"{fields}, text string, n_removed long")
+    n, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    ids = small(gone.select("__id"), n)
+    if n <= LISTED_TEXTS and lines <= LISTED_LINES:  # the texts stay where they are
+        dirty = docs.filter("text is not null").join(F.broadcast(gone), key == F.col("__id"))
+    else:
+        dirty = docs.join(ids, key == F.col("__id"), "left_semi").filter("text is not null").join(gone, key == F.col("__id"))
+    dirty = dirty.drop("__id").mapInArrow(_rebuilt, f"{fields}, text string, n_removed long")
     clean = docs.join(ids, (key == F.col("__id")) & F.col("text").isNotNull(), "left_anti").withColumn("n_removed", F.lit(0).cast("long"))
     return clean.unionByName(dirty.select(clean.columns))
 
