@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +50,7 @@ def persist_run(spark: SparkSession, t: Tables, cfg: Config, root: str, run_id:
     all_scores(saved, cfg, features).write.mode("overwrite").parquet(f"{root}/scores/run_id={run_id}")
     attributed(saved).write.mode("overwrite").parquet(f"{root}/attributed/run_id={run_id}")
     windowed = cfg.date_from is not None or cfg.date_to is not None
-    row = [(run_id, datetime.utcnow(), t.process.count(), windowed, sorted(failed))]
+    row = [(run_id, datetime.now(timezone.utc), t.process.count(), windowed, sorted(failed))]
     status = spark.createDataFrame(row, "run_id string, at timestamp, processes long, windowed boolean, failed array<string>")
     status.coalesce(1).write.mode("overwrite").parquet(f"{root}/status/run_id={run_id}")
     return status

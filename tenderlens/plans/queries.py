@@ -5,16 +5,21 @@ Nested results are shown as text, built alike on both sides, so that rows can be
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlens.functions import normalize as norm
-from tenderlens.operators import checks, groups, ingest, network, profiles, scoring, valuation
+from tenderlens.operators import checks, groups, ingest, network, profiles, runs, scoring, valuation
 from tenderlens.operators.components import connected_components
 from tenderlens.plans import fixture_map
+from tenderlens.plans.staging import shared_dir
 from tenderlens.plans.tables import Config, Tables, process_window, top_n
+from tenderlens.sources import snapshot
+from tenderlens.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -802,3 +807,57 @@ def _d19(t):
 )
 def _d20(t):
     return groups.related_providers({"shared_contact_cluster": groups.shared_contact_cluster(t, TUNED)}, t.provider)
+
+
+# ---- snapshots, streaming, runs: through files in the shared folder ---------------------------------------
+
+
+def _folder(t: Tables, tag: str) -> str:
+    return f"{shared_dir(t.process.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("a1_read_snapshot", "SELECT process_number, source, unit_code FROM process", "process")
+def _a1(t):
+    path = _folder(t, "snap")
+    snapshot.write_snapshot({"Process": (t.process.select("process_number", "source", "unit_code"), "process_number")}, {}, path)
+    return snapshot.read_nodes(t.process.sparkSession, path, "Process", "process_number: string, source: string, unit_code: string").drop("id")
+
+
+@query("a2_write_snapshot", "SELECT 'node' AS kind, 'Provider' AS name, count(*) AS rows FROM provider UNION ALL SELECT 'node', 'Authorizer', count(DISTINCT authorizer) FROM authorized_by UNION ALL SELECT 'relation', 'AUTHORIZED_BY', count(*) FROM authorized_by", "provider authorized_by")
+def _a2(t):
+    people = t.authorized_by.select(F.col("authorizer").alias("full_name"), F.lit("1").alias("document_number")).distinct()
+    rel = t.authorized_by.select(F.concat(F.lit("ContractualDocument:"), "document_number").alias("start"), F.concat(F.lit("Authorizer:"), "authorizer").alias("end"))
+    return snapshot.write_snapshot({"Provider": (t.provider, "cuit"), "Authorizer": (people, "full_name")}, {"AUTHORIZED_BY": rel}, _folder(t, "snap"))
+
+
+@query("a23_incremental_ingest", f"WITH u AS ({_UPDATES}) SELECT process_number, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, arg_max(source_url, seq) FILTER (source_url IS NOT NULL) AS source_url FROM u GROUP BY process_number", "process")
+def _a23(t):
+    spark, path = t.process.sparkSession, _folder(t, "stream")
+    schema = "process_number string, status string, source_url string, seq int"
+    for n in (1, 2):  # the bundles land in two parts, and the stream runs after each
+        _updates(t).filter(F.col("seq") == n).write.json(f"{path}/land/b{n}")
+        incremental.incremental_ingest(incremental.stream_bundles(spark, f"{path}/land/*", schema), f"{path}/table", ["process_number"], f"{path}/check").awaitTermination()
+    return incremental.current(spark, f"{path}/table", "process_number string, status string, source_url string")
+
+
+def _persisted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(status, attributed findings, scores) of a run of the checks that SQL can say too."""
+    spark, path = t.process.sparkSession, _folder(t, "run")
+    cfg = replace(TUNED, disabled=frozenset(set(checks.REGISTRY) - set(SCORED)))
+    status = runs.persist_run(spark, t, cfg, path, "r1")
+    return status, *runs.read_run(spark, path, runs.latest_run(spark, path))
+
+
+@query("e8_run_detection", f"WITH {_ATTR} SELECT chk AS \"check\", count(*) AS n FROM att GROUP BY 1")
+def _e8(t):
+    return _persisted(t)[1].groupBy("check").agg(F.count("*").alias("n"))
+
+
+@query("e10_persist_run", f"WITH {_SCORE} SELECT entity_type, id, score FROM sc")
+def _e10(t):
+    return _persisted(t)[2].select("entity_type", "id", "score")
+
+
+@query("e11_run_status", "SELECT 'r1' AS run_id, count(*) AS processes, false AS windowed, 0 AS n_failed FROM process", "process")
+def _e11(t):
+    return _persisted(t)[0].select("run_id", "processes", "windowed", F.size("failed").alias("n_failed"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,21 +13,25 @@ def stream_bundles(spark: SparkSession, path: str, schema: str, files_at_once: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(path)
 
 
-def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The latest committed version of a table: the highest version folder with a success marker."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+def current(spark: SparkSession, root: str, schema: str, before: int | None = None) -> DataFrame:
+    """The latest committed version of a table (of those before a batch): the highest version folder with a
+    success marker.  Before the first there are no rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    base = path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = sorted(s.getPath().getName() for s in fs.listStatus(base) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(base) else []
+    names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+    done = sorted(n for n in names if fs.exists(path(f"{root}/{n}/_SUCCESS")) and (before is None or int(n[1:]) < before))
     return spark.read.schema(schema).parquet(f"{root}/{done[-1]}") if done else spark.createDataFrame([], schema)
 
 
-def incremental_ingest(bundles: DataFrame, root: str, keys: list[str], schema: str, checkpoint: str, seq: str = "seq") -> StreamingQuery:
+def incremental_ingest(bundles: DataFrame, root: str, keys: list[str], checkpoint: str, seq: str = "seq") -> StreamingQuery:
     """Upsert each micro-batch into a new version of the table under ``root``.  The version is named by the
-    batch, so a batch that is run again after a failure writes the same version from the same one before."""
+    batch, so a batch that runs again after a failure writes the same version from the one before it."""
+    fields = [f for f in bundles.schema if f.name != seq]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        base = current(spark, root, schema)
-        upsert(base, batch, keys, seq).select(*[f.name for f in base.schema]).write.mode("overwrite").parquet(f"{root}/v{number:012d}-{uuid.uuid5(uuid.NAMESPACE_OID, root).hex[:6]}")
+        base = current(batch.sparkSession, root, schema, number)
+        upsert(base, batch, keys, seq).select(*(f.name for f in fields)).write.mode("overwrite").parquet(f"{root}/v{number:012d}")
 
     return bundles.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
