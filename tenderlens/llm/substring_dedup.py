@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.llm import sketch
-from tenderlens.llm.textvec import Words, blocks, column, lists, signed
+from tenderlens.llm.textvec import Words, blocks, column, signed
 from tenderlens.plans.staging import materialize, small
 
 WINDOW = 13
