@@ -26,12 +26,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of similarity 0.8 or more connect, the one with the least id stays."""
+    """Of the documents that links of similarity 0.8 or more connect, the one with the least id stays.  Rows
+    that share an id (null ids too) are told apart by their text: equal ones count once."""
     classes = materialize(near_join.near_duplicates(docs).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")), "stay")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
     stay = docs.join(small(classes), key == F.col("__id")).drop("__id")
-    if classes.filter("n > 1").limit(1).count():  # repeated ids: one row each
-        again = stay.filter("n > 1").dropDuplicates(["doc_id"])
+    if classes.filter("n > 1").limit(1).count():
+        again = stay.filter("n > 1").dropDuplicates(["doc_id", "text"])
         stay = stay.filter("n = 1").unionByName(again)
     return stay.select(docs.columns)
 

@@ -349,7 +349,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the texts that hold an item; rows with a null id are judged like others by a row
-    of their own only if their text is the match, so they stay."""
+    """``docs`` without the rows whose id has a text that holds an item; all other columns are kept.  A row
+    with a null id cannot be named by a match, so it stays; give rows ids before."""
     bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "op9bad")
     return docs.join(bad, docs["doc_id"].cast("long") == bad["__id"], "left_anti")
