@@ -148,12 +148,13 @@ def _only_repeated(rows: DataFrame) -> DataFrame:
     return rows.join(twice, ["r1", "r2"], "left_semi")
 
 
-def doubled(ranks: DataFrame, base: int, enough: int) -> DataFrame:
-    """(key, i, lev): the highest level at which the string of 2**lev steps from anchor i repeats."""
+def doubled(ranks: DataFrame, base: int, enough: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, i, lev), the highest level at which the string of 2**lev steps from anchor i repeats, and the
+    tables behind it, to be deleted after use."""
     raw = materialize(ranks, "op8raw")
     now = materialize(_only_repeated(raw), "op8rank")
     discard(raw)
-    levels, j = now.select("key", "i", F.lit(base).alias("lev")), base
+    levels, j, tables = now.select("key", "i", F.lit(base).alias("lev")), base, [now]
     while j < 30 and now.limit(1).count():
         a = now
         b = now.select("key", (F.col("i") - (1 << j)).alias("i"), F.col("span").alias("span_b"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
@@ -165,8 +166,9 @@ def doubled(ranks: DataFrame, base: int, enough: int) -> DataFrame:
         raw = materialize(pair, "op8raw")
         now = materialize(_only_repeated(raw), "op8rank")
         discard(raw)
+        tables.append(now)
         levels = levels.unionByName(now.select("key", "i", F.lit(j).alias("lev")))
-    return levels.groupBy("key", "i").agg(F.max("lev").alias("lev"))
+    return levels.groupBy("key", "i").agg(F.max("lev").alias("lev")), tables
 
 
 def _open_texts(batch, length: int):
@@ -304,15 +306,18 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = rows.agg(F.sum("n_bytes")).first()[0] or 0
     filt = sketch.build(texts.select("text"), keys, sketch.bits_for(4 * n // shape.w))
     ranks = texts.mapInArrow(_first_ranks(length, filt), "key long, i int, span int, r1 long, r2 int")
-    levels = doubled(ranks, shape.base, length + shape.w + shape.k)
+    levels, tables = doubled(ranks, shape.base, length + shape.w + shape.k)
     held = levels.groupBy("key").agg(F.collect_list(F.struct("i", "lev")).alias("l")).select("key", F.col("l.i").alias("idx"), F.col("l.lev").alias("lev"))
     held = materialize(held, "op8held")
+    for table in tables:
+        discard(table)
     some = texts.join(small(held.select("key")), "key", "left_semi").join(held, "key")
     affected = materialize(some, "op8text")
     covered = materialize(affected.mapInArrow(_covered(length), "key long, lo int, hi int, r1 long, r2 int"), "op8cov")
     sure = _only_repeated(covered).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("l")).select("key", F.col("l.lo").alias("los"), F.col("l.hi").alias("his"))
-    ready = materialize(affected.join(sure, "key", "left"), "op8ready")
-    discard(affected)
+    ready, n_covered = materialize(affected.join(sure, "key", "left"), "op8ready"), covered.count()
+    for table in (affected, covered):
+        discard(table)
 
     def shared(batch):
         for x, _, rest, _ in _open_texts(batch, length):
@@ -320,7 +325,7 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield h
             yield np.repeat(h[open_] ^ _OPEN, 2)
 
-    filt2 = sketch.build(ready, shared, sketch.bits_for(4 * covered.count()))
+    filt2 = sketch.build(ready, shared, sketch.bits_for(4 * n_covered))
     wins = materialize(ready.mapInArrow(_windows(length, filt2), "key long, p int, r1 long, r2 int"), "op8win")
     ones = _only_repeated(wins).groupBy("key").agg(F.collect_list("p").alias("one"))
     cut = ready.join(ones, "key", "left").filter("los is not null or one is not null").select("key", "text", "los", "his", "one")
