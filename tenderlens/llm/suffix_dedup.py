@@ -89,7 +89,8 @@ class Anchors:
         lo, hi = np.concatenate([a, a + self.k + 1 - self.length]), np.concatenate([b - 1, b + self.k - self.length])
         t = np.concatenate([t, t])
         ok = (lo >= self.start[t]) & (hi + self.length <= self.end[t])
-        lo, hi = lo[ok], hi[ok]
+        # both kinds give the same run where anchors lie just so far apart: one place counts once
+        lo, hi = np.unique(np.stack([lo[ok], hi[ok]]), axis=1)
         return lo, hi, np.searchsorted(self.at, lo, side="left"), np.searchsorted(self.at, hi + self.length - self.k, side="right") - 1
 
     def levels(self, text: np.ndarray, i: np.ndarray, lev: np.ndarray) -> np.ndarray:

@@ -131,6 +131,25 @@ def test_suffix_dedup_equals_brute_force(docs, rows, length):
     assert Counter(tuple(r) for r in suffix_dedup.repeated_bytes_removed(docs, length).collect()) == expected
 
 
+def test_suffix_dedup_counts_a_run_of_starts_once(spark):
+    """A third text holds two others that overlap in it but share no whole window across the seam, where a run of
+    starts from anchor to anchor is also one from anchor's end to anchor's end."""
+    rng = random.Random(1)
+    t = "".join(chr(rng.randrange(97, 123)) for _ in range(60000))
+    lo, hi = 36663, 36679
+    texts = [t[lo - 1500 : lo + 399], t[hi + 1 : hi + 1900], t[lo - 1500 : hi + 1900]]
+    count = Counter(x[p : p + 400] for x in texts for p in range(len(x) - 399))
+    expected = set()
+    for i, x in enumerate(texts):
+        gone = {q for p in range(len(x) - 399) if count[x[p : p + 400]] > 1 for q in range(p, p + 400)}
+        kept = "".join(c for q, c in enumerate(x) if q not in gone)
+        expected.add((i, len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = suffix_dedup.repeated_bytes_removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r.doc_id, r.n_removed, r.kept_sha256) for r in got.collect()} == expected
+    both = suffix_dedup.Anchors([x.encode() for x in texts], 400).covering()
+    assert len(set(zip(*map(np.ndarray.tolist, both[:2])))) == len(both[0])
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
