@@ -3,8 +3,8 @@
 Each source has a schedule ``w(t) = target * (1 + slope * (2 t - 1))`` over training time t in [0, 1].  Its
 integral, the cumulative demand, is ``target * (t + slope * (t * t - t))`` and reaches the target at 1.  A
 source's documents stand in a fixed pseudo-random order and are taken in it, over and over, until the
-demand is met; where a document's words begin in that run, the demand inverts to its training position.
-The rows are then range-sorted by position.
+demand is met; where a document's words begin in that run, the demand inverts to its training position, in
+every round anew.  The rows are then range-sorted by their first position, or the uses by theirs.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def training_order(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source): doc_id, ``size`` (words; null text: 0),
     ``source_size``, ``target``, ``taken`` (words the mix takes of it, repeats counted), ``position`` (0 to
-    1, where its first words are used; null if none are), range-sorted by position.
+    1, where its first words are used; null if none are), ``uses`` (each use in order: its position and the
+    words it takes), range-sorted by position.
 
     A source's documents are ordered by the MD5 of the id, then by size; rows equal in both may change
     places, which changes no result.  ``target`` is met to the word: whole rounds first, then the last
@@ -80,16 +81,29 @@ def training_order(docs: DataFrame) -> DataFrame:
     rest = quota - rounds * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - begin))
     slope = F.element_at(F.array(*(F.lit(s) for s in SLOPES)), (F.col("rank") % len(SLOPES) + 1).cast("int"))
-    share = begin / F.col("target")
-    # demand(t) = target * (t + slope * (t*t - t)) = begin, solved for t in [0, 1]
-    root = (-(1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) / (2 * slope)
-    position = F.when(slope == 0, share).otherwise(root)
+
+    def use(r):
+        """Where and how much of the document round ``r`` (from 0) takes."""
+        share = (r * F.col("source_size") + begin) / F.col("target")
+        # demand(t) = target * (t + slope * (t*t - t)) = share * target, solved for t in [0, 1]
+        root = (-(1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) / (2 * slope)
+        position = F.least(F.lit(1.0), F.when(slope == 0, share).otherwise(root))
+        return F.struct(position.alias("position"), F.when(r < rounds, F.col("size")).otherwise(last).cast("long").alias("words"))
+
     out = run.withColumn("taken", (rounds * F.col("size") + last).cast("long"))
-    out = out.withColumn("position", F.when(F.col("taken") > 0, F.least(F.lit(1.0), position)))
-    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+    out = out.withColumn("uses", F.filter(F.transform(F.sequence(F.lit(0).cast("long"), rounds), use), lambda x: x["words"] > 0))
+    out = out.withColumn("position", F.get("uses", F.lit(0))["position"])
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "uses")
     return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def training_uses(order: DataFrame) -> DataFrame:
+    """One row for each use in ``order`` (of :func:`training_order`), range-sorted by its own position:
+    doc_id, ``source``, ``position``, ``words``."""
+    out = order.select("doc_id", "source", F.explode("uses").alias("use")).select("doc_id", "source", "use.position", "use.words")
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

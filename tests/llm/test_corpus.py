@@ -223,6 +223,23 @@ def test_mixing_meets_targets(docs, rows):
         assert sum(r.taken for r in v) == math.floor(v[0].target) and sum(r.size for r in v) == v[0].source_size
 
 
+def test_mixing_places_every_use(docs):
+    order = mixing.training_order(docs)
+    by = defaultdict(list)
+    for r in order.collect():
+        assert r.taken == sum(u.words for u in r.uses) and r.position == (r.uses[0].position if r.uses else None)
+        by[r.source] += [(u.position, u.words, r.target) for u in r.uses]
+    for rank, source in enumerate(sorted(by, key=lambda x: (x is None, x))):
+        slope, before = mixing.SLOPES[rank % 3], 0
+        for t, n, target in sorted(by[source]):
+            # the demand at a use's position is what the uses before it have taken
+            assert abs(target * (t + slope * (t * t - t)) - before) < 1e-6 * target
+            before += n
+        assert before == math.floor(target)
+    uses = mixing.training_uses(order).collect()
+    assert len(uses) == sum(map(len, by.values())) and [u.position for u in uses] == sorted(u.position for u in uses)
+
+
 def test_spans_of_personal_data():
     rng = random.Random(1)
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
