@@ -1,11 +1,12 @@
 """Operator 6: personal data, and words that give it away.
 
 Four kinds of values are found by pattern.  A value is a protected entity.  Taking values out is not
-enough where a word next to them occurs with nobody else, so the corpus is asked: for a term t near
-mentions of entity e, the pointwise mutual information ``log2(n(t, e) * N / (n(t) * n(e)))`` over documents
-is compared with the information of the entity itself, ``log2(N / n(e))``.  A term that gives away a share of
-it above :data:`REMOVE` is removed, above :data:`GENERALISE` it is replaced by its shape; terms seen with the entity
-in fewer than :data:`SUPPORT` documents prove nothing and stay.
+enough where a word of the same document occurs with nobody else, so the corpus is asked: for a term t in
+documents of entity e, the pointwise mutual information ``log2(p(e | t) * N / n(e))`` over documents is
+compared with the information of the entity itself, ``log2(N / n(e))``.  ``p(e | t)`` is estimated as
+``n(t, e) / (n(t) + PRIOR)``, so a term seen once tells less than one seen often, and entities and terms of
+any count are judged.  A term that gives away a share of the information above :data:`REMOVE` is removed, above
+:data:`GENERALISE` it is replaced by its shape.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import hashlib
 import re
 from bisect import bisect_left
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +22,12 @@ from tenderlens.llm.textvec import column
 from tenderlens.plans.staging import materialize, small
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a value that count as near it.
-NEAR = 8
 #: Share of an entity's information that a term may give away.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Documents in which term and entity must meet.
-SUPPORT = 3
-#: The table of disclosing words by text is broadcast up to so many texts (about 0.5 kB each).
-TOLD_ROWS = 60_000
+#: Documents without the entity that a term is thought to be in besides those counted.
+PRIOR = 0.5
+#: The table of disclosing words by text is broadcast up to so many texts and words (about 32 bytes each).
+TOLD_ROWS, TOLD_TERMS = 60_000, 1_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -113,10 +111,8 @@ def _term(word: str) -> str:
     return word.strip(".,;:!?()[]\"'").lower()
 
 
-def _near(text: str, spans) -> list[tuple[int, int, int, str]]:
-    """(index of the span, start, end, term) of the words within NEAR words of a value, values apart."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts = np.array([a for a, _ in words])
+def _apart(text: str, spans) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the words of a text that no value reaches into."""
     taken: list[list[int]] = []  # the values' extent, merged
     for a, _, b in spans:
         if taken and a <= taken[-1][1]:
@@ -125,14 +121,13 @@ def _near(text: str, spans) -> list[tuple[int, int, int, str]]:
             taken.append([a, b])
     heads = [a for a, _ in taken]
     out = []
-    for n, (a, _, b) in enumerate(spans):
-        lo, hi = int(np.searchsorted(starts, a, side="right")) - 1, int(np.searchsorted(starts, b))
-        for s, e in words[max(0, lo - NEAR) : hi + NEAR]:
-            core = text[s:e].strip(".,;:!?()[]\"'")
-            last = bisect_left(heads, e) - 1
-            if core and (last < 0 or taken[last][1] <= s):
-                s += text[s:e].index(core)
-                out.append((n, s, s + len(core), core.lower()))
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        core = m[0].strip(".,;:!?()[]\"'")
+        last = bisect_left(heads, e) - 1
+        if core and (last < 0 or taken[last][1] <= s):
+            s += m[0].index(core)
+            out.append((s, s + len(core), core.lower()))
     return out
 
 
@@ -141,22 +136,22 @@ def term_key(term: str) -> int:
 
 
 def _mentions(batches):
-    """One row for each term near each entity of a document."""
+    """The entities of each document that has some, and its terms."""
     import pyarrow as pa
 
     for batch in batches:
         rows = batch.column(batch.schema.get_field_index("row")).to_pylist()
-        out: list[tuple[int, int, int]] = []  # copies count each, so no set over documents
+        out: list[tuple[int, bool, int]] = []  # copies count each, so no set over documents
         for row, text in zip(rows, batch.column(batch.schema.get_field_index("text")).to_pylist()):
             if not text or not ("@" in text or any(d in text for d in "0123456789")):
                 continue
             spans = base_spans(text)
             if spans:
-                keys = [term_key(entity(k, text[a:b])) for a, k, b in spans]
-                out += {(row, k, 0) for k in keys}
-                out += {(row, keys[n], term_key(t)) for n, _, _, t in _near(text, spans)}
+                out += {(row, True, term_key(entity(k, text[a:b]))) for a, k, b in spans}
+                out += [(row, False, term_key(t)) for t in {t for _, _, t in _apart(text, spans)}]
         cols = list(zip(*out)) if out else [[], [], []]
-        yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("row", "entity", "term"), cols)})
+        types = {"row": pa.int64(), "is_entity": pa.bool_(), "key": pa.int64()}
+        yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(types.items(), cols)})
 
 
 def _term_rows(batches):
@@ -182,21 +177,31 @@ def _term_rows(batches):
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
 
-def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """(row, terms): for a text with values (``row`` is its xxhash64), the keys of the words near them that
-    disclose, with the share of the information they give away.  ``docs`` has ``row`` and ``text``; every
+def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """(row, terms): for a text with values (``row`` is its xxhash64), the keys of its words that disclose
+    one of them, with the share of the information they give away.  ``docs`` has ``row`` and ``text``; every
     row of it is a document of its own in all counts."""
-    near = materialize(docs.mapInArrow(_mentions, "row long, entity long, term long"), "op6near")
-    n_entity = near.filter("term = 0").groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = near.filter("term <> 0").groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    pairs = materialize(pairs.join(n_entity, "entity"), "op6pair")
-    wanted = materialize(pairs.select("term").distinct(), "op6term")
+    seen = docs.mapInArrow(_mentions, "row long, is_entity boolean, key long").groupBy("row", "is_entity", "key").agg(F.count("*").alias("n"))
+    seen = materialize(seen, "op6seen")  # equal texts are one row from here on
+    n = float(max(1, docs.count()))
+    n_entity = materialize(seen.filter("is_entity").groupBy(F.col("key").alias("entity")).agg(F.sum("n").alias("n_e")).filter(F.col("n_e") < n), "op6ent")
+    most = n_entity.agg(F.max("n_e")).first()[0] or 0
+
+    def reach(n_e):
+        """No term in more documents can reach the share, as n(t, e) <= n(e); a little over, for rounding."""
+        return F.pow(n_e / F.lit(n), F.lit(1 - generalise)) ** -1 * n_e * (1 + 1e-9) - PRIOR
+
+    wanted = materialize(seen.filter("not is_entity").select(F.col("key").alias("term")).distinct(), "op6term")
     n_term = docs.select("text").mapInArrow(_term_rows, "term long, n long").join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = F.lit(float(max(1, docs.count())))
-    pmi = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    share = pmi / F.log2(n / F.col("n_e"))
-    told = pairs.filter(F.col("n_e") < n).join(n_term, "term").withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share")
-    found = near.filter("term <> 0").join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    n_term = materialize(n_term.filter(F.col("n_t") <= reach(F.lit(float(most)))), "op6nt")
+    entities = seen.filter("is_entity").select("row", F.col("key").alias("entity")).join(small(n_entity), "entity")
+    terms = seen.filter("not is_entity").select("row", F.col("key").alias("term"), "n").join(small(n_term), "term")
+    met = materialize(terms.join(entities, "row").filter(F.col("n_t") <= reach(F.col("n_e"))), "op6met")
+    pairs = met.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    pmi = F.log2(F.col("n_te") / (F.col("n_t") + PRIOR) * n / F.col("n_e"))
+    share = pmi / F.log2(F.lit(n) / F.col("n_e"))
+    told = pairs.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share")
+    found = met.select("row", "entity", "term").join(told, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
     return found.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
 
 
@@ -214,7 +219,7 @@ def _spans(batches):
                 out[f"n_{kind}"].append(sum(s[1] == k for s in spans))
             base = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
             share = {x["term"]: max(x["share"], 0) for x in told[n].as_py() or ()} if spans else {}
-            extra = {(a, 4 + (share[term_key(t)] >= REMOVE), b) for _, a, b, t in _near(text, spans) if term_key(t) in share} if share else set()
+            extra = {(a, 4 + (share[term_key(t)] >= REMOVE), b) for a, b, t in _apart(text, spans) if term_key(t) in share} if share else set()
             every = sorted(set(spans) | extra)
             out["base"].append(hashlib.sha256(base.encode()).hexdigest())
             out["spans"].append(",".join(f"{(*KINDS, 'shape', 'term')[k]}:{a}:{b}" for a, k, b in every))
@@ -242,5 +247,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
     told = materialize(disclosing_terms(rows.select("row", "text")), "op6told")
-    joined = rows.join(small(told, limit=TOLD_ROWS), "row", "left").select("doc_id", "text", "terms")
+    n, terms = told.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    joined = rows.join(F.broadcast(told) if n <= TOLD_ROWS and terms <= TOLD_TERMS else told, "row", "left").select("doc_id", "text", "terms")
     return joined.mapInArrow(_spans, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string, clean string")

@@ -267,6 +267,34 @@ def test_disclosing_terms_go_and_common_ones_stay(spark, docs):
     assert pii.sanitised(docs.limit(0)).count() == 0
 
 
+def test_terms_of_a_value_seen_once_or_twice_go(spark):
+    filler = " ".join(f"common{i}" for i in range(12))
+    one = [(1, f"Quagga met us {filler} at mole@burrow.example today", "en", "a", 1)]
+    two = [(2 + i, f"Okapi7 {filler} calls +44 20 7946 0958 about it today", "en", "a", 1) for i in range(2)]
+    plain = [(10 + i, f"us {filler} met at calls about it today", "en", "a", 1) for i in range(200)]
+    texts = {r[0]: r[1] for r in one + two + plain}
+    out = {r.doc_id: r for r in pii.sanitised(spark.createDataFrame(one + two + plain, DOCS)).collect()}
+    assert out[1].clean == texts[1].replace("mole@burrow.example", "[email]").replace("Quagga", "xxxxxx")
+    for i in (2, 3):
+        assert out[i].clean == texts[i].replace("+44 20 7946 0958", "[phone]").replace("Okapi7", "[term]")
+    assert all(out[r[0]].clean == r[1] for r in plain)
+    # shares by hand, for every pair of entity and term
+    docs = {i: (set(pii.base_spans(t)), {x for _, _, x in pii._apart(t, pii.base_spans(t))}) for i, t in texts.items()}
+    told = pii.disclosing_terms(spark.createDataFrame([*texts.items()], "row long, text string"))
+    got = {(r.row, x.term): x.share for r in told.collect() for x in r.terms}
+    expected = {}
+    for i, (spans, terms) in docs.items():
+        for a, k, b in spans:
+            having = [j for j, (s, _) in docs.items() if any(pii.entity(q, texts[j][c:d]) == pii.entity(k, texts[i][a:b]) for c, q, d in s)]
+            for t in terms:
+                n_t = sum(t in x for _, x in docs.values())
+                n_te = sum(t in docs[j][1] for j in having)
+                share = math.log2(n_te / (n_t + pii.PRIOR) * len(docs) / len(having)) / math.log2(len(docs) / len(having))
+                if share >= pii.GENERALISE:
+                    expected[i, pii.term_key(t)] = max(share, expected.get((i, pii.term_key(t)), 0))
+    assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+
+
 def test_quality_model_learns_on_its_own_rows_only(spark):
     rng = random.Random(5)
     texts, labels = [], []
