@@ -12,15 +12,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if it was counted and holds at most so many (narrow) rows.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only if it was measured and takes at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a local one is set only where none is named (tests)."""
+    """The session's shared folder.  Where none is named, a local session gets a folder of its own, and a
+    cluster, whose machines would not see such a folder, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tenderlens-stage-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -45,8 +49,28 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows stay below ``limit``; else ``df`` itself,
-    which Spark then joins by shuffling."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def measured_bytes(df: DataFrame, rows: int | None = None) -> int:
+    """Bytes that a broadcast table of ``df`` takes, about: 48 a row, 8 a field, and what its strings and
+    lists hold.  ``rows``, if known, saves the job where all fields are of fixed size."""
+    size = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    for f in df.schema:
+        if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            width = 8 * (2 + len(f.dataType.elementType.fields)) if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) else 48
+            size.append(F.greatest(F.size(f.name), F.lit(0)) * width)
+    fixed = 48 + 8 * len(df.schema)
+    if not size and rows is not None:
+        return rows * fixed
+    return df.agg(F.coalesce(F.sum(sum(size, F.lit(fixed)).cast("long")), F.lit(0))).first()[0]
+
+
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its measured bytes stay within ``limit``; else ``df`` itself, which
+    Spark then joins by shuffling."""
+    return F.broadcast(df) if measured_bytes(df, rows) <= limit else df
+
+
+def per_key(df: DataFrame, tag: str = "key", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """An aggregate that rows are to be joined with, as a table of its own.  Planned in one query with the
+    rows, the join would read the aggregate's own partitions, and adaptive execution splits a partition of
+    a join only if both of its sides are plain reads: so a hot key would stay in one task."""
+    return small(materialize(df, tag), limit=limit)
