@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlens.llm.textvec import Prefix, Words, blocks, column
+from tenderlens.llm.textvec import Prefix, Words, blocks, sized
 from tenderlens.plans.staging import materialize
 
 PASSAGE = 32
@@ -113,7 +113,7 @@ def _sum_arrays(df: DataFrame, partial, shape: tuple[int, ...], kind) -> np.ndar
 
 def _document_frequency(table: np.ndarray, size: int):
     def run(batch, acc):
-        for _, texts in blocks(column(batch, "text")):
+        for _, texts in blocks(batch):
             t = Terms(texts, table)
             acc[:size] += np.bincount(t.pairs(size)[1], minlength=size)
             acc[size] += t.n_halves
@@ -136,7 +136,7 @@ def _range_sum(table: np.ndarray, idf: np.ndarray, rand: np.ndarray):
     """Adds ``a_i^T (a_i R)`` of the block's half passages; ``a_i`` has unit length."""
 
     def run(batch, acc):
-        for _, texts in blocks(column(batch, "text")):
+        for _, texts in blocks(batch):
             t = Terms(texts, table)
             h, term, n = t.pairs(len(idf))
             keep = idf[term] > 0
@@ -251,7 +251,7 @@ def _search(shared):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             found: dict[tuple, tuple[float, float]] = {}
-            for at, texts in blocks(column(batch, "text"), 1 << 19):
+            for at, texts in blocks(batch):
                 t = Terms(texts, items.table)
                 some = idf[t.term] > 0
                 half, term = t.half[some], t.term[some]
@@ -326,7 +326,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     their matches; a null id stays null.  Other columns are not read.  The benchmark is collected in
     passes of :data:`ITEMS_AT_ONCE` items, sorted by id and text, whose size bounds what is broadcast.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).orderBy("item_id", "text")
     out, at, step = None, 0, ITEMS_AT_ONCE
     while True:

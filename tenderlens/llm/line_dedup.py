@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.llm import sketch
-from tenderlens.llm.textvec import Prefix, blocks, column, lists, mix, signed
+from tenderlens.llm.textvec import Prefix, blocks, lists, mix, signed, sized
 from tenderlens.operators.components import connected_components
 from tenderlens.plans.staging import materialize, small
 
@@ -123,7 +123,7 @@ def _facts(edits: int, least: int):
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            for at, texts in blocks(column(batch, "text"), 1 << 19):
+            for at, texts in blocks(batch):
                 x = Lines(texts)
                 if not len(x.start):
                     continue
@@ -165,7 +165,7 @@ def _contents(filt):
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            for at, texts in blocks(column(batch, "text"), 1 << 19):
+            for at, texts in blocks(batch):
                 x = Lines(texts)
                 h = x.hashes[0].of(x.start, x.end)
                 keep = np.flatnonzero(sketch.repeated(filt, h))
@@ -217,7 +217,7 @@ def _rebuilt(batches):
         gone = batch.column(batch.schema.get_field_index("gone"))
         rest = {f.name: batch.column(n) for n, f in enumerate(batch.schema) if f.name not in ("text", "gone")}
         texts = []
-        for n, t in enumerate(column(batch, "text")):
+        for n, t in enumerate(t for _, part in blocks(batch) for t in part):
             out = set(np.asarray(gone[n].values).tolist()) if gone[n].values is not None else set()
             texts.append(b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in out).decode("utf-8", "replace"))
         yield pa.RecordBatch.from_pydict(rest | {"text": pa.array(texts, pa.string()), "n_removed": pa.array([len(v.values) if v.values is not None else 0 for v in gone], pa.int64())})
@@ -231,7 +231,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     lines; null ids count as larger than any other; rows with the same id never remove the same line of
     each other.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").filter("text is not null")
+    docs = sized(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").filter("text is not null")
     occ = materialize(docs.mapInArrow(_facts(edits, least), "doc_id long, line long, h1 long, h2 long, keys array<long>"), "op10occ")
     lines = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.max("keys").alias("keys"))
     lines = materialize(lines.select(F.col("h1").alias("cls"), "h2", F.col("first.doc_id").alias("d"), F.col("first.line").alias("l"), "n", "keys"), "op10cls")

@@ -20,9 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlens.llm.textvec import Words, blocks, column, lists, mix, signed
+from tenderlens.llm.textvec import Words, blocks, lists, mix, signed, sized
 from tenderlens.operators.components import connected_components
-from tenderlens.plans.staging import materialize, small
+from tenderlens.plans.staging import materialize, per_key, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 45, 6
@@ -96,7 +96,7 @@ def _signatures(batches):
 
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        for at, texts in blocks(column(batch, "text")):
+        for at, texts in blocks(batch):
             w = Words(texts)
             sets, counts = shingle_sets(w)
             some = counts > 0
@@ -118,7 +118,7 @@ def _members(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for _, texts in blocks(column(batch, "text")):
+        for _, texts in blocks(batch):
             sets, counts = shingle_sets(Words(texts))
             (k1, k2), sig, ends = class_keys(sets, counts), minhashes(sets, counts), np.cumsum(counts)
             yield pa.RecordBatch.from_pydict(
@@ -231,21 +231,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, whole: int =
     class.  Repeated rows link to each other.  Rows with a null doc_id take part as if their id were -1.
     Links between classes of copies are found once; a row's links count all members of linked classes.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text"))
+    docs = sized(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text"))
     sig = materialize(docs.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>"), "op1sig")
     full = sig.filter("n_shingles > 0")
     classes = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.max("bands").alias("bands")), "op1cls")
     keyed = classes.select(F.xxhash64("k1", "k2").alias("cls"), "k1", "k2", "rep", "members", "bands")
     banded = keyed.select("cls", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    hubs = per_key(banded.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub"), "op1hub")
     joined = materialize(banded.join(hubs, "key").select("cls", "band", "key", "hub"), "op1bkt")
     comps = materialize(connected_components(joined, "cls", "hub"), "op1cmp")
-    sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = per_key(comps.groupBy("component").agg(F.count("*").alias("size")), "op1size")
     placed = comps.join(sizes, "component")
     units = placed.filter(F.col("size") <= whole).select(F.col("node").alias("cls"), F.col("component").alias("unit"), F.lit(-1).alias("band"), "size")
     chained = placed.filter(F.col("size") > whole).select(F.col("node").alias("cls"))
     buckets = joined.join(chained, "cls").select("cls", F.col("key").alias("unit"), "band")
-    buckets = buckets.join(buckets.groupBy("unit").agg(F.count("*").alias("size")), "unit").select("cls", "unit", "band", "size")
+    buckets = materialize(buckets, "op1hot")
+    buckets = buckets.join(per_key(buckets.groupBy("unit").agg(F.count("*").alias("size")), "op1size"), "unit").select("cls", "unit", "band", "size")
     units = materialize(units.unionByName(buckets), "op1unit")
     n_units = units.count()
     reps = keyed.join(small(units.select("cls").distinct(), n_units), "cls", "left_semi").select("cls", "rep", "k1", "k2")
@@ -261,12 +262,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, whole: int =
     ready = pairs.join(data, "cls").join(keyed.select("cls", "members"), "cls").select("task", "unit", "band", "bi", "bj", "blk", F.col("cls").alias("rep"), "members", "sig", "shingles")
     found = materialize(ready.groupBy("task").applyInPandas(_verified(threshold), "rep long, links long, root long"), "op1lnk")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups_of = connected_components(found, "rep", "root").select(F.col("node").alias("cls"), "component")
-    members = keyed.select("cls", "k1", "k2", "rep", "members").join(groups_of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = members.groupBy("component").agg(F.min("rep").alias("class_id"))
-    final = members.join(least, "component").join(linked.withColumnRenamed("rep", "cls"), "cls", "left").select(
-        "k1", "k2", "rep", "class_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    groups_of = materialize(connected_components(found, "rep", "root").select(F.col("node").alias("cls"), "component").join(keyed.select("cls", "rep"), "cls"), "op1grp")
+    least = per_key(groups_of.groupBy("component").agg(F.min("rep").alias("class_id")), "op1least")
+    members = keyed.select("cls", "k1", "k2", "rep", "members").join(groups_of.join(least, "component").select("cls", "class_id"), "cls", "left")
+    final = members.join(linked.withColumnRenamed("rep", "cls"), "cls", "left").select(
+        "k1", "k2", "rep", F.coalesce("class_id", "rep").alias("class_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    with_links = full.select("doc_id", "k1", "k2").join(final, ["k1", "k2"]).select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links")
+    with_links = full.select("doc_id", "k1", "k2").join(per_key(final, "op1final"), ["k1", "k2"]).select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links")
     alone = sig.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
     return with_links.unionByName(alone)

@@ -18,7 +18,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlens.llm.textvec import column
+from tenderlens.llm.textvec import blocks, sized
 from tenderlens.plans.staging import materialize, small
 
 KINDS = ("email", "ip", "card", "phone")
@@ -135,6 +135,13 @@ def term_key(term: str) -> int:
     return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def _decoded(batch):
+    """The texts of a batch one after another, null as empty."""
+    for _, part in blocks(batch):
+        for t in part:
+            yield t.decode("utf-8", "replace")
+
+
 def _mentions(batches):
     """The entities of each document that has some, and its terms."""
     import pyarrow as pa
@@ -142,7 +149,7 @@ def _mentions(batches):
     for batch in batches:
         rows = batch.column(batch.schema.get_field_index("row")).to_pylist()
         out: list[tuple[int, bool, int]] = []  # copies count each, so no set over documents
-        for row, text in zip(rows, batch.column(batch.schema.get_field_index("text")).to_pylist()):
+        for row, text in zip(rows, _decoded(batch)):
             if not text or not ("@" in text or any(d in text for d in "0123456789")):
                 continue
             spans = base_spans(text)
@@ -161,7 +168,7 @@ def _term_rows(batches):
     cache: dict[bytes, int] = {}
     for batch in batches:
         total: dict[int, int] = {}
-        for t in column(batch, "text"):
+        for t in (t for _, part in blocks(batch) for t in part):
             seen = set()
             for word in set(t.split()):
                 k = cache.get(word)
@@ -212,8 +219,7 @@ def _spans(batches):
         rest = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("text", "terms")}
         told = batch.column(batch.schema.get_field_index("terms"))
         out = {k: [] for k in (*(f"n_{k}" for k in KINDS), "base", "spans", "clean")}
-        for n, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-            text = text or ""
+        for n, text in enumerate(_decoded(batch)):
             spans = base_spans(text)
             for k, kind in enumerate(KINDS):
                 out[f"n_{kind}"].append(sum(s[1] == k for s in spans))
@@ -245,7 +251,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     returned unchanged.  Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    rows = sized(docs).select("doc_id", "text", F.xxhash64("text").alias("row"))
     told = materialize(disclosing_terms(rows.select("row", "text")), "op6told")
     n, terms = told.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     joined = rows.join(F.broadcast(told) if n <= TOLD_ROWS and terms <= TOLD_TERMS else told, "row", "left").select("doc_id", "text", "terms")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.llm.quality_rules import MEASURES, _measures
-from tenderlens.llm.textvec import Words, blocks, column
+from tenderlens.llm.textvec import Words, blocks, sized
 
 #: The documented bound of the training sample.
 TRAIN_ROWS = 6000
@@ -46,7 +46,7 @@ def _features(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out.append({n: m.column(i).to_numpy() for i, n in enumerate(m.schema.names)})
     stats = {n: np.concatenate([o[n] for o in out]) if out else np.zeros(0) for n in MEASURES}
     ids, vals, counts, at = [], [], [], 0
-    for _, texts in blocks(column(batch, "text")):
+    for _, texts in blocks(batch):
         w = Words(texts)
         pairs = np.unique(w.text * _WORDS + (w.hash() >> np.uint64(64 - WORD_BITS)).astype(np.int64))
         text, word = pairs // _WORDS, pairs % _WORDS
@@ -150,7 +150,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     labelled twice or repeated in ``docs`` count each time.  A null text scores as an empty one.  Without
     labels every score is 0.5; with labels of one kind only, near 0 or 1.  Other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    docs = sized(docs).select("doc_id", "text")
     marked = labels.filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
     marked = marked.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
     sample = docs.join(F.broadcast(marked), "doc_id").select("label", "text").mapInArrow(_rows, "label int, f binary, x binary")

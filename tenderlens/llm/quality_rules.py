@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlens.llm.textvec import Prefix, Words, blocks, column
+from tenderlens.llm.textvec import Prefix, Words, blocks, sized
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shouts")
 
@@ -68,7 +68,7 @@ def _measures(batches):
     lower[0x61:0x7B] = True
     for batch in batches:
         rest = [f.name for f in batch.schema if f.name != "text"]
-        for at, texts in blocks(column(batch, "text")):
+        for at, texts in blocks(batch):
             w = Words(texts)
             sums = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.text_start])
             heads = (w.buf & 0xC0) != 0x80
@@ -98,7 +98,7 @@ def rule_ledger(docs: DataFrame) -> DataFrame:
     Repeated rows and null ids give a row each; other columns are not read.  No row depends on another.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_measures, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    rows = sized(docs).select("doc_id", "text").mapInArrow(_measures, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     return rows.withColumn("mask", mask_column())
 
 
@@ -110,7 +110,7 @@ def judged(ledger: DataFrame, policy: str = "v2") -> DataFrame:
 
 def passing(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with all their columns; no shuffle."""
-    rows = docs.select(F.struct("*").alias("row"), "text").mapInArrow(_measures, f"row {_quoted(docs)}, " + ", ".join(f"{m} long" for m in MEASURES))
+    rows = sized(docs).select(F.struct("*").alias("row"), "text").mapInArrow(_measures, f"row {_quoted(docs)}, " + ", ".join(f"{m} long" for m in MEASURES))
     return judged(rows.withColumn("mask", mask_column()), policy).filter("kept").select("row.*")
 
 

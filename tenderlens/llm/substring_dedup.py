@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.llm import sketch
-from tenderlens.llm.textvec import Words, blocks, column, signed
-from tenderlens.plans.staging import materialize, small
+from tenderlens.llm.textvec import Words, blocks, signed, sized
+from tenderlens.plans.staging import discard, materialize, per_key, small
 
 WINDOW = 13
 SUB = 11
@@ -36,7 +36,7 @@ def _whole(batches):
 
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        for at, texts in blocks(column(batch, "text")):
+        for at, texts in blocks(batch):
             w = Words(texts)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": ids.slice(at, len(texts)), "w1": pa.array(signed(w.whole(0))), "w2": pa.array(signed(w.whole(1))), "n_words": pa.array(w.count.astype(np.int64)), "sha": pa.array([_kept_hash(t) for t in texts])}
@@ -49,8 +49,9 @@ def without_copies(docs: DataFrame, rows: DataFrame, key: list[str]) -> tuple[Da
     ``rows`` has doc_id and the key columns for each row of ``docs``.  An id goes only if each of its rows
     is a copy of one with a smaller id.
     """
-    reps = rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    marked = materialize(rows.join(reps, key), "copies")
+    reps = rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")).filter("n_copies > 1")
+    marked = rows.join(per_key(reps, "reps"), key, "left")
+    marked = materialize(marked.withColumn("rep", F.coalesce("rep", "doc_id")).withColumn("n_copies", F.coalesce("n_copies", F.lit(1))), "copies")
     gone = marked.groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("rep")).alias("all")).filter("all").select("doc_id")
     texts = docs.join(small(gone), "doc_id", "left_anti")
     again = materialize(marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
@@ -66,7 +67,7 @@ def _window_rows(window: int, filt):
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            for at, texts in blocks(column(batch, "text")):
+            for at, texts in blocks(batch):
                 w = Words(texts)
                 pos, h1 = w.windows(window, 0)
                 at_sub, sub = w.windows(min(SUB, window), 0)
@@ -97,7 +98,7 @@ def _removals(window: int):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             gone = batch.column(batch.schema.get_field_index("gone"))
-            for at, texts in blocks(column(batch, "text")):
+            for at, texts in blocks(batch):
                 w = Words(texts)
                 pos, h1 = w.windows(window, 0)
                 first = np.searchsorted(w.text[pos], np.arange(len(texts) + 1))
@@ -125,22 +126,23 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame
     words; texts shorter than a window lose none.  A null doc_id counts as larger than any other.  Rows
     with the same id never remove each other's words, so repeated rows get the same result.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
+    docs = sized(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
     rows = materialize(docs.mapInArrow(_whole, "doc_id long, w1 long, w2 long, n_words long, sha string"), "op2all")
     texts, marked = without_copies(docs, rows, ["w1", "w2", "n_words"])
     n = rows.agg(F.sum(F.greatest(F.col("n_words") - (window - 1), F.lit(0)))).first()[0] or 0
 
     def keys(batch):
-        for _, part in blocks(column(batch, "text")):
+        for _, part in blocks(batch):
             yield Words(part).windows(min(SUB, window), 0)[1]
 
     filt = sketch.build(texts.select("text"), keys, sketch.bits_for(n // 2))
     found = materialize(texts.mapInArrow(_window_rows(window, filt), "doc_id long, h1 long, h2 int"), "op2win")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    first = per_key(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "op2first")
     # whether a window goes depends on the id and the window alone, so texts that share an id share the list
     gone = found.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
     gone = materialize(gone, "op2gone")
-    affected = docs.join(small(gone.select("doc_id").distinct()), "doc_id", "left_semi").join(gone, "doc_id")
+    discard(found)
+    affected = docs.join(small(gone.select("doc_id")), "doc_id", "left_semi").join(gone, "doc_id")
     removed = affected.mapInArrow(_removals(window), "doc_id long, w1 long, n_removed long, kept string").dropDuplicates(["doc_id", "w1"])
     out = marked.join(removed, ["doc_id", "w1"], "left")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= window)

@@ -18,6 +18,7 @@ between them.  So:
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from tenderlens.llm import sketch
 from tenderlens.llm.substring_dedup import without_copies
-from tenderlens.llm.textvec import Prefix, blocks, column, signed
-from tenderlens.plans.staging import discard, materialize, small
+from tenderlens.llm.textvec import Prefix, blocks, signed, sized
+from tenderlens.plans.staging import discard, materialize, per_key, small
 
 LENGTH = 400
+#: Positions that are looked at together, so that a very long text takes no more memory than its hashes.
+CHUNK = 1 << 18
 
 
 class Anchors:
@@ -43,42 +46,55 @@ class Anchors:
         size = np.array([len(t) for t in texts], dtype=np.int64)
         self.end = np.cumsum(size)
         self.start = self.end - size
-        self.h = [Prefix(self.buf, 0), Prefix(self.buf, 1)]
-        n = len(self.buf)
-        grams = n - self.k + 1
-        self.at = np.zeros(0, dtype=np.int64)
-        self.least = np.zeros(0, dtype=np.int64)
-        if grams >= self.w:
-            p = np.arange(grams)
-            key = (self.h[0].of(p, p + self.k) & np.uint64(0xFFFFFFFF00000000)) | p.astype(np.uint64)
-            step, width = 1, 1
-            while width < self.w:
-                step = min(width, self.w - width)
-                key = np.minimum(key[:-step], key[step:])
-                width += step
-            self.least = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            self.owner = np.repeat(np.arange(len(texts)), size)
-            full = self.end[self.owner[: len(self.least)]] - np.arange(len(self.least)) >= self.w + self.k - 1
-            self.at = np.unique(self.least[full])
-        else:
-            self.owner = np.repeat(np.arange(len(texts)), size)
-        self.text = self.owner[self.at] if len(self.at) else np.zeros(0, dtype=np.int64)
+        self.h = [Prefix(self.buf, 0)]
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        near = [np.zeros(0, dtype=np.uint8)]
+        reach = self.w + self.k - 1
+        picked = np.zeros(len(self.buf), dtype=bool)
+        if len(self.buf) >= reach:
+            grams = self.h[0].grams(self.k)
+            for s in range(0, len(grams) - self.w + 1, CHUNK):  # the least of each run of w grams, and how far off it is
+                part = grams[s : s + CHUNK + self.w - 1]
+                at = np.arange(len(part), dtype=np.uint64)
+                key = (part & np.uint64(0xFFFFFFFF00000000)) | at
+                width = 1
+                while width < self.w:
+                    step = min(width, self.w - width)
+                    key = np.minimum(key[:-step], key[step:])
+                    width += step
+                least = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                near.append((least - np.arange(len(least))).astype(np.uint8))
+                full = self.end[self.owner[s : s + len(least)]] - s - np.arange(len(least)) >= reach
+                picked[s + least[full]] = True
+        self.near = np.concatenate(near)
+        self.at = np.flatnonzero(picked)
+        self.before = np.cumsum(picked, dtype=np.int32) - picked
+        self.text = self.owner[self.at]
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
         self.ordinal = np.arange(len(self.at)) - self.first[self.text]
 
+    def second(self) -> Prefix:
+        """Hashes that are independent of the first ones, made when they are asked for."""
+        if len(self.h) == 1:
+            self.h.append(Prefix(self.buf, 1))
+        return self.h[1]
+
     def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchors that begin a string of ``2**base`` steps in their text, and its bounds."""
         n = 1 << self.base
         i = np.flatnonzero(self.text[n:] == self.text[:-n])
         return i, self.at[i], self.at[i + n] + self.k
 
-    def starts(self) -> np.ndarray:
-        p = np.arange(max(0, len(self.buf) - self.length + 1))
-        return p[self.end[self.owner[p]] - p >= self.length]
+    def starts(self) -> Iterator[np.ndarray]:
+        """The starts of all windows, a chunk at a time."""
+        for s in range(0, len(self.buf) - self.length + 1, CHUNK):
+            p = np.arange(s, min(s + CHUNK, len(self.buf) - self.length + 1))
+            yield p[self.end[self.owner[p]] - p >= self.length]
 
     def inner(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last anchor that any equal window holds too."""
-        return np.searchsorted(self.at, self.least[p]), np.searchsorted(self.at, self.least[p + self.length - self.k - self.w + 1])
+        q = p + self.length - self.k - self.w + 1
+        return self.before[p + self.near[p]], self.before[q + self.near[q]]
 
     def covering(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of starts (lo, hi) to settle at once, and the first and last anchor inside the string
@@ -93,10 +109,10 @@ class Anchors:
         lo, hi = np.unique(np.stack([lo[ok], hi[ok]]), axis=1)
         return lo, hi, np.searchsorted(self.at, lo, side="left"), np.searchsorted(self.at, hi + self.length - self.k, side="right") - 1
 
-    def levels(self, text: np.ndarray, i: np.ndarray, lev: np.ndarray) -> np.ndarray:
-        """Highest repeated level of each anchor, -1 for none, from lists by text."""
+    def levels(self, text: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Highest repeated level of each anchor, -1 for none, from lists of codes by text."""
         out = np.full(len(self.at), -1, dtype=np.int64)
-        out[self.first[text] + i] = lev
+        np.maximum.at(out, self.first[text] + (code >> 5), code & 31)
         return out
 
 
@@ -105,7 +121,7 @@ def _facts(batches):
 
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        for at, texts in blocks(column(batch, "text")):
+        for at, texts in blocks(batch):
             size = np.array([len(t) for t in texts], dtype=np.int64)
             end = np.cumsum(size)
             buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -129,7 +145,7 @@ def _first_ranks(length: int, filt):
 
         for batch in batches:
             key = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
-            for at, texts in blocks(column(batch, "text")):
+            for at, texts in blocks(batch):
                 x = Anchors(_long(texts, length), length)
                 i, a, b = x.strings()
                 r1 = x.h[0].of(a, b)
@@ -137,25 +153,28 @@ def _first_ranks(length: int, filt):
                 i, a, b, r1 = i[keep], a[keep], b[keep], r1[keep]
                 if len(i):
                     yield pa.RecordBatch.from_pydict(
-                        {"key": pa.array(key[at + x.text[i]]), "i": pa.array(x.ordinal[i].astype(np.int32)), "span": pa.array((b - a - x.k).astype(np.int32)), "r1": pa.array(signed(r1)), "r2": pa.array(_r2(x.h[1].of(a, b)))}
+                        {"key": pa.array(key[at + x.text[i]]), "i": pa.array(x.ordinal[i].astype(np.int32)), "span": pa.array((b - a - x.k).astype(np.int32)), "r1": pa.array(signed(r1)), "r2": pa.array(_r2(x.second().of(a, b)))}
                     )
 
     return run
 
 
-def _only_repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose rank another position has too.  ``rows`` is a table, as it is read twice."""
-    twice = rows.groupBy("r1", "r2").agg(F.count("*").alias("n")).filter("n > 1").select("r1", "r2")
-    return rows.join(twice, ["r1", "r2"], "left_semi")
+def _only_repeated(rows: DataFrame, *first: str) -> DataFrame:
+    """Rows whose rank another position has too, with the least ``first`` (as a struct) of the rank.  ``rows``
+    is a table, as it is read twice.  Counts are summed before the shuffle and written, so that the join reads
+    two tables and adaptive execution can split a rank that very many rows share."""
+    least = [F.min(F.struct(*first)).alias("first")] if first else []
+    twice = rows.groupBy("r1", "r2").agg(F.count("*").alias("n"), *least).filter("n > 1").drop("n")
+    return rows.join(per_key(twice, "op8twice"), ["r1", "r2"])
 
 
 def doubled(ranks: DataFrame, base: int, enough: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, i, lev), the highest level at which the string of 2**lev steps from anchor i repeats, and the
+    """(key, code), where ``i * 32 + lev`` says that the string of 2**lev steps from anchor i repeats, and the
     tables behind it, to be deleted after use."""
     raw = materialize(ranks, "op8raw")
     now = materialize(_only_repeated(raw), "op8rank")
     discard(raw)
-    levels, j, tables = now.select("key", "i", F.lit(base).alias("lev")), base, [now]
+    levels, j, tables = now.select("key", (F.col("i") * 32 + base).alias("code")), base, [now]
     while j < 30 and now.limit(1).count():
         a = now
         b = now.select("key", (F.col("i") - (1 << j)).alias("i"), F.col("span").alias("span_b"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
@@ -168,13 +187,13 @@ def doubled(ranks: DataFrame, base: int, enough: int) -> tuple[DataFrame, list[D
         now = materialize(_only_repeated(raw), "op8rank")
         discard(raw)
         tables.append(now)
-        levels = levels.unionByName(now.select("key", "i", F.lit(j).alias("lev")))
-    return levels.groupBy("key", "i").agg(F.max("lev").alias("lev")), tables
+        levels = levels.unionByName(now.select("key", (F.col("i") * 32 + j).alias("code")))
+    return levels, tables
 
 
 def _open_texts(batch, length: int):
     """(anchors, texts, other columns, keys) of the blocks of a batch."""
-    for at, part in blocks(column(batch, "text")):
+    for at, part in blocks(batch):
         rest = {f.name: batch.column(n).slice(at, len(part)) for n, f in enumerate(batch.schema) if f.name != "text"}
         yield Anchors(_long(part, length), length), part, rest, rest["key"].to_numpy(zero_copy_only=False)
 
@@ -196,38 +215,48 @@ def _covered(length: int):
                 lo, hi, f, g = x.covering()
                 if not len(f):
                     continue
-                lev = x.levels(*_flat(rest["idx"]), _flat(rest["lev"])[1])
+                lev = x.levels(*_flat(rest["codes"]))
                 j = np.floor(np.log2(np.maximum(1, g - f))).astype(np.int64)
                 ok = (lev[f] >= j) & (lev[g - (1 << j)] >= j)
                 lo, hi = lo[ok], hi[ok]
                 t, a, b = x.owner[lo], lo, hi + length
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "lo": pa.array((lo - x.start[t]).astype(np.int32)), "hi": pa.array((hi - x.start[t]).astype(np.int32)), "r1": pa.array(signed(x.h[0].of(a, b))), "r2": pa.array(_r2(x.h[1].of(a, b)))})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "lo": pa.array((lo - x.start[t]).astype(np.int32)), "hi": pa.array((hi - x.start[t]).astype(np.int32)), "r1": pa.array(signed(x.h[0].of(a, b))), "r2": pa.array(_r2(x.second().of(a, b)))})
 
     return run
 
 
+def _within(x: Anchors, rest, chosen: bool) -> np.ndarray:
+    """For each position whether a settled run of starts holds it; only a run chosen to stand for all equal
+    ones, if so asked."""
+    delta = np.zeros(len(x.buf) + 1, dtype=np.int32)
+    (text, a), b = _flat(rest["los"]), _flat(rest["his"])[1]
+    if chosen:
+        keep = _flat(rest["stand"])[1] == 1
+        text, a, b = text[keep], a[keep], b[keep]
+    np.add.at(delta, x.start[text] + a, 1)
+    np.add.at(delta, x.start[text] + b + 1, -1)
+    return np.cumsum(delta)[:-1] > 0
+
+
 def _shared_runs(x: Anchors, rest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first start, last start, anchor string hash, whether a start in it is unsettled) of runs of starts
     that may repeat, by the levels of the anchor string that an equal window must share."""
-    p = x.starts()
     none = np.zeros(0, dtype=np.int64)
-    if not len(p) or not len(x.at):
-        return none, none, none.astype(np.uint64), none.astype(bool)
-    lev = x.levels(*_flat(rest["idx"]), _flat(rest["lev"])[1])
-    f, g = x.inner(p)
-    j = np.floor(np.log2(np.maximum(1, g - f))).astype(np.int64)
-    ok = (lev[f] >= j) & (lev[g - (1 << j)] >= j)
-    p, f, g = p[ok], f[ok], g[ok]
-    if not len(p):
-        return none, none, none.astype(np.uint64), none.astype(bool)
-    new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (p[1:] != p[:-1] + 1)]))
-    lo, hi = p[new], p[np.concatenate([new[1:], [len(p)]]) - 1]
-    settled = np.zeros(len(x.buf) + 1, dtype=np.int32)
-    text, a = _flat(rest["los"])
-    np.add.at(settled, x.start[text] + a, 1)
-    np.add.at(settled, x.start[text] + _flat(rest["his"])[1] + 1, -1)
-    free = np.concatenate([[0], np.cumsum(np.cumsum(settled)[:-1] <= 0)])
-    return lo, hi, x.h[0].of(x.at[f[new]], x.at[g[new]] + x.k), free[hi + 1] > free[lo]
+    out = [(none, none, none.astype(np.uint64), none.astype(bool))]
+    if not len(x.at):
+        return out[0]
+    lev = x.levels(*_flat(rest["codes"]))
+    free = np.concatenate([[0], np.cumsum(~_within(x, rest, False), dtype=np.int32)])
+    for p in x.starts():
+        f, g = x.inner(p)
+        j = np.floor(np.log2(np.maximum(1, g - f))).astype(np.int64)
+        ok = (lev[f] >= j) & (lev[g - (1 << j)] >= j)
+        p, f, g = p[ok], f[ok], g[ok]
+        if len(p):
+            new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (p[1:] != p[:-1] + 1)]))
+            lo, hi = p[new], p[np.concatenate([new[1:], [len(p)]]) - 1]
+            out.append((lo, hi, x.h[0].of(x.at[f[new]], x.at[g[new]] + x.k), free[hi + 1] > free[lo]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 _OPEN = np.uint64(0x5851F42D4C957F2D)
@@ -241,7 +270,8 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _windows(length: int, filt):
-    """Starts whose anchor string repeats and is that of an unsettled start somewhere."""
+    """Starts whose anchor string repeats and is that of an unsettled start somewhere: the unsettled ones,
+    and of the settled ones those in one of each set of equal runs, which an unsettled one may equal."""
 
     def run(batches):
         import pyarrow as pa
@@ -252,10 +282,11 @@ def _windows(length: int, filt):
                 ok = sketch.repeated(filt, h)
                 ok[ok] = sketch.repeated(filt, h[ok] ^ _OPEN)
                 pos = _spread(lo[ok], hi[ok]) if ok.any() else lo[:0]
+                pos = pos[~_within(x, rest, False)[pos] | _within(x, rest, True)[pos]]
                 for s in range(0, len(pos), 200_000):
                     q = pos[s : s + 200_000]
                     t = x.owner[q]
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "p": pa.array((q - x.start[t]).astype(np.int32)), "r1": pa.array(signed(x.h[0].of(q, q + length))), "r2": pa.array(_r2(x.h[1].of(q, q + length)))})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key[t]), "p": pa.array((q - x.start[t]).astype(np.int32)), "r1": pa.array(signed(x.h[0].of(q, q + length))), "r2": pa.array(_r2(x.second().of(q, q + length)))})
 
     return run
 
@@ -292,7 +323,7 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     least ``length`` bytes that occurs twice (repeated rows too) goes whole.  Null ids take part as -1 and
     come back as null.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
+    docs = sized(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
     rows = materialize(docs.mapInArrow(_facts, "doc_id long, k1 long, k2 long, n_bytes long, sha string"), "op8all")
     texts, marked = without_copies(docs, rows, ["k1", "k2", "n_bytes"])
     single = not marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
@@ -300,7 +331,7 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shape = Anchors([], length)
 
     def keys(batch):
-        for _, part in blocks(column(batch, "text")):
+        for _, part in blocks(batch):
             x = Anchors(_long(part, length), length)
             yield x.h[0].of(*x.strings()[1:])
 
@@ -308,14 +339,14 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     filt = sketch.build(texts.select("text"), keys, sketch.bits_for(4 * n // shape.w))
     ranks = texts.mapInArrow(_first_ranks(length, filt), "key long, i int, span int, r1 long, r2 int")
     levels, tables = doubled(ranks, shape.base, length + shape.w + shape.k)
-    held = levels.groupBy("key").agg(F.collect_list(F.struct("i", "lev")).alias("l")).select("key", F.col("l.i").alias("idx"), F.col("l.lev").alias("lev"))
-    held = materialize(held, "op8held")
+    held = materialize(levels.groupBy("key").agg(F.collect_list("code").alias("codes")), "op8held")
     for table in tables:
         discard(table)
     some = texts.join(small(held.select("key")), "key", "left_semi").join(held, "key")
     affected = materialize(some, "op8text")
     covered = materialize(affected.mapInArrow(_covered(length), "key long, lo int, hi int, r1 long, r2 int"), "op8cov")
-    sure = _only_repeated(covered).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("l")).select("key", F.col("l.lo").alias("los"), F.col("l.hi").alias("his"))
+    sure = _only_repeated(covered, "key", "lo", "hi").withColumn("stand", (F.col("first") == F.struct("key", "lo", "hi")).cast("int"))
+    sure = sure.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "stand")).alias("l")).select("key", F.col("l.lo").alias("los"), F.col("l.hi").alias("his"), F.col("l.stand").alias("stand"))
     ready, n_covered = materialize(affected.join(sure, "key", "left"), "op8ready"), covered.count()
     for table in (affected, covered):
         discard(table)

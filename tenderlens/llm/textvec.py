@@ -1,7 +1,7 @@
 """Whole-block text arithmetic with numpy: words, lines, window hashes.
 
-A block is a list of UTF-8 byte strings, about a megabyte together, so the arrays of a task stay small
-whatever the partition holds.  Words are the runs of bytes outside 0x20 and 0x09-0x0D.  Hashes are
+A block is a list of UTF-8 byte strings, about a quarter of a megabyte together, so the arrays of a task
+stay small whatever the partition or the batch holds.  Words are the runs of bytes outside 0x20 and 0x09-0x0D.  Hashes are
 polynomial modulo 2**64 over prefix sums and then mixed; two of them with different bases make 128 bits
 wherever equality decides a result.
 """
@@ -12,14 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 U = np.uint64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _STEPS = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,19 +30,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        m = max(n, BLOCK_BYTES + 4096)
-        inverse = pow(base, -1, 1 << 64)
-        up, down = np.full(m, U(base)), np.full(m, U(inverse))
-        up[0] = down[0] = U(1)
-        with np.errstate(over="ignore"):
-            have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if n > 4 * BLOCK_BYTES:
-            return have
-        _powers[base] = have
-    return have
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, U(base))
+    out[0] = U(1)
+    return np.cumprod(out, dtype=np.uint64)
+
+
+#: Powers and inverse powers of a base come as a product of two of these, whatever the length of a text.
+_STRIDE = 1 << 16
+_LOW = [(_powers(b, _STRIDE), _powers(pow(b, -1, 1 << 64), _STRIDE)) for b in _BASES]
+
+
+def _strides(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = pow(_BASES[which], _STRIDE, 1 << 64)
+    return _powers(base, n // _STRIDE + 1), _powers(pow(base, -1, 1 << 64), n // _STRIDE + 1)
 
 
 class Prefix:
@@ -51,32 +51,56 @@ class Prefix:
 
     def __init__(self, codes: np.ndarray, which: int = 0):
         n = len(codes)
-        up, self.down = _power(_BASES[which], n + 1)
+        self.low, (up, self.high) = _LOW[which][1], _strides(which, n + 1)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + U(1)) * up[:n], out=self.sums[1:])
+        for c, s in enumerate(range(0, n, _STRIDE)):
+            part = (codes[s : s + _STRIDE].astype(np.uint64) + U(1)) * _LOW[which][0][: min(_STRIDE, n - s)] * up[c]
+            part[:1] += self.sums[s : s + 1]
+            np.cumsum(part, out=self.sums[s + 1 : s + 1 + len(part)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        out = self.sums[end]
+        out -= self.sums[start]
+        out *= self.low[start & (_STRIDE - 1)]
+        out *= self.high[start // _STRIDE]
+        out += (end - start).astype(np.uint64)
+        return mix(out)
+
+    def grams(self, k: int) -> np.ndarray:
+        """The hash of each run of ``k`` codes, in order."""
+        out = self.sums[k:] - self.sums[:-k]
+        for c, s in enumerate(range(0, len(out), _STRIDE)):
+            part = out[s : s + _STRIDE]
+            part *= self.low[: len(part)] * self.high[c]
+        return mix(out + U(k))
+
+
+def blocks(batch, limit: int = BLOCK_BYTES, name: str = "text") -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts as UTF-8, null as empty) of consecutive runs of about ``limit`` bytes of a
+    string column of an Arrow batch; a longer text is alone.  Only one run at a time is held as bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
+    col = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
+    end = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(end):
+        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + limit, side="right")))
+        yield at, [b"" if x is None else x for x in col.slice(at, stop - at).to_pylist()]
+        at = stop
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, texts) of consecutive runs of about ``limit`` bytes; a longer text is alone."""
-    at, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        if held and size + len(t) > limit:
-            yield at, held
-            at, held, size = i, [], 0
-        held.append(t)
-        size += len(t) + 1
-    if held:
-        yield at, held
 
+#: Spark's own bound on the bytes of an Arrow batch; by default a batch holds 10,000 rows of any size.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
-def column(batch, name: str) -> list[bytes]:
-    """A string column of an Arrow batch as bytes, null as empty."""
-    import pyarrow as pa
 
-    return [b"" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+def sized(df):
+    """``df``, in a session whose Arrow batches have a bound in bytes: :data:`BATCH_BYTES`, unless the user
+    has set another.  It bounds the buffers of the executor and of its Python workers."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "1b") == "1b":
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
 
 
 class Words:
@@ -115,11 +139,7 @@ class Words:
     def whole(self, which: int = 0) -> np.ndarray:
         """For each text, a hash of its word sequence."""
         h = mix(self.hash(which))
-        up, down = _power(_BASES[which], len(h) + 1)
-        sums = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(h * up[: len(h)], out=sums[1:])
-        a, b = self.first[:-1], self.first[1:]
-        return mix((sums[b] - sums[a]) * down[a] + self.count.astype(np.uint64))
+        return Prefix(h, which).of(self.first[:-1], self.first[1:])
 
 
 def signed(x: np.ndarray) -> np.ndarray:
