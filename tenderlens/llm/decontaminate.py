@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.llm.textvec import Prefix, Words, blocks, sized
-from tenderlens.plans.staging import materialize
+from tenderlens.plans.staging import materialize, small
 
 PASSAGE = 32
 HALF = PASSAGE // 2
@@ -349,7 +349,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id has a text that holds an item; all other columns are kept.  A row
-    with a null id cannot be named by a match, so it stays; give rows ids before."""
-    bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "op9bad")
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__id"], "left_anti")
+    """``docs`` without the rows whose text holds an item; all columns are kept.  Rows are named by the 64-bit
+    hash of their text, so null and repeated ids are judged like any other."""
+    key = F.xxhash64("text")
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark)
+    bad = materialize(found.select(F.col("doc_id").alias("__text")).distinct(), "op9bad")
+    return docs.join(small(bad), key == F.col("__text"), "left_anti")

@@ -1,8 +1,9 @@
 """Operator 10: near-equal lines by a segment-partition edit join.
 
-Two lines within ``EDITS`` edits share, by the pigeonhole principle, one of ``EDITS + 1`` segments of the
-shorter at nearly the same place.  Each line indexes the segments of its own length and probes those of
-lengths down to ``EDITS`` less, at the few starts where a match can count.  Keys that occur once leave by
+How many edits two lines may be apart grows with the length of the shorter (:data:`BANDS`).  Two lines
+within k edits share, by the pigeonhole principle, one of k + 1 segments of the shorter at nearly the same
+place.  Each line indexes the segments of its own length and probes those of lengths down to k less, with
+the k of that length, at the few starts where a match can count.  Keys that occur once leave by
 a sketch.  Lines that share keys are compared in blocks of bounded size: lengths first, then character
 counts (an edit moves two at most), then a banded bit-parallel edit distance.
 """
@@ -16,18 +17,23 @@ from pyspark.sql import functions as F
 from tenderlens.llm import sketch
 from tenderlens.llm.textvec import Prefix, blocks, lists, mix, signed, sized
 from tenderlens.operators.components import connected_components
-from tenderlens.plans.staging import materialize, small
-
-EDITS = 2
-#: Shorter lines (code points) are compared for equality only: two edits would be too much of them.
-LEAST = 40
-BLOCK, WHOLE = 192, 2048
-#: The list of removed lines is broadcast up to this size (about 30 MB), and joined by a shuffle beyond.
-LISTED_TEXTS, LISTED_LINES = 500_000, 2_000_000
+from tenderlens.plans.staging import materialize, per_key, small
+
+#: (code points, edits): how many edits two lines may be apart that have at least so many code points each.
+#: One edit in sixteen characters is a typo; lines under that are compared for equality only.
+BANDS = ((16, 1), (40, 2), (160, 3))
+#: Members of a block; a pair of blocks is compared by one task.  A set of lines that hang together is
+#: compared as a whole up to WHOLE; beyond it each of its buckets is, which covers the same pairs.
+BLOCK, WHOLE = 512, 2048
 _LAST = 2**63 - 1
 _SPACES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], dtype=np.uint32)
 
 
+def allowed(size: np.ndarray, bands) -> np.ndarray:
+    """The edits that lines of these sizes may be apart."""
+    return np.array([0, *(e for _, e in bands)])[np.searchsorted([n for n, _ in bands], size, side="right")]
+
+
 def probe_plan(edits: int) -> list[tuple[int, int, int, bool]]:
     """(length less, segment, shift of its start, whether it is the line's own index key)."""
     out = []
@@ -55,19 +61,22 @@ class Lines:
         self.start, self.end, self.text, self.number = start[has], stop[has], text[has], number[has]
         self.hashes = Prefix(self.codes, 0), Prefix(self.codes, 1)
 
-    def keys(self, edits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lines that are long enough, their keys in the order of the plan)."""
-        at = np.flatnonzero(self.end - self.start >= least)
-        a, size = self.start[at], (self.end - self.start)[at]
-        plan = probe_plan(edits)
-        out = np.zeros((len(at), len(plan)), dtype=np.uint64)
-        for c, (less, s, shift, _) in enumerate(plan):
-            n = size - less
-            base, short = n // (edits + 1), edits + 1 - n % (edits + 1)
-            first = a + s * base + np.maximum(0, s - short) + shift
-            width = base + (s >= short)
-            out[:, c] = mix(self.hashes[0].of(first, first + width) * np.uint64(31) + (n * 16 + s).astype(np.uint64))
-        return at, out
+    def keys(self, bands) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of all that lines index and probe, by line; the last bit of a key tells which."""
+        size = self.end - self.start
+        rows, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+        for _, edits in bands:
+            for less, s, shift, own in probe_plan(edits):
+                at = np.flatnonzero(allowed(size - less, bands) == edits)
+                n = size[at] - less
+                base, short = n // (edits + 1), edits + 1 - n % (edits + 1)
+                first = self.start[at] + s * base + np.maximum(0, s - short) + shift
+                key = mix(self.hashes[0].of(first, first + base + (s >= short)) * np.uint64(31) + (n * 16 + s).astype(np.uint64))
+                rows.append(at)
+                keys.append((key & ~np.uint64(1)) | np.uint64(own))
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        order = np.argsort(row, kind="stable")
+        return row[order], key[order]
 
 
 def within(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
@@ -115,9 +124,7 @@ def within(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
     return dist <= k
 
 
-def _facts(edits: int, least: int):
-    width = len(probe_plan(edits))
-
+def _facts(bands):
     def run(batches):
         import pyarrow as pa
 
@@ -127,32 +134,30 @@ def _facts(edits: int, least: int):
                 x = Lines(texts)
                 if not len(x.start):
                     continue
-                long_, keys = x.keys(edits, least)
-                n = np.zeros(len(x.start), dtype=np.int64)
-                n[long_] = width
+                row, keys = x.keys(bands)
+                n = np.bincount(row, minlength=len(x.start))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(ids[at + x.text]), "line": pa.array(x.number),
                         "h1": pa.array(signed(x.hashes[0].of(x.start, x.end))), "h2": pa.array(signed(x.hashes[1].of(x.start, x.end))),
-                        "keys": lists(signed(keys.ravel()), n, pa.int64()),
+                        "keys": lists(signed(keys), n, pa.int64()),
                     }
                 )
 
     return run
 
 
-def _key_rows(edits: int, filt):
-    own = np.array([p[3] for p in probe_plan(edits)])
-
+def _key_rows(filt):
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             cls = batch.column(batch.schema.get_field_index("cls")).to_numpy(zero_copy_only=False)
-            flat = np.asarray(batch.column(batch.schema.get_field_index("keys")).flatten())
-            line, index = np.repeat(np.arange(len(cls)), len(own)), np.tile(own, len(cls))
-            keep = sketch.repeated(filt, flat.view(np.uint64))
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls[line[keep]]), "key": pa.array(flat[keep]), "own": pa.array(index[keep])})
+            keys = batch.column(batch.schema.get_field_index("keys"))
+            flat, line = np.asarray(keys.flatten()), np.repeat(np.arange(len(cls)), np.asarray(pc.list_value_length(keys)))
+            keep = sketch.repeated(filt, flat.view(np.uint64) & ~np.uint64(1))
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls[line[keep]]), "key": pa.array(flat[keep] & ~1), "own": pa.array(flat[keep] & 1 == 1)})
 
     return run
 
@@ -176,7 +181,7 @@ def _contents(filt):
     return run
 
 
-def _compared(edits: int):
+def _compared(bands):
     def run(pdf):
         import pandas as pd
 
@@ -188,15 +193,17 @@ def _compared(edits: int):
             size, blk, cls = np.array([len(c) for c in codes]), g["blk"].to_numpy(), g["cls"].to_numpy()
             bag = np.array([np.bincount(c % 64, minlength=64) for c in codes], dtype=np.int32)
             a, b = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-            i, j = np.nonzero(np.abs(size[a][:, None] - size[b][None, :]) <= edits)
+            most = allowed(size, bands)
+            i, j = np.nonzero(np.abs(size[a][:, None] - size[b][None, :]) <= np.minimum(most[a][:, None], most[b][None, :]))
             i, j = a[i], b[j]
             if bi == bj:
                 i, j = i[i < j], j[i < j]
             for s in range(0, len(i), 20_000):
                 x, y = i[s : s + 20_000], j[s : s + 20_000]
+                edits = np.minimum(most[x], most[y])
                 near = np.abs(bag[x] - bag[y]).sum(axis=1) <= 2 * edits
-                for p, q in zip(x[near], y[near]):
-                    if within(codes[p], codes[q], edits):
+                for p, q, k in zip(x[near], y[near], edits[near].tolist()):
+                    if within(codes[p], codes[q], k):
                         out.append((cls[p], cls[q]))
         frame = pd.DataFrame(out, columns=["a", "b"]).astype("int64")
         # the earlier neighbour is all that counts: one row a line, not one a pair
@@ -210,48 +217,55 @@ def _compared(edits: int):
     return run
 
 
-def _rebuilt(batches):
-    import pyarrow as pa
+def _rebuilt(count: str):
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        gone = batch.column(batch.schema.get_field_index("gone"))
-        rest = {f.name: batch.column(n) for n, f in enumerate(batch.schema) if f.name not in ("text", "gone")}
-        texts = []
-        for n, t in enumerate(t for _, part in blocks(batch) for t in part):
-            out = set(np.asarray(gone[n].values).tolist()) if gone[n].values is not None else set()
-            texts.append(b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in out).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_pydict(rest | {"text": pa.array(texts, pa.string()), "n_removed": pa.array([len(v.values) if v.values is not None else 0 for v in gone], pa.int64())})
+        for batch in batches:
+            gone = batch.column(batch.schema.get_field_index("__gone"))
+            rest = {f.name: batch.column(n) for n, f in enumerate(batch.schema) if f.name not in ("text", "__gone")}
+            texts, removed = [], []
+            for n, t in enumerate(t for _, part in blocks(batch) for t in part):
+                out = set(np.asarray(gone[n].values).tolist())
+                texts.append(b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in out))
+                removed.append(len(out))
+            yield pa.RecordBatch.from_pydict(rest | {"text": pa.array(texts, pa.binary()).cast(pa.string()), count: pa.array(removed, pa.int64())})
+
+    return run
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(doc_id, line): each line (from 0) that an earlier line equals or comes within ``edits`` edits of.
+def removed_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
+    """(doc_id, line): each line (from 0) that an earlier line equals or nearly equals: the edit distance is
+    at most what the band of the shorter line allows.
 
     Earlier means a smaller doc_id, or the same and a smaller line number.  Lines without a word are never
-    removed and never compared; lines under ``least`` code points must be equal.  A null text has no
+    removed and never compared; lines under the first band must be equal.  A null text has no
     lines; null ids count as larger than any other; rows with the same id never remove the same line of
     each other.
     """
     docs = sized(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").filter("text is not null")
-    occ = materialize(docs.mapInArrow(_facts(edits, least), "doc_id long, line long, h1 long, h2 long, keys array<long>"), "op10occ")
+    occ = materialize(docs.mapInArrow(_facts(bands), "doc_id long, line long, h1 long, h2 long, keys array<long>"), "op10occ")
     lines = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.max("keys").alias("keys"))
     lines = materialize(lines.select(F.col("h1").alias("cls"), "h2", F.col("first.doc_id").alias("d"), F.col("first.line").alias("l"), "n", "keys"), "op10cls")
     long_ = lines.filter("size(keys) > 0").select("cls", "keys")
-    n_keys = long_.count() * len(probe_plan(edits))
+    n_keys = long_.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
 
     def flat(batch):
         k = np.asarray(batch.column(batch.schema.get_field_index("keys")).flatten()).view(np.uint64)
         for s in range(0, len(k), 200_000):
-            yield k[s : s + 200_000]
+            yield k[s : s + 200_000] & ~np.uint64(1)
 
     filt = sketch.build(long_.select("keys"), flat, sketch.bits_for(2 * n_keys))
-    keyed = materialize(long_.mapInArrow(_key_rows(edits, filt), "cls long, key long, own boolean"), "op10key")
-    hubs = keyed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("cls"))).alias("hub"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("hub is not null and a < b").select("key", "hub")
+    keyed = materialize(long_.mapInArrow(_key_rows(filt), "cls long, key long, own boolean"), "op10key")
+    hubs = keyed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("cls"))).alias("hub"), F.min("cls").alias("a"), F.max("cls").alias("b"))
+    hubs = per_key(hubs.filter("hub is not null and a < b").select("key", "hub"), "op10hub")
     shared = materialize(keyed.select("key", "cls").join(hubs, "key").distinct(), "op10shr")
     comps = materialize(connected_components(shared, "cls", "hub"), "op10cmp")
-    placed = comps.join(comps.groupBy("component").agg(F.count("*").alias("size")), "component")
+    placed = comps.join(per_key(comps.groupBy("component").agg(F.count("*").alias("size")), "op10size"), "component")
     units = placed.filter(F.col("size") <= WHOLE).select(F.col("node").alias("cls"), F.col("component").alias("unit"), "size")
     buckets = shared.join(placed.filter(F.col("size") > WHOLE).select(F.col("node").alias("cls")), "cls").select("cls", F.col("key").alias("unit"))
-    buckets = buckets.join(buckets.groupBy("unit").agg(F.count("*").alias("size")), "unit").select("cls", "unit", "size")
+    buckets = materialize(buckets, "op10hot")
+    buckets = buckets.join(per_key(buckets.groupBy("unit").agg(F.count("*").alias("size")), "op10size"), "unit").select("cls", "unit", "size")
     units = materialize(units.unionByName(buckets), "op10unit")
     n_units = units.count()
     wanted = lines.join(small(units.select("cls").distinct(), n_units), "cls", "left_semi").select("cls", "d", "l")
@@ -267,36 +281,33 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     split = units.withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("blk", F.expr("cast(pmod(xxhash64(cls, 7), nb) as int)"))
     split = split.withColumn("other", F.explode(F.expr("sequence(0, cast(nb as int) - 1)"))).select("cls", "unit", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "nb")
     split = split.withColumn("task", F.expr(f"case when nb = 1 then pmod(xxhash64(unit), {max(1, n_units // 256)}) else xxhash64(unit, bi, bj) end"))
-    near = split.join(codes, "cls").select("task", "unit", "bi", "bj", "blk", "cls", "codes", "d", "l").groupBy("task").applyInPandas(_compared(edits), "cls long, d long, l long")
+    near = split.join(codes, "cls").select("task", "unit", "bi", "bj", "blk", "cls", "codes", "d", "l").groupBy("task").applyInPandas(_compared(bands), "cls long, d long, l long")
     near = near.groupBy("cls").agg(F.min(F.struct("d", "l")).alias("other"))
     first = lines.join(near, "cls", "left").select(F.col("cls").alias("h1"), "h2", "n", F.struct("d", "l").alias("own"), "other")
-    first = first.withColumn("earliest", F.least("own", F.coalesce("other", "own"))).filter("n > 1 or earliest < own").select("h1", "h2", "earliest")
+    first = first.withColumn("earliest", F.least("own", F.coalesce("other", "own"))).filter("n > 1 or earliest < own")
+    first = per_key(first.select("h1", "h2", F.col("earliest.d").alias("first_d"), F.col("earliest.l").alias("first_l")), "op10first")
     hit = occ.select("doc_id", "line", "h1", "h2").join(first, ["h1", "h2"])
-    return hit.filter(F.struct(F.col("doc_id").alias("d"), F.col("line").alias("l")) > F.col("earliest")).select("doc_id", "line").distinct()
+    return hit.filter("doc_id > first_d or doc_id = first_d and line > first_l").select("doc_id", "line").distinct()
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``docs`` with the lines of :func:`removed_lines` taken out of ``text``, and ``n_removed`` (long; a
-    column of that name is replaced).  A null text stays null; all other columns are kept."""
-    docs = docs.drop("n_removed")
-    gone = removed_lines(docs, edits, least).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
+def without_repeated_lines(docs: DataFrame, bands=BANDS, count: str = "n_removed") -> DataFrame:
+    """``docs`` with the lines of :func:`removed_lines` taken out of ``text``, and their number in ``count``
+    (long; a column of that name is replaced).  A null text stays null; all other columns are kept."""
+    docs = docs.drop(count)
+    gone = removed_lines(docs, bands).groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))
     gone = materialize(gone.withColumnRenamed("doc_id", "__id"), "op10gone")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    n, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    ids = small(gone.select("__id"), n)
-    if n <= LISTED_TEXTS and lines <= LISTED_LINES:  # the texts stay where they are
-        dirty = docs.filter("text is not null").join(F.broadcast(gone), key == F.col("__id"))
-    else:
-        dirty = docs.join(ids, key == F.col("__id"), "left_semi").filter("text is not null").join(gone, key == F.col("__id"))
-    dirty = dirty.drop("__id").mapInArrow(_rebuilt, f"{fields}, text string, n_removed long")
-    clean = docs.join(ids, (key == F.col("__id")) & F.col("text").isNotNull(), "left_anti").withColumn("n_removed", F.lit(0).cast("long"))
+    ids = small(gone.select("__id"))
+    dirty = docs.filter("text is not null").join(ids, key == F.col("__id"), "left_semi").join(small(gone), key == F.col("__id"))
+    dirty = dirty.drop("__id").mapInArrow(_rebuilt(count), f"{fields}, text string, `{count}` long")
+    clean = docs.join(ids, (key == F.col("__id")) & F.col("text").isNotNull(), "left_anti").withColumn(count, F.lit(0).cast("long"))
     return clean.unionByName(dirty.select(clean.columns))
 
 
-def digest(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """doc_id, ``n_removed`` lines, ``kept_sha256`` of the text that is left (null: empty)."""
-    out = without_repeated_lines(docs.select("doc_id", "text"), edits, least)
+def digest(docs: DataFrame, bands=BANDS) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text; other columns are not read): doc_id, ``n_removed``
+    lines, ``kept_sha256`` of the text that is left.  A null or empty text has no lines and an empty rest;
+    null ids stay null and repeated rows are rows of their own, judged as :func:`removed_lines` says."""
+    out = without_repeated_lines(docs.select("doc_id", "text"), bands)
     return out.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
