@@ -30,6 +30,8 @@ from tenderlens.llm.textvec import Prefix, blocks, signed, sized
 from tenderlens.plans.staging import discard, materialize, per_key, small
 
 LENGTH = 400
+#: Bytes up to which the repeated ranks are broadcast; there are many tables of them, one after another.
+LISTED = 1 << 20
 #: Positions that are looked at together, so that a very long text takes no more memory than its hashes.
 CHUNK = 1 << 18
 
@@ -165,7 +167,7 @@ def _only_repeated(rows: DataFrame, *first: str) -> DataFrame:
     two tables and adaptive execution can split a rank that very many rows share."""
     least = [F.min(F.struct(*first)).alias("first")] if first else []
     twice = rows.groupBy("r1", "r2").agg(F.count("*").alias("n"), *least).filter("n > 1").drop("n")
-    return rows.join(per_key(twice, "op8twice"), ["r1", "r2"])
+    return rows.join(per_key(twice, "op8twice", LISTED), ["r1", "r2"])
 
 
 def doubled(ranks: DataFrame, base: int, enough: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -362,7 +364,7 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ones = _only_repeated(wins).groupBy("key").agg(F.collect_list("p").alias("one"))
     cut = ready.join(ones, "key", "left").filter("los is not null or one is not null").select("key", "text", "los", "his", "one")
     cut = cut.mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, n_spans long, kept string").dropDuplicates(["k1", "k2"])
-    out = marked.join(cut, ["k1", "k2"], "left")
+    out = marked.join(per_key(cut, "op8cut", LISTED), ["k1", "k2"], "left")
     whole = (F.col("n_copies") > 1) & (F.col("n_bytes") >= length)
     return out.select(
         F.when(F.col("doc_id") == -1, None).otherwise(F.col("doc_id")).alias("doc_id"),
