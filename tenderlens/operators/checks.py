@@ -185,6 +185,8 @@ def cover_bidding(t: Tables, cfg: Config) -> DataFrame:
 
 def shared_contacts(t: Tables) -> DataFrame:
     """(p1, p2, contact): provider pairs, p1 first, that have a contact in common."""
+    if "shared_contacts" in t.shared:
+        return t.shared["shared_contacts"]
     own = t.contact.filter("entity_type = 'provider'").select("entity_key", F.struct(F.col("contact_type").alias("type"), F.col("contact_value").alias("contact")).alias("contact")).distinct()
     return own.select(F.col("entity_key").alias("p1"), "contact").join(own.select(F.col("entity_key").alias("p2"), "contact"), "contact").filter("p1 < p2").select("p1", "p2", "contact")
 

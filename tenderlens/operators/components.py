@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlens.plans.staging import BROADCAST_BYTES, discard, materialize, measured_bytes, per_key
+from tenderlens.plans.staging import BROADCAST_BYTES, discard, materialize, per_key
 
 
-def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
-    """One star round.  ``edges`` holds (u, v), ``n`` at most; each u connects its neighbours to the least of
-    them.
+def _stars(edges: DataFrame, large: bool, most: int) -> DataFrame:
+    """One star round.  ``edges`` holds (u, v); each u connects its neighbours to the least of them.  A table
+    with a row for each end of an edge takes ``most`` bytes at most.
 
     Large: all neighbours, and only those above u move.  Small: only neighbours below u, and u moves too.
     """
@@ -18,7 +18,7 @@ def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
     if not large:
         both = both.filter("v < u")
     low = both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u")
-    low = F.broadcast(low) if measured_bytes(low, 2 * n) <= BROADCAST_BYTES else per_key(low, "cclow")
+    low = F.broadcast(low) if most <= BROADCAST_BYTES else per_key(low, "cclow")
     if large:  # a node that is the least of its neighbours, as hubs come to be, moves nothing and needs no match
         moved = both.filter("v > u").join(low, "u", "left").select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
     else:
@@ -37,9 +37,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
     kind = e.schema["u"].dataType
     now, before = materialize(e, "cc"), None
-    n = now.count()
+    n, longest = now.agg(F.count("*"), F.coalesce(F.max(F.greatest(*(F.octet_length(F.col(c).cast("string")) for c in "uv"))), F.lit(0))).first()
+    width = 2 * (64 + 2 * longest)
     while True:
-        then = materialize(_stars(_stars(now, True, n), False, 2 * n), "cc")
+        then = materialize(_stars(_stars(now, True, n * width), False, 2 * n * width), "cc")
         sums = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = then

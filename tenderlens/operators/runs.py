@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderlens.operators.checks import REGISTRY
+from tenderlens.operators.checks import REGISTRY, shared_contacts
 from tenderlens.operators.scoring import all_scores, attributed
+from tenderlens.operators.valuation import valued_contracts
+from tenderlens.plans.staging import materialize
 from tenderlens.plans.tables import Config, Tables
 
 RERUN_AFTER = 500
@@ -24,9 +27,15 @@ def effective_config(overrides: dict | None = None) -> Config:
     return Config(**o)
 
 
+def with_shared(t: Tables) -> Tables:
+    """``t`` with the valued contracts and the pairs of shared contacts, which many checks read, written once."""
+    shared = {"valued_contracts": materialize(valued_contracts(t), "valued"), "shared_contacts": materialize(shared_contacts(t), "contacts")}
+    return replace(t, shared=shared)
+
+
 def run_detection(t: Tables, cfg: Config) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """(findings by check, failures by check): a check that fails has no findings and stops no other."""
-    findings, failed = {}, {}
+    t, findings, failed = with_shared(t), {}, {}
     for key, c in REGISTRY.items():
         if key in cfg.disabled:
             continue

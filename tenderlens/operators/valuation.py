@@ -95,6 +95,8 @@ def with_usd(df: DataFrame, fx_rate: DataFrame, ars: str, out: str) -> DataFrame
 
 def valued_contracts(t: Tables) -> DataFrame:
     """Contracts with their process's window column, unit and links, and ``real_ars`` (decimal or null)."""
+    if "valued_contracts" in t.shared:
+        return t.shared["valued_contracts"]
     p = t.process.select("process_number", "opening_date", "scheduled_date", "gazette_date", "scraped_at", "currencies", "unit_code", "source_url")
     facts = t.contract.join(p, "process_number")
     facts = facts.withColumn("observed", observation_date(F.col("perfection_date"), [F.col(c) for c in ("opening_date", "scheduled_date", "gazette_date", "scraped_at")]))

@@ -98,7 +98,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     for name, sql in STEPS:
         used = {n: known[n] for n in re.findall(r"\{(\w+)\}", sql)}
         known[name] = spark.sql(_spark_text(sql), **used)
-    return Tables(**{f: known[f] for f in Tables.__dataclass_fields__})
+    return Tables(**{f: known[f] for f in Tables.__dataclass_fields__ if f in known})
 
 
 def ctes(*wanted: str) -> str:

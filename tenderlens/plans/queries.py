@@ -11,12 +11,13 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tenderlens.functions import normalize as norm
 from tenderlens.operators import checks, groups, ingest, network, profiles, runs, scoring, valuation
 from tenderlens.operators.components import connected_components
 from tenderlens.plans import fixture_map
-from tenderlens.plans.staging import shared_dir
+from tenderlens.plans.staging import materialize, shared_dir
 from tenderlens.plans.tables import Config, Tables, process_window, top_n
 from tenderlens.sources import snapshot
 from tenderlens.streaming import incremental
@@ -30,7 +31,7 @@ TUNED = Config(
         "serial_winner_pct": 17.0, "bias_min_contracts": 3, "bias_min_amount": 0, "bias_pct": 10.0, "uoc_min_contracts": 3, "uoc_min_amount": 0, "uoc_min_pct": 5.0,
         "split_max_contract_ars": 1e12, "split_min_count": 2, "split_min_total_ars": 0, "triad_min_contracts": 2, "triad_min_amount": 0, "triad_min_auth_pct": 4.0, "triad_min_unit_pct": 1.0,
         "hub_min_providers": 3, "cdi_min_pct": 30.0, "round_min_pct": 20.0, "spike_multiplier": 1.3,
-        "ring_min_cobid_weight": 31, "community_min_edge_weight": 31, "community_min_density": 1.0,
+        "community_min_density": 1.0,
     }
 )
 
@@ -270,9 +271,20 @@ def _b6(t):
     return valuation.with_usd(t.contract, t.fx_rate, "total_amount", "total_usd").select("document_number", "total_usd")
 
 
-@query("b7_spend_by_year", f"WITH {VALUED} SELECT 'contract' AS entity, CAST(year(observed) AS INT) AS year, count(*) AS n, CAST(round(sum(CAST(CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount ELSE fx_ars END AS DECIMAL(38,8))), 2) AS DOUBLE) AS ars, CAST(round(coalesce(sum(real_ars), 0), 2) AS DOUBLE) AS real_ars FROM vc GROUP BY ALL", _V)
+_SPENT = "SELECT entity, CAST(year(observed) AS INT) AS year, count(*) AS n, CAST(round(sum(CAST(CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount ELSE fx_ars END AS DECIMAL(38,8))), 2) AS DOUBLE) AS ars, CAST(round(coalesce(sum(real_ars), 0), 2) AS DOUBLE) AS real_ars"
+
+
+@query(
+    "b7_spend_by_year",
+    f"""WITH {VALUED}, bf AS (SELECT b.*, coalesce(b.submitted_at, p.opening_date, p.scheduled_date, p.gazette_date, p.scraped_at) AS observed, coalesce(b.currency, p.currencies[1]) AS currency_used FROM bid b JOIN process p ON b.process_number = p.process_number),
+bi AS (SELECT bf.*, CASE WHEN currency_used IS NOT NULL THEN i.index_value END AS index_value FROM bf ASOF LEFT JOIN price_index i ON bf.observed >= i.period),
+bx AS (SELECT bi.*, CAST(round(CAST(total_amount AS DECIMAL(18,4)) * CAST(x.rate AS DECIMAL(18,6)), 2) AS DOUBLE) AS fx_ars FROM (SELECT *, CASE WHEN currency_used <> 'ARS' THEN currency_used ELSE '?' END AS cu FROM bi) bi ASOF LEFT JOIN fx_rate x ON bi.cu = x.currency AND bi.observed >= x.observed_date),
+vb AS (SELECT *, CAST(CASE WHEN index_value > 0 THEN (CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount ELSE fx_ars END) * (SELECT max(index_value) FROM price_index) / index_value END AS DECIMAL(38,8)) AS real_ars FROM bx),
+every AS (SELECT 'contract' AS entity, observed, currency, total_amount, fx_ars, real_ars FROM vc UNION ALL SELECT 'bid', observed, currency, total_amount, fx_ars, real_ars FROM vb) {_SPENT} FROM every GROUP BY ALL""",
+    _V + " bid",
+)
 def _b7(t):
-    return valuation.spend_by_year(t).filter("entity = 'contract'")
+    return valuation.spend_by_year(t)
 
 
 # ---- checks --------------------------------------------------------------------------------------------
@@ -422,12 +434,12 @@ def _c13(t):
 
 @query("c14_bid_rotation_ring")
 def _c14(t):
-    return groups.bid_rotation_ring(t, TUNED)
+    return groups.bid_rotation_ring(t, _tuned(t))
 
 
 @query("c15_cobid_community")
 def _c15(t):
-    return groups.cobid_community(t, TUNED)
+    return groups.cobid_community(t, _tuned(t))
 
 
 _CC = """cp AS (SELECT p1, p2 FROM sc), nn AS (SELECT p1 AS n FROM cp UNION SELECT p2 FROM cp), ee AS (SELECT p1 AS u, p2 AS v FROM cp UNION SELECT p2, p1 FROM cp),
@@ -451,7 +463,25 @@ def _c16(t):
 # ---- network -------------------------------------------------------------------------------------------
 
 _COBID = "bb AS (SELECT DISTINCT process_number, provider_cuit FROM bid JOIN process USING (process_number)), ce AS (SELECT x.provider_cuit AS a, y.provider_cuit AS b, count(*) AS weight FROM bb x JOIN bb y ON x.process_number = y.process_number AND x.provider_cuit < y.provider_cuit GROUP BY ALL)"
-_W = 31
+#: The strongest pairs: the least weight that at most one pair in twenty reaches, whatever the size of the data.
+_STRONG = f"{_COBID}, ws AS (SELECT weight, sum(n) OVER (ORDER BY weight DESC) AS above, sum(n) OVER () AS every FROM (SELECT weight, count(*) AS n FROM ce GROUP BY 1)), se AS (SELECT * FROM ce WHERE weight >= (SELECT coalesce(min(weight) FILTER (above * 20 <= every), max(weight)) FROM ws))"
+
+
+def _strong_weight(t: Tables) -> int:
+    weights = materialize(network.cobid_edges(t, 1, Config()).groupBy("weight").agg(F.count("*").alias("n")), "hist")
+    above = F.sum("n").over(Window.orderBy(F.desc("weight")))  # a row for each weight there is
+    least = F.coalesce(F.min(F.when(F.col("above") * 20 <= F.col("every"), F.col("weight"))), F.max("weight"))
+    return weights.select("weight", above.alias("above"), F.sum("n").over(Window.partitionBy()).alias("every")).agg(least).first()[0] or 1
+
+
+def _strong(t: Tables) -> DataFrame:
+    return materialize(network.cobid_edges(t, _strong_weight(t), Config()), "strong")
+
+
+def _tuned(t: Tables) -> Config:
+    """The tuned thresholds, those on edges as the data has them."""
+    w = _strong_weight(t)
+    return replace(TUNED, thresholds=TUNED.thresholds | {"ring_min_cobid_weight": w, "community_min_edge_weight": w})
 
 
 @query("d1_cobid_edges", f"WITH {_COBID} SELECT * FROM ce WHERE weight >= 2", "bid process")
@@ -492,22 +522,22 @@ def _d5(t):
 
 @query("d6_communities")
 def _d6(t):
-    return network.communities(network.cobid_edges(t, _W, Config()))
+    return network.communities(_strong(t))
 
 
 @query("d7_k_core")
 def _d7(t):
-    return network.k_core(network.cobid_edges(t, _W, Config()), 4)
+    return network.k_core(_strong(t), 4)
 
 
 @query("d7_peel_to_cap")
 def _d7b(t):
-    return network.peel_to_cap(network.cobid_edges(t, _W, Config()), 60)
+    return network.peel_to_cap(_strong(t), 60)
 
 
 @query("d8_maximal_cliques")
 def _d8(t):
-    return network.maximal_cliques(network.cobid_edges(t, _W, Config()))
+    return network.maximal_cliques(network.peel_to_cap(_strong(t))).select(F.array_join("members", ";").alias("members"), F.size("members").alias("size"))
 
 
 @query("d9_group_cohesion", f"WITH {_COBID}, {_GROUPS}, i AS (SELECT x.group_id, weight FROM ce JOIN gg x ON x.member = a JOIN gg y ON y.member = b WHERE x.group_id = y.group_id), n AS (SELECT group_id, count(*) AS n FROM gg GROUP BY 1) SELECT group_id, n, count(weight) AS n_edges, coalesce(sum(weight), 0)::BIGINT AS weight, round(coalesce(sum(weight), 0) / (n * (n - 1) / 2), 6) AS density FROM n LEFT JOIN i USING (group_id) GROUP BY group_id, n", "bid process provider")
@@ -529,19 +559,18 @@ def _d10(t):
 
 @query("d11_select_disjoint")
 def _d11(t):
-    edges = network.cobid_edges(t, _W, Config())
-    rows = network.maximal_cliques(edges).select(F.array_join("members", "|").alias("group_id"), "members", F.size("members").alias("size"))
+    rows = network.maximal_cliques(network.peel_to_cap(_strong(t))).select(F.array_join("members", "|").alias("group_id"), "members", F.size("members").alias("size"))
     return network.select_disjoint(rows, ["size"])
 
 
-@query("d12_cobid_degree", f"WITH {_COBID} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM ce WHERE weight >= {_W} UNION ALL SELECT b FROM ce WHERE weight >= {_W}) GROUP BY 1", "bid process")
+@query("d12_cobid_degree", f"WITH {_STRONG} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM se UNION ALL SELECT b FROM se) GROUP BY 1", "bid process")
 def _d12(t):
-    return network.cobid_degree(network.cobid_edges(t, _W, Config()))
+    return network.cobid_degree(_strong(t))
 
 
 @query("d12_betweenness")
 def _d12b(t):
-    return network.cobid_centrality(t, _W, 400)
+    return network.cobid_centrality(t, _strong_weight(t), 400)
 
 
 _WON = "won AS (SELECT provider_cuit, c.process_number, unit_code, c.document_number, c.source AS csource, total_amount, currency FROM contract c JOIN process p ON p.process_number = c.process_number)"
@@ -550,32 +579,32 @@ _CENT = "CAST(round(sum(CAST(total_amount AS DECIMAL(38,4))), 2) AS DOUBLE)"
 
 @query(
     "d13_provider_graph",
-    f"""WITH {_WON}, a AS (SELECT cuit FROM provider WHERE CAST(cuit AS BIGINT) % 10 = 1), w AS (SELECT provider_cuit AS anchor, process_number, {_CENT} AS amount, min(currency) AS currency FROM won JOIN a ON cuit = provider_cuit GROUP BY ALL), own AS (SELECT DISTINCT entity_key, contact_type || ':' || contact_value AS c FROM contact WHERE entity_type = 'provider')
+    f"""WITH {_WON}, a AS (SELECT cuit FROM provider), w AS (SELECT provider_cuit AS anchor, process_number, {_CENT} AS amount, min(currency) AS currency FROM won JOIN a ON cuit = provider_cuit GROUP BY ALL), own AS (SELECT DISTINCT entity_key, contact_type || ':' || contact_value AS c FROM contact WHERE entity_type = 'provider')
 SELECT anchor, 'provider:' || anchor AS source, 'process:' || process_number AS target, 'WON' AS kind, amount, currency FROM w
 UNION ALL SELECT DISTINCT provider_cuit, 'provider:' || provider_cuit, 'process:' || process_number, 'BID', NULL, NULL FROM bid b JOIN a ON cuit = provider_cuit JOIN process USING (process_number) WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.anchor = b.provider_cuit AND w.process_number = b.process_number)
 UNION ALL SELECT m.entity_key, 'provider:' || o.entity_key, 'contact:' || m.c, 'CONTACT', NULL, NULL FROM own m JOIN a ON cuit = m.entity_key JOIN own o ON o.c = m.c""",
     "contract process provider bid contact",
 )
 def _d13(t):
-    return network.provider_graph(t, t.provider.filter("cast(cuit as bigint) % 10 = 1"), Config())
+    return network.provider_graph(t, t.provider, Config())
 
 
 @query(
     "d14_unit_graph",
-    f"WITH {_WON} SELECT unit_code AS anchor, 'unit:' || unit_code AS source, 'process:' || process_number AS target, 'MANAGED' AS kind, NULL::DOUBLE AS amount, NULL AS currency FROM process WHERE unit_code LIKE '1%' UNION ALL SELECT unit_code, 'provider:' || provider_cuit, 'process:' || process_number, 'WON', {_CENT}, min(currency) FROM won WHERE unit_code LIKE '1%' GROUP BY unit_code, provider_cuit, process_number",
+    f"WITH {_WON} SELECT unit_code AS anchor, 'unit:' || unit_code AS source, 'process:' || process_number AS target, 'MANAGED' AS kind, NULL::DOUBLE AS amount, NULL AS currency FROM process UNION ALL SELECT unit_code, 'provider:' || provider_cuit, 'process:' || process_number, 'WON', {_CENT}, min(currency) FROM won GROUP BY unit_code, provider_cuit, process_number",
     "contract process",
 )
 def _d14(t):
-    return network.unit_graph(t, t.unit.filter("code like '1%'"), Config())
+    return network.unit_graph(t, t.unit, Config())
 
 
 @query(
     "d15_authorizer_graph",
-    f"WITH {_WON}, s AS (SELECT DISTINCT won.*, authorizer FROM won JOIN authorized_by a ON a.document_number = won.document_number AND a.source = won.csource WHERE authorizer LIKE '%7') SELECT DISTINCT authorizer AS anchor, 'authorizer:' || authorizer AS source, 'process:' || process_number AS target, 'AUTHORIZED' AS kind, NULL::DOUBLE AS amount, NULL AS currency FROM s UNION ALL SELECT authorizer, 'provider:' || provider_cuit, 'process:' || process_number, 'WON', {_CENT}, min(currency) FROM s GROUP BY authorizer, provider_cuit, process_number",
+    f"WITH {_WON}, s AS (SELECT DISTINCT won.*, authorizer FROM won JOIN authorized_by a ON a.document_number = won.document_number AND a.source = won.csource) SELECT DISTINCT authorizer AS anchor, 'authorizer:' || authorizer AS source, 'process:' || process_number AS target, 'AUTHORIZED' AS kind, NULL::DOUBLE AS amount, NULL AS currency FROM s UNION ALL SELECT authorizer, 'provider:' || provider_cuit, 'process:' || process_number, 'WON', {_CENT}, min(currency) FROM s GROUP BY authorizer, provider_cuit, process_number",
     "contract process authorized_by",
 )
 def _d15(t):
-    return network.authorizer_graph(t, t.authorized_by.filter("authorizer like '%7'").select(F.col("authorizer").alias("name")), Config())
+    return network.authorizer_graph(t, t.authorized_by.select(F.col("authorizer").alias("name")), Config())
 
 
 @query("d16_summarise_graph", f"WITH {_WON}, e AS (SELECT unit_code AS anchor, 'unit:' || unit_code AS s, 'process:' || process_number AS t, 'MANAGED' AS kind FROM process UNION ALL SELECT DISTINCT unit_code, 'provider:' || provider_cuit, 'process:' || process_number, 'WON' FROM won), n AS (SELECT anchor, s AS node FROM e UNION SELECT anchor, t FROM e) SELECT anchor, 'node:' || split_part(node, ':', 1) AS kind, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT anchor, 'edge:' || kind, count(*) FROM e GROUP BY ALL", "contract process")
@@ -583,21 +612,21 @@ def _d16(t):
     return network.summarise_graph(network.unit_graph(t, t.unit, Config()), 50)[0]
 
 
-def _two_anchors(t: Tables) -> DataFrame:
-    return network.provider_graph(t, t.provider.filter("cast(cuit as bigint) % 10 = 1"), Config())
+def _around_providers(t: Tables) -> DataFrame:
+    return network.provider_graph(t, t.provider, Config())
 
 
-_ANCHORED = "e AS (SELECT DISTINCT 'provider:' || provider_cuit AS s, 'process:' || process_number AS t FROM bid JOIN process USING (process_number) WHERE CAST(provider_cuit AS BIGINT) % 10 = 1 UNION SELECT 'provider:' || o.entity_key, 'contact:' || m.contact_type || ':' || m.contact_value FROM contact m JOIN contact o ON o.contact_type = m.contact_type AND o.contact_value = m.contact_value WHERE m.entity_type = 'provider' AND o.entity_type = 'provider' AND CAST(m.entity_key AS BIGINT) % 10 = 1), an AS (SELECT 'provider:' || cuit AS node FROM provider WHERE CAST(cuit AS BIGINT) % 10 = 1)"
+_ANCHORED = "e AS (SELECT DISTINCT 'provider:' || provider_cuit AS s, 'process:' || process_number AS t FROM bid JOIN process USING (process_number) UNION SELECT 'provider:' || o.entity_key, 'contact:' || m.contact_type || ':' || m.contact_value FROM contact m JOIN contact o ON o.contact_type = m.contact_type AND o.contact_value = m.contact_value WHERE m.entity_type = 'provider' AND o.entity_type = 'provider'), an AS (SELECT 'provider:' || cuit AS node FROM provider)"
 
 
 @query("d17_shared_subgraph", f"WITH {_ANCHORED}, d AS (SELECT t, count(*) FILTER (s IN (SELECT node FROM an)) AS na, count(*) AS np FROM e GROUP BY t), h AS (SELECT t FROM d WHERE np >= 2 OR na >= 2) SELECT node FROM an UNION SELECT t FROM h UNION SELECT s FROM e WHERE t IN (SELECT t FROM h)", "bid process contact provider")
 def _d17(t):
-    return network.shared_subgraph(_two_anchors(t), t.provider.filter("cast(cuit as bigint) % 10 = 1").select(F.concat(F.lit("provider:"), "cuit").alias("node")))
+    return network.shared_subgraph(_around_providers(t), t.provider.select(F.concat(F.lit("provider:"), "cuit").alias("node")))
 
 
 @query("d18_collapse_leaves", f"WITH {_ANCHORED}, lf AS (SELECT t FROM e GROUP BY t HAVING count(*) = 1 AND t LIKE 'process:%'), m AS (SELECT s, count(*) AS n FROM e WHERE t IN (SELECT t FROM lf) GROUP BY s HAVING count(*) > 12) SELECT s AS source, t AS target, 1::BIGINT AS n FROM e WHERE NOT (t IN (SELECT t FROM lf) AND s IN (SELECT s FROM m)) UNION ALL SELECT s, 'cluster:' || s, n FROM m", "bid process contact provider")
 def _d18(t):
-    return network.collapse_leaf_processes(_two_anchors(t), 12)
+    return network.collapse_leaf_processes(_around_providers(t), 12)
 
 
 @query("d21_pair_history", f"WITH {_SHARED}, b AS (SELECT DISTINCT process_number, provider_cuit FROM bid), w AS (SELECT process_number, string_agg(DISTINCT provider_cuit, ';' ORDER BY provider_cuit) AS winners FROM contract GROUP BY 1) SELECT p1 AS a, p2 AS b, process_number, winners FROM sc JOIN b x ON x.provider_cuit = p1 JOIN b y USING (process_number) LEFT JOIN w USING (process_number) WHERE y.provider_cuit = p2", "contact bid contract")
@@ -622,12 +651,20 @@ def _e7(t):
 
 # ---- scoring and profiles ------------------------------------------------------------------------------
 
-#: The checks that the scored queries run: those whose findings SQL can say too.
-SCORED = ("cdi_abuse", "contract_cost_overrun", "cover_bidding", "fake_competition", "cross_agency_proxy", "round_price_bids")
+#: The query of each check whose findings SQL can say too; the other two need cliques and communities.
+SAID = {
+    "serial_winner": "c1_serial_winner", "authorizer_bias": "c2_authorizer_bias", "authorizer_provider_ring": "c3_authorizer_provider_ring", "uoc_favoritism": "c4_uoc_favoritism",
+    "contract_splitting": "c5_contract_splitting", "contract_cost_overrun": "c6_contract_cost_overrun", "cover_bidding": "c7_cover_bidding", "fake_competition": "c8_fake_competition",
+    "cross_agency_proxy": "c9_cross_agency_proxy", "contact_hub_multi_provider": "c10_contact_hub", "cdi_abuse": "c11_cdi_abuse", "round_price_bids": "c12_round_price_bids",
+    "spending_spikes": "c13_spending_spikes", "shared_contact_cluster": "c16_shared_contact_cluster",
+}
 
 
-def _findings(t: Tables) -> dict[str, DataFrame]:
-    return {k: checks.REGISTRY[k].run(t, TUNED) for k in SCORED}
+def _findings(t: Tables, every: bool = False) -> dict[str, DataFrame]:
+    """The findings of the checks that SQL can say, or of all sixteen, each written once."""
+    cfg = _tuned(t) if every else TUNED
+    t = runs.with_shared(t)
+    return {k: materialize(c.run(t, cfg), k) for k, c in checks.REGISTRY.items() if every or k in SAID}
 
 
 def _parts(name: str) -> str:
@@ -638,22 +675,30 @@ def _parts(name: str) -> str:
 def _scored_sql() -> str:
     weights = scoring.weights(TUNED)
     rows = []
-    for name, key, cols in (
-        ("c11_cdi_abuse", "cdi_abuse", [("unit", "unit_code", "unit_name")]),
-        ("c6_contract_cost_overrun", "contract_cost_overrun", [("provider", "provider_cuit", "provider_name"), ("unit", "unit_code", "unit_name")]),
-        ("c7_cover_bidding", "cover_bidding", [("provider", "provider_cuit", "provider_name"), ("provider", "runner_up_cuit", "runner_up_name")]),
-        ("c8_fake_competition", "fake_competition", [("provider", "provider1_cuit", "provider1_name"), ("provider", "provider2_cuit", "provider2_name")]),
-        ("c9_cross_agency_proxy", "cross_agency_proxy", [("provider", "provider_cuit", "provider_name"), ("unit", "unit_code", "unit_name")]),
-        ("c12_round_price_bids", "round_price_bids", [("provider", "provider_cuit", "provider_name")]),
-    ):
-        for kind, col, label in cols:
-            rows.append(f"SELECT '{kind}' AS entity_type, {col} AS id, {label} AS name, '{key}' AS chk, {weights[key]} AS weight FROM {_parts(name)}")
+    for key, name in SAID.items():
+        for kind, col, label in checks.REGISTRY[key].entities:
+            rows.append(f"SELECT '{kind}' AS entity_type, {col} AS id, {label or col} AS name, '{key}' AS chk, {weights[key]} AS weight FROM {_parts(name)}")
     return " UNION ALL ".join(rows)
 
 
+def _counted_sql() -> str:
+    """(chk, n): findings of each check that SQL can say."""
+    return " UNION ALL ".join(f"SELECT '{key}' AS chk, count(*) AS n FROM {_parts(name)}" for key, name in SAID.items())
+
+
+def _syndrome_sql(flags: str, what: str) -> str:
+    """Of the syndromes in which all flags are there: the greatest multiplier, or the labels in order."""
+    test = lambda keys: " AND ".join(f"list_contains({flags}, '{k}')" for k in keys)
+    if what == "multiplier":
+        return "greatest(1.0::DOUBLE, " + ", ".join(f"CASE WHEN {test(k)} THEN {m} ELSE 1.0 END::DOUBLE" for _, k, m in scoring.SYNDROMES) + ")"
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test(k)} THEN '{label}' END" for label, k, _ in scoring.SYNDROMES) + "], lambda x: x IS NOT NULL), ';')"
+
+
 _ATTR = f"att AS ({_scored_sql()}), pc AS (SELECT entity_type, id, chk, weight, count(*) AS n, min(name) AS name FROM att GROUP BY ALL)"
-_SCORE = f"""{_ATTR}, sb AS (SELECT entity_type, id, min(name) AS name, sum(weight * least(1.0::DOUBLE, log2(n + 1) / log2(11)) ORDER BY weight * least(1.0::DOUBLE, log2(n + 1) / log2(11))) AS base, count(*) AS confidence, string_agg(chk, ';' ORDER BY chk) AS flags FROM pc GROUP BY ALL),
-sc AS (SELECT entity_type, id, name, least(round_even(base, 0), 100)::INT AS score, least(round_even(base, 0), 100)::INT AS base_score, confidence::INT AS confidence, flags FROM sb)"""
+_SCORE = f"""{_ATTR}, sb AS (SELECT entity_type, id, min(name) AS name, sum(weight * least(1.0::DOUBLE, log2(n + 1) / log2(11)) ORDER BY weight * least(1.0::DOUBLE, log2(n + 1) / log2(11))) AS base, count(*) AS confidence, list(chk ORDER BY chk) AS fl FROM pc GROUP BY ALL),
+sm AS (SELECT *, CASE WHEN entity_type = 'provider' THEN {_syndrome_sql('fl', 'multiplier')} ELSE 1.0 END AS mult, CASE WHEN entity_type = 'provider' THEN {_syndrome_sql('fl', 'labels')} ELSE '' END AS syndromes FROM sb),
+sc AS (SELECT entity_type, id, name, least(round_even(base * mult, 0), 100)::INT AS score, least(round_even(base, 0), 100)::INT AS base_score, confidence::INT AS confidence, array_to_string(fl, ';') AS flags, mult, syndromes FROM sm)"""
+_SCORED = "entity_type, id, name, score, base_score, confidence, flags"
 
 
 @query("e1_attribute", f"WITH {_ATTR} SELECT entity_type, id, name, chk AS \"check\" FROM att")
@@ -674,14 +719,15 @@ def _e3(t):
     return t.provider.select("cuit", scoring.syndrome_multiplier(flags).alias("multiplier"))
 
 
-@query("e4_entity_scores", f"WITH {_SCORE} SELECT * FROM sc")
+@query("e4_entity_scores", f"WITH {_SCORE} SELECT {_SCORED} FROM sc")
 def _e4(t):
     return scoring.all_scores(_findings(t), TUNED).select("entity_type", "id", "name", "score", "base_score", "confidence", F.array_join("flags", ";").alias("flags"))
 
 
 @query("e5_all_scores")
 def _e5(t):
-    return scoring.all_scores(_findings(t), TUNED, network.cobid_centrality(t, _W, 400))
+    """All sixteen checks, with the centrality of providers recorded beside the score."""
+    return scoring.all_scores(_findings(t, True), _tuned(t), network.cobid_centrality(t, _strong_weight(t), 400))
 
 
 @query("e12_company_profiles", f"WITH {_SCORE} SELECT id, score, n::INT AS n_checks FROM sc JOIN (SELECT id, count(DISTINCT chk) AS n FROM att WHERE entity_type = 'provider' GROUP BY 1) USING (id) WHERE entity_type = 'provider'")
@@ -696,17 +742,17 @@ def _e13(t):
     return profiles.entity_profiles(scoring.attributed(_findings(t)), "unit").select("id", "name", "total_tenders", "n_findings")
 
 
-@query("e14_rank_entities", f"WITH {_SCORE} SELECT id, score AS risk_score, confidence, false AS has_synergy, c AS check_counts FROM sc JOIN (SELECT entity_type, id, string_agg(chk || ':' || n, ';' ORDER BY chk) AS c FROM pc GROUP BY ALL) USING (entity_type, id) WHERE entity_type = 'unit'")
+@query("e14_rank_entities", f"WITH {_SCORE} SELECT id, score AS risk_score, confidence, mult > 1 AS has_synergy, c AS check_counts FROM sc JOIN (SELECT entity_type, id, string_agg(chk || ':' || n, ';' ORDER BY chk) AS c FROM pc GROUP BY ALL) USING (entity_type, id) WHERE entity_type = 'provider'")
 def _e14(t):
     f = _findings(t)
-    out = profiles.rank_entities(scoring.attributed(f), scoring.all_scores(f, TUNED), TUNED, "unit")
+    out = profiles.rank_entities(scoring.attributed(f), scoring.all_scores(f, TUNED), TUNED, "provider")
     entries = F.transform(F.map_entries("check_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
     return out.withColumn("check_counts", F.array_join(F.array_sort(entries), ";"))
 
 
-@query("e15_risk_breakdown", f"WITH {_SCORE} SELECT entity_type, id, score, '' AS syndromes FROM sc WHERE entity_type = 'provider' AND CAST(id AS BIGINT) % 3 = 0")
+@query("e15_risk_breakdown", f"WITH {_SCORE} SELECT entity_type, id, score, syndromes FROM sc WHERE entity_type = 'provider'")
 def _e15(t):
-    out = profiles.risk_breakdown(scoring.all_scores(_findings(t), TUNED).filter("entity_type = 'provider'"), t.provider.filter("cast(cuit as bigint) % 3 = 0").select(F.col("cuit").alias("id")))
+    out = profiles.risk_breakdown(scoring.all_scores(_findings(t), TUNED).filter("entity_type = 'provider'"), t.provider.select(F.col("cuit").alias("id")))
     return out.select("entity_type", "id", "score", F.array_join("syndromes", ";").alias("syndromes"))
 
 
@@ -714,8 +760,8 @@ def _e15(t):
     "e16_dashboard_stats",
     f"""WITH {_SCORE}, p AS (SELECT * FROM sc WHERE entity_type = 'provider') SELECT 'bucket' AS section, CASE WHEN score >= 80 THEN '81-100' WHEN score >= 60 THEN '61-80' WHEN score >= 40 THEN '41-60' WHEN score >= 20 THEN '21-40' ELSE '0-20' END AS label, count(*) AS value FROM p GROUP BY ALL
 UNION ALL SELECT 'top', id, score FROM (SELECT id, score FROM p ORDER BY score DESC, id LIMIT 10)
-UNION ALL SELECT 'check', chk, sum(n)::BIGINT FROM (SELECT 'cdi_abuse' AS chk, count(*) AS n FROM {_parts('c11_cdi_abuse')} UNION ALL SELECT 'contract_cost_overrun', count(*) FROM {_parts('c6_contract_cost_overrun')} UNION ALL SELECT 'cover_bidding', count(*) FROM {_parts('c7_cover_bidding')} UNION ALL SELECT 'fake_competition', count(*) FROM {_parts('c8_fake_competition')} UNION ALL SELECT 'cross_agency_proxy', count(*) FROM {_parts('c9_cross_agency_proxy')} UNION ALL SELECT 'round_price_bids', count(*) FROM {_parts('c12_round_price_bids')}) GROUP BY chk
-UNION ALL SELECT 'flag', flag, count(*) FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM p) GROUP BY flag
+UNION ALL SELECT 'check', chk, n FROM ({_counted_sql()})
+UNION ALL SELECT * FROM (SELECT 'flag', flag, count(*) AS k FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM p) GROUP BY flag ORDER BY k DESC, flag LIMIT 15)
 UNION ALL SELECT 'total', 'entities', count(*) FROM p UNION ALL SELECT 'total', 'units', count(DISTINCT id) FROM att WHERE entity_type = 'unit'""",
 )
 def _e16(t):
@@ -743,29 +789,28 @@ def _e19(t):
     return profiles.trim_findings(scoring.attributed(_findings(t)), 3).groupBy("entity_type", "id", "check", "total").agg(F.count("*").alias("shown"))
 
 
-@query("e20_search_processes", "WITH p AS (SELECT process_number, opening_date AS opening, unit_code FROM process WHERE unit_code LIKE '1-%' ORDER BY opening_date DESC NULLS LAST, process_number LIMIT 200) SELECT process_number, strftime(opening, '%Y-%m-%d') AS opening, unit_code, (SELECT string_agg(DISTINCT provider_cuit, ';' ORDER BY provider_cuit) FROM contract c WHERE c.process_number = p.process_number) AS winners, (SELECT count(*) FROM bid b WHERE b.process_number = p.process_number) AS n_bids FROM p", "process contract bid")
+@query("e20_search_processes", "WITH p AS (SELECT process_number, opening_date AS opening, unit_code FROM process ORDER BY opening_date DESC NULLS LAST, process_number LIMIT 200) SELECT process_number, strftime(opening, '%Y-%m-%d') AS opening, unit_code, (SELECT string_agg(DISTINCT provider_cuit, ';' ORDER BY provider_cuit) FROM contract c WHERE c.process_number = p.process_number) AS winners, (SELECT count(*) FROM bid b WHERE b.process_number = p.process_number) AS n_bids FROM p", "process contract bid")
 def _e20(t):
-    out = profiles.search_processes(t, Config(), units=t.unit.filter("code like '1-%'"), limit=200)
+    out = profiles.search_processes(t, Config(), units=t.unit, limit=200)
     return out.withColumn("winners", F.array_join("winners", ";")).withColumn("opening", F.col("opening").cast("string"))
 
 
 @query(
     "e21_process_detail",
-    "WITH n AS (SELECT process_number FROM process WHERE unit_code LIKE '2-%'), b AS (SELECT process_number, string_agg(provider_cuit || ':' || CAST(CAST(total_amount AS DECIMAL(38,2)) AS VARCHAR), ';' ORDER BY total_amount, provider_cuit) AS bids FROM bid GROUP BY 1), c AS (SELECT process_number, string_agg(document_number || ':' || authorizer, ';' ORDER BY document_number) AS contracts FROM contract JOIN authorized_by USING (document_number, source) GROUP BY 1), l AS (SELECT process_number, count(*) AS n_lines FROM bid_line GROUP BY 1) SELECT process_number, bids, contracts, coalesce(n_lines, 0) AS n_lines FROM n LEFT JOIN b USING (process_number) LEFT JOIN c USING (process_number) LEFT JOIN l USING (process_number)",
+    "WITH n AS (SELECT process_number FROM process), b AS (SELECT process_number, string_agg(provider_cuit || ':' || CAST(CAST(total_amount AS DECIMAL(38,2)) AS VARCHAR), ';' ORDER BY total_amount, provider_cuit) AS bids FROM bid GROUP BY 1), c AS (SELECT process_number, string_agg(document_number || ':' || authorizer, ';' ORDER BY document_number) AS contracts FROM contract JOIN authorized_by USING (document_number, source) GROUP BY 1), l AS (SELECT process_number, count(*) AS n_lines FROM bid_line GROUP BY 1) SELECT process_number, bids, contracts, coalesce(n_lines, 0) AS n_lines FROM n LEFT JOIN b USING (process_number) LEFT JOIN c USING (process_number) LEFT JOIN l USING (process_number)",
     "process bid contract authorized_by bid_line",
 )
 def _e21(t):
-    out = profiles.process_detail(t, t.process.filter("unit_code like '2-%'"))
+    out = profiles.process_detail(t, t.process)
     return out.select("process_number", joined("bids", lambda b: F.concat(b["provider_cuit"], F.lit(":"), dec2(b["amount"]))).alias("bids"), joined("contracts", lambda c: F.concat(c["document_number"], F.lit(":"), F.array_join(c["authorizers"], "+"))).alias("contracts"), "n_lines")
 
 
-@query("e22_findings_for_process", f"WITH r AS (SELECT process AS process_number, 'contract_cost_overrun' AS \"check\" FROM {_parts('c6_contract_cost_overrun')} UNION ALL SELECT process_number, 'cover_bidding' FROM {_parts('c7_cover_bidding')} UNION ALL SELECT process_number, 'fake_competition' FROM {_parts('c8_fake_competition')} UNION ALL SELECT unnest(string_split(processes, ';')), 'contract_splitting' FROM {_parts('c5_contract_splitting')}) SELECT process_number, \"check\", count(*) AS n FROM r GROUP BY ALL")
+@query("e22_findings_for_process", f"WITH r AS (SELECT process AS process_number, 'contract_cost_overrun' AS \"check\" FROM {_parts('c6_contract_cost_overrun')} UNION ALL SELECT process_number, 'cover_bidding' FROM {_parts('c7_cover_bidding')} UNION ALL SELECT process_number, 'fake_competition' FROM {_parts('c8_fake_competition')} UNION ALL SELECT unnest(string_split(processes, ';')), 'contract_splitting' FROM {_parts('c5_contract_splitting')} UNION ALL SELECT unnest(string_split(processes, ';')), 'spending_spikes' FROM {_parts('c13_spending_spikes')}) SELECT process_number, \"check\", count(*) AS n FROM r GROUP BY ALL")
 def _e22(t):
-    found = _findings(t) | {"contract_splitting": checks.contract_splitting(t, TUNED)}
-    return profiles.findings_for_process(found, t.process.select("process_number")).groupBy("process_number", "check").agg(F.count("*").alias("n"))
+    return profiles.findings_for_process(_findings(t), t.process.select("process_number")).groupBy("process_number", "check").agg(F.count("*").alias("n"))
 
 
-@query("e23_detection_status", f"WITH {_SCORE} SELECT 'scored' AS kind, entity_type AS name, count(*) AS n FROM sc GROUP BY ALL UNION ALL SELECT 'check', chk, n FROM (SELECT 'cdi_abuse' AS chk, count(*) AS n FROM {_parts('c11_cdi_abuse')} UNION ALL SELECT 'contract_cost_overrun', count(*) FROM {_parts('c6_contract_cost_overrun')} UNION ALL SELECT 'cover_bidding', count(*) FROM {_parts('c7_cover_bidding')} UNION ALL SELECT 'fake_competition', count(*) FROM {_parts('c8_fake_competition')} UNION ALL SELECT 'cross_agency_proxy', count(*) FROM {_parts('c9_cross_agency_proxy')} UNION ALL SELECT 'round_price_bids', count(*) FROM {_parts('c12_round_price_bids')})")
+@query("e23_detection_status", f"WITH {_SCORE} SELECT 'scored' AS kind, entity_type AS name, count(*) AS n FROM sc GROUP BY ALL UNION ALL SELECT 'check', chk, n FROM ({_counted_sql()})")
 def _e23(t):
     f = _findings(t)
     return profiles.detection_status(f, scoring.all_scores(f, TUNED))
@@ -796,8 +841,9 @@ def _e24c(t):
 
 @query("d19_network_neighborhood")
 def _d19(t):
-    found = {"shared_contact_cluster": groups.shared_contact_cluster(t, TUNED), "authorizer_provider_ring": checks.authorizer_provider_ring(t, TUNED)}
-    return groups.network_neighborhood(found, t.provider, network.cobid_centrality(t, _W, 400))
+    cfg = _tuned(t)
+    found = {k: checks.REGISTRY[k].run(t, cfg) for k in ("bid_rotation_ring", "shared_contact_cluster", "cobid_community", "authorizer_provider_ring")}
+    return groups.network_neighborhood(found, t.provider, network.cobid_centrality(t, _strong_weight(t), 400))
 
 
 @query(
@@ -840,10 +886,10 @@ def _a23(t):
     return incremental.current(spark, f"{path}/table", "process_number string, status string, source_url string")
 
 
-def _persisted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(status, attributed findings, scores) of a run of the checks that SQL can say too."""
+def _persisted(t: Tables, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(status, attributed findings, scores) of a stored run of the checks that SQL can say too, or of all."""
     spark, path = t.process.sparkSession, _folder(t, "run")
-    cfg = replace(TUNED, disabled=frozenset(set(checks.REGISTRY) - set(SCORED)))
+    cfg = _tuned(t) if every else replace(TUNED, disabled=frozenset(set(checks.REGISTRY) - set(SAID)))
     status = runs.persist_run(spark, t, cfg, path, "r1")
     return status, *runs.read_run(spark, path, runs.latest_run(spark, path))
 
@@ -861,3 +907,16 @@ def _e10(t):
 @query("e11_run_status", "SELECT 'r1' AS run_id, count(*) AS processes, false AS windowed, 0 AS n_failed FROM process", "process")
 def _e11(t):
     return _persisted(t)[0].select("run_id", "processes", "windowed", F.size("failed").alias("n_failed"))
+
+
+@query("e8_run_all_checks")
+def _e8b(t):
+    """A stored run of all sixteen checks."""
+    return _persisted(t, True)[1].groupBy("check").agg(F.count("*").alias("n"))
+
+
+@query("e11_should_rerun", "SELECT status, n >= 500 AS again FROM (SELECT status, count(*) AS n FROM process GROUP BY 1)", "process")
+def _e11b(t):
+    """Whether so many new processes as there are of a status call for another run."""
+    rows = t.process.groupBy("status").agg(F.count("*").alias("n")).collect()  # a row for each status
+    return t.process.sparkSession.createDataFrame([(r["status"], runs.should_rerun(r["n"], 0, Config())) for r in rows], "status string, again boolean")

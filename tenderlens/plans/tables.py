@@ -23,6 +23,8 @@ class Tables:
     contact: DataFrame
     price_index: DataFrame
     fx_rate: DataFrame
+    #: Frames derived from the others that several checks of a run read, by name; see ``runs.with_shared``.
+    shared: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass
