@@ -115,8 +115,11 @@ l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum
 o AS (SELECT *, row_number() OVER (ORDER BY stop, rank) AS k, weight * level <= source_size * 2 AS open FROM l),
 f AS (SELECT min(k) AS k0, arg_min(level, k) AS lv FROM o WHERE open),
 t AS (SELECT source, source_size, rank, CASE WHEN k0 IS NULL OR k < k0 THEN source_size * 2.0::DOUBLE ELSE weight * lv END AS target FROM o, f),
-b AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS quota,
+b AS (SELECT d.doc_id, d.size, t.source_size, t.target, (t.rank % 3 - 1) * 0.5::DOUBLE AS slope, floor(t.target)::BIGINT AS quota,
    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS rounds FROM b)
-SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, quota - rounds * source_size - start)))::BIGINT AS taken FROM q
+q AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS rounds FROM b),
+u AS (SELECT *, greatest(0, least(size, quota - rounds * source_size - start)) AS last, start / target AS share FROM q),
+p AS (SELECT *, CASE WHEN slope = 0 THEN share ELSE (-(1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) / (2 * slope) END AS pos FROM u)
+SELECT doc_id, size, source_size, target, (rounds * size + last)::BIGINT AS taken,
+  CASE WHEN rounds * size + last > 0 THEN round(least(1.0::DOUBLE, pos), 6) + 0.0::DOUBLE END AS "position", (CASE WHEN size > 0 THEN rounds ELSE 0 END + (last > 0)::INT)::INT AS n_uses FROM p
 """

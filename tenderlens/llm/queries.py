@@ -25,7 +25,8 @@ def op3_quality_classifier(spark, sf_dir):
 
 
 def op4_mixing(spark, sf_dir):
-    return mixing.training_order(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixing.training_order(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), F.size("uses").alias("n_uses"))
 
 
 def op5_quality_rules(spark, sf_dir):
