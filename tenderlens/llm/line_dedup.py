@@ -129,7 +129,7 @@ def _facts(bands):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            ids, content = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "content"))
             for at, texts in blocks(batch):
                 x = Lines(texts)
                 if not len(x.start):
@@ -138,7 +138,7 @@ def _facts(bands):
                 n = np.bincount(row, minlength=len(x.start))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array(ids[at + x.text]), "line": pa.array(x.number),
+                        "doc_id": pa.array(ids[at + x.text]), "content": pa.array(content[at + x.text]), "line": pa.array(x.number),
                         "h1": pa.array(signed(x.hashes[0].of(x.start, x.end))), "h2": pa.array(signed(x.hashes[1].of(x.start, x.end))),
                         "keys": lists(signed(keys), n, pa.int64()),
                     }
@@ -235,16 +235,17 @@ def _rebuilt(count: str):
 
 
 def removed_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
-    """(doc_id, line): each line (from 0) that an earlier line equals or nearly equals: the edit distance is
-    at most what the band of the shorter line allows.
+    """(doc_id, content, line): each line (from 0) that an earlier line equals or nearly equals: the edit
+    distance is at most what the band of the shorter line allows.  ``content`` is the xxhash64 of the text, which
+    tells texts of the same id apart.
 
     Earlier means a smaller doc_id, or the same and a smaller line number.  Lines without a word are never
     removed and never compared; lines under the first band must be equal.  A null text has no
     lines; null ids count as larger than any other; rows with the same id never remove the same line of
     each other.
     """
-    docs = sized(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").filter("text is not null")
-    occ = materialize(docs.mapInArrow(_facts(bands), "doc_id long, line long, h1 long, h2 long, keys array<long>"), "op10occ")
+    docs = sized(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("content"), "text").filter("text is not null")
+    occ = materialize(docs.mapInArrow(_facts(bands), "doc_id long, content long, line long, h1 long, h2 long, keys array<long>"), "op10occ")
     lines = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.max("keys").alias("keys"))
     lines = materialize(lines.select(F.col("h1").alias("cls"), "h2", F.col("first.doc_id").alias("d"), F.col("first.line").alias("l"), "n", "keys"), "op10cls")
     long_ = lines.filter("size(keys) > 0").select("cls", "keys")
@@ -276,7 +277,7 @@ def removed_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
 
     known = sketch.build(wanted.select("cls"), twice, sketch.bits_for(2 * n_units))
     # only lines that are compared travel, not the texts that hold them
-    codes = docs.mapInArrow(_contents(known), "cls long, d long, l long, codes binary").join(small(wanted, n_units), ["cls", "d", "l"]).dropDuplicates(["cls"])
+    codes = docs.select("doc_id", "text").mapInArrow(_contents(known), "cls long, d long, l long, codes binary").join(small(wanted, n_units), ["cls", "d", "l"]).dropDuplicates(["cls"])
     codes = materialize(codes, "op10txt")
     split = units.withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("blk", F.expr("cast(pmod(xxhash64(cls, 7), nb) as int)"))
     split = split.withColumn("other", F.explode(F.expr("sequence(0, cast(nb as int) - 1)"))).select("cls", "unit", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "nb")
@@ -286,22 +287,22 @@ def removed_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
     first = lines.join(near, "cls", "left").select(F.col("cls").alias("h1"), "h2", "n", F.struct("d", "l").alias("own"), "other")
     first = first.withColumn("earliest", F.least("own", F.coalesce("other", "own"))).filter("n > 1 or earliest < own")
     first = per_key(first.select("h1", "h2", F.col("earliest.d").alias("first_d"), F.col("earliest.l").alias("first_l")), "op10first")
-    hit = occ.select("doc_id", "line", "h1", "h2").join(first, ["h1", "h2"])
-    return hit.filter("doc_id > first_d or doc_id = first_d and line > first_l").select("doc_id", "line").distinct()
+    hit = occ.select("doc_id", "content", "line", "h1", "h2").join(first, ["h1", "h2"])
+    return hit.filter("doc_id > first_d or doc_id = first_d and line > first_l").select("doc_id", "content", "line").distinct()
 
 
 def without_repeated_lines(docs: DataFrame, bands=BANDS, count: str = "n_removed") -> DataFrame:
     """``docs`` with the lines of :func:`removed_lines` taken out of ``text``, and their number in ``count``
     (long; a column of that name is replaced).  A null text stays null; all other columns are kept."""
     docs = docs.drop(count)
-    gone = removed_lines(docs, bands).groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))
-    gone = materialize(gone.withColumnRenamed("doc_id", "__id"), "op10gone")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    gone = removed_lines(docs, bands).groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_list("line").alias("__gone"))
+    gone = materialize(gone, "op10gone")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__id")) & (F.xxhash64("text") == F.col("__content"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    ids = small(gone.select("__id"))
-    dirty = docs.filter("text is not null").join(ids, key == F.col("__id"), "left_semi").join(small(gone), key == F.col("__id"))
-    dirty = dirty.drop("__id").mapInArrow(_rebuilt(count), f"{fields}, text string, `{count}` long")
-    clean = docs.join(ids, (key == F.col("__id")) & F.col("text").isNotNull(), "left_anti").withColumn(count, F.lit(0).cast("long"))
+    ids = small(gone.select("__id", "__content"))
+    dirty = docs.filter("text is not null").join(ids, same, "left_semi").join(small(gone), same)
+    dirty = dirty.drop("__id", "__content").mapInArrow(_rebuilt(count), f"{fields}, text string, `{count}` long")
+    clean = docs.join(ids, same & F.col("text").isNotNull(), "left_anti").withColumn(count, F.lit(0).cast("long"))
     return clean.unionByName(dirty.select(clean.columns))
 
 

@@ -192,12 +192,12 @@ def test_line_dedup_equals_brute_force(spark, docs, rows, whole, monkeypatch):
     for at, (i, n, ln) in enumerate(every):
         for j, m, other in every[:at]:
             if (j, m) < (i, n) and (ln == other or near(ln, other)):
-                expected.add((i, n))
+                expected.add((i, n, ln))
                 break
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    assert {tuple(r) for r in line_dedup.removed_lines(both).collect()} == expected
+    assert {(r.doc_id, r.line) for r in line_dedup.removed_lines(both).collect()} == {x[:2] for x in expected}
     kept = Counter((r.doc_id, r.text) for r in line_dedup.without_repeated_lines(both).collect())
-    wanted = Counter((i, None if t is None else "\n".join(ln for n, ln in enumerate(t.split("\n")) if (big if i is None else i, n) not in expected)) for i, t in rows + extra)
+    wanted = Counter((i, None if t is None else "\n".join(ln for n, ln in enumerate(t.split("\n")) if (big if i is None else i, n, ln) not in expected)) for i, t in rows + extra)
     assert kept == wanted
 
 
