@@ -20,7 +20,8 @@ def text(size):
     t = " ".join(rng.choice(words) + ("\\n" if rng.random() < 0.05 else "") for _ in range(size // 5))
     return t[:size]
 texts = [text(100_000) for _ in range(int(sys.argv[2]))] + [text(int(sys.argv[3]))]
-batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "key": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+ids = pa.array(range(len(texts)), pa.int64())
+batch = pa.RecordBatch.from_pydict({"doc_id": ids, "key": ids, "content": ids, "text": pa.array(texts)})
 del texts
 
 def anchors(batches):
