@@ -1,9 +1,10 @@
 """Operator 7: a Merkle fixity audit of an archive of pages.
 
-Each page is a WARC record; records stand in key order, at running offsets.  A leaf hashes a record; a
-node hashes its :data:`FANOUT` children in order together with the offset range they cover.  Two replicas
-are the same if their roots are.  If not, only children of nodes that differ are compared, level by level,
-down to the records.
+Each page is a WARC record; records stand in key order, at running offsets.  Each replica hashes its own records
+and builds its own tree: a leaf range covers the records of :data:`FANOUT` consecutive page ids, and a node hashes
+its children in order with the bytes that each covers, so ranges of offsets are hashed relative to the node and a
+lost record shifts no other branch.  Two replicas are the same if their roots are.  If not, only children of nodes
+that differ are compared, level by level, and only records of leaf ranges that differ are put side by side.
 """
 
 from __future__ import annotations
@@ -47,51 +48,72 @@ def manifest(recs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(starts), "part").select(*KEY, "length", "leaf", (F.col("n0") + F.col("i")).alias("pos"), (F.col("b0") + F.col("b")).alias("offset"))
 
 
-def tree(leaves: DataFrame, top: int) -> list[DataFrame]:
-    """Nodes of each level, leaves first: (idx, hash, lo, hi); level ``top`` is the root."""
-    level = materialize(leaves.select(F.col("pos").alias("idx"), F.col("leaf").alias("hash"), F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi")), "op7lvl")
-    out = [level]
+def ranges(recs: DataFrame) -> DataFrame:
+    """(idx, hash, bytes) of the leaf ranges.  A range's hash is that of the sums of its record hashes, cut into
+    pieces of 60 bits; a record's hash covers its key, so the sums tell the same records in key order.  Sums are
+    combined before the shuffle, so a range may hold any number of records."""
+    digest = F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", F.col("copy").cast("string"), "leaf"), 256)
+    pieces = [F.sum(F.conv(F.substring("digest", 1 + 15 * n, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{n}") for n in range(4)]
+    sums = recs.select(leaf_range().alias("idx"), digest.alias("digest"), "length").groupBy("idx").agg(*pieces, F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    return sums.select("idx", F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("n", "bytes", "s0", "s1", "s2", "s3"))), 256).alias("hash"), "bytes")
+
+
+def leaf_range():
+    """The leaf range of a record; records without a page_id share the last one below 0."""
+    return F.coalesce(F.floor(F.col("page_id") / FANOUT), F.lit(-1)).cast("long")
+
+
+def tree(leaves: DataFrame, least: int, top: int) -> list[DataFrame]:
+    """Nodes of each level, leaf ranges first: (idx from 0, hash, bytes); level ``top`` is the root."""
+    out = [materialize(leaves.withColumn("idx", F.col("idx") - least), "op7lvl")]
     for _ in range(top):
-        kids = F.array_sort(F.collect_list(F.struct("idx", "hash")))
-        up = level.groupBy(F.floor(F.col("idx") / FANOUT).alias("up")).agg(kids.alias("kids"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        joined = F.concat_ws("|", F.transform("kids", lambda k: F.concat(k["idx"].cast("string"), F.lit(":"), k["hash"])))
-        node = F.sha2(F.concat_ws(";", F.col("lo").cast("string"), F.col("hi").cast("string"), joined), 256)
-        level = materialize(up.select(F.col("up").alias("idx"), node.alias("hash"), "lo", "hi"), "op7lvl")
-        out.append(level)
+        kids = F.array_sort(F.collect_list(F.struct("idx", "hash", "bytes")))
+        up = out[-1].groupBy(F.floor(F.col("idx") / FANOUT).alias("up")).agg(kids.alias("kids"), F.sum("bytes").alias("bytes"))
+        joined = F.concat_ws("|", F.transform("kids", lambda k: F.concat_ws(":", k["idx"].cast("string"), k["bytes"].cast("string"), k["hash"])))
+        out.append(materialize(up.select(F.col("up").alias("idx"), F.sha2(joined, 256).alias("hash"), "bytes"), "op7lvl"))
     return out
 
 
+def differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame | None:
+    """(idx) of the leaf ranges that differ, found from the roots down; None if the roots agree."""
+    front = None
+    for level in range(len(a) - 1, -1, -1):
+        left, right = a[level], b[level]
+        if front is not None:
+            marks = small(front.select(F.col("idx").alias("up")))
+            left, right = (x.join(marks, F.floor(F.col("idx") / FANOUT) == F.col("up"), "left_semi") for x in (left, right))
+        pair = left.select("idx", F.col("hash").alias("x")).join(right.select("idx", F.col("hash").alias("y")), "idx", "full")
+        front = materialize(pair.filter(~F.col("x").eqNullSafe(F.col("y"))).select("idx"), "op7frt")
+        if level == len(a) - 1 and not front.limit(1).count():
+            return None
+    return front
+
+
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """(page_id, url, offset, length, status): the records of ``pages`` that ``replica`` has ``changed`` or
     ``missing``, at their place in the archive, and those it has in addition (``extra``, offset null).
-    Both have page_id, url, html; other columns are not read.  Equal replicas, and empty ones, give no
-    rows.  The replica's records take the manifest's places by key, so one that is lost shifts no other.
+    Both have page_id (a whole number), url, html; other columns are not read.  Equal replicas, and empty ones,
+    give no rows.  A table has no order but that of its keys, so records that trade places are two changed ones.
     """
     plan = materialize(manifest(records(pages)), "op7man")
-    other = materialize(records(replica).select(*KEY, F.col("length").alias("length_b"), F.col("leaf").alias("leaf_b")), "op7rep")
-    n = plan.count()
+    other = materialize(records(replica).select(*KEY, "length", "leaf"), "op7rep")
+    nodes = [materialize(ranges(x), "op7rng") for x in (plan, other)]
+    least, most = nodes[0].unionByName(nodes[1]).agg(F.min("idx"), F.max("idx")).first()
     top = 0
-    while FANOUT**top < max(2, n):
+    while FANOUT**top <= (most or 0) - (least or 0):
         top += 1
-    same = F.lit(True)
-    for k in KEY:
-        same = same & plan[k].eqNullSafe(other[k])
-    placed = plan.join(other, same).select(plan["pos"], other["leaf_b"].alias("leaf"), plan["offset"], other["length_b"].alias("length"))
-    a, b = tree(plan, top), tree(placed, top)
-    front = None
-    for level in range(top, -1, -1):
-        left, right = a[level].alias("a"), b[level].alias("b")
-        if front is not None:
-            marks = small(front.select(F.col("idx").alias("up")))
-            left = a[level].join(marks, F.floor(F.col("idx") / FANOUT) == F.col("up"), "left_semi").alias("a")
-            right = b[level].join(marks, F.floor(F.col("idx") / FANOUT) == F.col("up"), "left_semi").alias("b")
-        pair = left.join(right, F.col("a.idx") == F.col("b.idx"), "left").filter(~F.col("a.hash").eqNullSafe(F.col("b.hash")) | ~F.col("a.hi").eqNullSafe(F.col("b.hi")))
-        front = materialize(pair.select(F.col("a.idx").alias("idx"), F.col("b.hash").isNull().alias("gone")), "op7frt")
-        if level == top and not front.limit(1).count():
-            break
-    bad = plan.join(front, plan["pos"] == front["idx"]).select("page_id", "url", "offset", "length", F.when(F.col("gone"), "missing").otherwise("changed").alias("status"))
-    extra = other.join(plan, same, "left_anti").select("page_id", "url", F.lit(None).cast("long").alias("offset"), F.col("length_b").alias("length"), F.lit("extra").alias("status"))
-    return bad.unionByName(extra)
+    front = differing(*(tree(x, least or 0, top) for x in nodes))
+    if front is None:
+        return plan.limit(0).select("page_id", "url", "offset", "length", F.lit("").alias("status"))
+    marks = small(front.select((F.col("idx") + (least or 0)).alias("idx")))
+    # null ids are spelled out in the key, so that the join stays one on equal keys
+    key = ["idx", F.col("page_id").isNull().alias("no_id"), F.coalesce("page_id", F.lit(0)).alias("id"), "url", "copy"]
+    mine, theirs = (x.withColumn("idx", leaf_range()).join(marks, "idx", "left_semi") for x in (plan, other))
+    mine = mine.select(*key, "offset", F.col("length").alias("length_a"), F.col("leaf").alias("leaf_a"))
+    theirs = theirs.select(*key, F.col("length").alias("length_b"), F.col("leaf").alias("leaf_b"))
+    both = mine.join(theirs, ["idx", "no_id", "id", "url", "copy"], "full").filter(~F.col("leaf_a").eqNullSafe(F.col("leaf_b")))
+    status = F.when(F.col("leaf_a").isNull(), "extra").when(F.col("leaf_b").isNull(), "missing").otherwise("changed")
+    return both.select(F.when(~F.col("no_id"), F.col("id")).alias("page_id"), "url", "offset", F.coalesce("length_a", "length_b").alias("length"), status.alias("status"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:

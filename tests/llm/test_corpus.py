@@ -379,6 +379,18 @@ def test_fixity_audit_locates_damage(spark):
     bad = bad.unionByName(spark.createDataFrame([(999, "new", "x")], pages.schema))
     got = {(r.page_id, r.status) for r in warc_audit.audit(pages, bad).collect()}
     assert got == {(40, "missing"), (250, "changed"), (999, "extra")}
+    # by hand: each side's records by key, with nothing else between
+    both = [Counter((r.page_id, r.url, r.copy, r.leaf) for r in warc_audit.records(x).collect()) for x in (pages, bad)]
+    assert {k[0] for k in (both[0] - both[1]) + (both[1] - both[0])} == {40, 250, 999}
+    swapped = pages.withColumn("html", F.expr("case page_id when 20 then '<p>' || repeat('a', 21) when 21 then '<p>' || repeat('a', 20) else html end"))
+    assert {(r.page_id, r.status) for r in warc_audit.audit(pages, swapped).collect()} == {(20, "changed"), (21, "changed")}
+    more = pages.withColumn("idx", F.lit("clash")).withColumn("offset", F.lit(1)).filter("page_id is null or page_id <> 7")
+    assert sorted((r.page_id, r.url, r.status) for r in warc_audit.audit(more, pages).collect()) == [(7, "http://x/7", "extra")] * 3
+    assert {(r.page_id, r.status) for r in warc_audit.audit(pages, pages.filter("page_id is not null")).collect()} == {(None, "missing")}
+    assert warc_audit.audit(pages, pages.limit(0)).count() == pages.count() == warc_audit.audit(pages.limit(0), pages).count()
+    nodes = warc_audit.ranges(warc_audit.records(pages)).collect(), warc_audit.ranges(warc_audit.records(bad)).collect()
+    ranges = [{r.idx: r.hash for r in x} for x in nodes]  # a lost record leaves all other ranges as they were
+    assert {i for i in ranges[0] | ranges[1] if ranges[0].get(i) != ranges[1].get(i)} == {40 // 16, 250 // 16, 999 // 16}
     place = {r.page_id: r.offset for r in warc_audit.audit(pages, bad).collect()}
     sizes = {r.page_id: (r.pos, r.offset) for r in warc_audit.manifest(warc_audit.records(pages)).collect()}
     assert place[40] == sizes[40][1] and place[999] is None
