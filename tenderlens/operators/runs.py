@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from tenderlens.operators.checks import REGISTRY, shared_contacts
 from tenderlens.operators.scoring import all_scores, attributed
 from tenderlens.operators.valuation import valued_contracts
-from tenderlens.plans.staging import materialize
+from tenderlens.plans.staging import at_once, materialize
 from tenderlens.plans.tables import Config, Tables
 
 RERUN_AFTER = 500
@@ -33,29 +34,32 @@ def with_shared(t: Tables) -> Tables:
     return replace(t, shared=shared)
 
 
-def run_detection(t: Tables, cfg: Config) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """(findings by check, failures by check): a check that fails has no findings and stops no other."""
-    t, findings, failed = with_shared(t), {}, {}
-    for key, c in REGISTRY.items():
-        if key in cfg.disabled:
-            continue
+def run_detection(t: Tables, cfg: Config, keep: Callable[[str, DataFrame], DataFrame] = lambda key, df: df) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(findings by check, failures by check): a check that fails has no findings and stops no other.
+    Checks are independent, so several are submitted at a time; ``keep`` may store the findings of one."""
+    t = with_shared(t)
+    keys = [key for key in REGISTRY if key not in cfg.disabled]
+
+    def one(key: str) -> DataFrame | str:
         try:
-            findings[key] = c.run(t, cfg)
+            return keep(key, REGISTRY[key].run(t, cfg))
         except Exception as e:  # surfaced to the caller by name
-            failed[key] = f"{type(e).__name__}: {e}"
-    return findings, failed
+            return f"{type(e).__name__}: {e}"
+
+    got = dict(zip(keys, at_once(one, keys)))
+    return {k: v for k, v in got.items() if not isinstance(v, str)}, {k: v for k, v in got.items() if isinstance(v, str)}
 
 
 def persist_run(spark: SparkSession, t: Tables, cfg: Config, root: str, run_id: str, features: DataFrame | None = None) -> DataFrame:
     """Write findings (by check) and scores under a run id, then its status row; returns the status.  A run
     without a status row never counts as done, so a job that dies half-way leaves nothing to read."""
-    findings, failed = run_detection(t, cfg)
-    for key, df in findings.items():
-        try:
-            df.write.mode("overwrite").parquet(f"{root}/findings/run_id={run_id}/check_key={key}")
-        except Exception as e:
-            failed[key] = f"{type(e).__name__}: {e}"
-    saved = {k: spark.read.parquet(f"{root}/findings/run_id={run_id}/check_key={k}") for k in findings if k not in failed}
+
+    def stored(key: str, df: DataFrame) -> DataFrame:
+        path = f"{root}/findings/run_id={run_id}/check_key={key}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    saved, failed = run_detection(t, cfg, stored)
     all_scores(saved, cfg, features).write.mode("overwrite").parquet(f"{root}/scores/run_id={run_id}")
     attributed(saved).write.mode("overwrite").parquet(f"{root}/attributed/run_id={run_id}")
     windowed = cfg.date_from is not None or cfg.date_to is not None

@@ -17,7 +17,7 @@ from tenderlens.functions import normalize as norm
 from tenderlens.operators import checks, groups, ingest, network, profiles, runs, scoring, valuation
 from tenderlens.operators.components import connected_components
 from tenderlens.plans import fixture_map
-from tenderlens.plans.staging import materialize, shared_dir
+from tenderlens.plans.staging import at_once, materialize, shared_dir
 from tenderlens.plans.tables import Config, Tables, process_window, top_n
 from tenderlens.sources import snapshot
 from tenderlens.streaming import incremental
@@ -664,7 +664,8 @@ def _findings(t: Tables, every: bool = False) -> dict[str, DataFrame]:
     """The findings of the checks that SQL can say, or of all sixteen, each written once."""
     cfg = _tuned(t) if every else TUNED
     t = runs.with_shared(t)
-    return {k: materialize(c.run(t, cfg), k) for k, c in checks.REGISTRY.items() if every or k in SAID}
+    keys = [k for k in checks.REGISTRY if every or k in SAID]
+    return dict(zip(keys, at_once(lambda k: materialize(checks.REGISTRY[k].run(t, cfg), k), keys)))
 
 
 def _parts(name: str) -> str:
@@ -842,8 +843,10 @@ def _e24c(t):
 @query("d19_network_neighborhood")
 def _d19(t):
     cfg = _tuned(t)
-    found = {k: checks.REGISTRY[k].run(t, cfg) for k in ("bid_rotation_ring", "shared_contact_cluster", "cobid_community", "authorizer_provider_ring")}
-    return groups.network_neighborhood(found, t.provider, network.cobid_centrality(t, _strong_weight(t), 400))
+    keys = ("bid_rotation_ring", "shared_contact_cluster", "cobid_community", "authorizer_provider_ring")
+    jobs = {k: lambda k=k: checks.REGISTRY[k].run(t, cfg) for k in keys} | {"centrality": lambda: network.cobid_centrality(t, cfg.thresholds["community_min_edge_weight"], 400)}
+    found = dict(zip(jobs, at_once(lambda job: materialize(job(), "d19"), jobs.values())))
+    return groups.network_neighborhood(found, t.provider, found.pop("centrality"))
 
 
 @query(

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,18 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 << 20
 
 
+#: Independent jobs that are submitted at a time; Spark fills idle executors with the tasks of all of them.
+AT_ONCE = 4
+A, B = TypeVar("A"), TypeVar("B")
+
+
+def at_once(job: Callable[[A], B], of: Iterable[A]) -> list[B]:
+    """``job`` of each, in order.  Iterative jobs wait for the driver between their rounds; submitted together,
+    independent ones fill each other's gaps."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(job, of))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder.  Where none is named, a local session gets a folder of its own, and a
     cluster, whose machines would not see such a folder, an error."""
