@@ -660,9 +660,9 @@ SAID = {
 }
 
 
-def _findings(t: Tables, every: bool = False) -> dict[str, DataFrame]:
-    """The findings of the checks that SQL can say, or of all sixteen, each written once."""
-    cfg = _tuned(t) if every else TUNED
+def _findings(t: Tables, every: Config | None = None) -> dict[str, DataFrame]:
+    """The findings of the checks that SQL can say, or of all sixteen by the settings given, each written once."""
+    cfg = every or TUNED
     t = runs.with_shared(t)
     keys = [k for k in checks.REGISTRY if every or k in SAID]
     return dict(zip(keys, at_once(lambda k: materialize(checks.REGISTRY[k].run(t, cfg), k), keys)))
@@ -728,7 +728,10 @@ def _e4(t):
 @query("e5_all_scores")
 def _e5(t):
     """All sixteen checks, with the centrality of providers recorded beside the score."""
-    return scoring.all_scores(_findings(t, True), _tuned(t), network.cobid_centrality(t, _strong_weight(t), 400))
+    cfg = _tuned(t)
+    jobs = (lambda: _findings(t, cfg), lambda: materialize(network.cobid_centrality(t, cfg.thresholds["community_min_edge_weight"], 400), "e5"))
+    findings, centrality = at_once(lambda job: job(), jobs)
+    return scoring.all_scores(findings, cfg, centrality)
 
 
 @query("e12_company_profiles", f"WITH {_SCORE} SELECT id, score, n::INT AS n_checks FROM sc JOIN (SELECT id, count(DISTINCT chk) AS n FROM att WHERE entity_type = 'provider' GROUP BY 1) USING (id) WHERE entity_type = 'provider'")
