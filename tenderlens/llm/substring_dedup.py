@@ -4,7 +4,7 @@ A first pass sketches the hashes of all runs of :data:`SUB` words; partition ske
 (``sketch.py``).  A window occurs at most as often as each of the shorter runs in it, so the least of their
 estimates never falls below its count, and it is far sharper than one estimate of the window.  The second
 pass hands on every window that may occur twice and only few others; those are grouped exactly, by 96
-bits of their word sequence.
+bits of their word sequence.  Where one sketch of a fixed size would fill, it is kept in shards instead.
 """
 
 from __future__ import annotations
@@ -61,10 +61,62 @@ def without_copies(docs: DataFrame, rows: DataFrame, key: list[str]) -> tuple[Da
     return texts, marked
 
 
-def _window_rows(window: int, filt):
+def _distinct(w: Words, window: int, pos: np.ndarray, h1: np.ndarray, keep: np.ndarray, ids: np.ndarray):
+    """Rows of the windows at ``pos``, which ``keep`` chose of all: each once a text."""
+    import pyarrow as pa
+
+    text, h2 = w.text[pos], w.windows(window, 1)[1][keep]
+    order = np.lexsort((h1, text))
+    new = np.ones(len(order), dtype=bool)
+    a, b = order[1:], order[:-1]
+    new[1:] = (h1[a] != h1[b]) | (text[a] != text[b])
+    one = order[new]
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[text[one]]), "h1": pa.array(signed(h1[one])), "h2": pa.array((h2[one] >> np.uint64(32)).astype(np.uint32).view(np.int32))})
+
+
+def _windows_of(window: int):
+    def run(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        w = Words(texts)
+        pos, h1 = w.windows(window, 0)
+        return h1, w.text[pos]
+
+    return run
+
+
+def _told_rows(window: int, bits: int):
+    """Window rows of packs that a sharded sketch has answered."""
+
     def run(batches):
-        import pyarrow as pa
+        for batch in batches:
+            ids, packs, known = (batch.column(batch.schema.get_field_index(c)) for c in ("ids", "texts", "known"))
+            for own, texts, told in zip(ids, packs, known):
+                w = Words(texts.as_py())
+                pos, h1 = w.windows(window, 0)
+                at = sketch.addresses(h1, bits)
+                keep = sketch.within(at, np.sort(np.frombuffer(b"".join(told.as_py()), np.uint64))) | sketch.within(at, sketch.once_and_more(at, w.text[pos])[1])
+                if keep.any():
+                    yield _distinct(w, window, pos[keep], h1[keep], keep, np.asarray(own.values))
+
+    return run
+
 
+def _maybe_repeated(texts: DataFrame, window: int, n: int) -> DataFrame:
+    """The windows that may start in two texts, of about ``n``: by one broadcast sketch of shorter runs, or, for
+    more keys than it can tell apart, by a sketch in shards of the windows themselves."""
+    if n > sketch.MOST_KEYS:
+        packs = sketch.answered(texts, _windows_of(window), n).select("ids", "texts", "known")
+        return packs.mapInArrow(_told_rows(window, sketch.shard_bits(n)), "doc_id long, h1 long, h2 int")
+
+    def keys(batch):
+        for _, part in blocks(batch):
+            yield Words(part).windows(min(SUB, window), 0)[1]
+
+    filt = sketch.build(texts.select("text"), keys, sketch.bits_for(n // 2))
+    return texts.mapInArrow(_window_rows(window, filt), "doc_id long, h1 long, h2 int")
+
+
+def _window_rows(window: int, filt):
+    def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             for at, texts in blocks(batch):
@@ -77,16 +129,8 @@ def _window_rows(window: int, filt):
                 for k in range(1, window - min(SUB, window) + 1):
                     keep &= maybe[pos + k]
                 pos, h1 = pos[keep], h1[keep]
-                if not len(pos):
-                    continue
-                text = w.text[pos]
-                h2 = w.windows(window, 1)[1][keep]
-                order = np.lexsort((h1, text))
-                new = np.ones(len(order), dtype=bool)
-                a, b = order[1:], order[:-1]
-                new[1:] = (h1[a] != h1[b]) | (text[a] != text[b])
-                one = order[new]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at + text[one]]), "h1": pa.array(signed(h1[one])), "h2": pa.array((h2[one] >> np.uint64(32)).astype(np.uint32).view(np.int32))})
+                if len(pos):
+                    yield _distinct(w, window, pos, h1, keep, ids[at:])
 
     return run
 
@@ -130,13 +174,7 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame
     rows = materialize(docs.mapInArrow(_whole, "doc_id long, w1 long, w2 long, n_words long, sha string"), "op2all")
     texts, marked = without_copies(docs, rows, ["w1", "w2", "n_words"])
     n = rows.agg(F.sum(F.greatest(F.col("n_words") - (window - 1), F.lit(0)))).first()[0] or 0
-
-    def keys(batch):
-        for _, part in blocks(batch):
-            yield Words(part).windows(min(SUB, window), 0)[1]
-
-    filt = sketch.build(texts.select("text"), keys, sketch.bits_for(n // 2))
-    found = materialize(texts.mapInArrow(_window_rows(window, filt), "doc_id long, h1 long, h2 int"), "op2win")
+    found = materialize(_maybe_repeated(texts, window, n), "op2win")
     first = per_key(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "op2first")
     # whether a window goes depends on the id and the window alone, so texts that share an id share the list
     gone = found.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))

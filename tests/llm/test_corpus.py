@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenderlens.llm import decontaminate, line_dedup, mixing, near_join, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc_audit
+from tenderlens.llm import decontaminate, line_dedup, mixing, near_join, pii, quality_model, quality_rules, sketch, substring_dedup, suffix_dedup, warc_audit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -94,7 +94,11 @@ def test_posterior_prunes_only_hopeless_pairs():
         assert miss < 1e-7 and least > 0
 
 
-def test_substring_dedup_equals_brute_force(docs, rows):
+@pytest.mark.parametrize("most", [None, 0])
+def test_substring_dedup_equals_brute_force(docs, rows, most, monkeypatch):
+    if most is not None:  # a sketch in some hundred shards, for packs of a few texts
+        for name, value in (("MOST_KEYS", most), ("SHARD_KEYS", 64), ("PACK_BYTES", 3000)):
+            monkeypatch.setattr(sketch, name, value)
     seen = defaultdict(set)
     big = 2**63 - 1
     for i, t in rows:
@@ -401,9 +405,27 @@ def test_empty_table(docs, op):
     assert op(docs.limit(0)).count() == 0
 
 
-def test_sketch_never_loses_a_repeated_key(spark):
-    from tenderlens.llm import sketch
+def test_sharded_sketch_lets_few_single_windows_through(spark, monkeypatch):
+    """At 16 times the load of a full sketch: no window of two texts is lost, and of the others few pass."""
+    rng = random.Random(5)
+    shared = " ".join(f"s{i}" for i in range(200))
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(300)) + (" " + shared if i % 3 == 0 else "")) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    n = sum(len(words(t)) - 12 for _, t in rows)
+    for name, value in (("MOST_KEYS", n // 16), ("SHARD_KEYS", 1 << 10), ("PACK_BYTES", 20_000)):
+        monkeypatch.setattr(sketch, name, value)
+    got = Counter((r.h1, r.h2) for r in substring_dedup._maybe_repeated(df, 13, n).collect())
+    texts = defaultdict(set)
+    for i, t in rows:
+        w = words(t)
+        for p in range(len(w) - 12):
+            texts[tuple(w[p : p + 13])].add(i)
+    repeated = [len(x) for x in texts.values() if len(x) > 1]
+    assert sorted(c for c in got.values() if c > 1) == sorted(repeated)
+    assert sum(c == 1 for c in got.values()) < 0.01 * (len(texts) - len(repeated))
+
 
+def test_sketch_never_loses_a_repeated_key(spark):
     keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     twice = np.concatenate([keys, keys[:500]])
     df = spark.createDataFrame([(int(k),) for k in twice.view(np.int64)], "k long").repartition(5)
