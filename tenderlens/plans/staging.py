@@ -45,11 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of it."""
+def materialize(df: DataFrame, tag: str = "t", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with ``options`` of Parquet's writer, and return a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
