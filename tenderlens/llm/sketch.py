@@ -7,8 +7,9 @@ a key that occurs twice is always kept; how many single keys slip through depend
 costs a later exact step some work.  The merged bits come to the driver once, ``DEPTH * 2**bits / 8``
 bytes, at most :data:`MOST_BITS` a row (64 MB in all) whatever the corpus holds, and are broadcast.
 
-A corpus with more keys than such a sketch can tell apart is sketched in shards (:func:`answered`), which
-stay where they are merged: cells go to their shard, and the answers go back to the texts that asked.
+Such a sketch fills when a corpus has more keys than it has cells.  One whose size follows the corpus stays in
+shards (:func:`answered`): cells go to their shard, are merged there, and the answers go back to the texts
+that asked.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from tenderlens.llm.textvec import blocks
 from tenderlens.plans.staging import materialize, per_key
 
 DEPTH, SLICE_BITS, LEAST_BITS, MOST_BITS = 2, 21, 16, 28
-#: Keys that one broadcast sketch tells apart, at a load of a half; more of them are sketched in shards of about
-#: ``SHARD_KEYS`` keys, for texts in packs of ``PACK_BYTES``.
-MOST_KEYS, SHARD_KEYS, PACK_BYTES = 1 << (MOST_BITS - 1), 1 << 22, 1 << 20
+#: Keys of a shard, about, and bytes of the packs of texts that ask it.
+SHARD_KEYS, PACK_BYTES = 1 << 22, 1 << 20
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -203,7 +203,7 @@ def answered(texts: DataFrame, keys: Callable[[list[bytes]], tuple[np.ndarray, n
         told = [(p, (o[within(o, twice)].astype(np.uint64) | high).tobytes()) for p, o, m in zip(packs, once, more) if len(m) or within(o, twice).any()]
         return pa.table({"pack": pa.array([p for p, _ in told], pa.int64()), "known": pa.array([k for _, k in told], pa.binary())})
 
-    packs = materialize(texts.select("doc_id", "text").mapInArrow(pack, "pack long, ids array<long>, texts array<binary>"), "packs")
+    packs = materialize(texts.select("doc_id", "text").mapInArrow(pack, "pack long, ids array<long>, texts array<binary>"), "packs", compression="zstd")
     asked = packs.select("pack", "texts").mapInArrow(cells, "shard long, pack long, once binary, more binary")
     told = asked.groupBy("shard").applyInArrow(merge, "pack long, known binary")
     return packs.join(per_key(told.groupBy("pack").agg(F.collect_list("known").alias("known")), "told"), "pack")

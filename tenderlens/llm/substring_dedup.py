@@ -1,10 +1,9 @@
 """Operator 2: repeated word windows, found with a count-min prefilter.
 
-A first pass sketches the hashes of all runs of :data:`SUB` words; partition sketches are merged
-(``sketch.py``).  A window occurs at most as often as each of the shorter runs in it, so the least of their
-estimates never falls below its count, and it is far sharper than one estimate of the window.  The second
-pass hands on every window that may occur twice and only few others; those are grouped exactly, by 96
-bits of their word sequence.  Where one sketch of a fixed size would fill, it is kept in shards instead.
+A first pass sends the windows of each pack of texts, as cells of a partial sketch, to the shards of a sketch
+over the whole corpus, where they are merged; a merged cell never counts less than a window in it occurs
+(``sketch.answered``).  The second pass hands on every window whose cell two texts fill and hardly any other;
+those are grouped exactly, by 96 bits of their word sequence.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from tenderlens.llm.textvec import Words, blocks, signed, sized
 from tenderlens.plans.staging import discard, materialize, per_key, small
 
 WINDOW = 13
-SUB = 11
 _LAST = 2**63 - 1
 
 
@@ -100,41 +98,6 @@ def _told_rows(window: int, bits: int):
     return run
 
 
-def _maybe_repeated(texts: DataFrame, window: int, n: int) -> DataFrame:
-    """The windows that may start in two texts, of about ``n``: by one broadcast sketch of shorter runs, or, for
-    more keys than it can tell apart, by a sketch in shards of the windows themselves."""
-    if n > sketch.MOST_KEYS:
-        packs = sketch.answered(texts, _windows_of(window), n).select("ids", "texts", "known")
-        return packs.mapInArrow(_told_rows(window, sketch.shard_bits(n)), "doc_id long, h1 long, h2 int")
-
-    def keys(batch):
-        for _, part in blocks(batch):
-            yield Words(part).windows(min(SUB, window), 0)[1]
-
-    filt = sketch.build(texts.select("text"), keys, sketch.bits_for(n // 2))
-    return texts.mapInArrow(_window_rows(window, filt), "doc_id long, h1 long, h2 int")
-
-
-def _window_rows(window: int, filt):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            for at, texts in blocks(batch):
-                w = Words(texts)
-                pos, h1 = w.windows(window, 0)
-                at_sub, sub = w.windows(min(SUB, window), 0)
-                maybe = np.zeros(len(w.start) + 1, dtype=bool)
-                maybe[at_sub] = sketch.repeated(filt, sub)
-                keep = maybe[pos]
-                for k in range(1, window - min(SUB, window) + 1):
-                    keep &= maybe[pos + k]
-                pos, h1 = pos[keep], h1[keep]
-                if len(pos):
-                    yield _distinct(w, window, pos, h1, keep, ids[at:])
-
-    return run
-
-
 def _removals(window: int):
     def run(batches):
         import pyarrow as pa
@@ -174,7 +137,10 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame
     rows = materialize(docs.mapInArrow(_whole, "doc_id long, w1 long, w2 long, n_words long, sha string"), "op2all")
     texts, marked = without_copies(docs, rows, ["w1", "w2", "n_words"])
     n = rows.agg(F.sum(F.greatest(F.col("n_words") - (window - 1), F.lit(0)))).first()[0] or 0
-    found = materialize(_maybe_repeated(texts, window, n), "op2win")
+    packs = sketch.answered(texts, _windows_of(window), n)
+    found = packs.select("ids", "texts", "known").mapInArrow(_told_rows(window, sketch.shard_bits(n)), "doc_id long, h1 long, h2 int")
+    found = materialize(found, "op2win")
+    discard(packs)
     first = per_key(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"), "op2first")
     # whether a window goes depends on the id and the window alone, so texts that share an id share the list
     gone = found.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
