@@ -69,7 +69,9 @@ def measured_bytes(df: DataFrame, rows: int | None = None) -> int:
     lists hold.  ``rows``, if known, saves the job where all fields are of fixed size."""
     size = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     for f in df.schema:
-        if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.StringType, T.BinaryType)):
+            size.append(F.coalesce(F.aggregate(f.name, F.lit(0).cast("long"), lambda n, x: n + 48 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
             width = 8 * (2 + len(f.dataType.elementType.fields)) if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) else 48
             size.append(F.greatest(F.size(f.name), F.lit(0)) * width)
     fixed = 48 + 8 * len(df.schema)

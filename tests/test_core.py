@@ -13,6 +13,7 @@ from tenderlens.functions import normalize as norm
 from tenderlens.operators import checks, groups, ingest, network, profiles, runs, scoring, valuation
 from tenderlens.operators.components import connected_components
 from tenderlens.plans import fixture_map
+from tenderlens.plans.staging import measured_bytes
 from tenderlens.plans.tables import Config, Tables, process_window
 from tenderlens.sources import snapshot
 from tenderlens.streaming import incremental
@@ -281,3 +282,8 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 80
+
+
+def test_measured_bytes_count_what_lists_of_strings_hold(spark):
+    df = spark.createDataFrame([(1, ["x" * 1000, None]), (2, None), (3, [])], "k long, l array<string>")
+    assert measured_bytes(df) == 3 * 64 + 2 * 48 + 1000
