@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.llm.textvec import blocks
-from tenderlens.plans.staging import materialize, per_key
+from tenderlens.plans.staging import materialize
 
 DEPTH, SLICE_BITS, LEAST_BITS, MOST_BITS = 2, 21, 16, 28
 #: Keys of a shard, about, and bytes of the packs of texts that ask it.
@@ -206,4 +206,5 @@ def answered(texts: DataFrame, keys: Callable[[list[bytes]], tuple[np.ndarray, n
     packs = materialize(texts.select("doc_id", "text").mapInArrow(pack, "pack long, ids array<long>, texts array<binary>"), "packs", compression="zstd")
     asked = packs.select("pack", "texts").mapInArrow(cells, "shard long, pack long, once binary, more binary")
     told = asked.groupBy("shard").applyInArrow(merge, "pack long, known binary")
-    return packs.join(per_key(told.groupBy("pack").agg(F.collect_list("known").alias("known")), "told"), "pack")
+    told = materialize(told.groupBy("pack").agg(F.collect_list("known").alias("known")), "told")
+    return packs.join(told.hint("merge"), "pack")  # both sides grow with the corpus
