@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import decontaminate, line_dedup, mixing, near_join, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, warc_audit
+from tenderlens.llm import decontaminate, language_id, line_dedup, mixing, near_join, negatives, pii, quality_model, quality_rules, spelling, substring_dedup, suffix_dedup, warc_audit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,17 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_pii, op7_merkle_fixity, op8_suffix_dedup, op9_decontamination, op10_line_dedup)}
-ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_merkle_fixity": warc_audit.ORACLE}
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_language_id(spark, sf_dir):
+    return language_id.languages(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variant_forms(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_pii, op7_merkle_fixity, op8_suffix_dedup, op9_decontamination, op10_line_dedup, op11_hard_negatives, op12_language_id, op13_spelling_variants)}
+ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_merkle_fixity": warc_audit.ORACLE, "op11_hard_negatives": negatives.ORACLE}
