@@ -313,14 +313,14 @@ def packed(vectors: DataFrame) -> DataFrame:
 
 
 def _pairs(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each block of anchors beside each block of vectors.  Few anchors are broadcast; many are dealt to as
-    many lanes as there are shuffle partitions, and each block of vectors is in one lane."""
+    """Each block of anchors beside each block of vectors.  Vectors are dealt to lanes, and anchors are in every
+    lane: in one, and broadcast, if their measured bytes allow it, else in as many as there are shuffle
+    partitions."""
     named = anchors.select(*(F.col(c).alias(c if c == "asked" else f"a_{c}") for c in anchors.columns))
-    if measured_bytes(named) <= BROADCAST_BYTES:
-        return blocks.withColumn("lane", F.lit(0)).join(F.broadcast(named.withColumn("lane", F.lit(0))), "lane")
-    lanes = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = measured_bytes(named) <= BROADCAST_BYTES
+    lanes = 1 if few else int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = named.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).join(dealt, "lane")
+    return blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).join(F.broadcast(dealt) if few else dealt, "lane")
 
 
 def _first(df: DataFrame, by: list[str], score: str, name: str, most: int, place: str) -> DataFrame:
