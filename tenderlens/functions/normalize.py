@@ -1,7 +1,13 @@
-"""Column expressions that clean the portals' text, numbers and dates.  All run in generated code."""
+"""Column expressions that clean the portals' text, numbers and dates.  All run in the JVM.
+
+A value that is asked about many times is bound once (:func:`bound`): written out at each place, a plan holds it
+at each place too, and a row computes it there again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +29,16 @@ DATE_FORMATS = ("d/M/yyyy", "yyyy-M-d")
 _SPACES = "[\\s\\u00a0]+"
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """Whitespace and non-breaking spaces collapsed; empty texts and placeholders become null."""
     spaced = F.regexp_replace(c, "&nbsp;?", " ")
     flat = F.regexp_replace(F.regexp_replace(spaced, _SPACES, " "), "^ | $", "")
-    return F.when((flat != "") & ~F.lower(flat).isin(*NO_VALUE), flat)
+    return bound(flat, lambda x: F.when((x != "") & ~F.lower(x).isin(*NO_VALUE), x))
 
 
 def digits_or_null(c: Column) -> Column:
@@ -46,15 +57,17 @@ def normalize_name(c: Column) -> Column:
 
 def normalize_currency(c: Column) -> Column:
     """A currency code where the label names one, else the cleaned label."""
-    text = clean_text(c)
-    plain = F.translate(F.upper(text), "ÁÉÍÓÚ", "AEIOU")
-    out = F.when(plain == "$", F.lit("ARS"))
-    for code, marks in CURRENCY_MARKS:
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | F.contains(plain, F.lit(m))
-        out = out.when(hit, F.lit(code))
-    return out.otherwise(text)
+
+    def code(plain: Column) -> Column:
+        out = F.when(plain == "$", F.lit("ARS"))
+        for name, marks in CURRENCY_MARKS:
+            hit = F.contains(plain, F.lit(marks[0]))
+            for m in marks[1:]:
+                hit = hit | F.contains(plain, F.lit(m))
+            out = out.when(hit, F.lit(name))
+        return out
+
+    return bound(clean_text(c), lambda text: F.coalesce(bound(F.translate(F.upper(text), "ÁÉÍÓÚ", "AEIOU"), code), text))
 
 
 def parse_number_ar(c: Column) -> Column:
@@ -72,18 +85,35 @@ def parse_bool_es(c: Column) -> Column:
     return F.when(word.isin(*YES), True).when(word.isin(*NO), False)
 
 
-def _first_format(c: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))
+# What a text must look like to be tried with a format; no text looks like two of them.
+_DAY, _DASHED = "^[0-9]+/[0-9]+/[0-9]+", "^[0-9]+-[0-9]+-[0-9]+"
+_SHAPES = (
+    (f"{_DAY} [0-9]+:[0-9]+:[0-9]+$", 0), (f"{_DAY} [0-9]+:[0-9]+$", 1), (f"{_DAY} [0-9]+:[0-9]+:[0-9]+ [AP]M$", 2), (f"{_DAY} [0-9]+:[0-9]+ [AP]M$", 3),
+    (f"{_DAY} [0-9]+:[0-9]+ Hrs\\.$", 4), (f"{_DAY} [0-9]+:[0-9]+ Hrs$", 5), (f"{_DASHED}T[0-9]+:[0-9]+:[0-9]+$", 6), (f"{_DASHED}T[0-9]+:[0-9]+$", 7),
+)
 
 
-def parse_datetime_ar(c: Column) -> Column:
-    text = clean_text(c)
+def _moment(text: Column) -> Column:
+    """The one format that a cleaned text can have is tried."""
     meridiem = F.regexp_replace(F.regexp_replace(text, "(?i)a\\s*\\.\\s*m\\s*\\.|\\bam\\b", "AM"), "(?i)p\\s*\\.\\s*m\\s*\\.|\\bpm\\b", "PM")
-    return F.coalesce(_first_format(text, DATETIME_FORMATS), _first_format(meridiem, DATETIME_FORMATS))
+
+    def parsed(x: Column) -> Column:
+        out = None
+        for shape, n in _SHAPES:
+            at = F.try_to_timestamp(x, F.lit(DATETIME_FORMATS[n]))
+            out = F.when(x.rlike(shape), at) if out is None else out.when(x.rlike(shape), at)
+        return out
+
+    return bound(meridiem, parsed)
+
+
+def parse_datetime_ar(c: Column) -> Column:
+    return bound(clean_text(c), _moment)
 
 
 def parse_date_ar(c: Column) -> Column:
-    return F.to_date(F.coalesce(_first_format(clean_text(c), DATE_FORMATS), parse_datetime_ar(c)))
+    of = lambda x, n: F.try_to_timestamp(x, F.lit(DATE_FORMATS[n]))
+    return F.to_date(bound(clean_text(c), lambda x: F.when(x.rlike(f"{_DAY}$"), of(x, 0)).when(x.rlike(f"{_DASHED}$"), of(x, 1)).otherwise(_moment(x))))
 
 
 def split_process_number(c: Column) -> Column:

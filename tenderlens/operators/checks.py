@@ -83,7 +83,7 @@ def serial_winner(t: Tables, cfg: Config) -> DataFrame:
     out = out.filter((F.col("total_bids") >= of("serial_winner_min_bids")) & (F.col("win_pct") >= of("serial_winner_pct"))).join(money, "provider_cuit").join(_provider_names(t), "provider_cuit")
     out = val.with_usd(out, t.fx_rate, "total_real_ars", "total_real_usd")
     out = out.select("provider_cuit", "provider_name", "total_bids", "total_wins", "win_pct", "total_won", "total_real_ars", "total_real_usd")
-    return top_n(out, [F.desc("win_pct"), F.desc("total_wins"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.desc("win_pct"), F.desc("total_wins"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 @check("authorizer_bias", 30, {"bias_min_contracts": 5, "bias_min_amount": 10_000_000, "bias_pct": 40.0}, (PROVIDER, AUTHORIZER))
@@ -100,7 +100,7 @@ def authorizer_bias(t: Tables, cfg: Config) -> DataFrame:
     out = pair.join(total, "authorizer").withColumn("bias_pct", pct(F.col("contracts_for_prov"), F.col("total_signed"))).filter(F.col("bias_pct") >= of("bias_pct"))
     out = val.with_usd(out.join(_provider_names(t), "provider_cuit"), t.fx_rate, "total_real_ars", "total_real_usd")
     out = out.select("authorizer", "provider_cuit", "provider_name", "contracts_for_prov", "total_signed", "bias_pct", "total_real_ars", "total_real_usd")
-    return top_n(out, [F.desc("bias_pct"), F.desc("total_real_ars"), F.asc("authorizer"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.desc("bias_pct"), F.desc("total_real_ars"), F.asc("authorizer"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 @check("authorizer_provider_ring", 45, {"triad_min_contracts": 4, "triad_min_amount": 5_000_000, "triad_min_auth_pct": 40.0, "triad_min_unit_pct": 25.0}, (PROVIDER, UNIT, AUTHORIZER))
@@ -120,7 +120,7 @@ def authorizer_provider_ring(t: Tables, cfg: Config) -> DataFrame:
     out = out.filter((F.col("authorizer_pct") >= of("triad_min_auth_pct")) & (F.col("unit_pct") >= of("triad_min_unit_pct"))).join(_provider_names(t), "provider_cuit").join(_unit_names(t), "unit_code")
     out = out.crossJoin(F.broadcast(val.latest_usd(t.fx_rate))).withColumn("real_usd", F.when(F.col("usd") > 0, F.bround(F.col("real_ars") / F.col("usd"), 2)))
     out = out.select("authorizer", "unit_code", "unit_name", "provider_cuit", "provider_name", "contracts", "real_ars", "authorizer_pct", "unit_pct", "real_usd")
-    return top_n(out, [F.desc(F.col("authorizer_pct") + F.col("unit_pct")), F.desc("real_ars"), F.asc("authorizer"), F.asc("unit_code"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.desc(F.col("authorizer_pct") + F.col("unit_pct")), F.desc("real_ars"), F.asc("authorizer"), F.asc("unit_code"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 @check("uoc_favoritism", 30, {"uoc_min_contracts": 3, "uoc_min_amount": 5_000_000, "uoc_min_pct": 10.0}, (PROVIDER, UNIT))
@@ -133,7 +133,7 @@ def uoc_favoritism(t: Tables, cfg: Config) -> DataFrame:
     out = out.withColumn("concentration_pct", F.when(F.col("unit_real") > 0, pct(F.col("total_real_ars"), F.col("unit_real").cast("double"))).otherwise(0.0)).filter(F.col("concentration_pct") >= of("uoc_min_pct"))
     out = val.with_usd(out.join(_provider_names(t), "provider_cuit").join(_unit_names(t), "unit_code"), t.fx_rate, "total_real_ars", "total_real_usd")
     out = out.select("unit_code", "unit_name", "provider_cuit", "provider_name", "contracts_for_prov", "total_awarded_in_unit", "concentration_pct", "total_real_ars", "total_real_usd")
-    return top_n(out, [F.desc("concentration_pct"), F.desc("total_real_ars"), F.asc("unit_code"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.desc("concentration_pct"), F.desc("total_real_ars"), F.asc("unit_code"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 @check("contract_splitting", 30, {"split_max_contract_ars": 5_000_000, "split_min_count": 3, "split_min_total_ars": 5_000_000}, (PROVIDER, UNIT))
@@ -147,7 +147,7 @@ def contract_splitting(t: Tables, cfg: Config) -> DataFrame:
     out = out.filter((F.col("split_count") >= of("split_min_count")) & (F.col("split_total_ars") >= of("split_min_total_ars")))
     out = val.with_usd(out.join(_provider_names(t), "provider_cuit").join(_unit_names(t), "unit_code"), t.fx_rate, "split_total_ars", "split_total_usd")
     out = out.select("unit_code", "unit_name", "provider_cuit", "provider_name", "month", "source", "split_count", "split_total_ars", "split_total_usd", "processes")
-    return top_n(out, [F.desc("split_total_ars"), F.desc("split_count"), F.asc("unit_code"), F.asc("provider_cuit"), F.asc("month"), F.asc("source")], cfg.limit)
+    return top_n(out, [F.desc("split_total_ars"), F.desc("split_count"), F.asc("unit_code"), F.asc("provider_cuit"), F.asc("month"), F.asc("source")], cfg.limit, cfg.ordered)
 
 
 @check("contract_cost_overrun", 25, {"overrun_min_pct": 20.0}, (PROVIDER, UNIT))
@@ -162,7 +162,7 @@ def contract_cost_overrun(t: Tables, cfg: Config) -> DataFrame:
         F.col("process_number").alias("process"), F.col("source_url").alias("process_url"), "unit_code", "unit_name", "provider_cuit", "provider_name", "document_number",
         F.round("total_amount", 2).alias("original_amount"), F.round(F.coalesce("current_amount", "total_amount"), 2).alias("current_amount"), "overrun_pct", F.coalesce("currency", F.lit("ARS")).alias("currency"),
     )
-    return top_n(out, [F.desc("overrun_pct"), F.desc("current_amount"), F.asc("document_number")], cfg.limit)
+    return top_n(out, [F.desc("overrun_pct"), F.desc("current_amount"), F.asc("document_number")], cfg.limit, cfg.ordered)
 
 
 @check("cover_bidding", 20, {"cover_min_competitors": 2, "cover_max_margin_pct": 2.0}, (PROVIDER, ("provider", "runner_up_cuit", "runner_up_name")))
@@ -180,28 +180,34 @@ def cover_bidding(t: Tables, cfg: Config) -> DataFrame:
     names = _provider_names(t)
     out = out.join(names, "provider_cuit").join(names.select(F.col("provider_cuit").alias("runner_up_cuit"), F.col("provider_name").alias("runner_up_name")), F.col("r.cuit") == F.col("runner_up_cuit"))
     out = out.select("process_number", F.col("source_url").alias("process_url"), "provider_cuit", "provider_name", "competing_bids", "won_amount", F.col("r.amount").alias("runner_up_amount"), "runner_up_cuit", "runner_up_name", "currency", F.round(100.0 * (F.col("r.amount") - F.col("won_amount")) / F.col("won_amount"), 2).alias("margin_pct"))
-    return top_n(out, [F.asc("margin_pct"), F.desc("competing_bids"), F.asc("process_number"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.asc("margin_pct"), F.desc("competing_bids"), F.asc("process_number"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 def shared_contacts(t: Tables) -> DataFrame:
     """(p1, p2, contact): provider pairs, p1 first, that have a contact in common."""
-    if "shared_contacts" in t.shared:
-        return t.shared["shared_contacts"]
-    own = t.contact.filter("entity_type = 'provider'").select("entity_key", F.struct(F.col("contact_type").alias("type"), F.col("contact_value").alias("contact")).alias("contact")).distinct()
-    return own.select(F.col("entity_key").alias("p1"), "contact").join(own.select(F.col("entity_key").alias("p2"), "contact"), "contact").filter("p1 < p2").select("p1", "p2", "contact")
+    own = provider_contacts(t)
+    return own.select(F.col("provider_cuit").alias("p1"), "contact").join(own.select(F.col("provider_cuit").alias("p2"), "contact"), "contact").filter("p1 < p2").select("p1", "p2", "contact")
+
+
+def provider_contacts(t: Tables) -> DataFrame:
+    """Distinct (provider_cuit, contact)."""
+    contact = F.struct(F.col("contact_type").alias("type"), F.col("contact_value").alias("contact")).alias("contact")
+    return t.contact.filter("entity_type = 'provider'").select(F.col("entity_key").alias("provider_cuit"), contact).distinct()
 
 
 @check("fake_competition", 35, {}, (("provider", "provider1_cuit", "provider1_name"), ("provider", "provider2_cuit", "provider2_name")))
 def fake_competition(t: Tables, cfg: Config) -> DataFrame:
-    """Rivals in a process that share a contact.  The few linked pairs lead, so bids are not paired freely."""
-    pairs = shared_contacts(t).groupBy("p1", "p2").agg(F.array_sort(F.collect_set("contact")).alias("shared_contacts"))
+    """Rivals in a process that share a contact.  Providers meet by process and contact together, so a contact
+    of very many providers pairs only those that bid side by side."""
     bids = t.bid.select("process_number", "provider_cuit").distinct()
     dated = process_window(t.process, cfg).select("process_number", F.col("source_url").alias("process_url"))
-    both = bids.withColumnRenamed("provider_cuit", "p1").join(pairs, "p1").join(bids.withColumnRenamed("provider_cuit", "p2"), ["process_number", "p2"]).join(dated, "process_number")
+    at = bids.join(provider_contacts(t), "provider_cuit")
+    both = at.withColumnRenamed("provider_cuit", "p1").join(at.withColumnRenamed("provider_cuit", "p2"), ["process_number", "contact"]).filter("p1 < p2")
+    both = both.groupBy("process_number", "p1", "p2").agg(F.array_sort(F.collect_set("contact")).alias("shared_contacts")).join(dated, "process_number")
     n = _provider_names(t)
     both = both.join(n.select(F.col("provider_cuit").alias("p1"), F.col("provider_name").alias("provider1_name")), "p1").join(n.select(F.col("provider_cuit").alias("p2"), F.col("provider_name").alias("provider2_name")), "p2")
     out = both.select("process_number", "process_url", F.col("p1").alias("provider1_cuit"), "provider1_name", F.col("p2").alias("provider2_cuit"), "provider2_name", "shared_contacts")
-    return top_n(out, [F.desc("process_number"), F.asc("provider1_cuit"), F.asc("provider2_cuit")], cfg.limit)
+    return top_n(out, [F.desc("process_number"), F.asc("provider1_cuit"), F.asc("provider2_cuit")], cfg.limit, cfg.ordered)
 
 
 @check("cross_agency_proxy", 50, {}, (PROVIDER, UNIT))
@@ -217,7 +223,7 @@ def cross_agency_proxy(t: Tables, cfg: Config) -> DataFrame:
     inside = won.select("provider_cuit", F.col("at").alias("unit_code"), F.col("at_source").alias("unit_source"), "n")
     out = linked.join(every, "provider_cuit").join(inside, ["provider_cuit", "unit_code", "unit_source"], "left").withColumn("external_contracts_won", F.col("total") - _zero(F.col("n"))).filter("external_contracts_won > 0")
     out = out.join(_provider_names(t), "provider_cuit").join(_unit_names(t), "unit_code").select("unit_code", "unit_name", "provider_cuit", "provider_name", "external_contracts_won", "shared_contacts")
-    return top_n(out, [F.desc("external_contracts_won"), F.asc("unit_code"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.desc("external_contracts_won"), F.asc("unit_code"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 @check("contact_hub_multi_provider", 30, {"hub_min_providers": 5}, ())
@@ -230,7 +236,7 @@ def contact_hub(t: Tables, cfg: Config) -> DataFrame:
     last = t.bid.select("process_number", "provider_cuit").distinct().join(p, "process_number").groupBy("provider_cuit").agg(F.max("seen").alias("seen"))
     ref = own.join(last, "provider_cuit").groupBy("contact_type", "contact_value").agg(F.max("seen").alias("seen"))
     out = hubs.join(ref, ["contact_type", "contact_value"], "left").select("contact_type", "contact_value", "provider_count", "member_samples", F.col("seen.source_url").alias("ref_url"))
-    return top_n(out, [F.desc("provider_count"), F.asc("contact_type"), F.asc("contact_value")], cfg.limit)
+    return top_n(out, [F.desc("provider_count"), F.asc("contact_type"), F.asc("contact_value")], cfg.limit, cfg.ordered)
 
 
 @check("cdi_abuse", 15, {"cdi_min_processes": 10, "cdi_min_pct": 60.0}, (UNIT,))
@@ -241,7 +247,7 @@ def cdi_abuse(t: Tables, cfg: Config) -> DataFrame:
     per = process_window(t.process, cfg).groupBy("unit_code", "source").agg(F.count_distinct("process_number").alias("total_tenders"), F.count_distinct(F.when(direct, F.col("process_number"))).alias("cdi_processes"))
     out = per.filter(F.col("total_tenders") >= of("cdi_min_processes")).withColumn("cdi_pct", pct(F.col("cdi_processes"), F.col("total_tenders"))).filter(F.col("cdi_pct") >= of("cdi_min_pct"))
     out = out.join(_unit_names(t), "unit_code").select("unit_code", "unit_name", "total_tenders", "cdi_processes", "cdi_pct")
-    return top_n(out, [F.desc("cdi_pct"), F.desc("total_tenders"), F.asc("unit_code")], cfg.limit)
+    return top_n(out, [F.desc("cdi_pct"), F.desc("total_tenders"), F.asc("unit_code")], cfg.limit, cfg.ordered)
 
 
 @check("round_price_bids", 5, {"round_min_price": 10_000, "round_modulo": 10_000, "round_min_pct": 90.0, "round_min_lines": 5}, (PROVIDER,))
@@ -253,7 +259,7 @@ def round_price_bids(t: Tables, cfg: Config) -> DataFrame:
     rows = t.bid_line.filter(price > of("round_min_price")).join(process_window(t.process, cfg).select("process_number"), "process_number")
     per = rows.groupBy("provider_cuit").agg(F.sum(F.when(is_round, 1).otherwise(0)).alias("round_lines"), F.count("*").alias("total_lines")).filter(F.col("total_lines") >= of("round_min_lines"))
     out = per.withColumn("round_pct", pct(F.col("round_lines"), F.col("total_lines"))).filter(F.col("round_pct") >= of("round_min_pct")).join(_provider_names(t), "provider_cuit")
-    return top_n(out.select("provider_cuit", "provider_name", "round_lines", "total_lines", "round_pct"), [F.desc("round_pct"), F.desc("total_lines"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out.select("provider_cuit", "provider_name", "round_lines", "total_lines", "round_pct"), [F.desc("round_pct"), F.desc("total_lines"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 @check("spending_spikes", 0, {"spike_multiplier": 2.0}, ())
@@ -268,4 +274,4 @@ def spending_spikes(t: Tables, cfg: Config) -> DataFrame:
     listed = rows.join(F.broadcast(hit.select("month", "source")), ["month", "source"]).groupBy("month", "source").agg(F.array_sort(F.collect_set(F.struct("process_number", F.col("source_url").alias("comprar_url")))).alias("processes"))
     out = hit.join(listed, ["month", "source"]).select("month", "source", cents(F.col("spend")).alias("real_ars_spend"), F.round(100.0 * (spend - F.col("mean")) / F.col("mean"), 1).alias("outlier_pct"), "processes")
     out = val.with_usd(out, t.fx_rate, "real_ars_spend", "real_usd_spend").select("month", "source", "real_ars_spend", "real_usd_spend", "outlier_pct", "processes")
-    return top_n(out, [F.desc("real_ars_spend"), F.asc("month"), F.asc("source")], cfg.limit)
+    return top_n(out, [F.desc("real_ars_spend"), F.asc("month"), F.asc("source")], cfg.limit, cfg.ordered)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tenderlens.operators import network as net
-from tenderlens.operators.checks import PROVIDER, REGISTRY, check
+from tenderlens.operators.checks import PROVIDER, REGISTRY, check, provider_contacts
 from tenderlens.operators.components import connected_components
 from tenderlens.plans.staging import materialize
-from tenderlens.plans.tables import Config, Tables, top_n
+from tenderlens.plans.tables import Config, Tables, ordinals, top_n
 
 GROUP_CHECKS = {"bid_rotation_ring": "ring_id", "cobid_community": "community_id", "shared_contact_cluster": "cluster_id"}
 
@@ -22,7 +22,11 @@ def _of(cfg: Config, key: str):
 def _with_members(rows: DataFrame, groups: DataFrame, t: Tables, most: int | None = None) -> DataFrame:
     """Names, and the other members of the group as ``co_members``, in order of id."""
     named = groups.join(net.provider_names(t), "member", "left").withColumn("name", F.coalesce("name", F.lit("—")))
-    listed = named.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("member", F.concat("member", F.lit(" ("), "name", F.lit(")")).alias("text")))).alias("all"))
+    first = named
+    if most:  # of those shown beside a member, one more than most at the least, as the member may be among them
+        place = F.row_number().over(Window.partitionBy("group_id").orderBy("member"))
+        first = named.withColumn("k", place).filter(F.col("k") <= most + 1)
+    listed = first.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("member", F.concat("member", F.lit(" ("), "name", F.lit(")")).alias("text")))).alias("all"))
     out = rows.join(named.select("group_id", "member", F.col("name").alias("provider_name")), ["group_id", "member"]).join(listed, "group_id")
     others = F.transform(F.filter("all", lambda x: x["member"] != F.col("member")), lambda x: F.struct(x["text"].alias("text")))
     return out.withColumn("co_members", F.slice(others, 1, most) if most else others).withColumnRenamed("member", "provider_cuit")
@@ -49,13 +53,13 @@ def bid_rotation_ring(t: Tables, cfg: Config) -> DataFrame:
     """Members of small groups in which everyone meets everyone and the wins go round."""
     edges = materialize(net.cobid_edges(t, int(_of(cfg, "bid_rotation_ring")("ring_min_cobid_weight")), cfg), "ring")
     found = materialize(rings(edges, t, cfg), "ring")
-    order = Window.orderBy(F.desc("rotation_pct"), F.desc("cobid_strength"), F.desc("shared_processes"), "members")
-    numbered = found.withColumn("ring_id", F.row_number().over(order))
+    order = [F.desc("rotation_pct"), F.desc("cobid_strength"), F.desc("shared_processes"), F.asc("members")]
+    numbered = ordinals(found, order, "ring_id").withColumn("ring_id", F.col("ring_id").cast("int"))
     groups = numbered.select("group_id", F.explode("members").alias("member"))
     wins = net.win_distribution(groups, net.group_outcomes(groups, t, cfg))
     out = _with_members(numbered.join(wins, "group_id"), groups, t)
     out = out.select("ring_id", "provider_cuit", "provider_name", F.size("members").alias("ring_size"), "shared_processes", F.col("wins").alias("member_wins"), "rotation_pct", "cobid_strength", "co_members")
-    return top_n(out, [F.asc("ring_id"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.asc("ring_id"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 @check("cobid_community", 15, {"community_min_edge_weight": 2, "community_min_members": 4, "community_max_members": 40, "community_min_density": 1.5}, (PROVIDER,))
@@ -65,32 +69,47 @@ def cobid_community(t: Tables, cfg: Config) -> DataFrame:
     edges = materialize(net.cobid_edges(t, int(of("community_min_edge_weight")), cfg), "comm")
     groups = materialize(net.communities(edges).select(F.col("community").alias("group_id"), F.col("node").alias("member")), "comm")
     stats = net.group_cohesion(groups, edges).filter((F.col("n") >= of("community_min_members")) & (F.col("n") <= of("community_max_members")) & (F.col("density") >= of("community_min_density")))
-    order = Window.orderBy(F.desc("density"), F.desc("cohesion_pct"), "group_id")
-    stats = stats.withColumn("density", F.bround("density", 2)).withColumn("community_id", F.row_number().over(order))
+    numbered = ordinals(stats, [F.desc("density"), F.desc("cohesion_pct"), F.asc("group_id")], "community_id")
+    stats = materialize(numbered.withColumn("density", F.bround("density", 2)).withColumn("community_id", F.col("community_id").cast("int")), "comm")
     members = groups.join(stats.select("group_id"), "group_id", "left_semi")
     out = _with_members(members.join(stats, "group_id"), members, t, 20)
     out = out.select("community_id", "provider_cuit", "provider_name", F.col("n").alias("community_size"), "density", "cohesion_pct", "co_members")
-    return top_n(out, [F.asc("community_id"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.asc("community_id"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
+
+
+def contact_groups(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """((group_id, member), (group_id, c)): providers that contacts connect, named by the least of them, and the
+    contacts, as 'Type:value', that two or more of them have.  Providers hang together through the contact as a node of its own,
+    so a contact of very many providers is as many edges, not their square."""
+    own = provider_contacts(t).select("provider_cuit", F.concat("contact.type", F.lit(":"), "contact.contact").alias("c"))
+    shared = own.groupBy("c").agg(F.count("*").alias("k")).filter("k > 1").select("c")
+    links = materialize(own.join(shared, "c").select(F.concat(F.lit("p"), "provider_cuit").alias("a"), F.concat(F.lit("c"), "c").alias("b")), "clus")
+    comp = materialize(connected_components(links, "a", "b").select(F.substring("node", 1, 1).alias("kind"), F.expr("substring(node, 2)").alias("name"), "component"), "clus")
+    named = comp.filter("kind = 'p'").groupBy("component").agg(F.min("name").alias("group_id"))
+    of = comp.join(named, "component").select("kind", "group_id", "name")
+    return of.filter("kind = 'p'").select("group_id", F.col("name").alias("member")), of.filter("kind = 'c'").select("group_id", F.col("name").alias("c"))
 
 
 @check("shared_contact_cluster", 40, {"cluster_min_members": 2, "cluster_min_cobid_processes": 1}, (PROVIDER,))
 def shared_contact_cluster(t: Tables, cfg: Config) -> DataFrame:
     """Members of groups that contacts connect and that meet in processes."""
     of = _of(cfg, "shared_contact_cluster")
-    pairs = materialize(net.contact_pairs(t), "clus")
-    groups = materialize(connected_components(pairs, "a", "b").select(F.col("component").alias("group_id"), F.col("node").alias("member")), "clus")
+    groups, contacts = contact_groups(t)
+    groups = materialize(groups, "clus")
     size = groups.groupBy("group_id").agg(F.count("*").alias("cluster_size")).filter(F.col("cluster_size") >= of("cluster_min_members"))
     outcomes = materialize(net.group_outcomes(groups, t, cfg), "clus")
     meets = outcomes.groupBy("group_id").agg(F.count("*").alias("cobid_processes")).filter(F.col("cobid_processes") >= of("cluster_min_cobid_processes"))
     winners = outcomes.select("group_id", F.explode("winners").alias("w")).groupBy("group_id").agg(F.count_distinct("w").alias("distinct_winners"))
-    inside = pairs.join(groups.withColumnRenamed("member", "a"), "a").select("group_id", F.explode("contacts").alias("c")).groupBy("group_id").agg(F.slice(F.array_sort(F.collect_set("c")), 1, 12).alias("c"))
+    first = contacts.withColumn("k", F.row_number().over(Window.partitionBy("group_id").orderBy("c"))).filter("k <= 12")
+    inside = first.groupBy("group_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
     parsed = F.transform("c", lambda x: F.struct(F.substring_index(x, ":", 1).alias("type"), F.regexp_extract(x, "^[^:]*:(.*)$", 1).alias("contact")))
     stats = size.join(meets, "group_id").join(winners, "group_id", "left").fillna(0, ["distinct_winners"]).join(inside, "group_id")
-    stats = stats.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("cobid_processes"), F.desc("cluster_size"), "group_id"))).withColumn("shared_contacts", parsed)
+    numbered = ordinals(stats, [F.desc("cobid_processes"), F.desc("cluster_size"), F.asc("group_id")], "cluster_id")
+    stats = materialize(numbered.withColumn("cluster_id", F.col("cluster_id").cast("int")).withColumn("shared_contacts", parsed), "clus")
     members = groups.join(stats.select("group_id"), "group_id", "left_semi")
     out = _with_members(members.join(stats, "group_id"), members, t, 20)
     out = out.select("cluster_id", "provider_cuit", "provider_name", "cluster_size", "cobid_processes", "distinct_winners", "shared_contacts", "co_members")
-    return top_n(out, [F.asc("cluster_id"), F.asc("provider_cuit")], cfg.limit)
+    return top_n(out, [F.asc("cluster_id"), F.asc("provider_cuit")], cfg.limit, cfg.ordered)
 
 
 def related_providers(findings: dict[str, DataFrame], cuits: DataFrame) -> DataFrame:

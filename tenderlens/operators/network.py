@@ -6,13 +6,15 @@ sums that decide whether to go on come to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tenderlens.operators.checks import shared_contacts
 from tenderlens.operators.components import connected_components
-from tenderlens.plans.staging import materialize
+from tenderlens.plans.staging import discard, materialize
 from tenderlens.plans.tables import Config, Tables, name_or_dash, process_window
 
 #: A process with more bidders than this is paired by a join that can be split, not inside one row.
@@ -92,49 +94,92 @@ def provider_stats(t: Tables, cfg: Config) -> DataFrame:
     return bids.join(won, "provider_cuit", "left").fillna(0, ["won_processes"])
 
 
-def k_core(edges: DataFrame, k: int) -> DataFrame:
-    """The edges left when nodes of degree below k are taken out until none is."""
-    now, n = materialize(edges, "core"), -1
+def two_core(e: DataFrame) -> DataFrame:
+    """The edges (u, v), both ways, left when trees that hang on the rest are taken off.
+
+    Nodes with at most two neighbours form paths and rings; a path that holds a node with one neighbour falls
+    as a whole.  At least half of the loose ends go in a round, so rounds are about the logarithm of the
+    nodes however long a path is."""
+    now = materialize(e, "core")
     while True:
-        size = now.count()
-        if size == n or not size:
+        thin = now.groupBy("u").agg(F.count("*").alias("d")).filter("d <= 2")
+        thin = materialize(thin, "core")
+        if not thin.filter("d = 1").limit(1).count():
             return now
-        n = size
-        stay = both_ways(now).groupBy("u").agg(F.count("*").alias("d")).filter(F.col("d") >= k).select("u")
-        now = materialize(now.join(stay.withColumnRenamed("u", "a"), "a", "left_semi").join(stay.withColumnRenamed("u", "b"), "b", "left_semi"), "core")
+        inner = now.join(thin.select("u"), "u", "left_semi").join(thin.select(F.col("u").alias("v")), "v", "left_semi").filter("u < v")
+        paths = connected_components(inner, "u", "v").withColumnRenamed("node", "u")
+        of = thin.join(paths, "u", "left").withColumn("component", F.coalesce("component", "u"))
+        loose = of.filter("d = 1").select("component").distinct()
+        gone = materialize(of.join(loose, "component", "left_semi").select("u"), "core")
+        then = materialize(now.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti"), "core")
+        discard(now)
+        now = then
+
+
+def coreness(edges: DataFrame) -> DataFrame:
+    """(node, core): the greatest k for which a node is in the k-core, for every node that has an edge.
+
+    Hanging trees have 1.  On the rest a node starts from its degree and takes, round by round, the greatest h such that h of
+    its neighbours have h or more; that falls to the core number of all nodes at once.  What a node's
+    neighbours have is counted by value before the shuffle, so a hub sends a row for each value, not for each neighbour."""
+    e = materialize(both_ways(edges).filter("u <> v").select("u", "v").distinct(), "core")
+    rest = two_core(e)
+    now = materialize(rest.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("core")), "core")
+    down = Window.partitionBy("u").orderBy(F.desc("c"))
+    while True:
+        there = now.select(F.col("node").alias("v"), F.col("core").alias("cv"))
+        seen = rest.join(there, "v").join(now.select(F.col("node").alias("u"), F.col("core").alias("cu")), "u")
+        counted = seen.groupBy("u", "cu", F.least("cv", "cu").alias("c")).agg(F.count("*").alias("n"))
+        h = counted.withColumn("above", F.sum("n").over(down)).groupBy(F.col("u").alias("node"), "cu").agg(F.max(F.least("above", "c")).alias("core"))
+        then = materialize(h, "core")
+        moved = then.filter("core < cu").limit(1).count()
+        discard(now)
+        now = then.select("node", "core")
+        if not moved:
+            break
+    nodes = e.select(F.col("u").alias("node")).distinct()
+    return nodes.join(now, "node", "left").withColumn("core", F.coalesce("core", F.lit(1).cast("long")))
+
+
+def k_core(edges: DataFrame, k: int, core: DataFrame | None = None) -> DataFrame:
+    """The edges left when nodes of degree below k are taken out until none is."""
+    stay = (coreness(edges) if core is None else core).filter(F.col("core") >= k).select("node")
+    return edges.join(stay.withColumnRenamed("node", "a"), "a", "left_semi").join(stay.withColumnRenamed("node", "b"), "b", "left_semi")
 
 
 def peel_to_cap(edges: DataFrame, cap: int = 60) -> DataFrame:
     """(component, a, b, weight): components above ``cap`` nodes give way to their cores, k from 2 up, until
-    they have at most ``cap``; an empty core leaves the one before."""
+    they have at most ``cap``; an empty core leaves the one before.  Which core that is follows from the
+    counts of core numbers in a component."""
     comp = connected_components(edges, "a", "b")
-    now = materialize(edges.join(comp.select(F.col("node").alias("a"), "component"), "a"), "peel")
-    done, k = None, 2
-    while True:
-        ends = now.select("component", F.explode(F.array("a", "b")).alias("v")).groupBy("component").agg(F.count_distinct("v").alias("n"))
-        big = materialize(ends.filter(F.col("n") > cap).select("component"), "peel")
-        fine = now.join(big, "component", "left_anti")
-        done = fine if done is None else done.unionByName(fine)
-        if not big.limit(1).count():
-            return done.select("component", "a", "b", "weight")
-        large = now.join(big, "component", "left_semi")
-        core = k_core(large, k)
-        empty = big.join(core.select("component").distinct(), "component", "left_anti")
-        done = done.unionByName(large.join(empty, "component", "left_semi"))
-        now, k = core, k + 1
-
-
-def _cliques_of(least: int, most: int):
+    of = materialize(comp.join(coreness(edges), "node"), "peel")
+    down = Window.partitionBy("component").orderBy(F.desc("core"))
+    sizes = of.groupBy("component", "core").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(down))
+    level = sizes.groupBy("component").agg(F.min(F.when(F.col("n") <= cap, F.col("core"))).alias("fits"), F.max("core").alias("top"))
+    stay = of.join(level, "component").filter(F.col("core") >= F.coalesce("fits", "top")).select("node", "component")
+    out = edges.join(stay.withColumnRenamed("node", "a"), "a").join(stay.select(F.col("node").alias("b")), "b", "left_semi")
+    return out.select("component", "a", "b", "weight")
+
+
+#: A seed with more rows than this is split by its second vertex.
+SPLIT_ROWS = 200_000
+
+
+def _cliques_of(least: int, most: int, seeds: int):
+    """Of a group of rows (x, y, x_later, y_later), edges among the common neighbours of its ``seeds``: the
+    maximal cliques that hold the seeds and only later ones beside them."""
+
     def run(key, pdf):
         import pandas as pd
 
-        seed, near = key[0], {}
-        for a, b in zip(pdf["x"], pdf["y"]):
+        near, later = {}, {}
+        for a, b, la, lb in zip(pdf["x"], pdf["y"], pdf["x_later"], pdf["y_later"]):
             near.setdefault(a, set())
+            later[a] = la
             if b is not None:
-                near.setdefault(b, set())
+                near.setdefault(b, set()).add(a)
                 near[a].add(b)
-                near[b].add(a)
+                later[b] = lb
         found = []
 
         def grow(clique: list, cand: set, done: set) -> None:
@@ -150,94 +195,181 @@ def _cliques_of(least: int, most: int):
                 cand = cand - {v}
                 done = done | {v}
 
-        grow([seed], {v for v in near if v > seed}, {v for v in near if v < seed})
+        grow(list(key[:seeds]), {v for v in near if later[v]}, {v for v in near if not later[v]})
         return pd.DataFrame({"members": ["\x1f".join(c) for c in found]}, dtype=str)
 
     return run
 
 
-def maximal_cliques(edges: DataFrame, least: int = 3, most: int = 8) -> DataFrame:
+def maximal_cliques(edges: DataFrame, least: int = 3, most: int = 8, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(members array): maximal cliques of between ``least`` and ``most`` nodes; larger ones are not cut up.
-    Each node gets the edges among its neighbours and reports the cliques in which it is the least, so a
-    group is one neighbourhood, which the peeling before keeps small."""
+
+    Nodes are ordered by core number, degree and name, and a clique is found from its first node, which sees the
+    triangles it makes with later nodes: those among its later neighbours, of which a node has few in this
+    order, and those with an earlier one, which would make a clique larger.  A first node with more than ``split_rows`` of
+    them hands them on to its second ones."""
     edges = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "weight")
-    e = both_ways(edges).select("u", "v").distinct()
-    triangles = e.withColumnRenamed("v", "x").join(e.withColumnRenamed("v", "y"), "u").filter("x < y").join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), ["x", "y"]).select("u", "x", "y")
-    alone = e.select("u", F.col("v").alias("x"), F.lit(None).cast(e.schema["v"].dataType).alias("y"))
-    found = triangles.unionByName(alone).groupBy("u").applyInPandas(_cliques_of(least, most), "members string")
+    e = both_ways(edges).select("u", "v").filter("u <> v").distinct()
+    order = coreness(edges).join(e.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree")), "node")
+    order = materialize(order.select("node", F.struct("core", "degree", "node").alias("r")), "clq")
+    r = lambda name, out: order.select(F.col("node").alias(name), F.col("r").alias(out))
+    o = materialize(e.join(r("u", "ru"), "u").join(r("v", "rv"), "v").filter("ru < rv").select("ru", "rv"), "clq")
+    wedge = o.select(F.col("ru").alias("p"), F.col("rv").alias("q")).join(o.select(F.col("ru").alias("p"), F.col("rv").alias("s")), "p").filter("q < s")
+    tri = materialize(wedge.join(o.select(F.col("ru").alias("q"), F.col("rv").alias("s")), ["q", "s"]).select("p", "q", "s"), "clq")
+    yes, no = F.lit(True), F.lit(False)
+    row = lambda u, x, y, xl: tri.select(F.col(u).alias("u"), F.col(x).alias("x"), F.col(y).alias("y"), xl.alias("x_later"), yes.alias("y_later"))
+    first = row("p", "q", "s", yes)
+    rows = first.unionByName(row("q", "p", "s", no).join(first.select("u").distinct(), "u", "left_semi"))
+    if least <= 2:
+        alone = o.select(F.col("ru").alias("u"), F.col("rv").alias("x"), F.lit(None).cast(o.schema["rv"].dataType).alias("y"), yes.alias("x_later"), no.alias("y_later"))
+        early = tri.select(F.col("q").alias("u"), F.col("s").alias("x"), F.col("p").alias("y"), yes.alias("x_later"), no.alias("y_later"))
+        rows = first.unionByName(early).unionByName(alone)
+    rows = materialize(rows, "clq")
+    large = materialize(rows.groupBy("u").agg(F.count("*").alias("k")).filter(F.col("k") > split_rows).select("u"), "clq")
+    plain = [F.col(c)["node"].alias(c) for c in ("x", "y")]
+    kept = rows.join(large, "u", "left_anti").select(F.col("u.node").alias("u"), *plain, "x_later", "y_later")
+    found = kept.groupBy("u").applyInPandas(_cliques_of(least, most, 1), "members string")
+    if large.limit(1).count():
+        big = materialize(rows.join(large, "u", "left_semi"), "clq")
+        side = lambda x, y: big.filter("y is not null").select("u", F.col(x).alias("v"), F.col(y).alias("w"), F.col(f"{x}_later").alias("vl"), F.col(f"{y}_later").alias("wl"))
+        beside = side("x", "y").unionByName(side("y", "x")).filter("vl").select("u", "v", "w", (F.col("wl") & (F.col("w") > F.col("v"))).alias("later")).distinct()
+        beside = materialize(beside, "clq")
+        one = lambda w, name: beside.select("u", "v", F.col("w").alias(w), F.col("later").alias(name))
+        inner = big.filter("y is not null").select("u", "x", "y").join(one("x", "x_later"), ["u", "x"]).join(one("y", "y_later"), ["u", "v", "y"]).filter("x_later or y_later")
+        single = beside.select("u", "v", F.col("w").alias("x"), F.lit(None).cast(o.schema["rv"].dataType).alias("y"), F.col("later").alias("x_later"), no.alias("y_later"))
+        pairs = single.unionByName(inner.select("u", "v", "x", "y", "x_later", "y_later"))
+        if least <= 2:  # a second vertex with which the first has no neighbour in common
+            lone = big.filter("y is null").select("u", F.col("x").alias("v")).join(beside.select("u", "v").distinct(), ["u", "v"], "left_anti")
+            found = found.unionByName(lone.select(F.array_join(F.array_sort(F.array("u.node", "v.node")), "\x1f").alias("members")))
+        flat = pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v"), *plain, "x_later", "y_later")
+        found = found.unionByName(flat.groupBy("u", "v").applyInPandas(_cliques_of(least, most, 2), "members string"))
     return found.select(F.split("members", "\x1f").alias("members"))
 
 
 def select_disjoint(groups: DataFrame, priority: list[str]) -> DataFrame:
     """Greedy choice: by the priority columns, greatest first, then by members, a group is taken unless it
     shares a member with one taken before.  Each round takes all groups that come first for every one of
-    their members; what conflicts with them goes.  ``groups`` has (group_id, members, priority...)."""
-    order = Window.orderBy(*(F.desc(p) for p in priority), F.col("members"))
-    rest = materialize(groups.withColumn("__rank", F.row_number().over(order)), "pick")
+    their members; what conflicts with them goes.  Groups compare by their own columns, so no task ranks
+    them all.  ``groups`` has (group_id, members, priority...)."""
+    key = F.struct(*((-F.col(p)).alias(f"p{n}") for n, p in enumerate(priority)), "members", "group_id")
+    rest = materialize(groups.withColumn("__key", key), "pick")
     taken = None
     while rest.limit(1).count():
-        each = rest.select("group_id", "__rank", F.explode("members").alias("m"))
-        first = each.groupBy("m").agg(F.min("__rank").alias("best"))
-        wins = each.join(first, "m").groupBy("group_id").agg(F.max(F.col("__rank") - F.col("best")).alias("late")).filter("late = 0").select("group_id")
-        now = materialize(rest.join(wins, "group_id", "left_semi"), "pick")
+        each = rest.select("group_id", "__key", F.explode("members").alias("m"))
+        first = each.groupBy("m").agg(F.min("__key").alias("best"))
+        late = each.join(first, "m").filter("__key <> best").select("group_id").distinct()
+        now = materialize(rest.join(late, "group_id", "left_anti"), "pick")
         taken = now if taken is None else taken.unionByName(now)
         used = now.select(F.explode("members").alias("m")).distinct()
         hit = each.join(used, "m", "left_semi").select("group_id").distinct()
         rest = materialize(rest.join(hit, "group_id", "left_anti"), "pick")
-    return (taken if taken is not None else rest).drop("__rank")
+    return (taken if taken is not None else rest).drop("__key")
 
 
-def communities(edges: DataFrame, max_levels: int = 10, max_rounds: int = 20) -> DataFrame:
-    """(node, community): weighted modularity communities by rounds of local moves and contraction.
+def _whole(c: str) -> Column:
+    return F.col(c).cast("decimal(19,0)")
 
-    In a round every node of one half (by a hash of node and round) moves to the neighbouring community with
-    the greatest gain, the least id among equals.  A round that does not raise the modularity is undone.
+
+def _move_nodes(links: DataFrame, start: DataFrame, total: int) -> tuple[DataFrame, bool]:
+    """((node, community, k), whether any node moved): nodes of ``links`` (u, v, weight; a loop holds twice its inner
+    weight) move from ``start`` (node, community) while a move raises the modularity.
+
+    A round weighs the nodes near the last moves, all of them once those are done.  Half of the nodes that gain, by a hash
+    of node and round, move together if that raises the modularity, which is summed over the edges and
+    communities they touch; else those move that no other move competes with for either community, whose gains add up.  So
+    every round gains, and there is a last one."""
+    degree = links.groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("k"))
+    state, ever, front, turn = materialize(start.join(degree, "node"), "lv"), False, None, 0
+    between = links.filter("u <> v")
+    while True:
+        own = state.withColumnRenamed("community", "own")
+        looked = between if front is None else between.join(front, "u", "left_semi")
+        to = looked.join(state.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        stay = (own if front is None else own.join(front.withColumnRenamed("u", "node"), "node", "left_semi")).select("node", F.col("own").alias("community"), F.lit(0).cast("long").alias("w"))
+        size = state.groupBy("community").agg(F.sum("k").alias("tot"))
+        options = to.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(own, "node").join(size, "community")
+        here = F.col("community") == F.col("own")
+        gain = _whole("w") * total - _whole("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0))
+        ranked = options.withColumn("gain", gain).groupBy("node", "own", "k").agg(F.max("gain").alias("top"), F.max(F.when(here, F.col("gain"))).alias("now"), F.min_by("community", F.struct(-F.col("gain"), F.col("community"))).alias("to"))
+        could = materialize(ranked.filter("top > now").select("node", "own", "to", "k", (F.col("top") - F.col("now")).alias("gain")), "lv")
+        half = could.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+        moved, raised = _raised(between, state, half, total)
+        turn += 1
+        if raised <= 0:
+            if not moved and not could.limit(1).count():
+                if front is None:
+                    return state, ever
+                front = None
+                continue
+            each = could.select("node", "gain", F.explode(F.array("own", "to")).alias("c"))
+            first = each.groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("node").alias("n"))).alias("first"))
+            beaten = each.join(first, "c").filter(F.col("first.n") != F.col("node")).select("node").distinct()
+            half = could.join(beaten, "node", "left_anti")
+        gone = materialize(half.select("node", "to"), "lv")
+        then = state.join(gone, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k")
+        beside = between.join(gone.select(F.col("node").alias("v")), "v", "left_semi").select("u").unionByName(gone.select(F.col("node").alias("u"))).distinct()
+        then, front, ever = materialize(then, "lv"), materialize(beside, "lv"), True
+        discard(state)
+        state = then
+
+
+def _raised(between: DataFrame, state: DataFrame, moves: DataFrame, total: int) -> tuple[int, int]:
+    """(how many moves, by how much all of them together raise the modularity times the square of the total)."""
+    m = moves.select(F.col("node").alias("u"), F.col("own").alias("a"), F.col("to").alias("b"))
+    other = state.select(F.col("node").alias("v"), "community").join(moves.select(F.col("node").alias("v"), F.col("to").alias("after")), "v", "left")
+    edge = between.join(m, "u").join(other, "v")
+    same = (F.col("b") == F.coalesce("after", "community")).cast("int") - (F.col("a") == F.col("community")).cast("int")
+    inner = edge.agg(F.coalesce(F.sum(F.col("weight") * same * F.when(F.col("after").isNull(), 2).otherwise(1)), F.lit(0)).alias("inner"))
+    change = moves.select(F.explode(F.array(F.struct(F.col("own").alias("community"), (-F.col("k")).alias("d")), F.struct(F.col("to").alias("community"), F.col("k").alias("d")))).alias("x")).groupBy("x.community").agg(F.sum("x.d").alias("d"))
+    tot = state.groupBy("community").agg(F.sum("k").alias("tot")).join(change, "community")
+    square = tot.agg(F.coalesce(F.sum(_whole("d") * (2 * F.col("tot") + F.col("d"))), F.lit(0)).alias("square"))
+    row = inner.crossJoin(square).crossJoin(moves.agg(F.count("*").alias("n"))).first()  # three sums, a row each
+    return row["n"], int(row["inner"]) * total - int(row["square"])
+
+
+def _contracted(links: DataFrame, comm: DataFrame) -> DataFrame:
+    """Links between communities; those inside one become its loop."""
+    c1, c2 = comm.select(F.col("node").alias("u"), F.col("community").alias("cu")), comm.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+    return materialize(links.join(c1, "u").join(c2, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("weight").alias("weight")), "lv")
+
+
+def _connected(links: DataFrame, comm: DataFrame) -> DataFrame:
+    """Communities cut into their connected parts, each named by its least node; a cut raises the modularity."""
+    c1, c2 = comm.select(F.col("node").alias("u"), F.col("community").alias("cu")), comm.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+    inner = links.filter("u < v").join(c1, "u").join(c2, "v").filter("cu = cv").select("u", "v")
+    parts = connected_components(inner, "u", "v")
+    return materialize(comm.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("community")), "lv")
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community): weighted modularity communities, each connected, such that moving any one node to
+    another community does not raise the modularity, nor does merging two.
+
+    Nodes move, communities are cut into connected parts and become the nodes of a smaller graph, until its nodes stay
+    where they are too; then nodes of the first graph get their turn again, until a whole pass changes nothing.
     The same edges give the same communities wherever rows lie: weights are whole numbers, and gains are
     compared in whole numbers too.  A community is named by its least node.
     """
-    sym = materialize(both_ways(edges), "lv")
-    label = materialize(sym.select(F.col("u").alias("node"), F.col("u").alias("super")).distinct(), "lv")
-    links = sym  # between super nodes; a loop holds twice its inner weight
-    total = links.agg(F.sum("weight")).first()[0] or 0
+    base = materialize(both_ways(edges).filter("u <> v"), "lv")
+    part = materialize(base.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct(), "lv")
+    total = base.agg(F.sum("weight")).first()[0]
     if not total:
-        return label.select("node", F.col("super").alias("community"))
-
-    def quality(comm: DataFrame) -> int:
-        """Modularity times the square of twice the weight."""
-        c1, c2 = comm.select(F.col("node").alias("u"), F.col("community").alias("cu")), comm.select(F.col("node").alias("v"), F.col("community").alias("cv"))
-        both = links.join(c1, "u").join(c2, "v")
-        part = both.groupBy("cu").agg(F.sum(F.when(F.col("cu") == F.col("cv"), F.col("weight")).otherwise(0)).alias("inner"), F.sum("weight").alias("tot"))
-        return int(part.agg(F.sum(F.col("inner").cast("decimal(38,0)") * total - F.col("tot").cast("decimal(19,0)") * F.col("tot"))).first()[0])
-
-    for _ in range(max_levels):
-        degree = materialize(links.groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("k")), "lv")
-        comm = materialize(degree.select("node", F.col("node").alias("community")), "lv")
-        best, idle, moved = quality(comm), 0, False
-        for turn in range(max_rounds):
-            size = comm.join(degree, "node").groupBy("community").agg(F.sum("k").alias("tot"))
-            to = links.filter("u <> v").join(comm.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("weight").alias("w"))
-            own = comm.withColumnRenamed("community", "own").join(degree, "node")
-            stay = own.select("node", F.col("own").alias("community"), F.lit(0).cast("long").alias("w"))
-            options = to.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(own, "node").join(size, "community")
-            rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
-            gain = F.col("w").cast("decimal(38,0)") * total - F.col("k").cast("decimal(19,0)") * rest
-            ranked = options.withColumn("gain", gain).groupBy("node", "own").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).alias("same"))).alias("top"), F.min_by("community", F.struct(-F.col("gain"), F.col("community"))).alias("to"))
-            mine = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-            trial = materialize(ranked.select("node", F.when(mine & ~F.col("top.same"), F.col("to")).otherwise(F.col("own")).alias("community")), "lv")
-            q = quality(trial)
-            if q > best:
-                comm, best, idle, moved = trial, q, 0, True
-            else:
-                idle += 1
-                if idle > 3:
-                    break
-        if not moved:
-            break
-        label = materialize(label.join(comm.select(F.col("node").alias("super"), "community"), "super").select("node", F.col("community").alias("super")), "lv")
-        c1, c2 = comm.select(F.col("node").alias("u"), F.col("community").alias("cu")), comm.select(F.col("node").alias("v"), F.col("community").alias("cv"))
-        links = materialize(links.join(c1, "u").join(c2, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("weight").alias("weight")), "lv")
-    named = label.groupBy("super").agg(F.min("node").alias("community"))
-    return label.join(named, "super").select("node", "community")
+        return part
+    first = True
+    while True:
+        moved = _move_nodes(base, part, total)
+        if not (moved[1] or first):
+            return part
+        part, first = _connected(base, moved[0]), False
+        while True:
+            links = _contracted(base, part)
+            upper, went = _move_nodes(links, links.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct(), total)
+            if not went:
+                break
+            up = upper.select(F.col("node").alias("community"), F.col("community").alias("over"))
+            named = part.join(up, "community").select("node", "over")
+            least = named.groupBy("over").agg(F.min("node").alias("community"))
+            part = materialize(named.join(least, "over").select("node", "community"), "lv")
 
 
 def cobid_degree(edges: DataFrame) -> DataFrame:
@@ -245,13 +377,9 @@ def cobid_degree(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("u").alias("node")).agg(F.count_distinct("v").alias("degree"))
 
 
-def betweenness(edges: DataFrame, sample: int = 400) -> DataFrame:
-    """(node, betweenness): normalised, 4 decimals; from all nodes, or from ``sample`` of them by a hash where
-    there are more.  A breadth-first search from every source at once, level by level, then the shares back."""
-    e = materialize(both_ways(edges).select("u", "v").distinct(), "bc")
-    nodes = e.select(F.col("u").alias("node")).distinct()
-    n = nodes.count()
-    sources = nodes.orderBy(F.xxhash64("node"), "node").limit(sample)
+def _dependencies(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(v, delta): what the shortest paths from the sources give each node they pass, summed.  A breadth-first
+    search from all of them, level by level, then the shares back."""
     front = materialize(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("sigma")), "bc")
     levels, seen = [front], front.select("s", "v")
     while True:
@@ -260,7 +388,7 @@ def betweenness(edges: DataFrame, sample: int = 400) -> DataFrame:
         if not step.limit(1).count():
             break
         levels.append(step)
-        seen = seen.unionByName(step.select("s", "v"))
+        seen = levels[-1].select("s", "v").unionByName(levels[-2].select("s", "v"))  # neighbours of a level lie in it or beside it
     below, parts = None, []
     for level in reversed(levels):
         here = level
@@ -271,12 +399,27 @@ def betweenness(edges: DataFrame, sample: int = 400) -> DataFrame:
             here = here.join(share, ["s", "v"], "left").select("s", "v", "sigma", (F.col("sigma") * F.coalesce("x", F.lit(0.0))).alias("delta"))
         below = materialize(here, "bc")
         parts.append(below.filter("s <> v").select("v", "delta"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    out = materialize(reduce(DataFrame.unionByName, parts).groupBy("v").agg(F.sum("delta").alias("delta")), "bc")
+    for level in levels:
+        discard(level)
+    return out
+
+
+def betweenness(edges: DataFrame, sample: int = 400, batch: int = 100) -> DataFrame:
+    """(node, betweenness): normalised, 4 decimals; from all nodes, or from ``sample`` of them by a hash where
+    there are more.  Sources are searched from ``batch`` at a time, so the tables of a search hold at most so
+    many rows for each node, and each batch is summed by node before the next."""
+    e = materialize(both_ways(edges).select("u", "v").distinct(), "bc")
+    nodes = e.select(F.col("u").alias("node")).distinct()
+    n = nodes.count()
+    chosen = nodes.withColumn("h", F.xxhash64("node")).orderBy("h", "node").limit(sample)
+    chosen = materialize(chosen.withColumn("part", F.floor((F.row_number().over(Window.orderBy("h", "node")) - 1) / batch)), "bc")  # ``sample`` rows
+    sums = [_dependencies(e, chosen.filter(F.col("part") == k)) for k in range(-(-min(n, sample) // batch))]
     scale = (n / min(n, sample)) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    sums = every.groupBy(F.col("v").alias("node")).agg(F.sum("delta").alias("d"))
-    return nodes.join(sums, "node", "left").select("node", F.bround(F.coalesce("d", F.lit(0.0)) * scale, 4).alias("betweenness"))
+    if not sums:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    total = reduce(DataFrame.unionByName, sums).groupBy(F.col("v").alias("node")).agg(F.sum("delta").alias("d"))
+    return nodes.join(total, "node", "left").select("node", F.bround(F.coalesce("d", F.lit(0.0)) * scale, 4).alias("betweenness"))
 
 
 def cobid_centrality(t: Tables, min_shared: int = 2, sample: int = 400) -> DataFrame:

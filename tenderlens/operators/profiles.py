@@ -111,14 +111,34 @@ def search_processes(t: Tables, cfg: Config, text: str | None = None, cuits: Dat
     return out.orderBy(F.desc_nulls_last("opening"), "process_number")
 
 
+def opinions_of(t: Tables, numbers: DataFrame) -> DataFrame:
+    """(process_number, opinions): opinions on the bids of a process in sequence, each with whom it would award,
+    whom it rejects for what, and who signed.  Built from the leaves up, each level a sum by its own key."""
+    n, key = numbers.select("process_number").distinct(), ["process_number", "source", "sequence"]
+    names = t.provider.select(F.col("cuit").alias("provider_cuit"), F.col("business_name").alias("name"))
+    own = lambda df: df.join(n, "process_number", "left_semi")
+    listed = lambda df, item, name: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*item))).alias(name))
+    awards = listed(own(t.pre_award).join(names, "provider_cuit", "left"), ["merit_order", "provider_cuit", "name", "is_primary"], "pre_adjudicated")
+    reasons = own(t.rejection).groupBy(*key, "provider_cuit").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    rejected = listed(reasons.join(names, "provider_cuit", "left"), ["provider_cuit", "name", "reasons"], "rejected")
+    signers = listed(own(t.opinion_signer), ["username", "role"], "signers")
+    out = own(t.opinion)
+    for part, name in ((awards, "pre_adjudicated"), (rejected, "rejected"), (signers, "signers")):
+        out = out.join(part, key, "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    item = ["sequence", "source", "issue_date", "pre_award_total", "currency", "pre_adjudicated", "rejected", "signers"]
+    return out.groupBy("process_number").agg(F.array_sort(F.collect_list(F.struct(*item))).alias("opinions"))
+
+
 def process_detail(t: Tables, numbers: DataFrame) -> DataFrame:
-    """(process_number, bids, contracts, n_lines): bids by amount, contracts with who signed them."""
+    """(process_number, bids, contracts, opinions, n_lines): bids by amount, contracts with who signed them, and
+    the opinions, if there is a table of them."""
     n = numbers.select("process_number").distinct()
     bids = t.bid.join(n, "process_number", "left_semi").groupBy("process_number").agg(F.array_sort(F.collect_list(F.struct(F.col("total_amount").alias("amount"), "provider_cuit", "currency"))).alias("bids"))
     signed = t.authorized_by.groupBy("document_number", "source").agg(F.array_sort(F.collect_set("authorizer")).alias("authorizers"))
     docs = t.contract.join(n, "process_number", "left_semi").join(signed, ["document_number", "source"], "left").groupBy("process_number").agg(F.array_sort(F.collect_list(F.struct("document_number", "provider_cuit", "total_amount", "authorizers"))).alias("contracts"))
     lines = t.bid_line.join(n, "process_number", "left_semi").groupBy("process_number").agg(F.count("*").alias("n_lines"))
-    return n.join(bids, "process_number", "left").join(docs, "process_number", "left").join(lines, "process_number", "left").fillna(0, ["n_lines"])
+    out = n.join(bids, "process_number", "left").join(docs, "process_number", "left").join(lines, "process_number", "left").fillna(0, ["n_lines"])
+    return out if t.opinion is None else out.join(opinions_of(t, n), "process_number", "left")
 
 
 def findings_for_process(findings: dict[str, DataFrame], numbers: DataFrame) -> DataFrame:

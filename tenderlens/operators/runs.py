@@ -8,9 +8,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tenderlens.operators.checks import REGISTRY, shared_contacts
+from tenderlens.operators.checks import REGISTRY
 from tenderlens.operators.scoring import all_scores, attributed
 from tenderlens.operators.valuation import valued_contracts
 from tenderlens.plans.staging import at_once, materialize
@@ -29,9 +28,8 @@ def effective_config(overrides: dict | None = None) -> Config:
 
 
 def with_shared(t: Tables) -> Tables:
-    """``t`` with the valued contracts and the pairs of shared contacts, which many checks read, written once."""
-    shared = {"valued_contracts": materialize(valued_contracts(t), "valued"), "shared_contacts": materialize(shared_contacts(t), "contacts")}
-    return replace(t, shared=shared)
+    """``t`` with the valued contracts, which many checks read, written once."""
+    return replace(t, shared={"valued_contracts": materialize(valued_contracts(t), "valued")})
 
 
 def run_detection(t: Tables, cfg: Config, keep: Callable[[str, DataFrame], DataFrame] = lambda key, df: df) -> tuple[dict[str, DataFrame], dict[str, str]]:
@@ -50,38 +48,70 @@ def run_detection(t: Tables, cfg: Config, keep: Callable[[str, DataFrame], DataF
     return {k: v for k, v in got.items() if not isinstance(v, str)}, {k: v for k, v in got.items() if isinstance(v, str)}
 
 
+# ---- the ledger of runs ----------------------------------------------------------------------------------
+
+LEDGER = "run_id string, state string, at timestamp, processes long, windowed boolean, failed array<string>, at_limit array<string>, error string"
+RUNNING, DONE, FAILED = "running", "done", "failed"
+
+
+def _windowed(cfg: Config) -> bool:
+    return cfg.date_from is not None or cfg.date_to is not None
+
+
+def _enter(spark: SparkSession, root: str, row: tuple) -> DataFrame:
+    """One line of the ledger, a file that appears when its job commits: a run has a line or has not."""
+    line = spark.createDataFrame([row], LEDGER)
+    line.coalesce(1).write.mode("overwrite").parquet(f"{root}/ledger/entry={row[0]}-{row[1]}")
+    return line
+
+
+def ledger(spark: SparkSession, root: str) -> DataFrame:
+    """The last line of each run, by the rank of its state: a run that is still ``running`` when its job is gone was lost."""
+    try:
+        lines = spark.read.schema(LEDGER).parquet(f"{root}/ledger/*")
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], LEDGER)
+        raise
+    last = F.struct((F.col("state") != RUNNING).alias("over"), *lines.columns)
+    return lines.groupBy("run_id").agg(F.max_by(last, F.struct((F.col("state") != RUNNING), "at")).alias("r")).select(*(f"r.{c}" for c in lines.columns))
+
+
 def persist_run(spark: SparkSession, t: Tables, cfg: Config, root: str, run_id: str, features: DataFrame | None = None) -> DataFrame:
-    """Write findings (by check) and scores under a run id, then its status row; returns the status.  A run
-    without a status row never counts as done, so a job that dies half-way leaves nothing to read."""
+    """Write findings (by check) and scores under a run id; returns its line in the ledger.
+
+    A line ``running`` comes first and ``done`` last, so a job that dies half-way leaves nothing to read; one
+    that ends in an error says ``failed`` and raises it.  The line names checks that failed, and those
+    whose findings are as many as the limit, so that some may have been cut."""
 
     def stored(key: str, df: DataFrame) -> DataFrame:
         path = f"{root}/findings/run_id={run_id}/check_key={key}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    saved, failed = run_detection(t, cfg, stored)
-    all_scores(saved, cfg, features).write.mode("overwrite").parquet(f"{root}/scores/run_id={run_id}")
-    attributed(saved).write.mode("overwrite").parquet(f"{root}/attributed/run_id={run_id}")
-    windowed = cfg.date_from is not None or cfg.date_to is not None
-    row = [(run_id, datetime.now(timezone.utc), t.process.count(), windowed, sorted(failed))]
-    status = spark.createDataFrame(row, "run_id string, at timestamp, processes long, windowed boolean, failed array<string>")
-    status.coalesce(1).write.mode("overwrite").parquet(f"{root}/status/run_id={run_id}")
-    return status
+    line = lambda state, *rest: (run_id, state, datetime.now(timezone.utc), processes, _windowed(cfg), *rest)
+    processes = t.process.count()
+    _enter(spark, root, line(RUNNING, [], [], None))
+    try:
+        saved, failed = run_detection(t, cfg, stored)
+        all_scores(saved, cfg, features).write.mode("overwrite").parquet(f"{root}/scores/run_id={run_id}")
+        attributed(saved).write.mode("overwrite").parquet(f"{root}/attributed/run_id={run_id}")
+        full = [] if cfg.limit is None else sorted(k for k, df in saved.items() if df.count() >= cfg.limit)
+    except Exception as e:
+        _enter(spark, root, line(FAILED, [], [], f"{type(e).__name__}: {e}"[:2000]))
+        raise
+    return _enter(spark, root, line(DONE, sorted(failed), full, None))
 
 
-STATUS = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("processes", T.LongType()), T.StructField("windowed", T.BooleanType()), T.StructField("failed", T.ArrayType(T.StringType())), T.StructField("run_id", T.StringType())])
+def _cached(spark: SparkSession, root: str):
+    """The line of the latest run that is done and covers all dates."""
+    return ledger(spark, root).filter((F.col("state") == DONE) & ~F.col("windowed")).orderBy(F.desc("at"), F.desc("run_id")).first()
 
 
 def latest_run(spark: SparkSession, root: str) -> str | None:
     """The latest run that is done and covers all dates."""
-    try:
-        rows = spark.read.schema(STATUS).parquet(f"{root}/status").filter("not windowed")
-        top = rows.orderBy(F.desc("at"), F.desc("run_id")).select("run_id").first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return top[0] if top else None
+    row = _cached(spark, root)
+    return row["run_id"] if row else None
 
 
 def read_run(spark: SparkSession, root: str, run_id: str) -> tuple[DataFrame, DataFrame]:
@@ -91,5 +121,14 @@ def read_run(spark: SparkSession, root: str, run_id: str) -> tuple[DataFrame, Da
 
 def should_rerun(processes: int, at_last_run: int | None, cfg: Config, forced: bool = False, after: int = RERUN_AFTER) -> bool:
     """Run again if forced, never run, windowed, or with enough new processes."""
-    windowed = cfg.date_from is not None or cfg.date_to is not None
-    return forced or windowed or at_last_run is None or processes - at_last_run >= after
+    return forced or _windowed(cfg) or at_last_run is None or processes - at_last_run >= after
+
+
+def run_if_needed(spark: SparkSession, t: Tables, cfg: Config, root: str, run_id: str, forced: bool = False, after: int = RERUN_AFTER) -> tuple[str, bool]:
+    """(run id, whether it was there already): the stored run that answers for the processes there are now, or a
+    new one.  What counts is the number of processes in the ledger's line of the last whole run."""
+    last = _cached(spark, root)
+    if not should_rerun(t.process.count(), last["processes"] if last else None, cfg, forced, after):
+        return last["run_id"], True
+    persist_run(spark, t, cfg, root, run_id)
+    return run_id, False

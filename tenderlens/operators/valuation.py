@@ -3,16 +3,22 @@
 A series is expanded to a calendar without gaps (each observation until the next), so that an as-of join
 is an equality join against a table whose size is the length of time, not of the data; that table is
 broadcast.  What lies after the last observation meets that one row.
+
+All six kinds of priced entities run through one stream of facts (:func:`priced_facts`): a fact carries its
+amounts as a list, so it is dated, linked and valued where it is, and nothing is shuffled to melt or to fold.
 """
 
 from __future__ import annotations
 
+from datetime import date
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tenderlens.functions.normalize import normalize_currency
-from tenderlens.plans.tables import Tables, money
+from tenderlens.plans.tables import OFFICIAL_FROM, Tables, money
 
 
 def observation_date(own: Column, process_dates: list[Column]) -> Column:
@@ -21,10 +27,17 @@ def observation_date(own: Column, process_dates: list[Column]) -> Column:
 
 
 def effective_currency(own: Column, parent: Column, process_currencies: Column) -> Column:
-    """Own currency, else the parent's, else the first of the process's that can be normalised; null
-    means that no link is made."""
-    first = F.get(F.filter(F.transform(process_currencies, normalize_currency), lambda c: c.isNotNull()), F.lit(0))
-    return F.coalesce(normalize_currency(own), normalize_currency(parent), first)
+    """Own currency, else the parent's, else the first of the process's that can be normalised; null, or a
+    label that says nothing, means that no link is made."""
+    return normalize_currency(F.coalesce(_told(own), _told(parent), first_currency(process_currencies)))
+
+
+def _told(label: Column) -> Column:
+    return F.when(label != "", label)
+
+
+def first_currency(process_currencies: Column) -> Column:
+    return F.get(F.filter(F.transform(process_currencies, normalize_currency), lambda c: c.isNotNull()), F.lit(0))
 
 
 def filled_calendar(series: DataFrame, keys: list[str], at: str, value: str, step: str) -> DataFrame:
@@ -54,12 +67,19 @@ def as_of(facts: DataFrame, calendar: DataFrame, on: dict[str, Column], slot: Co
     return joined.drop(*names, "__slot", "__hit", "__last")
 
 
-def link_inflation(facts: DataFrame, price_index: DataFrame) -> DataFrame:
-    """Adds ``index_value``, ``index_period`` and ``index_strategy`` (same_month, nearest_prior) for facts
-    with an ``observed`` date and an effective ``currency_used``."""
-    month = F.when(F.col("currency_used").isNotNull(), F.trunc("observed", "month"))
+def series_of(observed: Column, official_from: date) -> Column:
+    """The index of a day: the chained one before the official one starts."""
+    return F.when(observed < F.lit(official_from), "chained").when(observed.isNotNull(), "official")
+
+
+def link_inflation(facts: DataFrame, price_index: DataFrame, official_from: date = OFFICIAL_FROM) -> DataFrame:
+    """Adds ``series_id``, ``index_value``, ``index_period`` and ``index_strategy`` (same_month, nearest_prior)
+    for facts with an ``observed`` date and an effective ``currency_used``.  A fact meets the series of its day
+    only: where that has no observation up to the day, there is no link, whatever the other one holds."""
+    linked = F.col("currency_used").isNotNull()
+    facts = facts.withColumn("series_id", F.when(linked, series_of(F.col("observed"), official_from)))
     cal = filled_calendar(price_index, ["series_id"], "period", "index_value", "1 month")
-    out = as_of(facts, cal, {"series_id": F.lit("official")}, month, {"value": "index_value", "seen": "index_period"})
+    out = as_of(facts, cal, {"series_id": F.col("series_id")}, F.trunc("observed", "month"), {"value": "index_value", "seen": "index_period"})
     strategy = F.when(F.col("index_period") == F.trunc("observed", "month"), "same_month").when(F.col("index_period").isNotNull(), "nearest_prior")
     return out.withColumn("index_strategy", strategy)
 
@@ -93,30 +113,110 @@ def with_usd(df: DataFrame, fx_rate: DataFrame, ars: str, out: str) -> DataFrame
     return df.crossJoin(F.broadcast(latest_usd(fx_rate))).withColumn(out, F.when(F.col("usd") > 0, F.round(F.col(ars) / F.col("usd"), 2))).drop("usd")
 
 
+PROCESS_DATES = ("opening_date", "scheduled_date", "gazette_date", "scraped_at")
+
+
+def _valued(facts: DataFrame, t: Tables) -> DataFrame:
+    return real_value(link_fx(link_inflation(facts, t.price_index, t.official_from), t.fx_rate), t.price_index)
+
+
 def valued_contracts(t: Tables) -> DataFrame:
     """Contracts with their process's window column, unit and links, and ``real_ars`` (decimal or null)."""
     if "valued_contracts" in t.shared:
         return t.shared["valued_contracts"]
-    p = t.process.select("process_number", "opening_date", "scheduled_date", "gazette_date", "scraped_at", "currencies", "unit_code", "source_url")
+    p = t.process.select("process_number", *PROCESS_DATES, "currencies", "unit_code", "source_url")
     facts = t.contract.join(p, "process_number")
-    facts = facts.withColumn("observed", observation_date(F.col("perfection_date"), [F.col(c) for c in ("opening_date", "scheduled_date", "gazette_date", "scraped_at")]))
-    facts = facts.withColumn("currency_used", effective_currency(F.col("currency"), F.lit(None).cast("string"), F.col("currencies")))
-    return real_value(link_fx(link_inflation(facts, t.price_index), t.fx_rate), t.price_index)
-
-
-def valued_bids(t: Tables) -> DataFrame:
-    """Bids with links and real value, dated by submission or by their process."""
-    p = t.process.select("process_number", "opening_date", "scheduled_date", "gazette_date", "scraped_at", "currencies")
-    facts = t.bid.join(p, "process_number")
-    facts = facts.withColumn("observed", observation_date(F.col("submitted_at"), [F.col(c) for c in ("opening_date", "scheduled_date", "gazette_date", "scraped_at")]))
+    facts = facts.withColumn("observed", observation_date(F.col("perfection_date"), [F.col(c) for c in PROCESS_DATES]))
     facts = facts.withColumn("currency_used", effective_currency(F.col("currency"), F.lit(None).cast("string"), F.col("currencies")))
-    return real_value(link_fx(link_inflation(facts, t.price_index), t.fx_rate), t.price_index)
+    return _valued(facts, t)
+
+
+# ---- all priced entities -------------------------------------------------------------------------------
+
+
+def _fact(df: DataFrame, kind: str, key: list[str], own_date: str, total: str, unit: str | None, amounts: dict[str, list[str]]) -> DataFrame:
+    """The facts of one kind.  ``amounts`` gives, for each amount column, the currency columns to try in turn;
+    the frame has the process's ``__date`` and ``__first`` currency."""
+    names = {tuple(cols): f"__c{n}" for n, cols in enumerate({tuple(c): 0 for c in amounts.values()})}
+    for cols, name in names.items():
+        df = df.withColumn(name, normalize_currency(F.coalesce(*(_told(F.col(c)) for c in cols), F.col("__first"))))
+    label = lambda cols: F.col(names[tuple(cols)])
+    each = [F.struct(F.lit(name).alias("field"), F.col(name).cast("double").alias("amount"), label(cols).alias("currency")) for name, cols in amounts.items()]
+    some = F.filter(F.array(*each), lambda x: x["amount"].isNotNull() & x["currency"].isNotNull())
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+    return df.select(
+        F.lit(kind).alias("kind"), F.concat_ws("|", *parts).alias("key"), "currency", label(amounts[total]).alias("currency_used"), F.to_date(F.coalesce(F.to_date(own_date), F.col("__date"))).alias("observed"),
+        F.col(total).cast("double").alias("total_amount"), (F.col(unit).cast("double") if unit else F.lit(None).cast("double")).alias("unit_price"), some.alias("amounts"),
+    )
+
+
+def priced_facts(t: Tables) -> DataFrame:
+    """(kind, key, currency, currency_used, observed, total_amount, unit_price, amounts): a row for each priced
+    entity of every kind that ``t`` has a table of.  The key holds its parts with ``|`` between them;
+    ``currency`` is as stored, ``currency_used`` that of the total; ``amounts`` lists the amounts that have a
+    currency, the two on extensions in their own.
+
+    A line is dated and, failing a currency of its own, denominated by the bid, document or request it
+    belongs to, and then by the process."""
+    p = t.process.select("process_number", F.coalesce(*(F.to_date(c) for c in PROCESS_DATES)).alias("__date"), first_currency(F.col("currencies")).alias("__first"))
+    bid = t.bid.join(p, "process_number")
+    out = [_fact(bid, "bid", ["process_number", "provider_cuit"], "submitted_at", "total_amount", None, {"total_amount": ["currency"]})]
+    if "total_per_line" in t.bid_line.columns:
+        parent = t.bid.select("process_number", "provider_cuit", F.col("currency").alias("__parent"), F.col("submitted_at").alias("__own"))
+        line = t.bid_line.join(parent, ["process_number", "provider_cuit"], "left").join(p, "process_number")
+        out.append(_fact(line, "bid_line", ["process_number", "provider_cuit", "line_number", "alternative_number"], "__own", "total_per_line", "unit_price", {"unit_price": ["currency", "__parent"], "total_per_line": ["currency", "__parent"]}))
+    doc = t.contract.join(p, "process_number")
+    amounts = {"total_amount": ["currency"]}
+    if "extension_currency" in t.contract.columns:
+        amounts |= {c: ["extension_currency", "currency"] for c in ("max_extendable_amount", "available_extension_amount")}
+    out.append(_fact(doc, "contractual_document", ["document_number", "source"], "perfection_date", "total_amount", None, amounts))
+    if t.contract_line is not None:
+        parent = t.contract.select("document_number", "source", "process_number", F.col("currency").alias("__parent"), F.col("perfection_date").alias("__own"))
+        line = t.contract_line.join(parent, ["document_number", "source"]).join(p, "process_number")
+        out.append(_fact(line, "contract_line", ["document_number", "source", "line_number", "alternative_number"], "__own", "total_price", "unit_price", {"unit_price": ["currency", "__parent"], "total_price": ["currency", "__parent"]}))
+    if t.provision_request is not None:
+        request = t.provision_request.join(p, "process_number", "left")
+        out.append(_fact(request, "provision_request", ["request_number"], "created_at", "total_amount", None, {"total_amount": ["currency"]}))
+        if t.provision_line is not None:
+            parent = request.select("request_number", "__date", "__first", F.col("currency").alias("__parent"), F.col("created_at").alias("__own"))
+            line = t.provision_line.join(parent, "request_number")
+            out.append(_fact(line, "provision_request_line", ["request_number", "line_number", "alternative_number"], "__own", "total_price", "unit_price", {"unit_price": ["currency", "__parent"], "total_price": ["currency", "__parent"]}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _pesos() -> Column:
+    return F.coalesce("currency", F.lit("ARS")) == "ARS"
+
+
+def inflation_links(facts: DataFrame, t: Tables) -> DataFrame:
+    """(kind, key, observed, series_id, index_period, index_value, index_strategy, amount_fields, ars_then,
+    unit_ars_then): the link of each fact that has an amount with a currency and whose series reaches back to its day.
+    Total and unit price count as pesos of the time if the stored currency is none or ARS."""
+    some = facts.filter((F.size("amounts") > 0) & F.col("observed").isNotNull()).withColumn("currency_used", F.lit("any"))
+    out = link_inflation(some, t.price_index, t.official_from).filter("index_value is not null")
+    fields = F.array_sort(F.transform("amounts", lambda x: x["field"])).alias("amount_fields")
+    return out.select("kind", "key", "observed", "series_id", "index_period", "index_value", "index_strategy", fields, F.when(_pesos(), F.col("total_amount")).alias("ars_then"), F.when(_pesos(), F.col("unit_price")).alias("unit_ars_then"))
+
+
+def fx_links(facts: DataFrame, t: Tables) -> DataFrame:
+    """(kind, key, currency, observed, rate_date, rate, fx_strategy, amount_fields, ars_then, unit_ars_then): a
+    link for each foreign currency of a fact's amounts that has a rate by its day.  Pesos of the time are
+    the total and the unit price at that rate, also where only an extension is in that currency."""
+    foreign = F.array_distinct(F.filter(F.transform("amounts", lambda x: x["currency"]), lambda c: c != "ARS"))
+    each = facts.filter("observed is not null").select("kind", "key", "observed", "total_amount", "unit_price", "amounts", F.explode(foreign).alias("currency_used"))
+    out = link_fx(each, t.fx_rate).filter("rate is not null")
+    own = F.filter("amounts", lambda x: x["currency"] == F.col("currency_used"))
+    unit = F.round(F.col("unit_price").cast("decimal(18,4)") * F.col("rate").cast("decimal(18,6)"), 2).cast("double")
+    return out.select("kind", "key", F.col("currency_used").alias("currency"), "observed", "rate_date", "rate", "fx_strategy", F.array_sort(F.transform(own, lambda x: x["field"])).alias("amount_fields"), F.col("fx_ars").alias("ars_then"), unit.alias("unit_ars_then"))
+
+
+def valued_facts(t: Tables, facts: DataFrame | None = None) -> DataFrame:
+    """The facts with the links of their totals, and ``real_ars``."""
+    return _valued(priced_facts(t) if facts is None else facts, t)
 
 
 def spend_by_year(t: Tables) -> DataFrame:
-    """(entity, year, n, ars, real_ars): what priced entities cost, at the time and at the top index."""
-    contracts = valued_contracts(t).select(F.lit("contract").alias("entity"), "observed", "currency", "total_amount", "fx_ars", "real_ars")
-    bids = valued_bids(t).select(F.lit("bid").alias("entity"), "observed", "currency", "total_amount", "fx_ars", "real_ars")
-    nominal = F.when(F.coalesce("currency", F.lit("ARS")) == "ARS", F.col("total_amount")).otherwise(F.col("fx_ars"))
-    both = contracts.unionByName(bids).withColumn("year", F.year("observed")).withColumn("ars", money(nominal))
-    return both.groupBy("entity", "year").agg(F.count("*").alias("n"), F.round(F.sum("ars"), 2).cast("double").alias("ars"), F.round(F.coalesce(F.sum("real_ars"), F.lit(0)), 2).cast("double").alias("real_ars"))
+    """(entity, year, n, ars, real_ars): what priced entities of each kind cost, at the time and at the top index."""
+    nominal = F.when(_pesos(), F.col("total_amount")).otherwise(F.col("fx_ars"))
+    every = valued_facts(t).withColumn("year", F.year("observed")).withColumn("ars", money(nominal))
+    return every.groupBy(F.col("kind").alias("entity"), "year").agg(F.count("*").alias("n"), F.round(F.sum("ars"), 2).cast("double").alias("ars"), F.round(F.coalesce(F.sum("real_ars"), F.lit(0)), 2).cast("double").alias("real_ars"))

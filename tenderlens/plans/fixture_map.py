@@ -7,11 +7,16 @@
 from __future__ import annotations
 
 import re
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tenderlens.operators.ingest import build_price_index
+from tenderlens.plans.staging import materialize
 from tenderlens.plans.tables import Tables
 
+#: Where the index of the mapped tables changes from the chained series to the official one.
+OFFICIAL_FROM = date(1998, 1, 1)
 INPUTS = ("orders", "lineitem", "customer", "supplier", "nation")
 
 STEPS: list[tuple[str, str]] = [
@@ -46,7 +51,11 @@ FROM (SELECT DISTINCT CAST(c_nationkey AS STRING) || '-' || substr(c_mktsegment,
   CAST(NULL AS DATE) AS submitted_at
 FROM {lineitem} GROUP BY l_orderkey, l_suppkey""",
     ),
-    ("bid_line", "SELECT CAST(l_orderkey AS STRING) AS process_number, CAST(l_suppkey AS STRING) AS provider_cuit, l_linenumber AS line_number, CAST(l_quantity * 2000 AS DOUBLE) AS unit_price, l_quantity AS offered_quantity FROM {lineitem}"),
+    (
+        "bid_line",
+        """SELECT CAST(l_orderkey AS STRING) AS process_number, CAST(l_suppkey AS STRING) AS provider_cuit, l_linenumber AS line_number, l_partkey AS alternative_number, CAST(l_quantity * 2000 AS DOUBLE) AS unit_price, l_quantity AS offered_quantity,
+  l_extendedprice AS total_per_line, CASE l_linenumber WHEN 2 THEN 'USD' WHEN 3 THEN '-' WHEN 4 THEN 'ARS' END AS currency FROM {lineitem}""",
+    ),
     (
         "ranked_bid",
         """SELECT b.*, row_number() OVER (PARTITION BY process_number ORDER BY total_amount, CAST(provider_cuit AS BIGINT)) AS k FROM {bid} b""",
@@ -60,9 +69,47 @@ FROM {lineitem} GROUP BY l_orderkey, l_suppkey""",
         """SELECT 'DOC-' || p.process_number AS document_number, p.source, p.process_number, b.provider_cuit, b.total_amount, b.currency,
   b.total_amount * (1 + f.tax * 4) AS current_amount,
   CASE WHEN CAST(p.process_number AS BIGINT) % 3 = 0 THEN NULL ELSE round(f.discount * 400, 1) END AS variation_pct,
-  CASE WHEN CAST(p.process_number AS BIGINT) % 53 = 0 THEN NULL ELSE f.shipped END AS perfection_date
+  CASE WHEN CAST(p.process_number AS BIGINT) % 53 = 0 THEN NULL ELSE f.shipped END AS perfection_date,
+  CASE WHEN CAST(p.process_number AS BIGINT) % 13 = 0 THEN 'USD' END AS extension_currency,
+  CASE WHEN CAST(p.process_number AS BIGINT) % 4 = 0 THEN b.total_amount * 0.25 END AS max_extendable_amount, CASE WHEN CAST(p.process_number AS BIGINT) % 8 = 0 THEN b.total_amount * 0.125 END AS available_extension_amount
 FROM {process} p JOIN {ranked_bid} b ON p.process_number = b.process_number AND b.k = 1 JOIN {line_facts} f ON f.process_number = p.process_number
 WHERE p.status <> 'P'""",
+    ),
+    (
+        "contract_line",
+        """SELECT c.document_number, c.source, l.line_number, l.alternative_number, l.unit_price, l.total_per_line AS total_price, l.currency
+FROM {contract} c JOIN {bid_line} l ON l.process_number = c.process_number AND l.provider_cuit = c.provider_cuit""",
+    ),
+    (
+        "provision_request",
+        """SELECT 'SPR-' || process_number AS request_number, document_number AS oca_number, CASE WHEN CAST(process_number AS BIGINT) % 30 <> 0 THEN process_number END AS process_number, provider_cuit,
+  CASE WHEN CAST(process_number AS BIGINT) % 12 <> 0 THEN CAST(perfection_date + CAST(30 AS INT) AS DATE) END AS created_at, total_amount * 0.5 AS total_amount, currency
+FROM {contract} WHERE CAST(process_number AS BIGINT) % 6 = 0""",
+    ),
+    (
+        "provision_line",
+        """SELECT r.request_number, l.line_number, l.alternative_number, l.unit_price, l.total_price * 0.5 AS total_price, CAST(NULL AS STRING) AS currency
+FROM {provision_request} r JOIN {contract_line} l ON l.document_number = r.oca_number""",
+    ),
+    (
+        "opinion",
+        """SELECT p.process_number, p.source, CAST(n.k AS INT) AS sequence, p.opening_date AS issue_date, b.total_amount AS pre_award_total, b.currency
+FROM {process} p JOIN {ranked_bid} b ON b.process_number = p.process_number AND b.k = 1 CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) n WHERE CAST(p.process_number AS BIGINT) % 9 IN (0, 1, 2) AND (n.k = 1 OR CAST(p.process_number AS BIGINT) % 9 = 0)""",
+    ),
+    (
+        "pre_award",
+        """SELECT o.process_number, o.source, o.sequence, b.provider_cuit, b.k = 1 AS is_primary, CASE WHEN b.k > 1 THEN CAST(b.k AS INT) END AS merit_order
+FROM {opinion} o JOIN {ranked_bid} b ON b.process_number = o.process_number WHERE b.k <= 2""",
+    ),
+    (
+        "rejection",
+        """SELECT o.process_number, o.source, o.sequence, b.provider_cuit, 'reason ' || b.provider_cuit AS reason
+FROM {opinion} o JOIN {ranked_bid} b ON b.process_number = o.process_number WHERE b.k >= 4""",
+    ),
+    (
+        "opinion_signer",
+        """SELECT o.process_number, o.source, o.sequence, 'user' || CAST(CAST(o.process_number AS BIGINT) % 50 + s.k AS STRING) AS username, CASE s.k WHEN 0 THEN 'chair' ELSE 'member' END AS role
+FROM {opinion} o CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) s WHERE CAST(o.process_number AS BIGINT) % 2 = 0""",
     ),
     ("authorized_by", "SELECT c.document_number, c.source, p.authorizer FROM {contract} c JOIN {process} p ON c.process_number = p.process_number"),
     ("n_suppliers", "SELECT CASE WHEN floor(count(*) * 2 / 5) > 3 THEN CAST(floor(count(*) * 2 / 5) AS BIGINT) ELSE 3 END AS n FROM {supplier}"),
@@ -72,9 +119,12 @@ WHERE p.status <> 'P'""",
 UNION ALL SELECT 'provider', CAST(s_suppkey AS STRING), NULL, 'Email', CAST(s_nationkey AS STRING) || '-' || CAST(CAST(floor(s_acctbal / 1000) AS BIGINT) AS STRING) FROM {supplier} WHERE s_suppkey % 3 = 0
 UNION ALL SELECT 'unit', code, source, 'Phone', CAST(rnk % 200 AS STRING) FROM {unit}""",
     ),
+    ("official_index", "SELECT 'official' AS series_id, make_date(CAST(1995 + floor(id / 12) AS INT), CAST(1 + id % 12 AS INT), 1) AS period, CAST(28 + 2 * id AS DOUBLE) AS index_value FROM @range(80) WHERE id >= 36"),
+    ("monthly_variation", "SELECT id, make_date(CAST(1995 + floor(id / 12) AS INT), CAST(1 + id % 12 AS INT), 1) AS period, CAST(1 + 0.5 * (id % 4) AS DOUBLE) AS pct FROM @range(37) WHERE id >= 1"),
     (
         "price_index",
-        """SELECT 'official' AS series_id, make_date(CAST(1995 + floor(id / 12) AS INT), CAST(1 + id % 12 AS INT), 1) AS period, CAST(100 + 2 * id AS DOUBLE) AS index_value FROM @range(80)""",
+        """SELECT series_id, period, index_value FROM {official_index} UNION ALL
+SELECT 'chained', make_date(CAST(1995 + floor((id - 1) / 12) AS INT), CAST(1 + (id - 1) % 12 AS INT), 1), round(100 * exp(-sum(ln(1 + pct / 100)) OVER (ORDER BY id DESC)), 6) FROM {monthly_variation}""",
     ),
     (
         "fx_rate",
@@ -92,13 +142,25 @@ def _duck_text(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
+_INDEX: dict[str, DataFrame] = {}
+
+
+def _price_index(official: DataFrame, variation: DataFrame) -> DataFrame:
+    """The price index, a table of some months, built once a session as a run would find it."""
+    app = official.sparkSession.sparkContext.applicationId
+    if app not in _INDEX:
+        _INDEX[app] = materialize(build_price_index(official, variation, str(OFFICIAL_FROM)).coalesce(1), "index")
+    return _INDEX[app]
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables as lazy frames over the Parquet inputs."""
     known: dict[str, DataFrame] = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in INPUTS}
     for name, sql in STEPS:
         used = {n: known[n] for n in re.findall(r"\{(\w+)\}", sql)}
         known[name] = spark.sql(_spark_text(sql), **used)
-    return Tables(**{f: known[f] for f in Tables.__dataclass_fields__ if f in known})
+    known["price_index"] = _price_index(known["official_index"], known["monthly_variation"])
+    return Tables(**{f: known[f] for f in Tables.__dataclass_fields__ if f in known}, official_from=OFFICIAL_FROM)
 
 
 def ctes(*wanted: str) -> str:

@@ -45,7 +45,7 @@ def query(name: str, sql: str | None = None, needs: str = ""):
             head = fixture_map.ctes(*needs.split()) if needs else ""
             body = sql.strip()
             whole = body if not head else head + (",\n" + body[5:] if body.startswith("WITH ") else "\n" + body)
-            ORACLES[name] = whole.replace("WITH ", "WITH RECURSIVE ", 1) if "reach(" in body else whole
+            ORACLES[name] = whole.replace("WITH ", "WITH RECURSIVE ", 1) if any(r in body for r in ("reach(", "hx(")) else whole
         return fn
 
     return wrap
@@ -232,8 +232,9 @@ def _a22(t):
 
 # ---- valuation -----------------------------------------------------------------------------------------
 
-VALUED = """f AS (SELECT c.*, p.opening_date, p.unit_code, p.source_url, coalesce(c.perfection_date, p.opening_date, p.scheduled_date, p.gazette_date, p.scraped_at) AS observed, coalesce(c.currency, p.currencies[1]) AS currency_used FROM contract c JOIN process p ON c.process_number = p.process_number),
-li AS (SELECT f.*, CASE WHEN currency_used IS NOT NULL THEN i.index_value END AS index_value, CASE WHEN currency_used IS NOT NULL THEN i.period END AS index_period FROM f ASOF LEFT JOIN price_index i ON f.observed >= i.period),
+_ERA = f"CASE WHEN observed < DATE '{fixture_map.OFFICIAL_FROM}' THEN 'chained' ELSE 'official' END"
+VALUED = f"""f AS (SELECT c.*, p.opening_date, p.unit_code, p.source_url, coalesce(c.perfection_date, p.opening_date, p.scheduled_date, p.gazette_date, p.scraped_at) AS observed, coalesce(c.currency, p.currencies[1]) AS currency_used FROM contract c JOIN process p ON c.process_number = p.process_number),
+li AS (SELECT f.*, CASE WHEN currency_used IS NOT NULL THEN i.index_value END AS index_value, CASE WHEN currency_used IS NOT NULL THEN i.period END AS index_period FROM (SELECT *, {_ERA} AS series FROM f) f ASOF LEFT JOIN price_index i ON f.series = i.series_id AND f.observed >= i.period),
 lf AS (SELECT li.*, x.rate, x.observed_date AS rate_date, CAST(round(CAST(total_amount AS DECIMAL(18,4)) * CAST(x.rate AS DECIMAL(18,6)), 2) AS DOUBLE) AS fx_ars FROM (SELECT *, CASE WHEN currency_used <> 'ARS' THEN currency_used ELSE '?' END AS cu FROM li) li ASOF LEFT JOIN fx_rate x ON li.cu = x.currency AND li.observed >= x.observed_date),
 vc AS (SELECT *, CAST(CASE WHEN index_value > 0 THEN (CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount ELSE fx_ars END) * (SELECT max(index_value) FROM price_index) / index_value END AS DECIMAL(38,8)) AS real_ars FROM lf),
 usd AS (SELECT arg_max(rate, observed_date) AS usd FROM fx_rate WHERE currency = 'USD'),
@@ -241,29 +242,57 @@ pn AS (SELECT cuit AS provider_cuit, business_name AS provider_name FROM provide
 _V = "contract process price_index fx_rate provider unit authorized_by"
 
 
-@query("b1_observation_date", f"WITH {VALUED} SELECT document_number, strftime(observed, '%Y-%m-%d') AS observed FROM f", _V)
+#: All priced entities: ``c`` is the currency of total and unit price, ``e`` that of the amounts on extensions.
+_FACTS = f"""pd AS (SELECT process_number, coalesce(opening_date, scheduled_date, gazette_date, scraped_at) AS pdate, currencies[1] AS pc FROM process),
+fa AS (SELECT 'bid' AS kind, b.process_number || '|' || b.provider_cuit AS key, b.currency, coalesce(b.submitted_at, pdate) AS observed, b.total_amount, NULL::DOUBLE AS unit_price, coalesce(b.currency, pc) AS c, NULL AS e, NULL::DOUBLE AS mx, NULL::DOUBLE AS av, 'total_amount' AS tf FROM bid b JOIN pd USING (process_number)
+UNION ALL SELECT 'bid_line', l.process_number || '|' || l.provider_cuit || '|' || l.line_number || '|' || l.alternative_number, l.currency, coalesce(b.submitted_at, pdate), l.total_per_line, l.unit_price, nullif(coalesce(l.currency, b.currency, pc), '-'), NULL, NULL, NULL, 'total_per_line' FROM bid_line l JOIN pd USING (process_number) LEFT JOIN bid b ON b.process_number = l.process_number AND b.provider_cuit = l.provider_cuit
+UNION ALL SELECT 'contractual_document', d.document_number || '|' || d.source, d.currency, coalesce(d.perfection_date, pdate), d.total_amount, NULL, coalesce(d.currency, pc), coalesce(d.extension_currency, d.currency, pc), d.max_extendable_amount, d.available_extension_amount, 'total_amount' FROM contract d JOIN pd USING (process_number)
+UNION ALL SELECT 'contract_line', l.document_number || '|' || l.source || '|' || l.line_number || '|' || l.alternative_number, l.currency, coalesce(d.perfection_date, pdate), l.total_price, l.unit_price, nullif(coalesce(l.currency, d.currency, pc), '-'), NULL, NULL, NULL, 'total_price' FROM contract_line l JOIN contract d USING (document_number, source) JOIN pd ON pd.process_number = d.process_number
+UNION ALL SELECT 'provision_request', r.request_number, r.currency, coalesce(r.created_at, pdate), r.total_amount, NULL, coalesce(r.currency, pc), NULL, NULL, NULL, 'total_amount' FROM provision_request r LEFT JOIN pd ON pd.process_number = r.process_number
+UNION ALL SELECT 'provision_request_line', l.request_number || '|' || l.line_number || '|' || l.alternative_number, l.currency, coalesce(r.created_at, pdate), l.total_price, l.unit_price, coalesce(l.currency, r.currency, pc), NULL, NULL, NULL, 'total_price' FROM provision_line l JOIN provision_request r USING (request_number) LEFT JOIN pd ON pd.process_number = r.process_number),
+am AS (SELECT *, list_filter([{{'f': tf, 'a': total_amount, 'c': c}}, {{'f': 'unit_price', 'a': unit_price, 'c': c}}, {{'f': 'max_extendable_amount', 'a': mx, 'c': e}}, {{'f': 'available_extension_amount', 'a': av, 'c': e}}], lambda x: x.a IS NOT NULL AND x.c IS NOT NULL) AS amounts, {_ERA} AS series FROM fa),
+vi AS (SELECT am.*, CASE WHEN c IS NOT NULL THEN i.index_value END AS index_value FROM am ASOF LEFT JOIN price_index i ON am.series = i.series_id AND am.observed >= i.period),
+vx AS (SELECT vi.*, CAST(round(CAST(total_amount AS DECIMAL(18,4)) * CAST(x.rate AS DECIMAL(18,6)), 2) AS DOUBLE) AS fx_ars FROM (SELECT *, CASE WHEN c <> 'ARS' THEN c ELSE '?' END AS cu FROM vi) vi ASOF LEFT JOIN fx_rate x ON vi.cu = x.currency AND vi.observed >= x.observed_date),
+vf AS (SELECT *, CAST(CASE WHEN index_value > 0 THEN (CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount ELSE fx_ars END) * (SELECT max(index_value) FROM price_index) / index_value END AS DECIMAL(38,8)) AS real_ars FROM vx)"""
+_P = "bid bid_line contract contract_line provision_request provision_line process price_index fx_rate"
+_TEXTS = "array_to_string(list_sort(list_transform({}, lambda x: x.f)), ';')"
+
+
+@query("b1_observation_date", f"WITH {_FACTS} SELECT kind, key, strftime(observed, '%Y-%m-%d') AS observed FROM fa", _P)
 def _b1(t):
-    return valuation.valued_contracts(t).select("document_number", F.col("observed").cast("string").alias("observed"))
+    return valuation.priced_facts(t).select("kind", "key", F.col("observed").cast("string").alias("observed"))
 
 
-@query("b2_effective_currency", f"WITH {VALUED} SELECT document_number, currency_used FROM f", _V)
+@query("b2_effective_currency", f"WITH {_FACTS} SELECT kind, key, a.f AS field, a.c AS currency FROM (SELECT kind, key, unnest(amounts) AS a FROM am)", _P)
 def _b2(t):
-    return valuation.valued_contracts(t).select("document_number", "currency_used")
+    return valuation.priced_facts(t).select("kind", "key", F.explode("amounts").alias("a")).select("kind", "key", "a.field", "a.currency")
 
 
-@query("b3_link_inflation", f"WITH {VALUED} SELECT document_number, index_value, CASE WHEN index_period = date_trunc('month', observed) THEN 'same_month' WHEN index_period IS NOT NULL THEN 'nearest_prior' END AS index_strategy FROM li", _V)
+@query(
+    "b3_link_inflation",
+    f"""WITH {_FACTS} SELECT kind, key, series AS series_id, i.index_value, CASE WHEN i.period = date_trunc('month', observed) THEN 'same_month' ELSE 'nearest_prior' END AS index_strategy, {_TEXTS.format('amounts')} AS amount_fields,
+CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount END AS ars_then, CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN unit_price END AS unit_ars_then FROM am ASOF JOIN price_index i ON am.series = i.series_id AND am.observed >= i.period WHERE len(amounts) > 0""",
+    _P,
+)
 def _b3(t):
-    return valuation.valued_contracts(t).select("document_number", "index_value", "index_strategy")
+    out = valuation.inflation_links(valuation.priced_facts(t), t)
+    return out.select("kind", "key", "series_id", "index_value", "index_strategy", F.array_join("amount_fields", ";").alias("amount_fields"), "ars_then", "unit_ars_then")
 
 
-@query("b4_link_fx", f"WITH {VALUED} SELECT document_number, rate, fx_ars, CASE WHEN rate_date = observed THEN 'exact_day' WHEN rate_date IS NOT NULL THEN 'previous_business_day' END AS fx_strategy FROM lf", _V)
+@query(
+    "b4_link_fx",
+    f"""WITH {_FACTS}, us AS (SELECT *, list_filter(amounts, lambda x: x.c = 'USD') AS own FROM am) SELECT kind, key, x.currency, x.rate, CASE WHEN x.observed_date = observed THEN 'exact_day' ELSE 'previous_business_day' END AS fx_strategy, {_TEXTS.format('own')} AS amount_fields,
+CAST(round(CAST(total_amount AS DECIMAL(18,4)) * CAST(rate AS DECIMAL(18,6)), 2) AS DOUBLE) AS ars_then, CAST(round(CAST(unit_price AS DECIMAL(18,4)) * CAST(rate AS DECIMAL(18,6)), 2) AS DOUBLE) AS unit_ars_then FROM us ASOF JOIN fx_rate x ON us.observed >= x.observed_date WHERE len(own) > 0""",
+    _P,
+)
 def _b4(t):
-    return valuation.valued_contracts(t).select("document_number", "rate", "fx_ars", "fx_strategy")
+    out = valuation.fx_links(valuation.priced_facts(t), t)
+    return out.select("kind", "key", "currency", "rate", "fx_strategy", F.array_join("amount_fields", ";").alias("amount_fields"), "ars_then", "unit_ars_then")
 
 
-@query("b5_real_value", f"WITH {VALUED} SELECT document_number, CAST(round(real_ars, 2) AS DOUBLE) AS real_ars FROM vc", _V)
+@query("b5_real_value", f"WITH {_FACTS} SELECT kind, key, CAST(round(real_ars, 2) AS DOUBLE) AS real_ars FROM vf", _P)
 def _b5(t):
-    return valuation.valued_contracts(t).select("document_number", F.round("real_ars", 2).cast("double").alias("real_ars"))
+    return valuation.valued_facts(t).select("kind", "key", F.round("real_ars", 2).cast("double").alias("real_ars"))
 
 
 @query("b6_to_usd", f"WITH {VALUED} SELECT document_number, CASE WHEN usd > 0 THEN round(total_amount / usd, 2) END AS total_usd FROM contract, usd", _V)
@@ -271,17 +300,11 @@ def _b6(t):
     return valuation.with_usd(t.contract, t.fx_rate, "total_amount", "total_usd").select("document_number", "total_usd")
 
 
-_SPENT = "SELECT entity, CAST(year(observed) AS INT) AS year, count(*) AS n, CAST(round(sum(CAST(CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount ELSE fx_ars END AS DECIMAL(38,8))), 2) AS DOUBLE) AS ars, CAST(round(coalesce(sum(real_ars), 0), 2) AS DOUBLE) AS real_ars"
-
-
 @query(
     "b7_spend_by_year",
-    f"""WITH {VALUED}, bf AS (SELECT b.*, coalesce(b.submitted_at, p.opening_date, p.scheduled_date, p.gazette_date, p.scraped_at) AS observed, coalesce(b.currency, p.currencies[1]) AS currency_used FROM bid b JOIN process p ON b.process_number = p.process_number),
-bi AS (SELECT bf.*, CASE WHEN currency_used IS NOT NULL THEN i.index_value END AS index_value FROM bf ASOF LEFT JOIN price_index i ON bf.observed >= i.period),
-bx AS (SELECT bi.*, CAST(round(CAST(total_amount AS DECIMAL(18,4)) * CAST(x.rate AS DECIMAL(18,6)), 2) AS DOUBLE) AS fx_ars FROM (SELECT *, CASE WHEN currency_used <> 'ARS' THEN currency_used ELSE '?' END AS cu FROM bi) bi ASOF LEFT JOIN fx_rate x ON bi.cu = x.currency AND bi.observed >= x.observed_date),
-vb AS (SELECT *, CAST(CASE WHEN index_value > 0 THEN (CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount ELSE fx_ars END) * (SELECT max(index_value) FROM price_index) / index_value END AS DECIMAL(38,8)) AS real_ars FROM bx),
-every AS (SELECT 'contract' AS entity, observed, currency, total_amount, fx_ars, real_ars FROM vc UNION ALL SELECT 'bid', observed, currency, total_amount, fx_ars, real_ars FROM vb) {_SPENT} FROM every GROUP BY ALL""",
-    _V + " bid",
+    f"""WITH {_FACTS} SELECT kind AS entity, CAST(year(observed) AS INT) AS year, count(*) AS n, CAST(round(sum(CAST(CASE WHEN coalesce(currency, 'ARS') = 'ARS' THEN total_amount ELSE fx_ars END AS DECIMAL(38,8))), 2) AS DOUBLE) AS ars,
+CAST(round(coalesce(sum(real_ars), 0), 2) AS DOUBLE) AS real_ars FROM vf GROUP BY ALL""",
+    _P,
 )
 def _b7(t):
     return valuation.spend_by_year(t)
@@ -432,11 +455,6 @@ def _c13(t):
     return checks.spending_spikes(t, TUNED).withColumn("processes", joined("processes", lambda x: x["process_number"]))
 
 
-@query("c14_bid_rotation_ring")
-def _c14(t):
-    return groups.bid_rotation_ring(t, _tuned(t))
-
-
 @query("c15_cobid_community")
 def _c15(t):
     return groups.cobid_community(t, _tuned(t))
@@ -525,17 +543,53 @@ def _d6(t):
     return network.communities(_strong(t))
 
 
-@query("d7_k_core")
+#: Core numbers by falling h-indices, components, and what :func:`network.peel_to_cap` leaves; forty rounds are more than this graph needs.
+_PEELED = f"""{_STRONG}, bw AS (SELECT a AS u, b AS v FROM se UNION ALL SELECT b, a FROM se),
+hx(i, node, c) AS (SELECT 0, u, count(*) FROM bw GROUP BY u UNION ALL SELECT * FROM (SELECT i + 1, u, max(least(rk, c)) FROM (SELECT i, u, c, row_number() OVER (PARTITION BY u ORDER BY c DESC) AS rk FROM hx JOIN bw ON v = node WHERE i < 40) GROUP BY i, u)),
+cr AS (SELECT node, c AS core FROM hx WHERE i = 40), rs(n, r) AS (SELECT u, u FROM bw UNION SELECT rs.n, bw.v FROM rs JOIN bw ON rs.r = bw.u), cn AS (SELECT n AS node, min(r) AS component FROM rs GROUP BY n),
+oc AS (SELECT node, component, core FROM cr JOIN cn USING (node)), sz AS (SELECT component, core, sum(k) OVER (PARTITION BY component ORDER BY core DESC) AS n FROM (SELECT component, core, count(*) AS k FROM oc GROUP BY ALL)), lv AS (SELECT component, coalesce(min(core) FILTER (n <= 60), max(core)) AS least FROM sz GROUP BY 1),
+st AS (SELECT node, component FROM oc JOIN lv USING (component) WHERE core >= least), pe AS (SELECT s1.component, a, b, weight FROM se JOIN st s1 ON s1.node = a JOIN st s2 ON s2.node = b)"""
+_CLIQUES = f"""{_PEELED}, ad AS (SELECT n, list(m) AS l FROM (SELECT a AS n, b AS m FROM pe UNION ALL SELECT b, a FROM pe) GROUP BY n),
+cl(members) AS (SELECT [a, b] FROM pe UNION ALL SELECT list_append(members, n) FROM cl JOIN ad ON n > members[-1] AND list_has_all(l, members)),
+mc AS (SELECT members FROM cl WHERE len(members) BETWEEN 3 AND 8 AND NOT EXISTS (SELECT 1 FROM ad WHERE list_has_all(l, members)))"""
+
+
+def _greedy_sql(order: str) -> str:
+    """``took``: of ``ready`` (g, members, ...) the groups that a greedy choice in an order takes, one at a time."""
+    return f"""rk AS (SELECT *, row_number() OVER (ORDER BY {order}) AS k FROM ready), pk(k, used, ok) AS (SELECT 0::BIGINT, []::VARCHAR[], false UNION ALL SELECT rk.k, CASE WHEN list_has_any(used, members) THEN used ELSE list_concat(used, members) END, NOT list_has_any(used, members) FROM pk JOIN rk ON rk.k = pk.k + 1),
+took AS (SELECT rk.* FROM rk JOIN pk USING (k) WHERE ok)"""
+
+
+_RINGS = f"""{_CLIQUES}, gm AS (SELECT array_to_string(members, '|') AS g, unnest(members) AS m FROM mc), bo AS (SELECT g, process_number FROM gm JOIN bb ON provider_cuit = m GROUP BY ALL HAVING count(*) >= 2), sh AS (SELECT g, count(*) AS shared FROM bo GROUP BY g HAVING count(*) >= 5),
+gw AS (SELECT gm.g, m, count(c.process_number) AS wins FROM gm LEFT JOIN (SELECT g, c.process_number, provider_cuit FROM bo JOIN (SELECT DISTINCT process_number, provider_cuit FROM contract) c USING (process_number)) c ON c.g = gm.g AND provider_cuit = m GROUP BY ALL),
+gt AS (SELECT g, sum(wins) AS total, count(*) AS k FROM gw WHERE wins > 0 GROUP BY g HAVING count(*) >= 2), ro AS (SELECT g, round_even(100.0::DOUBLE * sum(-(wins / total) * ln(wins / total)) / ln(k), 1) AS rotation_pct FROM gw JOIN gt USING (g) WHERE wins > 0 GROUP BY g, k),
+sg AS (SELECT x.g, round_even(sum(weight) / count(*), 1) AS cobid_strength FROM se JOIN gm x ON x.m = a JOIN gm y ON y.m = b AND y.g = x.g GROUP BY 1), ready AS (SELECT array_to_string(members, '|') AS g, members, shared, rotation_pct, cobid_strength FROM mc JOIN sh ON sh.g = array_to_string(members, '|') JOIN ro USING (g) JOIN sg USING (g) WHERE rotation_pct >= 45),
+{_greedy_sql("rotation_pct DESC, cobid_strength DESC, shared DESC, members")},
+ri AS (SELECT row_number() OVER (ORDER BY k)::INT AS ring_id, m AS provider_cuit, business_name AS provider_name, len(members)::INT AS ring_size, shared AS shared_processes, wins AS member_wins, rotation_pct, cobid_strength, members FROM took JOIN gw USING (g) JOIN provider ON cuit = m),
+rr AS (SELECT ri.* REPLACE (dense_rank() OVER (ORDER BY rotation_pct DESC, cobid_strength DESC, shared_processes DESC, members)::INT AS ring_id) FROM ri)"""
+
+
+@query("c14_bid_rotation_ring", f"WITH {_RINGS} SELECT * EXCLUDE (members), array_to_string(list_filter(members, lambda x: x <> provider_cuit), ';') AS co_members FROM rr", "bid process contract provider")
+def _c14(t):
+    return groups.bid_rotation_ring(t, _tuned(t)).withColumn("co_members", joined("co_members", lambda x: F.substring_index(x["text"], " ", 1)))
+
+
+@query("d7_coreness", f"WITH {_PEELED} SELECT node, core FROM cr", "bid process")
+def _d7c(t):
+    return network.coreness(_strong(t))
+
+
+@query("d7_k_core", f"WITH {_PEELED} SELECT a, b, weight FROM se WHERE a IN (SELECT node FROM cr WHERE core >= 3) AND b IN (SELECT node FROM cr WHERE core >= 3)", "bid process")
 def _d7(t):
-    return network.k_core(_strong(t), 4)
+    return network.k_core(_strong(t), 3).select("a", "b", "weight")
 
 
-@query("d7_peel_to_cap")
+@query("d7_peel_to_cap", f"WITH {_PEELED} SELECT component, a, b, weight FROM pe", "bid process")
 def _d7b(t):
     return network.peel_to_cap(_strong(t), 60)
 
 
-@query("d8_maximal_cliques")
+@query("d8_maximal_cliques", f"WITH {_CLIQUES} SELECT array_to_string(members, ';') AS members, len(members)::INT AS size FROM mc", "bid process")
 def _d8(t):
     return network.maximal_cliques(network.peel_to_cap(_strong(t))).select(F.array_join("members", ";").alias("members"), F.size("members").alias("size"))
 
@@ -557,10 +611,10 @@ def _d10(t):
     return network.win_distribution(g, network.group_outcomes(g, t, Config()))
 
 
-@query("d11_select_disjoint")
+@query("d11_select_disjoint", f"WITH {_CLIQUES}, ready AS (SELECT array_to_string(members, '|') AS g, members FROM mc), {_greedy_sql('len(members) DESC, members')} SELECT g AS group_id, len(members)::INT AS size FROM took", "bid process")
 def _d11(t):
     rows = network.maximal_cliques(network.peel_to_cap(_strong(t))).select(F.array_join("members", "|").alias("group_id"), "members", F.size("members").alias("size"))
-    return network.select_disjoint(rows, ["size"])
+    return network.select_disjoint(rows, ["size"]).select("group_id", "size")
 
 
 @query("d12_cobid_degree", f"WITH {_STRONG} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM se UNION ALL SELECT b FROM se) GROUP BY 1", "bid process")
@@ -661,8 +715,9 @@ SAID = {
 
 
 def _findings(t: Tables, every: Config | None = None) -> dict[str, DataFrame]:
-    """The findings of the checks that SQL can say, or of all sixteen by the settings given, each written once."""
-    cfg = every or TUNED
+    """The findings of the checks that SQL can say, or of all sixteen by the settings given, each written once.
+    They are counted and joined, so they need no order."""
+    cfg = replace(every or TUNED, ordered=False)
     t = runs.with_shared(t)
     keys = [k for k in checks.REGISTRY if every or k in SAID]
     return dict(zip(keys, at_once(lambda k: materialize(checks.REGISTRY[k].run(t, cfg), k), keys)))
@@ -741,7 +796,7 @@ def _e12(t):
     return out.select("id", "score", F.size(F.array_distinct(F.transform("findings", lambda x: x["check"]))).alias("n_checks"))
 
 
-@query("e13_entity_profiles", f"WITH {_ATTR}, tt AS (SELECT unit_code AS id, max(total_tenders) AS total_tenders FROM {_parts('c11_cdi_abuse')} GROUP BY 1) SELECT id, name, coalesce(total_tenders, 0) AS total_tenders, n_findings FROM (SELECT id, min(name) AS name, count(*) AS n_findings FROM att WHERE entity_type = 'unit' GROUP BY 1) LEFT JOIN tt USING (id)")
+@query("e13_entity_profiles", f"WITH {_ATTR}, tt AS (SELECT unit_code AS id, max(n) AS total_tenders FROM (SELECT unit_code, total_tenders AS n FROM {_parts('c11_cdi_abuse')} UNION ALL SELECT unit_code, total_awarded_in_unit FROM {_parts('c4_uoc_favoritism')}) GROUP BY 1) SELECT id, name, coalesce(total_tenders, 0) AS total_tenders, n_findings FROM (SELECT id, min(name) AS name, count(*) AS n_findings FROM att WHERE entity_type = 'unit' GROUP BY 1) LEFT JOIN tt USING (id)")
 def _e13(t):
     return profiles.entity_profiles(scoring.attributed(_findings(t)), "unit").select("id", "name", "total_tenders", "n_findings")
 
@@ -773,9 +828,9 @@ def _e16(t):
     return profiles.dashboard_stats(scoring.attributed(f), scoring.all_scores(f, TUNED), f)
 
 
-@query("e17_search_scores", f"WITH {_SCORE} SELECT entity_type, id, score FROM sc WHERE score >= 10 AND score <= 90 AND contains(flags, 'fake_competition') ORDER BY score DESC, entity_type, id LIMIT 20 OFFSET 20")
+@query("e17_search_scores", f"WITH {_SCORE} SELECT entity_type, id, score FROM sc WHERE score >= 10 AND score <= 90 AND contains(flags, 'uoc_favoritism') ORDER BY score DESC, entity_type, id LIMIT 20 OFFSET 20")
 def _e17(t):
-    return profiles.search_scores(scoring.all_scores(_findings(t), TUNED), None, 10, 90, "fake_competition", 2, 20).select("entity_type", "id", "score")
+    return profiles.search_scores(scoring.all_scores(_findings(t), TUNED), None, 10, 90, "uoc_favoritism", 2, 20).select("entity_type", "id", "score")
 
 
 @query("e17_distinct_flags", f"WITH {_SCORE} SELECT DISTINCT unnest(string_split(flags, ';')) AS flag FROM sc")
@@ -801,12 +856,20 @@ def _e20(t):
 
 @query(
     "e21_process_detail",
-    "WITH n AS (SELECT process_number FROM process), b AS (SELECT process_number, string_agg(provider_cuit || ':' || CAST(CAST(total_amount AS DECIMAL(38,2)) AS VARCHAR), ';' ORDER BY total_amount, provider_cuit) AS bids FROM bid GROUP BY 1), c AS (SELECT process_number, string_agg(document_number || ':' || authorizer, ';' ORDER BY document_number) AS contracts FROM contract JOIN authorized_by USING (document_number, source) GROUP BY 1), l AS (SELECT process_number, count(*) AS n_lines FROM bid_line GROUP BY 1) SELECT process_number, bids, contracts, coalesce(n_lines, 0) AS n_lines FROM n LEFT JOIN b USING (process_number) LEFT JOIN c USING (process_number) LEFT JOIN l USING (process_number)",
-    "process bid contract authorized_by bid_line",
+    """WITH n AS (SELECT process_number FROM process), b AS (SELECT process_number, string_agg(provider_cuit || ':' || CAST(CAST(total_amount AS DECIMAL(38,2)) AS VARCHAR), ';' ORDER BY total_amount, provider_cuit) AS bids FROM bid GROUP BY 1), c AS (SELECT process_number, string_agg(document_number || ':' || authorizer, ';' ORDER BY document_number) AS contracts FROM contract JOIN authorized_by USING (document_number, source) GROUP BY 1), l AS (SELECT process_number, count(*) AS n_lines FROM bid_line GROUP BY 1),
+aw AS (SELECT process_number, source, sequence, string_agg(provider_cuit || '=' || business_name || CASE WHEN is_primary THEN '*' ELSE '' END, ',' ORDER BY merit_order NULLS FIRST, provider_cuit) AS t FROM pre_award JOIN provider ON cuit = provider_cuit GROUP BY ALL),
+rj AS (SELECT process_number, source, sequence, string_agg(provider_cuit || '=' || reason, ',' ORDER BY provider_cuit) AS t FROM rejection GROUP BY ALL), sg AS (SELECT process_number, source, sequence, string_agg(username || '=' || role, ',' ORDER BY username) AS t FROM opinion_signer GROUP BY ALL),
+op AS (SELECT process_number, string_agg(sequence || ':' || coalesce(strftime(issue_date, '%Y-%m-%d'), '') || ':' || CAST(CAST(pre_award_total AS DECIMAL(38,2)) AS VARCHAR) || '(' || coalesce(aw.t, '') || '|' || coalesce(rj.t, '') || '|' || coalesce(sg.t, '') || ')', ';' ORDER BY sequence) AS opinions FROM opinion LEFT JOIN aw USING (process_number, source, sequence) LEFT JOIN rj USING (process_number, source, sequence) LEFT JOIN sg USING (process_number, source, sequence) GROUP BY 1)
+SELECT process_number, bids, contracts, coalesce(n_lines, 0) AS n_lines, opinions FROM n LEFT JOIN b USING (process_number) LEFT JOIN c USING (process_number) LEFT JOIN l USING (process_number) LEFT JOIN op USING (process_number)""",
+    "process bid contract authorized_by bid_line opinion pre_award rejection opinion_signer provider",
 )
 def _e21(t):
     out = profiles.process_detail(t, t.process)
-    return out.select("process_number", joined("bids", lambda b: F.concat(b["provider_cuit"], F.lit(":"), dec2(b["amount"]))).alias("bids"), joined("contracts", lambda c: F.concat(c["document_number"], F.lit(":"), F.array_join(c["authorizers"], "+"))).alias("contracts"), "n_lines")
+    awards = lambda o: joined(o["pre_adjudicated"], lambda p: F.concat(p["provider_cuit"], F.lit("="), p["name"], F.when(p["is_primary"], "*").otherwise("")), ",")
+    rejected = lambda o: joined(o["rejected"], lambda r: F.concat(r["provider_cuit"], F.lit("="), F.array_join(r["reasons"], "+")), ",")
+    signers = lambda o: joined(o["signers"], lambda x: F.concat(x["username"], F.lit("="), x["role"]), ",")
+    text = lambda o: F.concat(o["sequence"].cast("string"), F.lit(":"), F.coalesce(o["issue_date"].cast("string"), F.lit("")), F.lit(":"), dec2(o["pre_award_total"]), F.lit("("), awards(o), F.lit("|"), rejected(o), F.lit("|"), signers(o), F.lit(")"))
+    return out.select("process_number", joined("bids", lambda b: F.concat(b["provider_cuit"], F.lit(":"), dec2(b["amount"]))).alias("bids"), joined("contracts", lambda c: F.concat(c["document_number"], F.lit(":"), F.array_join(c["authorizers"], "+"))).alias("contracts"), "n_lines", joined("opinions", text).alias("opinions"))
 
 
 @query("e22_findings_for_process", f"WITH r AS (SELECT process AS process_number, 'contract_cost_overrun' AS \"check\" FROM {_parts('c6_contract_cost_overrun')} UNION ALL SELECT process_number, 'cover_bidding' FROM {_parts('c7_cover_bidding')} UNION ALL SELECT process_number, 'fake_competition' FROM {_parts('c8_fake_competition')} UNION ALL SELECT unnest(string_split(processes, ';')), 'contract_splitting' FROM {_parts('c5_contract_splitting')} UNION ALL SELECT unnest(string_split(processes, ';')), 'spending_spikes' FROM {_parts('c13_spending_spikes')}) SELECT process_number, \"check\", count(*) AS n FROM r GROUP BY ALL")
@@ -854,11 +917,23 @@ def _d19(t):
 
 @query(
     "d20_related_providers",
-    f"WITH {_SHARED}, {_CC} SELECT x.node AS cuit, y.node AS related, 1::BIGINT AS links, row_number() OVER (PARTITION BY x.node ORDER BY y.node)::INT AS rank FROM cc x JOIN cc y USING (component) WHERE x.node <> y.node",
-    "contact",
+    f"""WITH {_RINGS}, {_SHARED}, {_CC}, b2 AS (SELECT component FROM cc JOIN bb ON provider_cuit = node GROUP BY component, process_number HAVING count(*) >= 2), gg AS (SELECT 'ring' AS chk, ring_id::VARCHAR AS g, provider_cuit AS p FROM rr UNION ALL SELECT 'cluster', component, node FROM cc WHERE component IN (SELECT component FROM b2)),
+l AS (SELECT x.p AS cuit, y.p AS related, count(*) AS links FROM gg x JOIN gg y ON x.chk = y.chk AND x.g = y.g WHERE x.p <> y.p GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY cuit ORDER BY links DESC, related)::INT AS rank FROM l""",
+    "bid process contract provider contact",
 )
 def _d20(t):
-    return groups.related_providers({"shared_contact_cluster": groups.shared_contact_cluster(t, TUNED)}, t.provider)
+    """Over rings and contact clusters; communities, which SQL cannot say, are in ``d20_related_all``."""
+    cfg = _tuned(t)
+    return groups.related_providers({k: checks.REGISTRY[k].run(t, cfg) for k in ("bid_rotation_ring", "shared_contact_cluster")}, t.provider)
+
+
+@query("d20_related_all")
+def _d20b(t):
+    """Over all three group checks."""
+    cfg = replace(_tuned(t), ordered=False)
+    keys = list(groups.GROUP_CHECKS)
+    found = dict(zip(keys, at_once(lambda k: materialize(checks.REGISTRY[k].run(t, cfg), "d20"), keys)))
+    return groups.related_providers(found, t.provider)
 
 
 # ---- snapshots, streaming, runs: through files in the shared folder ---------------------------------------
@@ -889,7 +964,7 @@ def _a23(t):
     for n in (1, 2):  # the bundles land in two parts, and the stream runs after each
         _updates(t).filter(F.col("seq") == n).write.json(f"{path}/land/b{n}")
         incremental.incremental_ingest(incremental.stream_bundles(spark, f"{path}/land/*", schema), f"{path}/table", ["process_number"], f"{path}/check").awaitTermination()
-    return incremental.current(spark, f"{path}/table", "process_number string, status string, source_url string")
+    return incremental.current(spark, f"{path}/table", "process_number string, status string, source_url string", ["process_number"])
 
 
 def _persisted(t: Tables, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -910,9 +985,9 @@ def _e10(t):
     return _persisted(t)[2].select("entity_type", "id", "score")
 
 
-@query("e11_run_status", "SELECT 'r1' AS run_id, count(*) AS processes, false AS windowed, 0 AS n_failed FROM process", "process")
+@query("e11_run_status", "SELECT 'r1' AS run_id, 'done' AS state, count(*) AS processes, false AS windowed, 0 AS n_failed, 0 AS n_at_limit FROM process", "process")
 def _e11(t):
-    return _persisted(t)[0].select("run_id", "processes", "windowed", F.size("failed").alias("n_failed"))
+    return _persisted(t)[0].select("run_id", "state", "processes", "windowed", F.size("failed").alias("n_failed"), F.size("at_limit").alias("n_at_limit"))
 
 
 @query("e8_run_all_checks")
@@ -921,8 +996,29 @@ def _e8b(t):
     return _persisted(t, True)[1].groupBy("check").agg(F.count("*").alias("n"))
 
 
-@query("e11_should_rerun", "SELECT status, n >= 500 AS again FROM (SELECT status, count(*) AS n FROM process GROUP BY 1)", "process")
+@query(
+    "e11_should_rerun",
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (status <> 'P') AS early FROM process) SELECT run_id, state, windowed, processes, answers, CASE answers WHEN true THEN n - early >= 500 END AS again
+FROM (SELECT 'old' AS run_id, 'done' AS state, false AS windowed, early AS processes, true AS answers, * FROM c UNION ALL SELECT 'part', 'done', true, n, false, * FROM c UNION ALL SELECT 'lost', 'failed', false, n, false, * FROM c)""",
+    "process",
+)
 def _e11b(t):
-    """Whether so many new processes as there are of a status call for another run."""
-    rows = t.process.groupBy("status").agg(F.count("*").alias("n")).collect()  # a row for each status
-    return t.process.sparkSession.createDataFrame([(r["status"], runs.should_rerun(r["n"], 0, Config())) for r in rows], "status string, again boolean")
+    """The ledger of three runs: over the processes that were closed, over some dates, and one that failed.  Only
+    the first answers for a run over all dates; whether there is to be another follows from the counts."""
+    from datetime import date
+
+    spark, path = t.process.sparkSession, _folder(t, "runs")
+    cfg = Config(disabled=frozenset(set(checks.REGISTRY) - {"cdi_abuse"}))
+    runs.persist_run(spark, replace(t, process=t.process.filter("status <> 'P'")), cfg, path, "old")
+    runs.persist_run(spark, t, replace(cfg, date_from=date(1997, 1, 1)), path, "part")
+    try:
+        runs.persist_run(spark, replace(t, price_index=t.price_index.withColumn("index_value", F.raise_error(F.lit("no index")).cast("double"))), cfg, path, "lost")
+    except Exception as e:
+        if "no index" not in str(e):
+            raise
+    last = runs.latest_run(spark, path)
+    lines = runs.ledger(spark, path)
+    at = lines.filter(F.col("run_id") == last).first()["processes"]
+    again = runs.should_rerun(t.process.count(), at, cfg)
+    answers = F.col("run_id") == last
+    return lines.select("run_id", "state", "windowed", "processes", answers.alias("answers"), F.when(answers, F.lit(again)).alias("again"))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 from datetime import date
 
@@ -14,7 +15,7 @@ from tenderlens.operators import checks, groups, ingest, network, profiles, runs
 from tenderlens.operators.components import connected_components
 from tenderlens.plans import fixture_map
 from tenderlens.plans.staging import measured_bytes
-from tenderlens.plans.tables import Config, Tables, process_window
+from tenderlens.plans.tables import Config, Tables, ordinals, process_window, top_n
 from tenderlens.sources import snapshot
 from tenderlens.streaming import incremental
 
@@ -103,7 +104,12 @@ def test_graph_algorithms_equal_brute_force(spark, seed):
         for c in itertools.combinations(sorted(near), k):
             if all(y in near[x] for x, y in itertools.combinations(c, 2)) and not any(all(y in near[x] for x in c) for y in near if y not in c):
                 cliques.add(c)
-    assert {tuple(r.members) for r in network.maximal_cliques(edges, 3, 5).collect()} == cliques
+    found = lambda least, rows: {tuple(r.members) for r in network.maximal_cliques(edges, least, 5, split_rows=rows).collect()}
+    pairs = {(a, b) for a, b, _ in raw if not near[a] & near[b]}
+    if seed == 1:  # whole neighbourhoods, and such as are split by the second vertex
+        assert found(3, 10_000) == cliques == found(3, 2)
+    else:
+        assert found(2, 10_000) == cliques | pairs == found(2, 1)
     # k-core
     live = {v: set(s) for v, s in near.items()}
     while gone := [v for v, s in live.items() if len(s) < 3]:
@@ -132,7 +138,7 @@ def test_graph_algorithms_equal_brute_force(spark, seed):
             if u != s:
                 score[u] += delta[u]
     n = len(near)
-    for r in network.betweenness(edges).collect():
+    for r in network.betweenness(edges, batch=100 if seed == 1 else 8).collect():
         assert abs(r.betweenness - score[r.node] / ((n - 1) * (n - 2))) < 1e-4
     # disjoint choice
     ranked = sorted(cliques, key=lambda c: (-len(c), list(c)))
@@ -145,6 +151,120 @@ def test_graph_algorithms_equal_brute_force(spark, seed):
     assert {tuple(r.members) for r in network.select_disjoint(rows, ["size"]).collect()} == taken
 
 
+def core_numbers(raw):
+    live, out = {}, {}
+    for a, b in raw:
+        live.setdefault(a, set()).add(b)
+        live.setdefault(b, set()).add(a)
+    k = 1
+    while live:
+        gone = [v for v, s in live.items() if len(s) <= k]
+        for v in gone:
+            out[v] = k
+            for u in live.pop(v):
+                live.get(u, set()).discard(v)
+        k += not gone
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_core_numbers(spark, seed):
+    rng = random.Random(seed)
+    raw, edges = random_edges(spark, rng, 26, 0.16)
+    tails = [(f"n{k:02}", f"t{k}0") for k in range(0, 9, 3)] + [(f"t{k}{i}", f"t{k}{i + 1}") for k in range(0, 9, 3) for i in range(4)] + [("t02", "z1"), ("t02", "z2"), ("z2", "z3"), ("q1", "q2"), ("q2", "q3"), ("q3", "q1"), ("q1", "q4")]
+    edges = edges.unionByName(spark.createDataFrame([(a, b, 1) for a, b in tails], "a string, b string, weight long"))
+    assert {r.node: r.core for r in network.coreness(edges).collect()} == core_numbers([(a, b) for a, b, _ in raw] + tails)
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    n = 2000
+    path = spark.range(n - 1).selectExpr("lpad(id, 5, '0') as a", "lpad(id + 1, 5, '0') as b", "1L as weight").repartition(3)
+    jobs, real = [], network.materialize
+    monkeypatch.setattr(network, "materialize", lambda df, tag="t": (jobs.append(tag), real(df, tag))[1])
+    got = network.coreness(path)
+    assert got.count() == n and got.filter("core <> 1").count() == 0 and len(jobs) < 20
+    ring = path.unionByName(spark.createDataFrame([("00000", f"{n - 1:05}", 1), ("00005", "tail", 1)], path.schema))
+    assert {(r.core, r.n) for r in network.coreness(ring).groupBy("core").agg(F.count("*").alias("n")).collect()} == {(2, n), (1, 1)}
+
+
+def test_a_contact_of_very_many_providers_makes_no_pairs(spark):
+    n = 50_000
+    t = tables(spark, [("p0", "A"), ("p0", "B"), ("p1", "A")], [("p0", "A")])
+    ids = spark.range(n).selectExpr("concat('x', id) as cuit")
+    more = ids.unionByName(spark.createDataFrame([("A",), ("B",)], "cuit string"))
+    t.provider = more.selectExpr("cuit", "cuit as business_name")
+    t.contact = more.selectExpr("'provider' as entity_type", "cuit as entity_key", "cast(null as string) as source", "'Phone' as contact_type", "'1' as contact_value")
+    t.bid = t.bid.unionByName(ids.limit(0).selectExpr("'p9' as process_number", "cuit as provider_cuit", "1.0D as total_amount", "'ARS' as currency", "cast(null as date) as submitted_at"))
+    rows = groups.shared_contact_cluster(t, Config(ordered=False))
+    assert rows.count() == n + 2 and rows.filter("size(co_members) <> 20 or cluster_size <> 50002").count() == 0
+    assert [(r.provider1_cuit, r.provider2_cuit) for r in checks.fake_competition(t, Config()).collect()] == [("A", "B")]
+
+
+def test_ordinals_and_limits(spark):
+    df = spark.range(0, 30_000, 1, 7).selectExpr("id", "cast(id * 7919 % 1000 as int) as x")
+    order = [F.desc("x"), F.asc("id")]
+    want = [r.id for r in df.orderBy(*order).collect()]
+    got = {r.n: r.id for r in ordinals(df, order, "n").collect()}
+    assert [got[k] for k in range(1, 30_001)] == want
+    assert [r.id for r in top_n(df, order, 12_345).collect()] == want[:12_345]
+    assert [r.id for r in top_n(df, order, 100).collect()] == want[:100] and [r.id for r in top_n(df, order, None).collect()] == want
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan(top_n(df, order, 100))
+    for d in (top_n(df, order, 12_345), top_n(df, order, None)):
+        assert "TakeOrderedAndProject" not in plan(d) and "Limit" not in plan(d)
+    assert "Exchange" not in plan(top_n(df, order, None, ordered=False))
+
+
+def test_index_series_by_day(spark):
+    """The chained series before the boundary, the official one from it on, and no way from one to the other."""
+    days = [date(2016, 10, 31), date(2016, 11, 30), date(2016, 12, 1), date(2016, 12, 31), date(2017, 3, 5), date(2010, 1, 1), None]
+    facts = spark.createDataFrame([(n, d, "ARS") for n, d in enumerate(days)] + [(9, days[1], None)], "k int, observed date, currency_used string")
+    series = [("chained", date(2016, 9, 1), 90.0), ("chained", date(2016, 11, 1), 95.0), ("chained", date(2017, 2, 1), 1.0), ("official", date(2016, 1, 1), 2.0), ("official", date(2017, 1, 1), 101.0)]
+    index = spark.createDataFrame(series, "series_id string, period date, index_value double")
+    got = {r.k: (r.series_id, r.index_value, r.index_strategy) for r in valuation.link_inflation(facts, index).collect()}
+    assert got == {
+        0: ("chained", 90.0, "nearest_prior"), 1: ("chained", 95.0, "same_month"), 2: ("official", 2.0, "nearest_prior"), 3: ("official", 2.0, "nearest_prior"), 4: ("official", 101.0, "nearest_prior"),
+        5: ("chained", None, None), 6: (None, None, None), 9: (None, None, None),
+    }
+    late = spark.createDataFrame([s for s in series if s[1] >= date(2017, 1, 1) or s[0] == "chained"], index.schema)
+    got = {r.k: r.index_value for r in valuation.link_inflation(facts, late).collect()}
+    assert got[2] is None and got[3] is None and got[4] == 101.0
+
+
+def test_links_of_extension_amounts_and_lines(spark):
+    """An extension in another currency makes a link of its own, at whose rate the total is told too; a label
+    that says nothing keeps a line from its bid's currency."""
+    t = tables(spark, [("p0", "A")], [("p0", "A")])
+    t.contract = t.contract.selectExpr("*", "'USD' as extension_currency", "50.0D as max_extendable_amount", "cast(null as double) as available_extension_amount")
+    t.bid_line = spark.createDataFrame([("p0", "A", 1, 0, 3.0, 6.0, None), ("p0", "A", 2, 0, 3.0, 6.0, "-"), ("p0", "A", 3, 0, 3.0, None, "USD")], "process_number string, provider_cuit string, line_number int, alternative_number int, unit_price double, total_per_line double, currency string")
+    facts = valuation.priced_facts(t)
+    fx = {(r.kind, r.key): (r.currency, r.rate, r.amount_fields, r.ars_then, r.unit_ars_then) for r in valuation.fx_links(facts, t).collect()}
+    assert fx == {("contractual_document", "d0|comprar"): ("USD", 2.0, ["max_extendable_amount"], 200.0, None), ("bid_line", "p0|A|3|0"): ("USD", 2.0, ["unit_price"], None, 6.0)}
+    index = {(r.kind, r.key): (r.amount_fields, r.ars_then, r.unit_ars_then) for r in valuation.inflation_links(facts, t).collect()}
+    assert index == {
+        ("bid", "p0|A"): (["total_amount"], 100.0, None), ("contractual_document", "d0|comprar"): (["max_extendable_amount", "total_amount"], 100.0, None),
+        ("bid_line", "p0|A|1|0"): (["total_per_line", "unit_price"], 6.0, 3.0), ("bid_line", "p0|A|3|0"): (["unit_price"], None, None),
+    }
+
+
+def test_runs_answer_for_counts(spark, tmp_path):
+    t = tables(spark, [("p0", "A")], [("p0", "A")])
+    cfg = Config(disabled=frozenset(set(checks.REGISTRY) - {"cdi_abuse"}))
+    go = lambda name, **kw: runs.run_if_needed(spark, t, kw.pop("cfg", cfg), str(tmp_path), name, **kw)
+    assert go("a") == ("a", False) and go("b") == ("a", True) and go("b", after=0) == ("b", False)
+    assert go("c", cfg=Config(disabled=cfg.disabled, date_from=date(2020, 1, 1))) == ("c", False) and go("d") == ("b", True)
+    assert go("d", forced=True) == ("d", False)
+    assert {(r.run_id, r.state, r.windowed) for r in runs.ledger(spark, str(tmp_path)).collect()} == {("a", "done", False), ("b", "done", False), ("c", "done", True), ("d", "done", False)}
+    broken = Tables(**{f: getattr(t, f) for f in Tables.__dataclass_fields__})
+    broken.price_index = t.price_index.withColumn("index_value", F.raise_error(F.lit("gone")).cast("double"))
+    with pytest.raises(Exception, match="gone"):
+        runs.persist_run(spark, broken, cfg, str(tmp_path), "e")
+    row = runs.ledger(spark, str(tmp_path)).filter("run_id = 'e'").first()
+    assert row.state == "failed" and "gone" in row.error and go("f") == ("d", True)
+    tight = runs.persist_run(spark, t, Config(disabled=cfg.disabled, limit=1, thresholds={"cdi_min_processes": 1, "cdi_min_pct": 0.0}), str(tmp_path), "g").first()
+    assert tight.at_limit == ["cdi_abuse"]
+
+
 def test_communities_split_two_cliques_and_do_not_depend_on_partitions(spark):
     raw = [(f"{g}{a}", f"{g}{b}", 3) for g in "xy" for a in range(5) for b in range(a + 1, 5)] + [("x0", "y0", 1)]
     first = None
@@ -156,6 +276,36 @@ def test_communities_split_two_cliques_and_do_not_depend_on_partitions(spark):
         first = got
 
 
+@pytest.mark.parametrize(("seed", "n", "p"), [(5, 24, 0.15), (6, 40, 0.08)])
+def test_communities_are_connected_and_no_move_gains(spark, seed, n, p):
+    raw, edges = random_edges(spark, random.Random(seed), n, p)
+    got = {r.node: r.community for r in network.communities(edges).collect()}
+    near, k = {}, {}
+    for a, b, w in raw:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = w
+            k[x] = k.get(x, 0) + w
+    assert set(got) == set(near)
+    total = sum(k.values())
+    quality = lambda of: sum((near[x].get(y, 0) if x != y else 0) * total - k[x] * k[y] for x in of for y in of if of[x] == of[y])
+    best = quality(got)
+    for v in near:
+        for c in {got[u] for u in near[v]}:
+            assert quality(got | {v: c}) <= best
+    for c in set(got.values()):
+        mine, stack = {v for v in got if got[v] == c}, [c]
+        assert c == min(mine)
+        seen = set()
+        while stack:
+            x = stack.pop()
+            if x not in seen:
+                seen.add(x)
+                stack += [y for y in near[x] if y in mine]
+        assert seen == mine
+        for d in set(got.values()):
+            assert quality({v: (d if x == c else x) for v, x in got.items()}) <= best
+
+
 def test_peeling_keeps_the_core_before_an_empty_one(spark):
     ring = [(f"r{i:02}", f"r{(i + 1) % 70:02}", 1) for i in range(70)]
     df = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in ring], "a string, b string, weight long")
@@ -227,10 +377,58 @@ def test_streamed_bundles_twice_equal_once(spark, tmp_path):
     incremental.incremental_ingest(incremental.stream_bundles(spark, str(land / "*"), schema), root, ["k"], check).awaitTermination()
     spark.createDataFrame([("a", None, "9", 2), ("a", "1", None, 1)], schema).write.json(str(land / "y"))
     incremental.incremental_ingest(incremental.stream_bundles(spark, str(land / "*"), schema), root, ["k"], check).awaitTermination()
-    got = {(r.k, r.v, r.w) for r in incremental.current(spark, root, "k string, v string, w string").collect()}
+    got = {(r.k, r.v, r.w) for r in incremental.current(spark, root, "k string, v string, w string", ["k"]).collect()}
     assert got == {("a", "1", "9"), ("b", "2", None)}
 
 
+def _landed(spark, tmp_path, batches, **kw):
+    """A table after bundles that landed one after another."""
+    schema, root = "k long, v string, w long, seq int", str(tmp_path / "table")
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "land" / f"b{n}"))
+        incremental.incremental_ingest(incremental.stream_bundles(spark, str(tmp_path / "land" / "*"), schema), root, ["k"], str(tmp_path / "check"), buckets=8, **kw).awaitTermination()
+    return root
+
+
+def _written(root, part):
+    import glob
+
+    return {p: os.path.getsize(p) for p in glob.glob(f"{root}/{part}/*/bucket=*/*.parquet")}
+
+
+def test_a_small_bundle_rewrites_little_and_old_files_go(spark, tmp_path):
+    first = [(k, f"v{k}", None, 1) for k in range(4000)]
+    root = _landed(spark, tmp_path, [first, [(7, None, 70, 1), (7, "later", None, 2), (4001, "new", 1, 1)]], compact_after=3)
+    whole, small = (sum(v for p, v in _written(root, "delta").items() if f"v{n:012d}" in p) for n in (0, 1))
+    assert small < 0.1 * whole and not _written(root, "base")
+    table = lambda: {(r.k, r.v, r.w) for r in incremental.current(spark, root, "k long, v string, w long", ["k"]).collect()}
+    want = {(k, f"v{k}", None) for k in range(4000) if k != 7} | {(7, "later", 70), (4001, "new", 1)}
+    assert table() == want
+    for n in range(2, 5):  # bucket of 7 gathers deltas and is compacted, alone
+        spark.createDataFrame([(7, None, 70 + n, 1)], "k long, v string, w long, seq int").coalesce(1).write.json(str(tmp_path / "land" / f"b{n}"))
+        incremental.incremental_ingest(incremental.stream_bundles(spark, str(tmp_path / "land" / "*"), "k long, v string, w long, seq int"), root, ["k"], str(tmp_path / "check"), buckets=8, compact_after=3).awaitTermination()
+    assert table() == want - {(7, "later", 70)} | {(7, "later", 74)}
+    assert len({p.split("bucket=")[1].split("/")[0] for p in _written(root, "base")}) == 1
+    old = {p for p in _written(root, "delta") if "v000000000001" in p and f"bucket={next(iter(_written(root, 'base'))).split('bucket=')[1].split('/')[0]}/" in p}
+    assert not old and len(os.listdir(f"{root}/manifest")) <= 3
+
+
+def test_a_batch_that_failed_writes_the_same_again(spark, tmp_path, monkeypatch):
+    root = _landed(spark, tmp_path, [[(1, "a", None, 1), (2, "b", None, 1)]])
+    spark.createDataFrame([(1, None, 5, 1)], "k long, v string, w long, seq int").write.json(str(tmp_path / "land" / "b9"))
+    go = lambda: incremental.incremental_ingest(incremental.stream_bundles(spark, str(tmp_path / "land" / "*"), "k long, v string, w long, seq int"), root, ["k"], str(tmp_path / "check"), buckets=8).awaitTermination()
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "manifest", lambda *a: 1 / 0)
+        with pytest.raises(Exception, match="ZeroDivision|division"):
+            go()
+    table = lambda: {(r.k, r.v, r.w) for r in incremental.current(spark, root, "k long, v string, w long", ["k"]).collect()}
+    assert table() == {(1, "a", None), (2, "b", None)}
+    go()
+    assert table() == {(1, "a", 5), (2, "b", None)}
+    go()
+    assert table() == {(1, "a", 5), (2, "b", None)}
+
+
 def test_snapshot_round_trip_redacts(spark, tmp_path):
     people = spark.createDataFrame([("ANN", "DNI", "123"), ("BOB", None, None)], "full_name string, document_type string, document_number string")
     rel = spark.createDataFrame([("Authorizer:ANN", "x", 1)], "start string, end string, seq int")
