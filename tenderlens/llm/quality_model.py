@@ -147,14 +147,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     """One row for each row of ``docs`` (doc_id, text): doc_id, ``held_out``, ``score``, ``predicted``.
 
     Labels (doc_id, quality) are learnt from rows that are not held out; a null label is none, and ids
-    labelled twice or repeated in ``docs`` count each time.  A null text scores as an empty one.  Without
+    labelled twice or repeated in ``docs`` count each time, twice ``train_rows`` texts at most.  A null text scores as an empty one.  Without
     labels every score is 0.5; with labels of one kind only, near 0 or 1.  Other columns are not read.
     """
     docs = sized(docs).select("doc_id", "text")
     marked = labels.filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
     marked = marked.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
     sample = docs.join(F.broadcast(marked), "doc_id").select("label", "text").mapInArrow(_rows, "label int, f binary, x binary")
-    rows = [(r["label"], np.frombuffer(bytes(r["f"]), np.int32), np.frombuffer(bytes(r["x"]), np.float32)) for r in sample.limit(2 * train_rows).toLocalIterator()]
+    # ids that ``docs`` repeats can make more rows than labels: then the first of them by what they hold, not by arrival
+    first = sample.orderBy(F.xxhash64("f"), "label", "x").limit(2 * train_rows)
+    rows = [(r["label"], np.frombuffer(bytes(r["f"]), np.int32), np.frombuffer(bytes(r["x"]), np.float32)) for r in first.toLocalIterator()]
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
