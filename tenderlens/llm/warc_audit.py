@@ -1,7 +1,7 @@
 """Operator 7: a Merkle fixity audit of an archive of pages.
 
 Each page is a WARC record; records stand in key order, at running offsets.  Each replica hashes its own records
-and builds its own tree: a leaf range covers the records of :data:`FANOUT` consecutive page ids, and a node hashes
+and builds its own tree: a leaf range hashes, in key order, the records of :data:`FANOUT` consecutive page ids, and a node hashes
 its children in order with the bytes that each covers, so ranges of offsets are hashed relative to the node and a
 lost record shifts no other branch.  Two replicas are the same if their roots are.  If not, only children of nodes
 that differ are compared, level by level, and only records of leaf ranges that differ are put side by side.
@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenderlens.plans.staging import materialize, small
+from tenderlens.plans.staging import materialize, per_key, small
 
 FANOUT = 16
+#: Records, or hashes of records, that one hash covers.
+CHUNK = 4096
 KEY = ("page_id", "url", "copy")
 
 
@@ -49,13 +51,21 @@ def manifest(recs: DataFrame) -> DataFrame:
 
 
 def ranges(recs: DataFrame) -> DataFrame:
-    """(idx, hash, bytes) of the leaf ranges.  A range's hash is that of the sums of its record hashes, cut into
-    pieces of 60 bits; a record's hash covers its key, so the sums tell the same records in key order.  Sums are
-    combined before the shuffle, so a range may hold any number of records."""
+    """(idx, hash, bytes) of the leaf ranges.  A range's hash is that of its records one after another: each one's
+    key, content hash, and extent from the start of the range.  Up to :data:`CHUNK` records are hashed together, then as
+    many of those hashes, so a range may hold any number of records.  ``recs`` is a :func:`manifest`, or is made one."""
+    man = recs if "pos" in recs.columns else manifest(recs)
     digest = F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", F.col("copy").cast("string"), "leaf"), 256)
-    pieces = [F.sum(F.conv(F.substring("digest", 1 + 15 * n, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{n}") for n in range(4)]
-    sums = recs.select(leaf_range().alias("idx"), digest.alias("digest"), "length").groupBy("idx").agg(*pieces, F.count("*").alias("n"), F.sum("length").alias("bytes"))
-    return sums.select("idx", F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("n", "bytes", "s0", "s1", "s2", "s3"))), 256).alias("hash"), "bytes")
+    rows = man.select(leaf_range().alias("idx"), "pos", "offset", "length", digest.alias("digest"))
+    start = per_key(rows.groupBy("idx").agg(F.min("pos").alias("p0"), F.min("offset").alias("o0")), "op7start")
+    text = lambda *cols: F.concat_ws(":", *(F.col(c).cast("string") for c in cols))
+    now = rows.join(start, "idx").select("idx", (F.col("pos") - F.col("p0")).alias("at"), (F.col("offset") - F.col("o0")).alias("from"), "length", "digest")
+    now = now.select("idx", "at", F.col("length").alias("bytes"), text("from", "length", "digest").alias("line"))
+    for _ in range(3):
+        listed = F.array_sort(F.collect_list(F.struct("at", "line")))
+        up = now.groupBy("idx", F.floor(F.col("at") / CHUNK).alias("at")).agg(listed.alias("l"), F.sum("bytes").alias("bytes"))
+        now = up.select("idx", "at", "bytes", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "|"), 256).alias("line"))
+    return now.select("idx", F.col("line").alias("hash"), "bytes")
 
 
 def leaf_range():
@@ -96,7 +106,7 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     give no rows.  A table has no order but that of its keys, so records that trade places are two changed ones.
     """
     plan = materialize(manifest(records(pages)), "op7man")
-    other = materialize(records(replica).select(*KEY, "length", "leaf"), "op7rep")
+    other = materialize(manifest(records(replica)), "op7rep")
     nodes = [materialize(ranges(x), "op7rng") for x in (plan, other)]
     least, most = nodes[0].unionByName(nodes[1]).agg(F.min("idx"), F.max("idx")).first()
     top = 0
