@@ -270,14 +270,15 @@ def _whole(c: str) -> Column:
     return F.col(c).cast("decimal(19,0)")
 
 
-def _move_nodes(links: DataFrame, start: DataFrame, total: int) -> tuple[DataFrame, bool]:
+def _move_nodes(links: DataFrame, start: DataFrame, total: int, rough: bool = False) -> tuple[DataFrame, bool]:
     """((node, community, k), whether any node moved): nodes of ``links`` (u, v, weight; a loop holds twice its inner
     weight) move from ``start`` (node, community) while a move raises the modularity.
 
-    A round weighs the nodes near the last moves, all of them once those are done.  Half of the nodes that gain, by a hash
-    of node and round, move together if that raises the modularity, which is summed over the edges and
-    communities they touch; else those move that no other move competes with for either community, whose gains add up.  So
-    every round gains, and there is a last one."""
+    The first round weighs all nodes, later ones those near the last moves.  Half of the nodes that gain, by a
+    hash of node and round, move together if that raises the modularity, which is summed over the edges and
+    communities they touch; else those move that no other move competes with for either community, whose
+    gains add up.  So every round gains, and there is a last one.  A ``rough`` pass that has moved some ends where moving
+    together no longer helps, and leaves the rest to a later pass."""
     degree = links.groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("k"))
     state, ever, front, turn = materialize(start.join(degree, "node"), "lv"), False, None, 0
     between = links.filter("u <> v")
@@ -296,19 +297,16 @@ def _move_nodes(links: DataFrame, start: DataFrame, total: int) -> tuple[DataFra
         moved, raised = _raised(between, state, half, total)
         turn += 1
         if raised <= 0:
-            if not moved and not could.limit(1).count():
-                if front is None:
-                    return state, ever
-                front = None
-                continue
+            if (rough and ever) or (not moved and not could.limit(1).count()):
+                return state, ever
             each = could.select("node", "gain", F.explode(F.array("own", "to")).alias("c"))
             first = each.groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("node").alias("n"))).alias("first"))
             beaten = each.join(first, "c").filter(F.col("first.n") != F.col("node")).select("node").distinct()
-            half = could.join(beaten, "node", "left_anti")
-        gone = materialize(half.select("node", "to"), "lv")
+            half = materialize(could.join(beaten, "node", "left_anti"), "lv")
+        gone = half.select("node", "to")
         then = state.join(gone, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k")
         beside = between.join(gone.select(F.col("node").alias("v")), "v", "left_semi").select("u").unionByName(gone.select(F.col("node").alias("u"))).distinct()
-        then, front, ever = materialize(then, "lv"), materialize(beside, "lv"), True
+        then, front, ever = materialize(then, "lv"), beside, True
         discard(state)
         state = then
 
@@ -357,13 +355,13 @@ def communities(edges: DataFrame) -> DataFrame:
         return part
     first = True
     while True:
-        moved = _move_nodes(base, part, total)
+        moved = _move_nodes(base, part, total, rough=first)
         if not (moved[1] or first):
             return part
         part, first = _connected(base, moved[0]), False
         while True:
             links = _contracted(base, part)
-            upper, went = _move_nodes(links, links.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct(), total)
+            upper, went = _move_nodes(links, links.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct(), total, rough=True)
             if not went:
                 break
             up = upper.select(F.col("node").alias("community"), F.col("community").alias("over"))

@@ -705,7 +705,7 @@ def _e7(t):
 
 # ---- scoring and profiles ------------------------------------------------------------------------------
 
-#: The query of each check whose findings SQL can say too; the other two need cliques and communities.
+#: The query of each check whose findings SQL can say too, but for rings and communities.
 SAID = {
     "serial_winner": "c1_serial_winner", "authorizer_bias": "c2_authorizer_bias", "authorizer_provider_ring": "c3_authorizer_provider_ring", "uoc_favoritism": "c4_uoc_favoritism",
     "contract_splitting": "c5_contract_splitting", "contract_cost_overrun": "c6_contract_cost_overrun", "cover_bidding": "c7_cover_bidding", "fake_competition": "c8_fake_competition",
@@ -714,12 +714,16 @@ SAID = {
 }
 
 
-def _findings(t: Tables, every: Config | None = None) -> dict[str, DataFrame]:
+#: With the rings, whose SQL looks for cliques, as the queries about syndromes have them.
+SAID_RINGS = SAID | {"bid_rotation_ring": "c14_bid_rotation_ring"}
+
+
+def _findings(t: Tables, every: Config | None = None, said: dict[str, str] = SAID) -> dict[str, DataFrame]:
     """The findings of the checks that SQL can say, or of all sixteen by the settings given, each written once.
     They are counted and joined, so they need no order."""
-    cfg = replace(every or TUNED, ordered=False)
+    cfg = replace(every or (_tuned(t) if said is SAID_RINGS else TUNED), ordered=False)
     t = runs.with_shared(t)
-    keys = [k for k in checks.REGISTRY if every or k in SAID]
+    keys = [k for k in checks.REGISTRY if every or k in said]
     return dict(zip(keys, at_once(lambda k: materialize(checks.REGISTRY[k].run(t, cfg), k), keys)))
 
 
@@ -728,10 +732,10 @@ def _parts(name: str) -> str:
     return "(" + ORACLES[name] + ")"
 
 
-def _scored_sql() -> str:
+def _scored_sql(said: dict[str, str] = SAID) -> str:
     weights = scoring.weights(TUNED)
     rows = []
-    for key, name in SAID.items():
+    for key, name in said.items():
         for kind, col, label in checks.REGISTRY[key].entities:
             rows.append(f"SELECT '{kind}' AS entity_type, {col} AS id, {label or col} AS name, '{key}' AS chk, {weights[key]} AS weight FROM {_parts(name)}")
     return " UNION ALL ".join(rows)
@@ -750,10 +754,16 @@ def _syndrome_sql(flags: str, what: str) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test(k)} THEN '{label}' END" for label, k, _ in scoring.SYNDROMES) + "], lambda x: x IS NOT NULL), ';')"
 
 
-_ATTR = f"att AS ({_scored_sql()}), pc AS (SELECT entity_type, id, chk, weight, count(*) AS n, min(name) AS name FROM att GROUP BY ALL)"
-_SCORE = f"""{_ATTR}, sb AS (SELECT entity_type, id, min(name) AS name, sum(weight * least(1.0::DOUBLE, log2(n + 1) / log2(11)) ORDER BY weight * least(1.0::DOUBLE, log2(n + 1) / log2(11))) AS base, count(*) AS confidence, list(chk ORDER BY chk) AS fl FROM pc GROUP BY ALL),
+def _score_sql(said: dict[str, str]) -> tuple[str, str]:
+    """CTEs of the attributed findings, and of the scores on top of them."""
+    attr = f"att AS ({_scored_sql(said)}), pc AS (SELECT entity_type, id, chk, weight, count(*) AS n, min(name) AS name FROM att GROUP BY ALL)"
+    return attr, f"""{attr}, sb AS (SELECT entity_type, id, min(name) AS name, sum(weight * least(1.0::DOUBLE, log2(n + 1) / log2(11)) ORDER BY weight * least(1.0::DOUBLE, log2(n + 1) / log2(11))) AS base, count(*) AS confidence, list(chk ORDER BY chk) AS fl FROM pc GROUP BY ALL),
 sm AS (SELECT *, CASE WHEN entity_type = 'provider' THEN {_syndrome_sql('fl', 'multiplier')} ELSE 1.0 END AS mult, CASE WHEN entity_type = 'provider' THEN {_syndrome_sql('fl', 'labels')} ELSE '' END AS syndromes FROM sb),
 sc AS (SELECT entity_type, id, name, least(round_even(base * mult, 0), 100)::INT AS score, least(round_even(base, 0), 100)::INT AS base_score, confidence::INT AS confidence, array_to_string(fl, ';') AS flags, mult, syndromes FROM sm)"""
+
+
+_ATTR, _SCORE = _score_sql(SAID)
+_SCORE_RINGS = _score_sql(SAID_RINGS)[1]
 _SCORED = "entity_type, id, name, score, base_score, confidence, flags"
 
 
@@ -801,17 +811,17 @@ def _e13(t):
     return profiles.entity_profiles(scoring.attributed(_findings(t)), "unit").select("id", "name", "total_tenders", "n_findings")
 
 
-@query("e14_rank_entities", f"WITH {_SCORE} SELECT id, score AS risk_score, confidence, mult > 1 AS has_synergy, c AS check_counts FROM sc JOIN (SELECT entity_type, id, string_agg(chk || ':' || n, ';' ORDER BY chk) AS c FROM pc GROUP BY ALL) USING (entity_type, id) WHERE entity_type = 'provider'")
+@query("e14_rank_entities", f"WITH {_SCORE_RINGS} SELECT id, score AS risk_score, confidence, mult > 1 AS has_synergy, c AS check_counts FROM sc JOIN (SELECT entity_type, id, string_agg(chk || ':' || n, ';' ORDER BY chk) AS c FROM pc GROUP BY ALL) USING (entity_type, id) WHERE entity_type = 'provider'")
 def _e14(t):
-    f = _findings(t)
+    f = _findings(t, said=SAID_RINGS)
     out = profiles.rank_entities(scoring.attributed(f), scoring.all_scores(f, TUNED), TUNED, "provider")
     entries = F.transform(F.map_entries("check_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
     return out.withColumn("check_counts", F.array_join(F.array_sort(entries), ";"))
 
 
-@query("e15_risk_breakdown", f"WITH {_SCORE} SELECT entity_type, id, score, syndromes FROM sc WHERE entity_type = 'provider'")
+@query("e15_risk_breakdown", f"WITH {_SCORE_RINGS} SELECT entity_type, id, score, syndromes FROM sc WHERE entity_type = 'provider'")
 def _e15(t):
-    out = profiles.risk_breakdown(scoring.all_scores(_findings(t), TUNED).filter("entity_type = 'provider'"), t.provider.select(F.col("cuit").alias("id")))
+    out = profiles.risk_breakdown(scoring.all_scores(_findings(t, said=SAID_RINGS), TUNED).filter("entity_type = 'provider'"), t.provider.select(F.col("cuit").alias("id")))
     return out.select("entity_type", "id", "score", F.array_join("syndromes", ";").alias("syndromes"))
 
 
@@ -998,7 +1008,7 @@ def _e8b(t):
 
 @query(
     "e11_should_rerun",
-    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (status <> 'P') AS early FROM process) SELECT run_id, state, windowed, processes, answers, CASE answers WHEN true THEN n - early >= 500 END AS again
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (status <> 'P') AS early FROM process) SELECT run_id, state, windowed, processes, answers, answers AND n - early >= 500 AS again
 FROM (SELECT 'old' AS run_id, 'done' AS state, false AS windowed, early AS processes, true AS answers, * FROM c UNION ALL SELECT 'part', 'done', true, n, false, * FROM c UNION ALL SELECT 'lost', 'failed', false, n, false, * FROM c)""",
     "process",
 )
@@ -1021,4 +1031,4 @@ def _e11b(t):
     at = lines.filter(F.col("run_id") == last).first()["processes"]
     again = runs.should_rerun(t.process.count(), at, cfg)
     answers = F.col("run_id") == last
-    return lines.select("run_id", "state", "windowed", "processes", answers.alias("answers"), F.when(answers, F.lit(again)).alias("again"))
+    return lines.select("run_id", "state", "windowed", "processes", answers.alias("answers"), (answers & F.lit(again)).alias("again"))
