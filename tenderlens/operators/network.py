@@ -270,17 +270,22 @@ def _whole(c: str) -> Column:
     return F.col(c).cast("decimal(19,0)")
 
 
+#: Sets of moves that a round weighs against each other: all that gain, a half, a quarter and so on, by a hash.
+_HALVINGS = 16
+#: A rough pass ends with a round that adds less than this share of what the pass has gained.
+_ROUGH = 50
+
+
 def _move_nodes(links: DataFrame, start: DataFrame, total: int, rough: bool = False) -> tuple[DataFrame, bool]:
     """((node, community, k), whether any node moved): nodes of ``links`` (u, v, weight; a loop holds twice its inner
     weight) move from ``start`` (node, community) while a move raises the modularity.
 
-    The first round weighs all nodes, later ones those near the last moves.  Half of the nodes that gain, by a
-    hash of node and round, move together if that raises the modularity, which is summed over the edges and
-    communities they touch; else those move that no other move competes with for either community, whose
-    gains add up.  So every round gains, and there is a last one.  A ``rough`` pass that has moved some ends where moving
-    together no longer helps, and leaves the rest to a later pass."""
+    The first round weighs all nodes, later ones those near the last moves; when none of these gains, all are
+    weighed once more, as the sizes of communities changed for the others too.  Of the sets of moves in
+    :func:`_choices` a round makes the one that raises the modularity most.  One of them always raises it, so
+    there is a last round.  A ``rough`` pass leaves small gains to a later pass."""
     degree = links.groupBy(F.col("u").alias("node")).agg(F.sum("weight").alias("k"))
-    state, ever, front, turn = materialize(start.join(degree, "node"), "lv"), False, None, 0
+    state, gained, front, turn = materialize(start.join(degree, "node"), "lv"), 0, None, 0
     between = links.filter("u <> v")
     while True:
         own = state.withColumnRenamed("community", "own")
@@ -293,36 +298,53 @@ def _move_nodes(links: DataFrame, start: DataFrame, total: int, rough: bool = Fa
         gain = _whole("w") * total - _whole("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0))
         ranked = options.withColumn("gain", gain).groupBy("node", "own", "k").agg(F.max("gain").alias("top"), F.max(F.when(here, F.col("gain"))).alias("now"), F.min_by("community", F.struct(-F.col("gain"), F.col("community"))).alias("to"))
         could = materialize(ranked.filter("top > now").select("node", "own", "to", "k", (F.col("top") - F.col("now")).alias("gain")), "lv")
-        half = could.filter(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
-        moved, raised = _raised(between, state, half, total)
+        choices = materialize(_choices(could, turn), "lv")
+        choice, raised = _best(between, state, choices, total)
         turn += 1
-        if raised <= 0:
-            if (rough and ever) or (not moved and not could.limit(1).count()):
-                return state, ever
-            each = could.select("node", "gain", F.explode(F.array("own", "to")).alias("c"))
-            first = each.groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("node").alias("n"))).alias("first"))
-            beaten = each.join(first, "c").filter(F.col("first.n") != F.col("node")).select("node").distinct()
-            half = materialize(could.join(beaten, "node", "left_anti"), "lv")
-        gone = half.select("node", "to")
-        then = state.join(gone, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k")
-        beside = between.join(gone.select(F.col("node").alias("v")), "v", "left_semi").select("u").unionByName(gone.select(F.col("node").alias("u"))).distinct()
-        then, front, ever = materialize(then, "lv"), beside, True
+        if choice is None and front is not None and not rough:
+            front = None
+            continue
+        if choice is None:
+            return state, gained > 0
+        gone = choices.filter(F.col("choice") == choice).select("node", "to")
+        then = materialize(state.join(gone, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"), "lv")
+        discard(could)
         discard(state)
-        state = then
-
-
-def _raised(between: DataFrame, state: DataFrame, moves: DataFrame, total: int) -> tuple[int, int]:
-    """(how many moves, by how much all of them together raise the modularity times the square of the total)."""
-    m = moves.select(F.col("node").alias("u"), F.col("own").alias("a"), F.col("to").alias("b"))
-    other = state.select(F.col("node").alias("v"), "community").join(moves.select(F.col("node").alias("v"), F.col("to").alias("after")), "v", "left")
-    edge = between.join(m, "u").join(other, "v")
+        state, gained = then, gained + raised
+        if rough and raised * _ROUGH < gained:
+            return state, True
+        front = between.join(gone.select(F.col("node").alias("v")), "v", "left_semi").select("u").unionByName(gone.select(F.col("node").alias("u"))).distinct()
+
+
+def _choices(could: DataFrame, turn: int) -> DataFrame:
+    """Sets of moves, as (choice, node, own, to, k).  Choice 0: those that no other move competes with for either
+    community, whose gains add up.  Choice n: about one move in 2^(n-1), by a hash of node and turn; each set holds
+    the next, so together they have some two rows a move."""
+    each = could.select("node", "gain", F.explode(F.array("own", "to")).alias("c"))
+    first = each.groupBy("c").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("node").alias("n"))).alias("first"))
+    beaten = each.join(first, "c").filter(F.col("first.n") != F.col("node")).select("node").distinct()
+    alone = could.join(beaten, "node", "left_anti").withColumn("choice", F.lit(0))
+    share = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << _HALVINGS)) / (1 << _HALVINGS)  # in [0, 1)
+    last = sum(((share < 2.0**-n).cast("int") for n in range(1, _HALVINGS)), F.lit(1))
+    some = could.withColumn("choice", F.explode(F.sequence(F.lit(1), last)))
+    return alone.unionByName(some).select("choice", "node", "own", "to", "k")
+
+
+def _best(between: DataFrame, state: DataFrame, choices: DataFrame, total: int) -> tuple[int | None, int]:
+    """(the choice whose moves raise the modularity most, by how much times the square of the total), or None
+    where there are no moves.  It is summed over the edges and communities that the moves touch."""
+    m = choices.select("choice", F.col("node").alias("u"), F.col("own").alias("a"), F.col("to").alias("b"))
+    near = between.join(m, "u").join(state.select(F.col("node").alias("v"), "community"), "v")
+    edge = near.join(choices.select("choice", F.col("node").alias("v"), F.col("to").alias("after")), ["choice", "v"], "left")
     same = (F.col("b") == F.coalesce("after", "community")).cast("int") - (F.col("a") == F.col("community")).cast("int")
-    inner = edge.agg(F.coalesce(F.sum(F.col("weight") * same * F.when(F.col("after").isNull(), 2).otherwise(1)), F.lit(0)).alias("inner"))
-    change = moves.select(F.explode(F.array(F.struct(F.col("own").alias("community"), (-F.col("k")).alias("d")), F.struct(F.col("to").alias("community"), F.col("k").alias("d")))).alias("x")).groupBy("x.community").agg(F.sum("x.d").alias("d"))
+    inner = edge.groupBy("choice").agg(F.sum(_whole("weight") * same * F.when(F.col("after").isNull(), 2).otherwise(1)).alias("inner"))
+    change = choices.select("choice", F.explode(F.array(F.struct(F.col("own").alias("community"), (-F.col("k")).alias("d")), F.struct(F.col("to").alias("community"), F.col("k").alias("d")))).alias("x")).groupBy("choice", "x.community").agg(F.sum("x.d").alias("d"))
     tot = state.groupBy("community").agg(F.sum("k").alias("tot")).join(change, "community")
-    square = tot.agg(F.coalesce(F.sum(_whole("d") * (2 * F.col("tot") + F.col("d"))), F.lit(0)).alias("square"))
-    row = inner.crossJoin(square).crossJoin(moves.agg(F.count("*").alias("n"))).first()  # three sums, a row each
-    return row["n"], int(row["inner"]) * total - int(row["square"])
+    square = tot.groupBy("choice").agg(F.sum(_whole("d") * (2 * F.col("tot") + F.col("d"))).alias("square"))
+    rows = square.join(inner, "choice", "left").collect()  # a row for each choice, 17 at most
+    raised = [(int(r["inner"] or 0) * total - int(r["square"]), -r["choice"]) for r in rows]
+    best = max(raised, default=(0, 0))
+    return (-best[1], best[0]) if best[0] > 0 else (None, 0)
 
 
 def _contracted(links: DataFrame, comm: DataFrame) -> DataFrame:
@@ -344,7 +366,7 @@ def communities(edges: DataFrame) -> DataFrame:
     another community does not raise the modularity, nor does merging two.
 
     Nodes move, communities are cut into connected parts and become the nodes of a smaller graph, until its nodes stay
-    where they are too; then nodes of the first graph get their turn again, until a whole pass changes nothing.
+    where they are too; then nodes of the first graph get their turn again, until none of it changes anything.
     The same edges give the same communities wherever rows lie: weights are whole numbers, and gains are
     compared in whole numbers too.  A community is named by its least node.
     """
@@ -355,19 +377,29 @@ def communities(edges: DataFrame) -> DataFrame:
         return part
     first = True
     while True:
-        moved = _move_nodes(base, part, total, rough=first)
-        if not (moved[1] or first):
+        state, went = _move_nodes(base, part, total, rough=first)
+        if not (went or first):
             return part
-        part, first = _connected(base, moved[0]), False
+        part = _connected(base, state)
+        settled = not first and _groups_of(part) == _groups_of(state)
+        first = False
         while True:
             links = _contracted(base, part)
             upper, went = _move_nodes(links, links.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct(), total, rough=True)
+            discard(links)
             if not went:
                 break
+            settled = False
             up = upper.select(F.col("node").alias("community"), F.col("community").alias("over"))
             named = part.join(up, "community").select("node", "over")
             least = named.groupBy("over").agg(F.min("node").alias("community"))
             part = materialize(named.join(least, "over").select("node", "community"), "lv")
+        if settled:  # no node gains, nothing was cut, nothing merged
+            return part
+
+
+def _groups_of(comm: DataFrame) -> int:
+    return comm.agg(F.count_distinct("community")).first()[0]
 
 
 def cobid_degree(edges: DataFrame) -> DataFrame:
