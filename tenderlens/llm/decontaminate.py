@@ -4,13 +4,16 @@ Passages are windows of :data:`PASSAGE` words at half steps, as TF-IDF vectors o
 the benchmark: no other term can bring a passage nearer to an item.  A randomised SVD finds a latent
 space: each task adds up ``A^T (A R)`` for its rows of the passage matrix A and a random R, matrices of fixed
 size that Spark sums; the benchmark's own passages are stacked under A with as much weight as the corpus, so
-that the space holds what is searched for.  Every passage of every text is projected and compared by
+that the space holds what is searched for.  Frequencies and space are made once, of all items; only the
+search goes through the benchmark in passes, so a verdict does not depend on which items share one.  Every passage of every text is projected and compared by
 cosine with every benchmark passage, in one product per block.  Candidates are then aligned word by word:
 longest common subsequence with the item, share of its rare words, and its answer (the words it ends with).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +35,13 @@ LCS_SHARE = 0.7
 RARE_SHARE, ANSWER_SHARE, ANSWER_WORDS = 0.6, 0.5, 5
 #: Benchmark items that one broadcast holds; more are searched in several passes.
 ITEMS_AT_ONCE = 20_000
+#: Rows of the latent basis; terms whose ids are equal modulo this share one, which only matters beyond so many terms.
+FEATURES = 1 << 17
 #: Bytes of a slice of the summed matrix.
 _SLICES = 16
 
+FOUND = "doc_id long, item_id long, cosine double, lcs double"
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _PUNCT = np.zeros(256, dtype=bool)
@@ -68,10 +75,12 @@ class Terms:
         return key // size, key % size, n
 
 
-def term_table(terms: np.ndarray) -> np.ndarray:
-    """Slot of a hash to the id of its term, -1 for none; the ids follow the slots."""
+def term_table(passes: Iterator[tuple[list[int], list[bytes]]]) -> np.ndarray:
+    """Slot of a hash to the id of its term, -1 for what no item holds; the ids follow the slots."""
     table = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
-    slots = np.unique((terms >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+    for _, texts in passes:
+        table[(Terms(texts).full >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = 0
+    slots = np.flatnonzero(table == 0)
     table[slots] = np.arange(len(slots))
     return table
 
@@ -145,9 +154,10 @@ def _range_sum(table: np.ndarray, idf: np.ndarray, rand: np.ndarray):
                 continue
             norm = np.sqrt(np.bincount(h, x * x, t.n_halves))
             x = (x / norm[h]).astype(np.float32)
-            y = _summed(h, t.n_halves, term, x, rand)
-            order = np.argsort(term, kind="stable")
-            acc += _summed(term[order], len(idf), h[order], x[order], y)
+            feature = term % len(rand)
+            y = _summed(h, t.n_halves, feature, x, rand)
+            order = np.argsort(feature, kind="stable")
+            acc += _summed(feature[order], len(rand), h[order], x[order], y)
 
     return run
 
@@ -155,11 +165,10 @@ def _range_sum(table: np.ndarray, idf: np.ndarray, rand: np.ndarray):
 class Items:
     """The benchmark items of one pass: their terms, and the passages that are searched for."""
 
-    def __init__(self, ids: list[int], texts: list[bytes]):
+    def __init__(self, ids: list[int], texts: list[bytes], table: np.ndarray):
         first = Terms(texts)
         w = first.words
-        self.table = term_table(first.full)
-        self.size = int(self.table.max()) + 1
+        self.table = table
         slot = (first.full >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         self.ids, self.words, self.terms = ids, [], []
         item, offset, self.bags = [], [], []
@@ -174,22 +183,23 @@ class Items:
                     self.bags.append(self.terms[n][s : s + PASSAGE])
         self.item, self.offset = np.array(item, dtype=np.int64), np.array(offset, dtype=np.int64)
 
-    def weights(self, count: np.ndarray) -> np.ndarray:
-        """Inverse frequencies from (half passages with each term, all of them)."""
-        idf = np.log((count[-1] + 1) / (count[:-1] + 1)) + 1e-3
+    def weigh(self, idf: np.ndarray) -> None:
+        """What each word of an item weighs when a region is judged."""
         self.rare = [idf[t] for t in self.terms]
         # words by weight, the heaviest first: most passages are told apart by the first few
         self.heavy = []
         for words, rare in zip(self.words, self.rare):
             share = rare / max(1e-9, float(rare.sum()))
             self.heavy.append([(words[i], float(share[i])) for i in np.argsort(-share, kind="stable")])
-        out = np.where(count[:-1] > COMMON * count[-1], 0.0, idf)
-        for terms in self.terms:  # an item of common words only is searched by the rarest of them
+
+    def searched_by(self, idf: np.ndarray, search: np.ndarray) -> None:
+        """An item of common words only is searched by the rarest of them: raises these in ``search``."""
+        common = search == 0
+        for terms in self.terms:
             own = np.unique(terms)
-            if (out[own] > 0).sum() < LEAST_TERMS:
+            if (~common[own]).sum() < LEAST_TERMS:
                 pick = own[np.argsort(-idf[own], kind="stable")[:LEAST_TERMS]]
-                out[pick] = idf[pick]
-        return out.astype(np.float32)
+                search[pick] = idf[pick]
 
     def matrix(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, terms and values of the unit TF-IDF vectors."""
@@ -246,8 +256,8 @@ def _search(shared):
     def run(batches):
         import pyarrow as pa
 
-        items, idf, basis, queries = shared.value
-        scaled = basis * idf[:, None]
+        items, idf, basis, queries, least = shared.value
+        rows = len(basis)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             found: dict[tuple, tuple[float, float]] = {}
@@ -257,7 +267,7 @@ def _search(shared):
                 half, term = t.half[some], t.term[some]
                 if not len(half):
                     continue
-                y = _summed(half, t.n_halves, term, np.ones(len(term), dtype=np.float32), scaled)
+                y = _summed(half, t.n_halves, term % rows, idf[term], basis)
                 own = y.copy()
                 same = np.flatnonzero(t.half_text[1:] == t.half_text[:-1])
                 y[same] += own[same + 1]
@@ -266,7 +276,7 @@ def _search(shared):
                 sets: dict[int, set[int]] = {}
                 for s in range(0, len(y), 2048):
                     cos = y[s : s + 2048] @ queries.T
-                    for h, q in zip(*np.nonzero(cos >= COSINE)):
+                    for h, q in zip(*np.nonzero(cos >= least)):
                         half, n = s + int(h), int(items.item[q])
                         text = int(t.half_text[half])
                         key = (at + text, n)
@@ -302,50 +312,85 @@ def _search(shared):
     return run
 
 
-def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """terms x rank orthonormal basis of the leading right singular space of the stacked passages."""
-    wide = rank + OVER
-    rand = np.random.default_rng(seed).standard_normal((items.size, wide)).astype(np.float32)
-    z = _sum_arrays(docs, _range_sum(items.table, idf, rand), (items.size, wide), np.float32)
-    rows, terms, vals = items.matrix(idf)
-    y = np.zeros((len(items.bags), wide))
-    np.add.at(y, rows, rand[terms] * vals[:, None])
+def latent_space(docs: DataFrame, bench: Benchmark, table: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
+    """features x rank orthonormal basis of the leading right singular space of the stacked passages."""
+    rows, wide = min(len(idf), FEATURES), rank + OVER
+    rand = np.random.default_rng(seed).standard_normal((rows, wide)).astype(np.float32)
+    z = _sum_arrays(docs, _range_sum(table, idf, rand), (rows, wide), np.float32)
     own = np.zeros_like(z)
-    np.add.at(own, terms, y[rows] * vals[:, None])
+    for items in bench.items(table):
+        at, terms, vals = items.matrix(idf)
+        y = np.zeros((len(items.bags), wide))
+        np.add.at(y, at, rand[terms % rows] * vals[:, None])
+        np.add.at(own, terms % rows, y[at] * vals[:, None])
     z += own * (max(1.0, 4 * np.linalg.norm(z)) / (np.linalg.norm(own) + 1e-9))
     q, r = np.linalg.qr(z)
     u, _, _ = np.linalg.svd(r)
     return (q @ u[:, :rank]).astype(np.float32)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+class Benchmark:
+    """The items of a benchmark (item_id, text) that hold a word, in passes by id and text."""
+
+    def __init__(self, benchmark: DataFrame, step: int):
+        rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+        self.rows, self.step, self.only = rows.orderBy("item_id", "text"), step, None
+
+    def passes(self) -> Iterator[tuple[list[int], list[bytes]]]:
+        """(ids, texts) of ``step`` items at a time; a benchmark of one pass is read once."""
+        if self.only is not None:
+            yield from self.only
+            return
+        at = 0
+        while True:
+            rows = self.rows.offset(at).limit(self.step).collect()
+            part = [([r["item_id"] for r in rows], [r["text"].encode() for r in rows])] if rows else []
+            if at == 0 and len(rows) < self.step:
+                self.only = part
+            yield from part
+            at += self.step
+            if len(rows) < self.step:
+                return
+
+    def items(self, table: np.ndarray) -> Iterator[Items]:
+        for ids, texts in self.passes():
+            yield Items(ids, texts, table)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id, cosine, lcs): the texts of ``docs`` (doc_id, text) that hold an item of
     ``benchmark`` (item_id, text), once for each item.
 
     Null, empty and blank texts or items match nothing; so does an empty table.  Repeated rows repeat
-    their matches; a null id stays null.  Other columns are not read.  The benchmark is collected in
-    passes of :data:`ITEMS_AT_ONCE` items, sorted by id and text, whose size bounds what is broadcast.
+    their matches; a null id stays null.  Other columns are not read.  The benchmark is searched for in
+    passes of :data:`ITEMS_AT_ONCE` items, sorted by id and text, whose size bounds what is broadcast; any
+    number of passes gives the same rows.
     """
     docs = sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).orderBy("item_id", "text")
-    out, at, step = None, 0, ITEMS_AT_ONCE
-    while True:
-        rows = bench.offset(at).limit(step).collect()
-        if rows:
-            items = Items([r["item_id"] for r in rows], [r["text"].encode() for r in rows])
-            count = _sum_arrays(docs.select("text"), _document_frequency(items.table, items.size), (items.size + 1,), np.float64)
-            idf = items.weights(count)
-            basis = latent_space(docs.select("text"), items, idf)
-            queries = np.zeros((len(items.bags), basis.shape[1]), dtype=np.float32)
-            r, t, v = items.matrix(idf)
-            np.add.at(queries, r, basis[t] * v[:, None].astype(np.float32))
-            queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
-            shared = docs.sparkSession.sparkContext.broadcast((items, idf, basis, queries))
-            part = docs.mapInArrow(_search(shared), "doc_id long, item_id long, cosine double, lcs double")
-            out = part if out is None else out.unionByName(part)
-        at += step
-        if len(rows) < step:
-            return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double")
+    bench, out = Benchmark(benchmark, ITEMS_AT_ONCE), docs.sparkSession.createDataFrame([], FOUND)
+    table = term_table(bench.passes())
+    size = int(table.max()) + 1
+    if size == 0:
+        return out
+    count = _sum_arrays(docs.select("text"), _document_frequency(table, size), (size + 1,), np.float64)
+    idf = np.log((count[-1] + 1) / (count[:-1] + 1)) + 1e-3
+    search = np.where(count[:-1] > COMMON * count[-1], 0.0, idf)
+    raised = search.copy()
+    for items in bench.items(table):
+        common = search.copy()
+        items.searched_by(idf, common)
+        raised = np.maximum(raised, common)
+    search = raised.astype(np.float32)
+    basis = latent_space(docs.select("text"), bench, table, search)
+    for items in bench.items(table):
+        items.weigh(idf)
+        queries = np.zeros((len(items.bags), basis.shape[1]), dtype=np.float32)
+        r, t, v = items.matrix(search)
+        np.add.at(queries, r, basis[t % len(basis)] * v[:, None].astype(np.float32))
+        queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
+        shared = docs.sparkSession.sparkContext.broadcast((items, search, basis, queries, cosine))
+        out = out.unionByName(docs.mapInArrow(_search(shared), FOUND))
+    return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
