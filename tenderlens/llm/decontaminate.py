@@ -137,7 +137,9 @@ def _summed(rows: np.ndarray, n: int, terms: np.ndarray, x: np.ndarray, matrix:
         e = min(len(rows), s + 8192)
         part = slice(s, e)
         first = np.flatnonzero(np.concatenate([[True], rows[part][1:] != rows[part][:-1]]))
-        out[rows[part][first]] += np.add.reduceat(matrix[terms[part]] * x[part, None], first, axis=0)
+        m = matrix[terms[part]]
+        m *= x[part, None]
+        out[rows[part][first]] += np.add.reduceat(m, first, axis=0)
     return out
 
 
@@ -276,7 +278,7 @@ def _search(shared):
                 sets: dict[int, set[int]] = {}
                 for s in range(0, len(y), 2048):
                     cos = y[s : s + 2048] @ queries.T
-                    for h, q in zip(*np.nonzero(cos >= least)):
+                    for h, q in zip(*np.divmod(np.flatnonzero(cos >= least), len(queries))):  # of a flat mask, which is much faster
                         half, n = s + int(h), int(items.item[q])
                         text = int(t.half_text[half])
                         key = (at + text, n)
