@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import re
 from datetime import date
 
 import pytest
@@ -14,7 +15,7 @@ from tenderlens.functions import normalize as norm
 from tenderlens.operators import checks, groups, ingest, network, profiles, runs, scoring, valuation
 from tenderlens.operators.components import connected_components
 from tenderlens.plans import fixture_map
-from tenderlens.plans.staging import measured_bytes
+from tenderlens.plans.staging import materialize, measured_bytes
 from tenderlens.plans.tables import Config, Tables, ordinals, process_window, top_n
 from tenderlens.sources import snapshot
 from tenderlens.streaming import incremental
@@ -306,6 +307,30 @@ def test_communities_are_connected_and_no_move_gains(spark, seed, n, p):
             assert quality({v: (d if x == c else x) for v, x in got.items()}) <= best
 
 
+@pytest.mark.parametrize(("block", "tables"), [(100_000, 25), (150, 90)])
+def test_communities_take_few_tables_and_hold_over_blocks(spark, monkeypatch, block, tables):
+    raw, edges = random_edges(spark, random.Random(3), 60, 0.12)
+    made = []
+    monkeypatch.setattr(network, "BLOCK_LINKS", block, raising=False)
+    monkeypatch.setattr(network, "materialize", lambda df, tag="t": made.append(tag) or materialize(df, tag))
+    got = {r.node: r.community for r in network.communities(edges).collect()}
+    near, k = {}, {}
+    for a, b, w in raw:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = w
+            k[x] = k.get(x, 0) + w
+    total, size = sum(k.values()), {}
+    for v, c in got.items():
+        size[c] = size.get(c, 0) + k[v]
+    assert set(got) == set(near) and len(made) <= tables
+    for v in near:
+        to = {}
+        for u, w in near[v].items():
+            to[got[u]] = to.get(got[u], 0) + w
+        gain = lambda c: to.get(c, 0) * total - k[v] * (size[c] - (k[v] if c == got[v] else 0))
+        assert all(gain(c) <= gain(got[v]) for c in to)
+
+
 def test_peeling_keeps_the_core_before_an_empty_one(spark):
     ring = [(f"r{i:02}", f"r{(i + 1) % 70:02}", 1) for i in range(70)]
     df = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in ring], "a string, b string, weight long")
