@@ -331,6 +331,15 @@ def test_communities_take_few_tables_and_hold_over_blocks(spark, monkeypatch, bl
         assert all(gain(c) <= gain(got[v]) for c in to)
 
 
+def test_history_of_a_pair_makes_pairs_inside_processes_only(spark):
+    bids = [(f"p{i}", x) for i in range(4) for x in "AB"] + [("p9", "A"), ("p8", "B")] + [("wide", f"s{i:03}") for i in range(70)] + [("wide", "A"), ("wide", "B")]
+    t = tables(spark, bids, [("p0", "A"), ("wide", "B")])
+    rows = network.pair_history(t, spark.createDataFrame([("B", "A"), ("A", "s001")], "a string, b string"))
+    assert not re.search(r"Join \[a#\d+\], \[a#\d+\]", rows._jdf.queryExecution().executedPlan().toString())  # bids of a side do not meet all its pairs
+    got = {(r.a, r.b, r.process_number, tuple(r.winners or ())) for r in rows.collect()}
+    assert got == {("B", "A", "p0", ("A",)), ("B", "A", "wide", ("B",)), ("A", "s001", "wide", ("B",))} | {("B", "A", f"p{i}", ()) for i in (1, 2, 3)}
+
+
 def test_peeling_keeps_the_core_before_an_empty_one(spark):
     ring = [(f"r{i:02}", f"r{(i + 1) % 70:02}", 1) for i in range(70)]
     df = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in ring], "a string, b string, weight long")
