@@ -510,6 +510,14 @@ def test_findings_do_not_depend_on_partitions(spark):
     assert [tuple(r) for r in checks.uoc_favoritism(a, cfg).collect()] == [tuple(r) for r in checks.uoc_favoritism(b, cfg).collect()]
 
 
+def test_stored_tables_are_read_and_equal_those_made_again(spark):
+    lazy, stored = (fixture_map.load(spark, "/root/testdata/sf0.001", w) for w in ((), ("process", "bid", "contract", "authorized_by")))
+    for name in ("process", "bid", "contract", "authorized_by"):
+        a, b = getattr(lazy, name), getattr(stored, name)
+        assert all(f"/{name}-" in f for f in b.inputFiles())
+        assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
