@@ -527,3 +527,41 @@ def test_entry_and_names(spark):
 def test_measured_bytes_count_what_lists_of_strings_hold(spark):
     df = spark.createDataFrame([(1, ["x" * 1000, None]), (2, None), (3, [])], "k long, l array<string>")
     assert measured_bytes(df) == 3 * 64 + 2 * 48 + 1000
+
+
+def test_stored_tables_meet_by_process_without_a_shuffle(spark):
+    t = fixture_map.load(spark, "/root/testdata/sf0.001", ("process", "bid", "contract"))
+    winners = t.contract.groupBy("process_number").agg(F.collect_set("provider_cuit").alias("w"))
+    met = t.bid.hint("merge").join(t.process.hint("merge"), "process_number").join(winners.hint("merge"), "process_number")
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == fixture_map.load(spark, "/root/testdata/sf0.001").contract.join(t.bid, "process_number").count()
+
+
+def test_documents_that_come_twice_count_once_in_a_run(spark):
+    t = tables(spark, [(f"p{i}", "A") for i in range(6)], [(f"p{i}", "A") for i in range(6)])
+    once = runs.with_shared(t)
+    t.contract = t.contract.unionByName(t.contract.filter("document_number = 'd0'"))
+    twice = runs.with_shared(t)
+    assert (once.single_documents, twice.single_documents) == (True, False)
+    cfg = Config(thresholds={"bias_min_amount": 0, "uoc_min_amount": 0, "triad_min_amount": 0, "split_min_total_ars": 0, "split_min_count": 6})
+    for shared in (once, twice):
+        assert [(r.contracts_for_prov, r.total_signed) for r in checks.authorizer_bias(shared, cfg).collect()] == [(6, 6)]
+        assert [r.contracts for r in checks.authorizer_provider_ring(shared, cfg).collect()] == [6]
+        assert [(r.contracts_for_prov, r.total_awarded_in_unit) for r in checks.uoc_favoritism(shared, cfg).collect()] == [(6, 6)]
+        assert [(r.split_count, r.month, len(r.processes)) for r in checks.contract_splitting(shared, cfg).collect()] == [(6, "2020-01", 6)]
+
+
+def test_cover_bidding_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(f"p{i}", f"s{j}", rng.choice([100.0, 100.5, 101.0, 101.5, 110.0]), rng.choice(["ARS", None, "USD"]), None) for i in range(30) for j in range(rng.randint(1, 6)) for _ in range(rng.choice([1, 1, 1, 2]))]
+    rows = sorted(set(rows), key=str)
+    wins = sorted({(p, s) for p, s, *_ in rows if rng.random() < 0.4})
+    t = tables(spark, [(p, s) for p, s, *_ in rows], wins)
+    t.bid = spark.createDataFrame(rows, t.bid.schema).repartition(5)
+    want = []
+    for p, s, amount, cur, _ in rows:
+        rivals = sorted((a, r) for q, r, a, c, _ in rows if q == p and r != s and (c or "ARS") == (cur or "ARS"))
+        if (p, s) in wins and len(rivals) >= 2 and amount <= rivals[0][0] <= amount * 1.02:
+            want.append((p, s, amount, cur or "ARS", len(rivals), *rivals[0]))
+    got = [(r.process_number, r.provider_cuit, r.won_amount, r.currency, r.competing_bids, r.runner_up_amount, r.runner_up_cuit) for r in checks.cover_bidding(t, Config()).collect()]
+    assert len(want) > 5 and sorted(got) == sorted(set(want))
