@@ -340,6 +340,24 @@ def test_history_of_a_pair_makes_pairs_inside_processes_only(spark):
     assert got == {("B", "A", "p0", ("A",)), ("B", "A", "wide", ("B",)), ("A", "s001", "wide", ("B",))} | {("B", "A", f"p{i}", ()) for i in (1, 2, 3)}
 
 
+def test_leaves_are_told_apart_in_one_pass(spark, tmp_path):
+    rows = [(f"provider:{s}", f"process:{s}{i}") for s in "AB" for i in range(3 if s == "A" else 2)] + [("provider:A", "process:both"), ("provider:B", "process:both"), ("unit:u", "process:u1"), ("provider:A", "contact:c")]
+    spark.createDataFrame(rows * 2, "source string, target string").repartition(3).write.parquet(str(tmp_path / "edges"))
+    out = network.collapse_leaf_processes(spark.read.parquet(str(tmp_path / "edges")), 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/edges") == 1  # contacts only; the rest was read once before
+    gone = {r for r in rows if r[1].startswith("process:A")}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(*r, 1) for r in rows if r not in gone} | {("provider:A", "cluster:provider:A", 3)}
+
+
+def test_touches_are_the_ends_of_the_graph(spark):
+    t = tables(spark, [("p0", "X"), ("p0", "Y"), ("p1", "X"), ("p99", "X"), ("p1", "W")], [("p0", "X"), ("p2", "Y")], [("X", "Phone", "1"), ("Y", "Phone", "1"), ("W", "Phone", "1"), ("W", "Phone", "2")])
+    asked = spark.createDataFrame([("X",), ("Y",)], "cuit string")
+    ends = lambda df: {(r.source, r.target) for r in df.select("source", "target").collect()}
+    assert ends(network.provider_touches(t, asked, Config())) == ends(network.provider_graph(t, asked, Config()))
+
+
 def test_peeling_keeps_the_core_before_an_empty_one(spark):
     ring = [(f"r{i:02}", f"r{(i + 1) % 70:02}", 1) for i in range(70)]
     df = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in ring], "a string, b string, weight long")
