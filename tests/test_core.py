@@ -340,6 +340,46 @@ def test_history_of_a_pair_makes_pairs_inside_processes_only(spark):
     assert got == {("B", "A", "p0", ("A",)), ("B", "A", "wide", ("B",)), ("A", "s001", "wide", ("B",))} | {("B", "A", f"p{i}", ()) for i in (1, 2, 3)}
 
 
+def test_pairs_of_wide_processes_come_from_rows_of_bounded_size(spark):
+    bids = [("wide", f"s{i:03}") for i in range(200)] + [("two", "A"), ("two", "B"), ("one", "A")]
+    lists = network.bidder_lists(spark.createDataFrame(bids, "process_number string, provider_cuit string").repartition(3))
+    assert max(len(r.p) for r in lists.collect()) == network.PAIR_IN_ROW
+    got = [(r.process_number, r.a, r.b) for r in network.process_pairs(lists).collect()]
+    want = {("wide", f"s{a:03}", f"s{b:03}") for a in range(200) for b in range(a + 1, 200)} | {("two", "A", "B")}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_rings_read_what_pairs_met_in_and_equal_outcomes_by_member(spark, monkeypatch):
+    rng = random.Random(5)
+    bids = [(f"p{p}", m) for p in range(40) for m in rng.sample("ABCDEFGH", rng.randint(1, 5))]
+    won = [(f"p{p}", rng.choice([m for q, m in bids if q == f"p{p}"] + ["Z"])) for p in range(40)]
+    t = tables(spark, bids, won, n=38)
+    cliques = [(f"g{i}", rng.sample("ABCDEFGH", rng.randint(3, 4))) for i in range(12)]
+    rows = spark.createDataFrame(cliques, "group_id string, members array<string>")
+    seen = lambda df: {(r.group_id, r.process_number, tuple(r.bidders), tuple(sorted(r.winners))) for r in df.collect()}
+    want = seen(network.group_outcomes(rows.select("group_id", F.explode("members").alias("member")), t, Config()))
+    for x in (t, network.with_edges(t)):
+        assert seen(network.clique_outcomes(rows, x, Config())) == want and want
+    monkeypatch.setattr(network, "group_outcomes", None)  # all bids of a member do not meet all its groups
+    trio = tables(spark, meeting([["A", "B", "C"]], 6), [(f"p{i}", "ABC"[i % 3]) for i in range(6)])
+    assert groups.bid_rotation_ring(trio, Config()).count() == 3
+
+
+@pytest.mark.parametrize("split", [0, network.SPLIT_ROWS])
+def test_cliques_do_not_depend_on_buckets(spark, monkeypatch, split):
+    raw, edges = random_edges(spark, random.Random(9), 14, 0.4)
+    near = {}
+    for a, b, _ in raw:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    every = [set(c) for k in range(3, 9) for c in itertools.combinations(sorted(near), k) if all(y in near[x] for x, y in itertools.combinations(c, 2))]
+    want = {tuple(sorted(c)) for c in every if not any(set(c) <= near[v] for v in near)}
+    for rows in (3, 20_000):
+        monkeypatch.setattr(network, "BUCKET_ROWS", rows)
+        got = [tuple(r.members) for r in network.maximal_cliques(edges, split_rows=split).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_leaves_are_told_apart_in_one_pass(spark, tmp_path):
     rows = [(f"provider:{s}", f"process:{s}{i}") for s in "AB" for i in range(3 if s == "A" else 2)] + [("provider:A", "process:both"), ("provider:B", "process:both"), ("unit:u", "process:u1"), ("provider:A", "contact:c")]
     spark.createDataFrame(rows * 2, "source string, target string").repartition(3).write.parquet(str(tmp_path / "edges"))
