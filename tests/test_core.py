@@ -623,3 +623,48 @@ def test_cover_bidding_equals_brute_force(spark):
             want.append((p, s, amount, cur or "ARS", len(rivals), *rivals[0]))
     got = [(r.process_number, r.provider_cuit, r.won_amount, r.currency, r.competing_bids, r.runner_up_amount, r.runner_up_cuit) for r in checks.cover_bidding(t, Config()).collect()]
     assert len(want) > 5 and sorted(got) == sorted(set(want))
+
+
+def shares_of_paths(near, sources):
+    """Brandes: what the shortest paths from each of ``sources`` give each node, summed."""
+    score = dict.fromkeys(near, 0.0)
+    for s in sources:
+        dist, sigma, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for u in near[v]:
+                if u not in dist:
+                    dist[u], sigma[u] = dist[v] + 1, 0.0
+                    order.append(u)
+                if dist[u] == dist[v] + 1:
+                    sigma[u] += sigma[v]
+        delta = dict.fromkeys(order, 0.0)
+        for u in reversed(order):
+            for v in near[u]:
+                if dist[v] == dist[u] - 1:
+                    delta[v] += sigma[v] / sigma[u] * (1 + delta[u])
+            if u != s:
+                score[u] += delta[u]
+    return score
+
+
+@pytest.mark.parametrize("rows", [1 << 26, 60_000])
+def test_betweenness_searches_from_all_sources_that_fit_at_once(spark, monkeypatch, rows):
+    rng = random.Random(5)
+    raw = {tuple(sorted(rng.sample(range(420), 2))) for _ in range(1500)} | {(420, k) for k in range(60)} | {(421, 422), (422, 423)}
+    near = {}
+    for a, b in raw:
+        near.setdefault(f"n{a}", set()).add(f"n{b}")
+        near.setdefault(f"n{b}", set()).add(f"n{a}")
+    nodes = spark.createDataFrame([(v,) for v in near], "node string").withColumn("h", F.xxhash64("node"))
+    sources = [r.node for r in nodes.orderBy("h", "node").limit(400).collect()]
+    n, score = len(near), shares_of_paths(near, sources)
+    written = []
+    whole = network.materialize
+    monkeypatch.setattr(network, "materialize", lambda df, tag="t", **o: written.append(tag) or whole(df, tag, **o))
+    monkeypatch.setattr(network, "NEAR_IN_ROW", 7, raising=False)
+    monkeypatch.setattr(network, "SEARCH_ROWS", rows, raising=False)
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 1) for a, b in raw], "a string, b string, weight long")
+    got = {r.node: r.betweenness for r in network.betweenness(edges).collect()}
+    assert got.keys() == near.keys()
+    assert all(abs(got[v] - score[v] * n / 400 / ((n - 1) * (n - 2))) < 1e-4 for v in near)
+    assert len(written) <= (20 if rows == 1 << 26 else 48), written
