@@ -14,7 +14,7 @@ import __spark_entry__
 from tenderlens.functions import normalize as norm
 from tenderlens.operators import checks, groups, ingest, network, profiles, runs, scoring, valuation
 from tenderlens.operators.components import connected_components
-from tenderlens.plans import fixture_map
+from tenderlens.plans import fixture_map, queries
 from tenderlens.plans.staging import materialize, measured_bytes
 from tenderlens.plans.tables import Config, Tables, ordinals, process_window, top_n
 from tenderlens.sources import snapshot
@@ -668,3 +668,19 @@ def test_betweenness_searches_from_all_sources_that_fit_at_once(spark, monkeypat
     assert got.keys() == near.keys()
     assert all(abs(got[v] - score[v] * n / 400 / ((n - 1) * (n - 2))) < 1e-4 for v in near)
     assert len(written) <= (20 if rows == 1 << 26 else 48), written
+
+
+def test_a_check_that_failed_is_no_result(spark, tmp_path, monkeypatch):
+    broken = checks.REGISTRY["cdi_abuse"]
+    monkeypatch.setitem(checks.REGISTRY, "cdi_abuse", checks.Check(broken.key, broken.weight, broken.thresholds, broken.entities, lambda t, c: 1 / 0))
+    t = tables(spark, [("p0", "A")], [("p0", "A")])
+    cfg = Config(disabled=frozenset(set(checks.REGISTRY) - {"cdi_abuse", "serial_winner"}))
+    row = runs.persist_run(spark, t, cfg, str(tmp_path), "a").first()
+    assert (row.state, row.failed) == ("partial", ["cdi_abuse"]) and "cdi_abuse: ZeroDivisionError" in row.error
+    assert runs.run_if_needed(spark, t, cfg, str(tmp_path), "b") == ("b", False)  # it answers for nothing
+    alone = Config(disabled=frozenset(set(checks.REGISTRY) - {"cdi_abuse"}))
+    with pytest.raises(RuntimeError, match="cdi_abuse: ZeroDivisionError"):
+        runs.persist_run(spark, t, alone, str(tmp_path), "c")
+    monkeypatch.setattr(queries, "SAID", {"cdi_abuse": "c11_cdi_abuse", "serial_winner": "c1_serial_winner"})
+    with pytest.raises(RuntimeError, match="cdi_abuse: ZeroDivisionError"):
+        queries.QUERIES["e8_run_detection"](spark, "/root/testdata/sf0.001")
