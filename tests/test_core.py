@@ -684,3 +684,24 @@ def test_a_check_that_failed_is_no_result(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "SAID", {"cdi_abuse": "c11_cdi_abuse", "serial_winner": "c1_serial_winner"})
     with pytest.raises(RuntimeError, match="cdi_abuse: ZeroDivisionError"):
         queries.QUERIES["e8_run_detection"](spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("bound", [1 << 22, 1500, 0])
+def test_centrality_is_of_all_providers(spark, monkeypatch, bound):
+    rng = random.Random(11)
+    raw = {tuple(sorted(rng.sample(range(430), 2))) for _ in range(700)} | {(500 + i, 501 + i) for i in range(9)} | {(520, 521)}
+    raw |= {(530, 531), (530, 532), (531, 533), (532, 533), (533, 534)} | {(540, 541), (541, 542)}
+    near = {}
+    for a, b in raw:
+        near.setdefault(f"n{a}", set()).add(f"n{b}")
+        near.setdefault(f"n{b}", set()).add(f"n{a}")
+    n, score = len(near), shares_of_paths(near, list(near))
+    monkeypatch.setattr(network, "SEARCH_WORK", 100_000, raising=False)  # several tasks a component
+    monkeypatch.setattr(network, "VISITS", 5_000, raising=False)
+    monkeypatch.setattr(network, "TASK_LINKS", bound, raising=False)
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 2) for a, b in raw], "a string, b string, weight long")
+    t = tables(spark, [("p0", "A")], [])
+    t.shared = {"cobid_edges": edges}
+    got = {r.provider_cuit: r.cobid_betweenness for r in network.cobid_centrality(t).collect()}
+    assert n > 400 and got.keys() == near.keys()
+    assert all(abs(got[v] - score[v] / ((n - 1) * (n - 2))) <= 5.1e-5 for v in near)
