@@ -705,3 +705,13 @@ def test_centrality_is_of_all_providers(spark, monkeypatch, bound):
     got = {r.provider_cuit: r.cobid_betweenness for r in network.cobid_centrality(t).collect()}
     assert n > 400 and got.keys() == near.keys()
     assert all(abs(got[v] - score[v] / ((n - 1) * (n - 2))) <= 5.1e-5 for v in near)
+
+
+def test_rings_are_sought_in_the_whole_of_a_large_component(spark):
+    five, trio, chain = [f"K{i}" for i in range(5)], ["T0", "T1", "T2"], [f"c{i:02}" for i in range(60)]
+    bids = meeting([five, trio], 6) + [(f"p{12 + 3 * i + k}", m) for i, pair in enumerate(zip(["K0", *chain], [*chain, "T0"])) for m in pair for k in range(3)]
+    t = tables(spark, bids, [(f"p{i}", five[i % 5]) for i in range(6)] + [(f"p{6 + i}", trio[i % 3]) for i in range(6)], n=200)
+    found = {(r.ring_size, r.provider_cuit) for r in groups.bid_rotation_ring(t, Config()).collect()}
+    assert found == {(5, m) for m in five} | {(3, m) for m in trio}  # the trio is not in the core that a cap of 60 leaves
+    capped = groups.bid_rotation_ring(t, Config(thresholds={"ring_component_cap": 60})).collect()
+    assert {r.provider_cuit for r in capped} == set(five)
