@@ -715,3 +715,26 @@ def test_rings_are_sought_in_the_whole_of_a_large_component(spark):
     assert found == {(5, m) for m in five} | {(3, m) for m in trio}  # the trio is not in the core that a cap of 60 leaves
     capped = groups.bid_rotation_ring(t, Config(thresholds={"ring_component_cap": 60})).collect()
     assert {r.provider_cuit for r in capped} == set(five)
+
+
+def test_related_providers_are_dealt_to_buckets_and_ranked_there(spark, monkeypatch):
+    monkeypatch.setattr(groups, "RELATED_ROWS", 50, raising=False)
+    monkeypatch.setattr(groups, "MEMBERS_IN_ROW", 7, raising=False)
+    rng = random.Random(3)
+    rows = {"shared_contact_cluster": {(1 if i < 40 else 2 + i // 9, f"Ñ{i}") for i in range(80)}, "bid_rotation_ring": {(i // 3, f"Ñ{i}") for i in rng.sample(range(90), 50)}, "cobid_community": {(rng.randint(0, 4), f"Ñ{i}") for i in range(60)}}
+    found = {k: spark.createDataFrame(sorted(v) * 2, f"{groups.GROUP_CHECKS[k]} int, provider_cuit string") for k, v in rows.items()}
+    asked = [f"Ñ{i}" for i in range(0, 100, 2)]
+    want = set()
+    for c in asked:
+        links = {}
+        for of in rows.values():
+            mine = {g for g, m in of if m == c}
+            for g, m in of:
+                if g in mine and m != c:
+                    links[m] = links.get(m, 0) + 1
+        want |= {(c, m, links[m], k + 1) for k, m in enumerate(sorted(links, key=lambda m: (-links[m], m)))}
+    out = groups.related_providers(found, spark.createDataFrame([(c,) for c in asked], "cuit string"))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()  # nothing is sorted by pair
+    assert {tuple(r) for r in out.collect()} == want and want
+    few = {k: df.filter("provider_cuit = 'nobody'") for k, df in found.items()}
+    assert groups.related_providers(few, spark.createDataFrame([("A",)], "cuit string")).count() == 0
