@@ -738,3 +738,9 @@ def test_related_providers_are_dealt_to_buckets_and_ranked_there(spark, monkeypa
     assert {tuple(r) for r in out.collect()} == want and want
     few = {k: df.filter("provider_cuit = 'nobody'") for k, df in found.items()}
     assert groups.related_providers(few, spark.createDataFrame([("A",)], "cuit string")).count() == 0
+
+
+def test_priced_entities_read_tables_stored_once(spark):
+    for name in ("b3_link_inflation", "b5_real_value"):
+        files = queries.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert any("/bid_line-" in f for f in files) and not any("lineitem" in f or "orders" in f for f in files)
